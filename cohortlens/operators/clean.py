@@ -85,31 +85,55 @@ def fit_clip_bounds(df: DataFrame, cols, lo: float = 0.01, hi: float = 0.99,
     return {c: (v[0], v[1]) if v is not None else (None, None) for c, v in row.items()}
 
 
-def apply_clip(df: DataFrame, bounds: dict) -> DataFrame:
-    """P9 apply: clip into [p_lo, p_hi] only where p_hi > p_lo."""
+def apply_clip(df: DataFrame, bounds: dict, nullable: bool = True) -> DataFrame:
+    """P9 apply: clip into [p_lo, p_hi] only where p_hi > p_lo; null stays null
+    (Spark's ``greatest`` skips nulls, so the guard is needed unless the
+    column is known to hold none)."""
     out = {}
     for c, (qlo, qhi) in bounds.items():
         if c not in df.columns or qlo is None or qhi is None or not (qhi > qlo):
             continue
         x = F.col(c).cast("double")
-        out[c] = F.when(x.isNull(), None).otherwise(F.least(F.greatest(x, F.lit(qlo)), F.lit(qhi)))
+        clipped = F.least(F.greatest(x, F.lit(qlo)), F.lit(qhi))
+        out[c] = F.when(x.isNull(), None).otherwise(clipped) if nullable else clipped
     return df.withColumns(out) if out else df
 
 
+def _is_integral(df: DataFrame, c: str) -> bool:
+    return dict(df.dtypes).get(c) in ("tinyint", "smallint", "int", "bigint")
+
+
 def clean(df: DataFrame, cols=None, exclude=ID_COLS, approx: bool = False,
           return_state: bool = False):
     """P10: non-finite to null, median fill, then [1 %, 99 %] clip.
 
     All numeric columns (target included, ids excluded) come out as double.
-    Two aggregates run: medians on the raw values, then quantiles on the
-    filled values (the clip bounds must see the filled column).
+    Two aggregates run: (1) medians plus a count of missing / non-finite
+    values per column on the raw values, (2) quantiles on the filled values
+    (the clip bounds must see the filled column). The fill expression is only
+    emitted for columns that need it, which keeps the fused projection small
+    enough for whole-stage codegen when cleaning is stacked.
     """
     cols = numeric_columns(df, exclude) if cols is None else list(cols)
-    df1 = df.withColumns({c: finite_or_null(F.col(c).cast("double")) for c in cols})
-    medians = fit_median_fill(df1, cols, approx)
-    df2 = apply_median_fill(df1, medians)
+    nf = {c: (F.col(c).cast("double") if _is_integral(df, c) else finite_or_null(F.col(c).cast("double")))
+          for c in cols}
+    exprs = []
+    for c in cols:
+        med = _quantile_expr(c, [0.5], True)[0] if approx else F.median(nf[c])
+        if approx:
+            med = F.percentile_approx(nf[c], 0.5, 10000)
+        exprs += [med.alias(f"m__{c}"), F.count_if(nf[c].isNull()).alias(f"n__{c}")]
+    row = _one_row(df, exprs)
+    medians = {c: row[f"m__{c}"] for c in cols}
+    filled = {}
+    for c in cols:
+        if row[f"n__{c}"]:
+            filled[c] = F.coalesce(nf[c], F.lit(medians[c]).cast("double"), F.lit(0.0))
+        else:
+            filled[c] = F.col(c).cast("double")
+    df2 = df.withColumns(filled)
     bounds = fit_clip_bounds(df2, cols, approx=approx)
-    out = apply_clip(df2, bounds)
+    out = apply_clip(df2, bounds, nullable=False)
     if return_state:
         return out, CleanState(medians, bounds)
     return out
@@ -119,7 +143,7 @@ def apply_clean(df: DataFrame, state: CleanState) -> DataFrame:
     """Re-apply a fitted P10 (for scoring new rows with training statistics)."""
     cols = [c for c in state.medians if c in df.columns]
     df1 = df.withColumns({c: finite_or_null(F.col(c).cast("double")) for c in cols})
-    return apply_clip(apply_median_fill(df1, state.medians), state.bounds)
+    return apply_clip(apply_median_fill(df1, state.medians), state.bounds, nullable=False)
 
 
 def fill_mean(df: DataFrame, cols=None, exclude=ID_COLS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,14 @@ def row_features(df: DataFrame) -> DataFrame:
 
 
 def advanced_features(df: DataFrame, exclude=ID_COLS, approx: bool = False) -> DataFrame:
-    """Clean, derive F1-F16, clean again (the second pass also clips the new columns)."""
-    return clean(row_features(clean(df, exclude=exclude, approx=approx)), exclude=exclude, approx=approx)
+    """Clean, derive F1-F16, clean again (the second pass also clips the new columns).
+
+    The derived table feeds two statistics passes and the output, so it is
+    persisted (memory, spilling to disk; lost blocks recompute from lineage).
+    """
+    derived = row_features(clean(df, exclude=exclude, approx=approx)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    return clean(derived, exclude=exclude, approx=approx)
 
 
 def pass_fail_and_score(df: DataFrame, target: str = "G3") -> DataFrame:

@@ -14,7 +14,37 @@ ORACLES: dict[str, str] = {}
 ROWS_ONLY: set[str] = set()
 
 
+def zero_sign(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps the sign
+    of a rounded negative zero, Spark does not; adding +0.0 turns -0.0 into 0.0."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 0, j + len(key) - 1
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = zero_sign(sql[j + len(key):k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def register(name: str, oracle: str | None = None):
+    if oracle is not None:
+        oracle = zero_sign(oracle)
+
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -30,6 +60,6 @@ def register(name: str, oracle: str | None = None):
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column (oracle hygiene: both sides round the same way)."""
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name)
+        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields])

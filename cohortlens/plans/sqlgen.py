@@ -99,3 +99,42 @@ def advanced_features_ctes(num=None, strings=None) -> tuple[str, str, list[str]]
 
 def rounded(cols, digits: int = 6, alias_from: str = "") -> str:
     return ", ".join(f"round({alias_from}{q(c)}, {digits}) AS {q(c)}" for c in cols)
+
+
+def outlier_cte(src: str, num: list[str], name: str, threshold: float = 3) -> str:
+    """P13 over ``src``: stats from the unfiltered table, one cross-joined row."""
+    stats = ", ".join(f"avg({q(c)}) AS {q(c + '__m')}, stddev_samp({q(c)}) AS {q(c + '__s')}"
+                      for c in num)
+    conds = " AND ".join(
+        f"(NOT (st.{q(c + '__s')} > 1e-8) OR t.{q(c)} IS NULL OR isnan(t.{q(c)}) OR isinf(t.{q(c)}) "
+        f"OR abs((t.{q(c)} - st.{q(c + '__m')}) / st.{q(c + '__s')}) < {threshold})" for c in num)
+    return (f"{name}_st AS (SELECT {stats} FROM {src}),\n"
+            f"{name} AS (SELECT t.* FROM {src} t CROSS JOIN {name}_st st WHERE {conds})")
+
+
+def preprocess_ctes() -> tuple[str, str, list[str]]:
+    """E11 as CTEs over ``roster``: returns (ctes, final cte, feature columns)."""
+    num = [c for c in ROSTER_NUMERIC if c not in ("G1", "G2")]
+    ctes, fin, num2 = advanced_features_ctes(num)
+    strings = ROSTER_STRING + FEATURE_STRING
+    parts = [ctes, outlier_cte(fin, num2, "o")]
+    for s in strings:
+        parts.append(
+            f"m_{s} AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM "
+            f"(SELECT DISTINCT coalesce({q(s)}, 'unknown') AS v FROM o UNION SELECT 'unknown') t)")
+    feats_num = [c for c in num2 if c != "G3"]
+    sel = ", ".join([f"o.{q(c)}" for c in feats_num] + [f"CAST(m_{s}.code AS DOUBLE) AS {q(s)}" for s in strings])
+    joins = " ".join(f"LEFT JOIN m_{s} ON coalesce(o.{q(s)}, 'unknown') = m_{s}.v" for s in strings)
+    parts.append(f"enc AS (SELECT o.student_id, o.G3 AS label, {sel} FROM o {joins})")
+    feats = feats_num + strings
+    stats = ", ".join(f"avg({q(c)}) AS {q(c + '__m')}, stddev_samp({q(c)}) AS {q(c + '__s')}, "
+                      f"stddev_pop({q(c)}) AS {q(c + '__p')}" for c in feats)
+    parts.append(f"enc_st AS (SELECT {stats} FROM enc)")
+
+    def scaled(c):
+        e = (f"CASE WHEN st.{q(c + '__s')} > 1e-8 THEN (e.{q(c)} - st.{q(c + '__m')}) / st.{q(c + '__p')} "
+             f"ELSE e.{q(c)} END")
+        return f"CASE WHEN ({e}) IS NULL OR isnan({e}) OR isinf({e}) THEN 0 ELSE {e} END AS {q(c)}"
+    parts.append(f"prep AS (SELECT e.student_id, e.label, {', '.join(scaled(c) for c in feats)} "
+                 f"FROM enc e CROSS JOIN enc_st st)")
+    return ",\n".join(parts), "prep", feats
