@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,9 +219,9 @@ def preprocess(df: DataFrame, target: str = "G3", exclude_cols=("G1", "G2"),
     feats = advanced_features(df, exclude=exclude, approx=approx)
     if remove_outliers:
         feats = cl.remove_outliers(feats, exclude=exclude)
-    # several passes follow (codes, scaling stats, output): keep the filtered
-    # feature table (spills to disk; lost blocks are recomputed from lineage)
-    x = feats.withColumnRenamed(target, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    # several passes follow (codes, scaling stats, output): checkpoint the
+    # filtered feature table (shared folder; cuts the lineage for the rest)
+    x = cut_lineage(feats.withColumnRenamed(target, "label"))
     strings = string_columns(x, exclude)
     mapping = cut_lineage(fit_label_codes(x, strings, exclude))
     encoded = apply_label_codes(x, mapping, strings, exclude)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import clip, right_closed_cut, yes_no
 from cohortlens.operators.clean import ID_COLS, clean
+from cohortlens.session import cut_lineage
 
 EPS = 1e-8
 
@@ -58,10 +58,11 @@ def advanced_features(df: DataFrame, exclude=ID_COLS, approx: bool = False) -> D
     """Clean, derive F1-F16, clean again (the second pass also clips the new columns).
 
     The derived table feeds two statistics passes and the output, so it is
-    persisted (memory, spilling to disk; lost blocks recompute from lineage).
+    checkpointed into the shared checkpoint folder: later passes read it
+    instead of recomputing, executor loss does not replay the first pass, and
+    the short lineage keeps planning of the following steps cheap.
     """
-    derived = row_features(clean(df, exclude=exclude, approx=approx)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    derived = cut_lineage(row_features(clean(df, exclude=exclude, approx=approx)))
     return clean(derived, exclude=exclude, approx=approx)
 
 

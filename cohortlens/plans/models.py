@@ -25,6 +25,7 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
@@ -84,8 +85,8 @@ def prepare_training_data(spark: SparkSession, sf_dir: str, k_folds: int = 5, se
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
                             DefaultParamsWritable):
     """rbf kernel map z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
-    (Rahimi & Recht, 2007). Built from Spark SQL array expressions; W is a
-    small seeded literal (D x p), regenerated from the saved parameters."""
+    (Rahimi & Recht, 2007). One numpy matrix product per Arrow batch (pandas
+    UDF); W (D x p) is regenerated from the saved seed inside each task."""
 
     nFeatures = Param(Params._dummy(), "nFeatures", "input dimension", TypeConverters.toInt)
     dim = Param(Params._dummy(), "dim", "number of random features", TypeConverters.toInt)
@@ -101,17 +102,20 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 
     def _transform(self, df: DataFrame) -> DataFrame:
         d, p = self.getOrDefault(self.dim), self.getOrDefault(self.nFeatures)
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        W = rng.normal(0.0, np.sqrt(2 * self.getOrDefault(self.gamma)), size=(d, p))
-        b = rng.uniform(0, 2 * np.pi, size=d)
-        x = vector_to_array(F.col(self.getInputCol()))
-        rows = F.array(*[F.array(*[F.lit(float(v)) for v in W[j]]) for j in range(d)])
-        bias = F.array(*[F.lit(float(v)) for v in b])
-        scale = float(np.sqrt(2.0 / d))
-        z = F.transform(F.arrays_zip(rows.alias("w"), bias.alias("b")), lambda r: F.lit(scale) * F.cos(
-            F.aggregate(F.arrays_zip(r["w"].alias("wi"), x.alias("xi")), F.lit(0.0),
-                        lambda acc, t: acc + t["wi"] * t["xi"]) + r["b"]))
-        return df.withColumn(self.getOutputCol(), array_to_vector(z))
+        gamma, seed = self.getOrDefault(self.gamma), self.getOrDefault(self.seed)
+
+        @F.pandas_udf("array<double>")
+        def rff(xs: pd.Series) -> pd.Series:
+            # W and b are regenerated from the seed in each task (no shipping)
+            rng = np.random.default_rng(seed)
+            W = rng.normal(0.0, np.sqrt(2 * gamma), size=(d, p))
+            b = rng.uniform(0, 2 * np.pi, size=d)
+            X = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, p))
+            Z = np.sqrt(2.0 / d) * np.cos(X @ W.T + b)
+            return pd.Series(list(Z))
+
+        return df.withColumn(self.getOutputCol(),
+                             array_to_vector(rff(vector_to_array(F.col(self.getInputCol())))))
 
 
 class MarginProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
