@@ -108,7 +108,7 @@ def _f18(spark, sf_dir):
 
 register("f17_f18_event_features", W("""
 SELECT event_id, isodow(date) >= 6 AS is_weekend,
-  round(lms_logins * 0.3 + page_views * 0.2 + resource_downloads * 0.3 + discussion_posts * 0.2, 6) AS engagement
+  round(CAST(lms_logins AS DOUBLE) * 0.3 + page_views * 0.2 + resource_downloads * 0.3 + discussion_posts * 0.2, 6) AS engagement
 FROM activity""", "activity"))(_f18)
 
 

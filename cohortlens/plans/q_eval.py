@@ -62,9 +62,9 @@ def _v03(spark, sf_dir):
 
 register("v03_classification_report", W("""
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pf
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM pf
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM pf
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
-  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM pf""",
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pf""",
     "preds", ctes=_PC))(_v03)
 
 
@@ -102,7 +102,7 @@ def _v06(spark, sf_dir):
 
 _ROC = """per AS (SELECT score AS th, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
                  sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY score),
-tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM per),
+tot AS (SELECT CAST(sum(pos) AS BIGINT) AS P, CAST(sum(neg) AS BIGINT) AS N FROM per),
 cum AS (SELECT th, sum(pos) OVER (ORDER BY th DESC) AS cp, sum(neg) OVER (ORDER BY th DESC) AS cn FROM per),
 pts AS (SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
         UNION ALL SELECT th, cn / N, cp / P FROM cum CROSS JOIN tot)"""
