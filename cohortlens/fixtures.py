@@ -58,19 +58,21 @@ SELECT c_custkey AS student_id,
 FROM customer
 """
 
-ACTIVITY_SQL = """
-SELECT event_id, user_id AS student_id, ts AS date,
-  CAST((event_id * 7) % 101 AS DOUBLE) AS grade,
-  CAST(event_id % 101 AS DOUBLE) / 100 AS attendance_rate,
-  CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS lms_logins,
-  CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS page_views,
-  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS resource_downloads,
-  CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS discussion_posts,
-  CAST(event_id % 11 AS DOUBLE) / 10 AS assignment_completion_rate,
-  CASE WHEN event_type = 'error' AND user_id % 10 <> 0 THEN 'late' ELSE 'on_time' END AS submission_status
-FROM events
-WHERE user_id % 25 <> 3 OR event_id % 40 = 7
-"""
+ACTIVITY_EXPRS = [
+    "event_id",
+    "user_id AS student_id",
+    "ts AS date",
+    "CAST((event_id * 7) % 101 AS DOUBLE) AS grade",
+    "CAST(event_id % 101 AS DOUBLE) / 100 AS attendance_rate",
+    "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS lms_logins",
+    "CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS page_views",
+    "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS resource_downloads",
+    "CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS discussion_posts",
+    "CAST(event_id % 11 AS DOUBLE) / 10 AS assignment_completion_rate",
+    "CASE WHEN event_type = 'error' AND user_id % 10 <> 0 THEN 'late' ELSE 'on_time' END AS submission_status",
+]
+ACTIVITY_WHERE = "user_id % 25 <> 3 OR event_id % 40 = 7"
+ACTIVITY_SQL = "SELECT " + ",\n  ".join(ACTIVITY_EXPRS) + "\nFROM events\nWHERE " + ACTIVITY_WHERE + "\n"
 
 # Loader bands (-1,9] (9,11] (11,14] (14,20] as SQL, right-closed like the roster rule.
 def _loader_band_sql(col: str) -> str:

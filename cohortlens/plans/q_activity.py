@@ -130,3 +130,14 @@ SELECT c.c_custkey AS student_id, coalesce(o.n_records, 0) AS n_records,
   round(l.returned_share, 6) AS returned_share, coalesce(e.n_events, 0) AS n_events
 FROM customer c LEFT JOIN o ON c.c_custkey = o.student_id
 LEFT JOIN l ON c.c_custkey = l.student_id LEFT JOIN e ON c.c_custkey = e.student_id""")(_j05)
+
+
+# ---------------------------------------------------------------- streaming (same aggregates, incremental)
+def _st01(spark, sf_dir):
+    from cohortlens.streaming.activity_stream import run_activity_stream
+    out = run_activity_stream(spark, sf_dir, AS_OF, RECENT_DAYS, file_glob="events.parquet")
+    return rounded(out.select("student_id", *FEATURE_COLS[:-1]))
+
+
+register("st01_streaming_activity_features", W(
+    f"SELECT student_id, {_rnd(FEATURE_COLS[:-1])} FROM feats", "activity", ctes=_FEATS))(_st01)
