@@ -72,7 +72,11 @@ def prepare_training_data(spark: SparkSession, sf_dir: str, k_folds: int = 5, se
     sp = split.stratified_split(base, "class_name", "id", val_size, test_size, seed)
     tr = split.stratified_folds(sp.filter(F.col("split") == "train").drop("split"),
                                 "class_name", "id", k_folds, seed).select("id", "fold")
-    joined = sp.join(tr, "id", "left")
+    # M5: balanced class weights n / (k * n_c) from the training rows (tiny
+    # class table, broadcast), usable as ``weightCol``
+    cw = split.class_weights(sp.filter(F.col("split") == "train"), "class_name") \
+        .select("class_name", F.col("weight"))
+    joined = sp.join(tr, "id", "left").join(F.broadcast(cw), "class_name", "left")
     # iterative learners run one job per iteration over this table: size its
     # partitions by rows (~ROWS_PER_PARTITION each) instead of by shuffle width
     n = joined.count()
@@ -157,10 +161,11 @@ class CalibratedSVM(Estimator):
     """OvR linear SVM on an optional kernel map, Platt-style calibration by a
     multinomial logistic regression on the per-class margins."""
 
-    def __init__(self, C=1.0, kernel="linear", gamma=0.1, n_features=0, degree=2, seed=42, max_iter=50):
+    def __init__(self, C=1.0, kernel="linear", gamma=0.1, n_features=0, degree=2, seed=42, max_iter=50,
+                 weighted=False):
         super().__init__()
         self.C, self.kernel, self.gamma, self.n_features = C, kernel, gamma, n_features
-        self.degree, self.seed, self.max_iter = degree, seed, max_iter
+        self.degree, self.seed, self.max_iter, self.weighted = degree, seed, max_iter, weighted
 
     def _fit(self, df: DataFrame) -> Model:
         stages = []
@@ -176,7 +181,10 @@ class CalibratedSVM(Estimator):
             cur = st.transform(cur)
         n = max(1, df.count())
         svc = LinearSVC(featuresCol=col, regParam=1.0 / (self.C * n), maxIter=self.max_iter)
-        ovr = OneVsRest(classifier=svc, featuresCol=col, parallelism=4).fit(cur)
+        ovr = OneVsRest(classifier=svc, featuresCol=col, parallelism=4)
+        if self.weighted and "weight" in df.columns:
+            ovr.setWeightCol("weight")   # passed on to every binary LinearSVC
+        ovr = ovr.fit(cur)
         stages += [ovr, MarginColumns()]
         margins = MarginColumns().transform(ovr.transform(cur))
         lr = LogisticRegression(featuresCol="svm_margin", family="multinomial", maxIter=self.max_iter).fit(margins)
@@ -184,22 +192,30 @@ class CalibratedSVM(Estimator):
 
 
 # ---------------------------------------------------------------- registry
+def _weighted(est, p):
+    """``class_weight='balanced'`` -> the balanced ``weight`` column (M5)."""
+    if p.get("class_weight") == "balanced":
+        est.setWeightCol("weight")
+    return est
+
+
 def _dt(p):
-    return DecisionTreeClassifier(maxDepth=p.get("max_depth", 5), minInstancesPerNode=p.get("min_samples_leaf", 10),
-                                  impurity=p.get("criterion", "gini"), seed=42)
+    return _weighted(DecisionTreeClassifier(maxDepth=p.get("max_depth", 5),
+                                            minInstancesPerNode=p.get("min_samples_leaf", 10),
+                                            impurity=p.get("criterion", "gini"), seed=42), p)
 
 
 def _rf(p):
-    return RandomForestClassifier(numTrees=p.get("n_estimators", 50), maxDepth=p.get("max_depth", 10),
-                                  minInstancesPerNode=p.get("min_samples_leaf", 1), seed=42)
+    return _weighted(RandomForestClassifier(numTrees=p.get("n_estimators", 50), maxDepth=p.get("max_depth", 10),
+                                            minInstancesPerNode=p.get("min_samples_leaf", 1), seed=42), p)
 
 
 def _lr(p, n=1):
     c = p.get("C", 1.0)
     pen = p.get("penalty", "l2")
     enet = {"l2": 0.0, "l1": 1.0, "elasticnet": p.get("l1_ratio", 0.5)}[pen]
-    return LogisticRegression(family="multinomial", regParam=1.0 / (c * n), elasticNetParam=enet,
-                              standardization=False, maxIter=p.get("max_iter", 50))
+    return _weighted(LogisticRegression(family="multinomial", regParam=1.0 / (c * n), elasticNetParam=enet,
+                                        standardization=False, maxIter=p.get("max_iter", 50)), p)
 
 
 def _mlp(p, n_features=1, n_classes=4):
@@ -209,10 +225,10 @@ def _mlp(p, n_features=1, n_classes=4):
 
 
 MODEL_DEFAULTS = {
-    "decision_tree": {"max_depth": 5, "min_samples_leaf": 10, "criterion": "gini"},
+    "decision_tree": {"max_depth": 5, "min_samples_leaf": 10, "criterion": "gini", "class_weight": "balanced"},
     "random_forest": {"n_estimators": 50, "max_depth": 10, "min_samples_leaf": 1},
     "gradient_boosting": {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0},
-    "svm": {"C": 1.0, "kernel": "rbf", "gamma": 0.1},
+    "svm": {"C": 1.0, "kernel": "rbf", "gamma": 0.1, "class_weight": "balanced"},
     "neural_network": {"hidden_layer_sizes": (50,)},
     "logistic_regression": {"C": 1.0, "penalty": "l2"},
     "knn": {"n_neighbors": 5, "weights": "uniform", "metric": "euclidean"},
@@ -243,7 +259,8 @@ def create_model(name: str, n_features: int, n_rows: int = 1, n_classes: int = 4
         return GBTOneVsRest(maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"],
                             subsamplingRate=p["subsample"])
     if key == "svm":
-        return CalibratedSVM(C=p["C"], kernel=p["kernel"], gamma=p["gamma"], n_features=n_features)
+        return CalibratedSVM(C=p["C"], kernel=p["kernel"], gamma=p["gamma"], n_features=n_features,
+                             weighted=p.get("class_weight") == "balanced")
     if key == "neural_network":
         return _mlp(p, n_features, n_classes)
     if key == "logistic_regression":
@@ -283,7 +300,7 @@ def predictions(model, df: DataFrame, classes=CLASSES) -> DataFrame:
     out = model.transform(df)
     cls = F.array(*[F.lit(c) for c in classes])
     prob = vector_to_array("probability") if "probability" in out.columns else F.lit(None)
-    return out.select("id", "split", "fold", F.col("class_name").alias("y_true"),
+    return out.select("id", "split", F.col("class_name").alias("y_true"),
                       F.element_at(cls, F.col("prediction").cast("int") + 1).alias("y_pred"),
                       prob.alias("probability"))
 
@@ -427,3 +444,50 @@ def tree_rules(model, feature_names) -> str:
     for i in sorted(range(len(feature_names)), key=lambda j: -j):
         text = text.replace(f"feature {i} ", f"{feature_names[i]} ")
     return text
+
+
+# ---------------------------------------------------------------- M16
+class RiskModel:
+    """Common model contract: train, predict, predict_proba, info. Using an
+    untrained model is an error. Wraps any registered Spark ML estimator."""
+
+    def __init__(self, name: str, **params):
+        self.name = ALIASES.get(name, name)
+        self.params = {**model_params(self.name), **params}
+        self.model = None
+        self.metrics: DataFrame | None = None
+        self.classes = list(CLASSES)
+
+    def _check(self):
+        if self.model is None:
+            raise ValueError("Model must be trained before use")
+
+    def train(self, data: TrainingData) -> DataFrame:
+        train = data.df.filter(F.col("split") == "train")
+        self.classes = data.classes
+        est = create_model(self.name, len(data.feature_names), n_rows=train.count(),
+                           n_classes=len(data.classes), **self.params)
+        self.model = est.fit(train)
+        self.metrics = split_metrics(predictions(self.model, data.df, self.classes), self.name)
+        return self.metrics
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        self._check()
+        cls = F.array(*[F.lit(c) for c in self.classes])
+        return self.model.transform(df).select(
+            "id", F.element_at(cls, F.col("prediction").cast("int") + 1).alias("prediction"))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """Probability array; a model without one gets the one-hot of its
+        prediction sized by the full class count (M17)."""
+        self._check()
+        from cohortlens.operators.labels import one_hot_probability
+        out = self.model.transform(df)
+        if "probability" in out.columns:
+            return out.select("id", vector_to_array("probability").alias("probability"))
+        return out.select("id", one_hot_probability(F.col("prediction").cast("int"),
+                                                    len(self.classes)).alias("probability"))
+
+    def info(self) -> dict:
+        return {"model_type": self.name, "params": dict(self.params), "is_trained": self.model is not None,
+                "classes": list(self.classes)}

@@ -160,3 +160,37 @@ def _s10(spark, sf_dir):
 
 
 register("s10_batch_scoring")(_s10)
+
+
+def _x10(spark, sf_dir):
+    from cohortlens import fixtures as fx
+    d = training_data(spark, sf_dir)
+    rep = sh.sample_report(_fitted(spark, sf_dir, "random_forest"), d.df, fx.roster(spark, sf_dir),
+                           d.classes, n=5)
+    return rounded(rep.withColumn("probability", F.array_join(
+        F.transform("probability", lambda v: F.format_number(v, 4)), "|")))
+
+
+register("x10_sample_report")(_x10)
+
+
+def _x11(spark, sf_dir):
+    d = training_data(spark, sf_dir)
+    models = {"logistic_regression": _fitted(spark, sf_dir, "logistic_regression"),
+              "random_forest": _fitted(spark, sf_dir, "random_forest")}
+    out = sh.attribute_models(models, d.df, d.feature_names, d.classes,
+                              n_explain=10, n_background=10, n_perm=2)
+    return rounded(out)
+
+
+register("x11_attribute_all_models")(_x11)
+
+
+def _m16(spark, sf_dir):
+    d = training_data(spark, sf_dir)
+    m = ml.RiskModel("dt")
+    metrics = m.train(d)
+    return rounded(metrics)
+
+
+register("m16_model_contract")(_m16)

@@ -115,3 +115,38 @@ def one_per_class(data: DataFrame, classes, per_class: int = 1, seed: int = 42)
               .filter(F.col("rn") <= per_class))
     pos = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class_name"))
     return picked.withColumn("class_pos", pos).orderBy("class_pos").limit(3).drop("rn", "class_pos")
+
+
+def sample_report(model, data: DataFrame, raw: DataFrame, classes, n: int = 5, seed: int = 42,
+                  raw_cols=("age", "failures", "absences", "studytime", "G3")) -> DataFrame:
+    """A seeded sample of test rows with actual and predicted class, the
+    probability of each class and key raw features (joined by id)."""
+    picked = seeded_sample(data.filter(F.col("split") == "test"), "id", n, seed)
+    cls = F.array(*[F.lit(c) for c in classes])
+    scored = model.transform(picked).select(
+        "id", F.col("class_name").alias("actual"),
+        F.element_at(cls, F.col("prediction").cast("int") + 1).alias("predicted"),
+        vector_to_array("probability").alias("probability"))
+    keep = [c for c in raw_cols if c in raw.columns]
+    return scored.join(raw.select(F.col("student_id").alias("id"), *keep), "id", "left")
+
+
+def attribute_models(models: dict, data: DataFrame, feature_names, classes, **kw) -> DataFrame:
+    """X11: Shapley tables of every model with a ``model`` column; a model
+    that fails is recorded as an error row instead of stopping the run."""
+    spark = data.sparkSession
+    parts = []
+    for name, m in models.items():
+        try:
+            a = shapley_values(m, data, feature_names, classes, **kw)
+            a.schema  # analysis errors surface here
+            parts.append(a.select(F.lit(name).alias("model"), "*", F.lit(None).cast("string").alias("error")))
+        except Exception as ex:  # noqa: BLE001 - reported as a row
+            parts.append(spark.createDataFrame(
+                [(name, None, None, None, None, None, f"{type(ex).__name__}: {ex}"[:300])],
+                "model string, id long, class_name string, feature string, value double, shap double, "
+                "error string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

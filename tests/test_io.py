@@ -58,3 +58,10 @@ def test_writers(spark, tmp_path):
                                                 "id long, f array<struct<feature:string,value:double,impact:double>>"),
                           str(tmp_path / "expl"))
     assert spark.read.json(str(tmp_path / "expl")).count() == 1
+
+
+def test_report_writer(spark, tmp_path):
+    rep = spark.createDataFrame([("dt", "test", "accuracy", 0.5, 1.0)],
+                                "model string, split string, metric string, value double, training_time double")
+    io.write_report(rep, str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report")).first()["value"] == 0.5

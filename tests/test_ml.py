@@ -132,3 +132,21 @@ def test_tree_rules_text(spark, data):
 def test_small_sf_training_data(spark):
     d = ml.prepare_training_data(spark, SF_SMALL)
     assert d.df.count() > 0 and len(d.feature_names) == 46
+
+
+def test_model_contract_requires_training(spark, data):
+    m = ml.RiskModel("dt")
+    with pytest.raises(ValueError):
+        m.predict(data.df)
+    m.train(data)
+    assert m.info()["is_trained"]
+    p = m.predict_proba(data.df)
+    assert p.count() == data.df.count()
+
+
+def test_balanced_weights(spark, data):
+    w = data.df.filter(F.col("split") == "train").groupBy("class_name").agg(
+        F.count("*").alias("n"), F.first("weight").alias("w")).collect()
+    n = sum(r["n"] for r in w)
+    for r in w:
+        assert r["w"] == pytest.approx(n / (len(w) * r["n"]))

@@ -162,3 +162,17 @@ def test_ntz_timestamps_compare_with_ntz_cutoff(spark):
     rows = [(1, 1, d, 1.0, 0.9, 0, 0, 0, 0, 0.5, "x"), (2, 1, d - dt.timedelta(days=10), 1.0, 0.1, 0, 0, 0, 0, 0.5, "x")]
     f = activity.activity_features(_events(spark, rows), "2024-01-31 00:00:00", 7).first()
     assert f["recent_attendance"] == pytest.approx(0.9)
+
+
+def test_stored_scaling_applies_to_present_columns(spark):
+    fit_df = spark.createDataFrame([(1, 1.0, 10.0), (2, 3.0, 30.0)], "student_id long, x double, y double")
+    st = encode.fit_scaling(fit_df)
+    new = spark.createDataFrame([(3, 2.0)], "student_id long, x double")     # y absent
+    assert encode.apply_scaling(new, st).first()["x"] == pytest.approx(0.0)
+
+
+def test_default_for_absent_column(spark):
+    df = spark.createDataFrame([(1, None)], "student_id long, failures int")
+    r = df.select(clean.with_default(df, "failures", 0).alias("f"),
+                  clean.with_default(df, "studytime", 2).alias("s")).first()
+    assert r["f"] is None and r["s"] == 2
