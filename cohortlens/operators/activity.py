@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,25 +49,34 @@ def rolling_mean(df: DataFrame, value: str = "grade", window: int = 3,
 
 def grade_trend(df: DataFrame, value: str = "grade", window: int = 3,
                 id_col: str = "student_id") -> DataFrame:
-    """Last non-null rolling mean per student (columns: id, grade_trend)."""
+    """Last non-null rolling mean per student (columns: id, grade_trend).
+
+    One pass keeps the last ``window`` rows per student (WindowGroupLimit)
+    and averages them when all are present. The per-student tail table is
+    small (one row per student) and is persisted: it is read again to find
+    the rare students whose last rows hold a null grade, and only for those
+    (if any) the full rolling window runs on their events alone."""
     order = _order_cols(df)
     w_desc = Window.partitionBy(id_col).orderBy(*[F.desc(c) for c in order])
     last = (df.select(id_col, value, *order)
             .withColumn("_rn", F.row_number().over(w_desc))
             .filter(F.col("_rn") <= window))
-    tail = last.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nn"),
-                                    F.avg(value).alias("_avg"))
-    fast = tail.filter(F.col("_n") < window).select(id_col, F.lit(None).cast("double").alias("grade_trend")) \
-        .unionByName(tail.filter((F.col("_n") == window) & (F.col("_nn") == window))
-                     .select(id_col, F.col("_avg").alias("grade_trend")))
-    slow_ids = tail.filter((F.col("_n") == window) & (F.col("_nn") < window)).select(id_col)
+    n, nn = F.count(F.lit(1)), F.count(value)
+    tail = (last.groupBy(id_col)
+            .agg(F.when((n == window) & (nn == window), F.avg(value)).alias("grade_trend"),
+                 ((n == window) & (nn < window)).alias("_slow"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    slow_ids = tail.filter("_slow").select(id_col)
+    if slow_ids.isEmpty():
+        return tail.select(id_col, "grade_trend")
     slow_rows = df.select(id_col, value, *order).join(slow_ids, id_col, "left_semi")
     rolled = rolling_mean(slow_rows, value, window, id_col)
     slow = (rolled.filter(F.col(f"rolling_{value}").isNotNull())
             .groupBy(id_col)
-            .agg(F.max_by(f"rolling_{value}", F.struct(*order)).alias("grade_trend")))
-    slow_all = slow_ids.join(slow, id_col, "left")
-    return fast.unionByName(slow_all)
+            .agg(F.max_by(f"rolling_{value}", F.struct(*order)).alias("_slow_trend")))
+    return (tail.join(slow, id_col, "left")
+            .select(id_col, F.when(F.col("_slow"), F.col("_slow_trend"))
+                    .otherwise(F.col("grade_trend")).alias("grade_trend")))
 
 
 def activity_features(df: DataFrame, as_of, days: int = 30, id_col: str = "student_id",

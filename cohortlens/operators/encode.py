@@ -62,10 +62,12 @@ def apply_label_codes(df: DataFrame, mapping: DataFrame, cols=None, exclude=cl.I
     fitted ``StringIndexerModel``); beyond that each column joins the mapping,
     broadcast up to ``BROADCAST_ROWS`` rows and shuffled above."""
     cols = string_columns(df, exclude) if cols is None else list(cols)
-    n = mapping.count()
+    # one bounded collect doubles as the size check (limit = threshold + 1)
+    rows = mapping.select("column", "value", "code").limit(MAP_LITERAL_ROWS + 1).collect()
+    n = len(rows)
     if n <= MAP_LITERAL_ROWS:
         codes: dict[str, dict] = {}
-        for r in mapping.select("column", "value", "code").collect():
+        for r in rows:
             codes.setdefault(r["column"], {})[r["value"]] = r["code"]
         proj = {}
         for c in cols:
@@ -81,7 +83,7 @@ def apply_label_codes(df: DataFrame, mapping: DataFrame, cols=None, exclude=cl.I
     # the fitted column set and the fallback codes (bounded by #columns)
     unk = {r["column"]: r["code"] for r in
            mapping.filter(F.col("value") == UNKNOWN).select("column", "code").collect()}
-    small = n <= BROADCAST_ROWS
+    small = mapping.count() <= BROADCAST_ROWS
     out = df
     for c in cols:
         if c not in unk:

@@ -132,13 +132,16 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
         keyed = b.transform(df.withColumn("_x", x)).drop("_x")
     else:
         keyed = df.withColumn("_b", F.lit(0.0))
+    wi = (Window.partitionBy("_b").orderBy(F.desc(order_col) if descending else F.asc(order_col))
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if n_buckets == 1:
+        # at most rows_per_bucket rows: one ordered pass, no offsets needed
+        return keyed.select(*df.columns, *[F.sum(c).over(wi).alias(f"cum_{c}") for c in cols])
     bucket_order = F.desc("_b") if descending else F.asc("_b")
     tot = keyed.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wo = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                               for c in cols])
-    wi = (Window.partitionBy("_b").orderBy(F.desc(order_col) if descending else F.asc(order_col))
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = keyed.join(F.broadcast(offs), "_b")
     return out.select(*[c for c in df.columns],
                       *[(F.col(f"_o_{c}") + F.sum(c).over(wi)).alias(f"cum_{c}") for c in cols])
