@@ -108,32 +108,47 @@ def clean(df: DataFrame, cols=None, exclude=ID_COLS, approx: bool = False,
     """P10: non-finite to null, median fill, then [1 %, 99 %] clip.
 
     All numeric columns (target included, ids excluded) come out as double.
-    Two aggregates run: (1) medians plus a count of missing / non-finite
-    values per column on the raw values, (2) quantiles on the filled values
-    (the clip bounds must see the filled column). The fill expression is only
-    emitted for columns that need it, which keeps the fused projection small
-    enough for whole-stage codegen when cleaning is stacked.
+    One aggregate computes, per column, the median, the number of missing /
+    non-finite values and the clip quantiles of the raw values. For columns
+    without missing values the raw and filled columns are equal, so those
+    bounds are final; only columns that had missing values need a second
+    aggregate for the quantiles of the filled column (skipped when none).
+    The fill expression is only emitted where needed, which keeps stacked
+    passes small enough for whole-stage codegen.
     """
     cols = numeric_columns(df, exclude) if cols is None else list(cols)
     nf = {c: (F.col(c).cast("double") if _is_integral(df, c) else finite_or_null(F.col(c).cast("double")))
           for c in cols}
+    probs = F.array(F.lit(0.01), F.lit(0.99))
     exprs = []
     for c in cols:
-        med = _quantile_expr(c, [0.5], True)[0] if approx else F.median(nf[c])
         if approx:
-            med = F.percentile_approx(nf[c], 0.5, 10000)
-        exprs += [med.alias(f"m__{c}"), F.count_if(nf[c].isNull()).alias(f"n__{c}")]
+            med, qs = F.percentile_approx(nf[c], 0.5, 10000), F.percentile_approx(nf[c], [0.01, 0.99], 10000)
+        else:
+            med, qs = F.median(nf[c]), F.percentile(nf[c], probs)
+        exprs += [med.alias(f"m__{c}"), F.count_if(nf[c].isNull()).alias(f"n__{c}"), qs.alias(f"q__{c}")]
     row = _one_row(df, exprs)
     medians = {c: row[f"m__{c}"] for c in cols}
-    filled = {}
+    filled, bounds, refit = {}, {}, []
     for c in cols:
         if row[f"n__{c}"]:
             filled[c] = F.coalesce(nf[c], F.lit(medians[c]).cast("double"), F.lit(0.0))
+            refit.append(c)
         else:
             filled[c] = F.col(c).cast("double")
-    df2 = df.withColumns(filled)
-    bounds = fit_clip_bounds(df2, cols, approx=approx)
-    out = apply_clip(df2, bounds, nullable=False)
+            q = row[f"q__{c}"]
+            bounds[c] = (q[0], q[1]) if q is not None else (None, None)
+    if refit:
+        bounds.update(fit_clip_bounds(df.withColumns({c: filled[c] for c in refit}), refit, approx=approx))
+    # fill and clip in ONE projection
+    proj = {}
+    for c in cols:
+        qlo, qhi = bounds.get(c, (None, None))
+        x = filled[c]
+        if qlo is not None and qhi is not None and qhi > qlo:
+            x = F.least(F.greatest(x, F.lit(qlo)), F.lit(qhi))
+        proj[c] = x
+    out = df.withColumns(proj)
     if return_state:
         return out, CleanState(medians, bounds)
     return out

@@ -156,16 +156,18 @@ class ScaleState:
 
 def fit_scaling(df: DataFrame, cols=None, exclude=cl.ID_COLS, all_columns: bool = False) -> ScaleState:
     """E7 / E9 fit. ``all_columns=False``: scale only columns whose sample std
-    > 1e-8; ``True`` (E9): every column, a constant column divides by 1."""
+    > 1e-8; ``True`` (E9): every column, a constant column divides by 1.
+    One aggregate: mean and population std per column plus the non-null
+    counts; the sample std follows as pop * sqrt(n / (n - 1))."""
     cols = numeric_columns(df, exclude) if cols is None else list(cols)
     exprs = []
     for c in cols:
-        exprs += [F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}"),
-                  F.stddev_pop(c).alias(f"p__{c}")]
+        exprs += [F.avg(c).alias(f"m__{c}"), F.stddev_pop(c).alias(f"p__{c}"), F.count(c).alias(f"n__{c}")]
     row = df.agg(*exprs).first().asDict() if exprs else {}
     st = ScaleState()
     for c in cols:
-        s, p = row[f"s__{c}"], row[f"p__{c}"]
+        p, n = row[f"p__{c}"], row[f"n__{c}"]
+        s = p * (n / (n - 1)) ** 0.5 if (p is not None and n and n > 1) else None
         if all_columns:
             st.cols.append(c)
             st.means[c] = row[f"m__{c}"]
@@ -179,13 +181,18 @@ def fit_scaling(df: DataFrame, cols=None, exclude=cl.ID_COLS, all_columns: bool
 
 def apply_scaling(df: DataFrame, st: ScaleState, safety: bool = True) -> DataFrame:
     """Standardise the fitted columns still present; then (P14) nulls and
-    non-finite values to 0."""
-    cols = [c for c in st.cols if c in df.columns]
-    out = df.withColumns({c: (F.col(c).cast("double") - F.lit(st.means[c])) / F.lit(st.stds[c])
-                          for c in cols})
-    if safety:
-        out = cl.final_safety(out)
-    return out
+    non-finite values to 0 on every numeric column. One projection."""
+    numeric = set(numeric_columns(df, cl.ID_COLS)) if safety else set()
+    out = []
+    for f in df.schema.fields:
+        c = f.name
+        x = F.col(c)
+        if c in st.cols:
+            x = (x.cast("double") - F.lit(st.means[c])) / F.lit(st.stds[c])
+        if c in numeric:
+            x = finite_or_zero(x.cast("double"))
+        out.append(x.alias(c) if (c in st.cols or c in numeric) else F.col(c))
+    return df.select(*out)
 
 
 def smart_scaling(df: DataFrame, exclude=cl.ID_COLS) -> DataFrame:
