@@ -42,9 +42,14 @@ def stratified_rank(df: DataFrame, class_col: str, id_col: str, seed: int = 42,
 
 
 def stratified_split(df: DataFrame, class_col: str, id_col: str, val_size: float = 0.1,
-                     test_size: float = 0.2, seed: int = 42, approximate: bool = False) -> DataFrame:
+                     test_size: float = 0.2, seed: int = 42, approximate: bool = False,
+                     k_folds: int | None = None) -> DataFrame:
     """M1: add ``split`` in (train, val, test) with per-class shares
-    1 - val - test / val / test (70/10/20 by default)."""
+    1 - val - test / val / test (70/10/20 by default).
+
+    With ``k_folds`` the training rows also get a stratified ``fold`` (M2) from
+    the same ranking: training rows are the first ranks of their class, so a
+    row's rank among the class's training rows IS its class rank."""
     train_end = 1.0 - val_size - test_size
     val_end = 1.0 - test_size
     if approximate:
@@ -53,8 +58,11 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, val_size: float
                              .otherwise("test"))
     r = stratified_rank(df, class_col, id_col, seed)
     rank, n = F.col("_rank"), F.col("_n")
-    return r.withColumn("split", F.when(rank < n * train_end, "train")
-                        .when(rank < n * val_end, "val").otherwise("test")).drop("_rank", "_n")
+    out = r.withColumn("split", F.when(rank < n * train_end, "train")
+                       .when(rank < n * val_end, "val").otherwise("test"))
+    if k_folds:
+        out = out.withColumn("fold", F.when(F.col("split") == "train", (rank % k_folds).cast("int")))
+    return out.drop("_rank", "_n")
 
 
 def stratified_folds(df: DataFrame, class_col: str, id_col: str, k: int = 5,

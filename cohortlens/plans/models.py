@@ -69,14 +69,12 @@ def prepare_training_data(spark: SparkSession, sf_dir: str, k_folds: int = 5, se
     vec = VectorAssembler(inputCols=feats, outputCol="features").transform(coded)
     base = vec.select(F.col("student_id").alias("id"), "features",
                       F.col("label").cast("double").alias("label"), "class_name")
-    sp = split.stratified_split(base, "class_name", "id", val_size, test_size, seed)
-    tr = split.stratified_folds(sp.filter(F.col("split") == "train").drop("split"),
-                                "class_name", "id", k_folds, seed).select("id", "fold")
+    sp = split.stratified_split(base, "class_name", "id", val_size, test_size, seed, k_folds=k_folds)
     # M5: balanced class weights n / (k * n_c) from the training rows (tiny
     # class table, broadcast), usable as ``weightCol``
     cw = split.class_weights(sp.filter(F.col("split") == "train"), "class_name") \
         .select("class_name", F.col("weight"))
-    joined = sp.join(tr, "id", "left").join(F.broadcast(cw), "class_name", "left")
+    joined = sp.join(F.broadcast(cw), "class_name", "left")
     # iterative learners run one job per iteration over this table: size its
     # partitions by rows (~ROWS_PER_PARTITION each) instead of by shuffle width
     n = joined.count()

@@ -150,3 +150,11 @@ def test_balanced_weights(spark, data):
     n = sum(r["n"] for r in w)
     for r in w:
         assert r["w"] == pytest.approx(n / (len(w) * r["n"]))
+
+
+def test_folds_from_split_rank_equal_separate_ranking(spark):
+    r = fx.roster(spark, SF_ORACLE).select("student_id", (F.col("student_id") % 4).alias("c"))
+    a = split.stratified_split(r, "c", "student_id", k_folds=5).filter(F.col("split") == "train")
+    b = split.stratified_folds(a.drop("fold", "split"), "c", "student_id", 5)
+    j = a.select("student_id", F.col("fold").alias("fa")).join(b.select("student_id", "fold"), "student_id")
+    assert j.count() == a.count() and j.filter(F.col("fa") != F.col("fold")).count() == 0
