@@ -8,13 +8,35 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from cohortlens import fixtures as _fx
 from cohortlens.plans import models as ml
+from cohortlens.plans import sqlgen
 from cohortlens.plans import shapley as sh
 from cohortlens.plans.registry import register, rounded
 from cohortlens.session import checkpoint_dir
 
+_W = _fx.with_views
+
 _CACHE: dict = {}
 
+_P_CTES, _P, _ = sqlgen.preprocess_ctes()
+_QE = [f"(SELECT quantile_cont(label, {q}) FROM {_P})" for q in (0.0, 0.25, 0.5, 0.75, 1.0)]
+# E11 -> quantile classes -> exact stratified split / folds -> balanced weights
+_TRAIN_CTES = _P_CTES + f""",
+cls AS (SELECT student_id AS id, CASE WHEN label >= {_QE[0]} AND label <= {_QE[1]} THEN 'Critical'
+    WHEN label > {_QE[1]} AND label <= {_QE[2]} THEN 'High'
+    WHEN label > {_QE[2]} AND label <= {_QE[3]} THEN 'Medium'
+    WHEN label > {_QE[3]} AND label <= {_QE[4]} THEN 'Low' ELSE 'Medium' END AS class_name FROM {_P}),
+ranked AS (SELECT id, class_name,
+    row_number() OVER (PARTITION BY class_name ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS r,
+    count(*) OVER (PARTITION BY class_name) AS n FROM cls),
+sp AS (SELECT id, class_name,
+    CASE WHEN r < n * 0.7 THEN 'train' WHEN r < n * 0.8 THEN 'val' ELSE 'test' END AS split,
+    CASE WHEN r < n * 0.7 THEN CAST(r % 5 AS INT) END AS fold FROM ranked),
+w AS (SELECT class_name, (SELECT count(*) FROM sp WHERE split = 'train')
+        / ((SELECT count(DISTINCT class_name) FROM sp WHERE split = 'train') * count(*)) AS weight
+      FROM sp WHERE split = 'train' GROUP BY class_name)"""
+
 
 def training_data(spark, sf_dir) -> ml.TrainingData:
     key = (id(spark), sf_dir)
@@ -137,7 +159,23 @@ def _x09(spark, sf_dir):
     return sh.one_per_class(d.df, d.classes).select("id", "class_name")
 
 
-register("x09_one_per_class")(_x09)
+register("x09_one_per_class", _W("""
+SELECT id, class_name FROM (
+  SELECT id, class_name, row_number() OVER (PARTITION BY class_name ORDER BY md5('42:' || CAST(id AS VARCHAR))) AS rn
+  FROM sp WHERE split = 'test') t
+WHERE rn = 1 ORDER BY list_position(['Critical', 'High', 'Low', 'Medium'], class_name) LIMIT 3""",
+    "roster", ctes=_TRAIN_CTES))(_x09)
+
+
+def _m01t(spark, sf_dir):
+    d = training_data(spark, sf_dir)
+    return rounded(d.df.select("id", "class_name", "label", "split", "fold", "weight"))
+
+
+register("m01_m02_m05_training_table", _W("""
+SELECT sp.id, sp.class_name, CAST(list_position(['Critical', 'High', 'Low', 'Medium'], sp.class_name) - 1 AS DOUBLE) AS label,
+  sp.split, sp.fold, round(w.weight, 6) AS weight
+FROM sp LEFT JOIN w ON sp.class_name = w.class_name""", "roster", ctes=_TRAIN_CTES))(_m01t)
 
 
 def _x13(spark, sf_dir):
