@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -57,9 +58,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
+    """Materialise ``df`` reliably (survives executor loss) and cut its lineage.
+
+    A reliable checkpoint writes the data in a second job after the one that
+    computes it; caching first makes that second job read the cached blocks
+    instead of recomputing the plan. The cache is dropped once the files exist.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
 
 
 def env_int(name: str, default: int) -> int:
