@@ -38,15 +38,20 @@ w AS (SELECT class_name, (SELECT count(*) FROM sp WHERE split = 'train')
       FROM sp WHERE split = 'train' GROUP BY class_name)"""
 
 
+def _app(spark) -> str:
+    # the application id changes with every new SparkContext (object ids may be reused)
+    return spark.sparkContext.applicationId
+
+
 def training_data(spark, sf_dir) -> ml.TrainingData:
-    key = (id(spark), sf_dir)
+    key = (_app(spark), sf_dir)
     if key not in _CACHE:
         _CACHE[key] = ml.prepare_training_data(spark, sf_dir)
     return _CACHE[key]
 
 
 def _fitted(spark, sf_dir, name):
-    key = (id(spark), sf_dir, "model", name)
+    key = (_app(spark), sf_dir, "model", name)
     if key not in _CACHE:
         d = training_data(spark, sf_dir)
         train = d.df.filter(F.col("split") == "train")
