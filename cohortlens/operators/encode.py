@@ -125,10 +125,11 @@ def prepare_features(df: DataFrame, target: str = "risk_level",
     pairs = (x.select(*cols).unpivot([], cols, "column", "value")
              .filter(F.col("value").isNotNull()).distinct())
     values: dict[str, list[str]] = {c: [] for c in cols}
-    n = pairs.count()
-    if n > MAX_ONE_HOT * max(1, len(cols)):
-        raise ValueError(f"{n} distinct categorical values: too many for one-hot columns")
-    for r in pairs.collect():
+    limit = MAX_ONE_HOT * max(1, len(cols))
+    rows = pairs.limit(limit + 1).collect()          # bounded collect doubles as the check
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} distinct categorical values: too many for one-hot columns")
+    for r in rows:
         values[r["column"]].append(r["value"])
     proj = {}
     drop_cols = []

@@ -176,3 +176,14 @@ def test_default_for_absent_column(spark):
     r = df.select(clean.with_default(df, "failures", 0).alias("f"),
                   clean.with_default(df, "studytime", 2).alias("s")).first()
     assert r["f"] is None and r["s"] == 2
+
+
+def test_approximate_quantiles_path(spark):
+    rows = [(i, i % 17, float(i)) for i in range(1000)] + [(1000, None, None)]
+    df = spark.createDataFrame(rows, "student_id long, n int, x double")
+    exact = {r["student_id"]: r for r in clean.clean(df).collect()}
+    approx = {r["student_id"]: r for r in clean.clean(df, approx=True).collect()}
+    assert len(exact) == len(approx) == 1001
+    # approximate quantiles pick observed values; they stay within one step of the exact ones
+    assert abs(approx[0]["x"] - exact[0]["x"]) <= 1.0 and abs(approx[999]["x"] - exact[999]["x"]) <= 1.0
+    assert approx[1000]["n"] is not None and approx[1000]["x"] is not None
