@@ -81,6 +81,7 @@ def class_weights(df: DataFrame, class_col: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, class_col: str, out: str = "weight") -> DataFrame:
-    """Per-row ``weightCol`` for Spark ML; the class table is tiny, so broadcast."""
+    """Per-row ``weightCol`` for Spark ML. The class table has one row per
+    class; no hint: AQE broadcasts it after measuring its actual size."""
     cw = class_weights(df, class_col).select(class_col, F.col("weight").alias(out))
-    return df.join(F.broadcast(cw), class_col, "left")
+    return df.join(cw, class_col, "left")

@@ -70,8 +70,9 @@ def prepare_training_data(spark: SparkSession, sf_dir: str, k_folds: int = 5, se
     base = vec.select(F.col("student_id").alias("id"), "features",
                       F.col("label").cast("double").alias("label"), "class_name")
     sp = split.stratified_split(base, "class_name", "id", val_size, test_size, seed, k_folds=k_folds)
-    # M5: balanced class weights n / (k * n_c) from the training rows (tiny
-    # class table, broadcast), usable as ``weightCol``
+    # M5: balanced class weights n / (k * n_c) from the training rows, usable
+    # as ``weightCol``; the table has one row per class of CLASSES (4 rows), so
+    # the broadcast is bounded
     cw = split.class_weights(sp.filter(F.col("split") == "train"), "class_name") \
         .select("class_name", F.col("weight"))
     joined = sp.join(F.broadcast(cw), "class_name", "left")
