@@ -18,6 +18,17 @@ from cohortlens.functions.exprs import finite_or_null, finite_or_zero
 from cohortlens.schema import numeric_columns, string_columns
 
 ID_COLS = ("student_id", "event_id", "vec_id", "doc_id")
+APPROX_CONF = "spark.cohortlens.approxQuantiles"
+
+
+def use_approx(df: DataFrame, approx) -> bool:
+    """``approx=None`` follows the session setting ``spark.cohortlens.approxQuantiles``
+    (default false: exact interpolated quantiles). On a cluster, setting it to
+    true switches every quantile fit to ``percentile_approx`` (bounded memory
+    for continuous columns) without code changes."""
+    if approx is not None:
+        return bool(approx)
+    return df.sparkSession.conf.get(APPROX_CONF, "false").lower() == "true"
 
 
 def to_numeric(df: DataFrame, cols) -> DataFrame:
@@ -64,8 +75,9 @@ def _quantile_expr(c: str, probs, approx: bool) -> Column:
     return F.percentile(F.col(c), arr)
 
 
-def fit_median_fill(df: DataFrame, cols, approx: bool = False) -> dict:
+def fit_median_fill(df: DataFrame, cols, approx=None) -> dict:
     """P8 fit: median per column (interpolated), over non-null values."""
+    approx = use_approx(df, approx)
     exprs = [(_quantile_expr(c, [0.5], approx)[0] if approx else F.median(c)).alias(c)
              for c in cols]
     return _one_row(df, exprs)
@@ -79,8 +91,9 @@ def apply_median_fill(df: DataFrame, medians: dict) -> DataFrame:
 
 
 def fit_clip_bounds(df: DataFrame, cols, lo: float = 0.01, hi: float = 0.99,
-                    approx: bool = False) -> dict:
+                    approx=None) -> dict:
     """P9 fit: interpolated ``lo``/``hi`` quantiles per column in one pass."""
+    approx = use_approx(df, approx)
     row = _one_row(df, [_quantile_expr(c, [lo, hi], approx).alias(c) for c in cols])
     return {c: (v[0], v[1]) if v is not None else (None, None) for c, v in row.items()}
 
@@ -103,7 +116,7 @@ def _is_integral(df: DataFrame, c: str) -> bool:
     return dict(df.dtypes).get(c) in ("tinyint", "smallint", "int", "bigint")
 
 
-def clean(df: DataFrame, cols=None, exclude=ID_COLS, approx: bool = False,
+def clean(df: DataFrame, cols=None, exclude=ID_COLS, approx=None,
           return_state: bool = False):
     """P10: non-finite to null, median fill, then [1 %, 99 %] clip.
 
@@ -117,6 +130,7 @@ def clean(df: DataFrame, cols=None, exclude=ID_COLS, approx: bool = False,
     passes small enough for whole-stage codegen.
     """
     cols = numeric_columns(df, exclude) if cols is None else list(cols)
+    approx = use_approx(df, approx)
     nf = {c: (F.col(c).cast("double") if _is_integral(df, c) else finite_or_null(F.col(c).cast("double")))
           for c in cols}
     probs = F.array(F.lit(0.01), F.lit(0.99))

@@ -217,7 +217,7 @@ class PreparedState:
 
 def preprocess(df: DataFrame, target: str = "G3", exclude_cols=("G1", "G2"),
                remove_outliers: bool = True, id_col: str = "student_id",
-               approx: bool = False, return_state: bool = False):
+               approx=None, return_state: bool = False):
     """Drop, target check, clean/features/clean, outlier filter, split
     target, label codes, scaling, numeric select, final safety.
 

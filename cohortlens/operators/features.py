@@ -54,7 +54,7 @@ def row_features(df: DataFrame) -> DataFrame:
     })
 
 
-def advanced_features(df: DataFrame, exclude=ID_COLS, approx: bool = False) -> DataFrame:
+def advanced_features(df: DataFrame, exclude=ID_COLS, approx=None) -> DataFrame:
     """Clean, derive F1-F16, clean again (the second pass also clips the new columns).
 
     The derived table feeds two statistics passes and the output, so it is

@@ -187,3 +187,14 @@ def test_approximate_quantiles_path(spark):
     # approximate quantiles pick observed values; they stay within one step of the exact ones
     assert abs(approx[0]["x"] - exact[0]["x"]) <= 1.0 and abs(approx[999]["x"] - exact[999]["x"]) <= 1.0
     assert approx[1000]["n"] is not None and approx[1000]["x"] is not None
+
+
+def test_session_switch_for_approximate_quantiles(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "student_id long, x double")
+    assert not clean.use_approx(df, None)
+    spark.conf.set(clean.APPROX_CONF, "true")
+    try:
+        assert clean.use_approx(df, None) and not clean.use_approx(df, False)
+        assert clean.clean(df).count() == 10
+    finally:
+        spark.conf.unset(clean.APPROX_CONF)
