@@ -20,12 +20,17 @@ def student_records_summary(students: DataFrame, records: DataFrame, submissions
     order), activity events; students without children get 0 counts."""
     rec = (records.groupBy(F.col("o_custkey").alias("student_id"))
            .agg(F.count(F.lit(1)).alias("n_records"), F.avg("o_totalprice").alias("avg_record_value")))
-    sub = (submissions.select("l_orderkey", "l_returnflag")
-           .join(records.select("o_orderkey", "o_custkey"),
-                 F.col("l_orderkey") == F.col("o_orderkey"))
+    # pre-aggregate submissions per record key first: the join then sees one
+    # row per record (not per submission), so a hot record cannot skew it
+    per_record = (submissions.groupBy("l_orderkey")
+                  .agg(F.count(F.lit(1)).alias("_n"),
+                       F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("_r")))
+    sub = (per_record.join(records.select("o_orderkey", "o_custkey"),
+                           F.col("l_orderkey") == F.col("o_orderkey"))
            .groupBy(F.col("o_custkey").alias("student_id"))
-           .agg(F.count(F.lit(1)).alias("n_submissions"),
-                F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("returned_share")))
+           .agg(F.sum("_n").alias("n_submissions"), F.sum("_r").alias("_returned"))
+           .select("student_id", "n_submissions",
+                   (F.col("_returned") / F.col("n_submissions")).alias("returned_share")))
     ev = events.groupBy(F.col("user_id").alias("student_id")).agg(F.count(F.lit(1)).alias("n_events"))
     base = students.select(F.col("c_custkey").alias("student_id"))
     out = base.join(rec, "student_id", "left").join(sub, "student_id", "left").join(ev, "student_id", "left")
