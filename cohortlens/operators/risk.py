@@ -110,9 +110,13 @@ def validate_rows(df: DataFrame, min_age: int = 15, max_age: int = 22) -> DataFr
 
     A field is missing when it is null, empty text or 0, as a form check treats it.
     """
+    types = dict(df.dtypes)
+
     def missing(c):
+        if c not in types:            # an absent field is missing on every row
+            return F.lit(True)
         x = F.col(c)
-        if dict(df.dtypes)[c] == "string":
+        if types[c] == "string":
             return x.isNull() | (x == "")
         return x.isNull() | (x == 0)
 
@@ -120,7 +124,7 @@ def validate_rows(df: DataFrame, min_age: int = 15, max_age: int = 22) -> DataFr
     any_missing = F.lit(False)
     for c in REQUIRED_FIELDS:
         any_missing = any_missing | missing(c)
-    age = F.col("age")
+    age = F.col("age") if "age" in types else F.lit(None)
     msg = (F.when(any_missing, F.concat(F.lit("Missing required fields: "), names))
            .when((age < min_age) | (age > max_age), F.lit(f"Age must be between {min_age} and {max_age}")))
     return df.withColumns({"valid": msg.isNull(), "message": msg})

@@ -158,3 +158,15 @@ def test_folds_from_split_rank_equal_separate_ranking(spark):
     b = split.stratified_folds(a.drop("fold", "split"), "c", "student_id", 5)
     j = a.select("student_id", F.col("fold").alias("fa")).join(b.select("student_id", "fold"), "student_id")
     assert j.count() == a.count() and j.filter(F.col("fa") != F.col("fold")).count() == 0
+
+
+def test_custom_pipelines_save_and_reload(spark, data, tmp_path):
+    from cohortlens.sources.io import load_model, save_model
+    train = data.df.filter(F.col("split") == "train")
+    for name in ("gradient_boosting", "svm"):
+        m = ml.create_model(name, len(data.feature_names), n_rows=train.count()).fit(train)
+        save_model(m, str(tmp_path / name))
+        m2, _ = load_model(str(tmp_path / name))
+        a = ml.predictions(m, data.df).select("id", "y_pred", F.round(F.array_max("probability"), 9).alias("p"))
+        b = ml.predictions(m2, data.df).select("id", "y_pred", F.round(F.array_max("probability"), 9).alias("p"))
+        assert a.exceptAll(b).count() == 0

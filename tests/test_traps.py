@@ -198,3 +198,14 @@ def test_session_switch_for_approximate_quantiles(spark):
         assert clean.clean(df).count() == 10
     finally:
         spark.conf.unset(clean.APPROX_CONF)
+
+
+def test_validation_messages(spark):
+    df = spark.createDataFrame([(1, 16, "F", "GP"), (2, 0, "", "GP"), (3, 30, "M", "MS")],
+                               "student_id long, age int, sex string, school string")   # no address column
+    got = {r["student_id"]: r["message"] for r in risk.validate_rows(df).collect()}
+    assert got[1] == "Missing required fields: address"
+    assert got[2] == "Missing required fields: age, sex, address"
+    full = df.withColumn("address", F.lit("U"))
+    got = {r["student_id"]: (r["valid"], r["message"]) for r in risk.validate_rows(full).collect()}
+    assert got[1] == (True, None) and got[3] == (False, "Age must be between 15 and 22")
