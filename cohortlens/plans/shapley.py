@@ -55,11 +55,13 @@ def shapley_values(model, data: DataFrame, feature_names, classes, n_explain: in
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("bi").cast("string"),
                           F.col("perm").cast("string"), f.cast("string"))).alias("k"), f.alias("f")))
     order = F.transform(F.array_sort(keyed), lambda s: s["f"])
-    chains = (pairs.withColumn("order", order)
+    # inverse permutation (position of each feature), once per chain: sort
+    # (feature, rank) pairs by feature -- O(p log p), not p lookups of O(p)
+    pos = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.struct(
+        F.element_at(F.col("order"), i + 1).alias("f"), i.alias("r")))), lambda s: s["r"])
+    chains = (pairs.withColumn("order", order).withColumn("pos", pos)
               .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p)))))
-    pos = F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
-                      lambda f: F.array_position(F.col("order"), f) - 1)
-    hybrid = F.transform(F.arrays_zip(F.col("x").alias("x"), F.col("z").alias("z"), pos.alias("pos")),
+    hybrid = F.transform(F.arrays_zip(F.col("x").alias("x"), F.col("z").alias("z"), F.col("pos").alias("pos")),
                          lambda t: F.when(t["pos"] < F.col("step"), t["x"]).otherwise(t["z"]))
     hy = chains.select("id", "bi", "perm", "step", "order", array_to_vector(hybrid).alias("features"))
     scored = model.transform(hy).select("id", "bi", "perm", "step", "order",
