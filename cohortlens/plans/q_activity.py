@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cohortlens import fixtures as fx
 from cohortlens.operators import activity as act
