@@ -115,12 +115,16 @@ def grade_model(acc_pct_col: str = "accuracy_pct"):
 
 # ---------------------------------------------------------------- running totals, ROC, AUC
 def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
-                   rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Inclusive running sums of ``cols`` in ``order_col`` order (one row per
-    distinct ``order_col`` expected). Rows are cut into quantile buckets
-    (bounded boundary list, binary-searched by ``Bucketizer``); a tiny
-    per-bucket total table gives each bucket's offset."""
-    cols = list(cols)
+                   rows_per_bucket: int = 1_000_000, by=()) -> DataFrame:
+    """Inclusive running sums of ``cols`` in ``order_col`` order, per group of
+    ``by`` (one row per distinct (group, order value) expected).
+
+    Up to ``rows_per_bucket`` rows this is one ordered window per group.
+    Beyond that, rows are cut into global quantile buckets of ``order_col``
+    (a bounded boundary list, binary-searched by ``Bucketizer``). A small
+    (group, bucket) total table gives each bucket's offset, and rows are
+    ordered only within their (group, bucket)."""
+    cols, by = list(cols), list(by)
     n = df.count()
     n_buckets = max(1, min(100_000, -(-n // rows_per_bucket)))
     x = F.col(order_col).cast("double")
@@ -132,17 +136,19 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
         keyed = b.transform(df.withColumn("_x", x)).drop("_x")
     else:
         keyed = df.withColumn("_b", F.lit(0.0))
-    wi = (Window.partitionBy("_b").orderBy(F.desc(order_col) if descending else F.asc(order_col))
+    wi = (Window.partitionBy(*by, "_b").orderBy(F.desc(order_col) if descending else F.asc(order_col))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if n_buckets == 1:
-        # at most rows_per_bucket rows: one ordered pass, no offsets needed
+        # at most rows_per_bucket rows: one ordered pass per group, no offsets needed
         return keyed.select(*df.columns, *[F.sum(c).over(wi).alias(f"cum_{c}") for c in cols])
     bucket_order = F.desc("_b") if descending else F.asc("_b")
-    tot = keyed.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wo = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                              for c in cols])
-    out = keyed.join(F.broadcast(offs), "_b")
+    tot = keyed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wo = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
+                                   for c in cols])
+    # without groups the offset table has at most 100k rows: broadcast it;
+    # with groups its size is groups x buckets, left to AQE's runtime check
+    out = keyed.join(F.broadcast(offs) if not by else offs, by + ["_b"])
     return out.select(*[c for c in df.columns],
                       *[(F.col(f"_o_{c}") + F.sum(c).over(wi)).alias(f"cum_{c}") for c in cols])
 
@@ -179,16 +185,18 @@ def roc_points(df: DataFrame, y_col: str = "y", score_col: str = "score", by=())
                       (F.col("cum_pos") / F.col("P")).alias("tpr"))
 
 
-def auc(df: DataFrame, y_col: str = "y", score_col: str = "score") -> DataFrame:
-    """V6 AUC = sum over distinct scores of pos_s * (negatives below s + neg_s / 2) / (P * N),
-    the Mann-Whitney form of the trapezoid area under the ROC points."""
-    per = df.groupBy(F.col(score_col).alias("threshold")).agg(
+def auc(df: DataFrame, y_col: str = "y", score_col: str = "score", by=()) -> DataFrame:
+    """V6 AUC (per group of ``by``, e.g. per class one-vs-rest) = sum over
+    distinct scores of pos_s * (negatives below s + neg_s / 2) / (P * N), the
+    Mann-Whitney form of the trapezoid area under the ROC points."""
+    by = list(by)
+    per = df.groupBy(*by, F.col(score_col).alias("threshold")).agg(
         F.sum(F.when(F.col(y_col) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(y_col) == 1, 0).otherwise(1)).alias("neg"))
-    run = running_totals(per, "threshold", ["neg"], descending=True)
+    run = running_totals(per, "threshold", ["neg"], descending=True, by=by)
     # negatives strictly below s = N - cum_neg(s)
-    agg = run.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                  F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)).alias("above"))
-    return agg.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                             1.0 - F.col("above") / (F.col("P") * F.col("N"))).alias("auc"),
+    agg = run.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                               F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)).alias("above"))
+    return agg.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                                  1.0 - F.col("above") / (F.col("P") * F.col("N"))).alias("auc"),
                       "P", "N")

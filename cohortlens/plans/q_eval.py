@@ -266,3 +266,31 @@ register("m17_probability_fallback", W("""
 SELECT student_id, array_to_string(list_transform(range(4), lambda i: CASE WHEN i = code THEN 1.0 ELSE 0.0 END), '|') AS probability
 FROM (SELECT student_id, list_position(['Critical', 'High', 'Low', 'Medium'], y_pred) - 1 AS code FROM preds) t""",
     "preds"))(_m17)
+
+
+def _v06c(spark, sf_dir):
+    s = _scored(spark, sf_dir).filter((F.col("model") == "m1") & F.col("probability").isNotNull())
+    cls = F.array(*[F.lit(c) for c in CLASSES])
+    e = s.select("y_true", F.posexplode("probability").alias("k", "score"))
+    st = e.select(F.element_at(cls, F.col("k") + 1).alias("class_name"),
+                  (F.element_at(cls, F.col("k") + 1) == F.col("y_true")).cast("int").alias("y"), "score")
+    return rounded(mt.auc(st, by=["class_name"]))
+
+
+register("v06_per_class_auc", W("""
+SELECT class_name, round(sum((fpr - lf) * (tpr + lt) / 2), 6) AS auc,
+  max(P) AS P, max(N) AS N
+FROM (SELECT class_name, fpr, tpr, P, N,
+        lag(fpr) OVER (PARTITION BY class_name ORDER BY threshold DESC) AS lf,
+        lag(tpr) OVER (PARTITION BY class_name ORDER BY threshold DESC) AS lt FROM pts) t
+WHERE lf IS NOT NULL GROUP BY class_name""", "votes", "preds", ctes=_SCORED + """,
+st AS (SELECT list_extract(['Critical', 'High', 'Low', 'Medium'], k) AS class_name,
+         CAST(list_extract(['Critical', 'High', 'Low', 'Medium'], k) = y_true AS INT) AS y, p AS score
+       FROM (SELECT y_true, unnest(probability) AS p, unnest(range(1, len(probability) + 1)) AS k
+             FROM scored WHERE model = 'm1' AND probability IS NOT NULL) u),
+per AS (SELECT class_name, score AS th, sum(y) AS pos, sum(1 - y) AS neg FROM st GROUP BY class_name, score),
+tot AS (SELECT class_name, CAST(sum(pos) AS BIGINT) AS P, CAST(sum(neg) AS BIGINT) AS N FROM per GROUP BY class_name),
+cum AS (SELECT class_name, th, sum(pos) OVER (PARTITION BY class_name ORDER BY th DESC) AS cp,
+               sum(neg) OVER (PARTITION BY class_name ORDER BY th DESC) AS cn FROM per),
+pts AS (SELECT class_name, CAST('Infinity' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr, P, N FROM tot
+        UNION ALL SELECT c.class_name, th, cn / N, cp / P, P, N FROM cum c JOIN tot t ON c.class_name = t.class_name)"""))(_v06c)

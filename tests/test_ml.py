@@ -170,3 +170,18 @@ def test_custom_pipelines_save_and_reload(spark, data, tmp_path):
         a = ml.predictions(m, data.df).select("id", "y_pred", F.round(F.array_max("probability"), 9).alias("p"))
         b = ml.predictions(m2, data.df).select("id", "y_pred", F.round(F.array_max("probability"), 9).alias("p"))
         assert a.exceptAll(b).count() == 0
+
+
+def test_running_totals_grouped_multi_bucket(spark):
+    df = spark.range(0, 6000).select((F.col("id") % 3).alias("g"),
+                                     (F.col("id") / 3).cast("long").cast("double").alias("s"),
+                                     F.lit(1).alias("one"))
+    rt = metrics.running_totals(df, "s", ["one"], descending=True, rows_per_bucket=500, by=["g"])
+    assert rt.filter(F.col("cum_one") != (2000 - F.col("s"))).count() == 0
+
+
+def test_per_class_auc_matches_evaluator(spark):
+    s = fx.view(spark, SF_ORACLE, "scores").withColumn("g", F.lit("a"))
+    ours = metrics.auc(s, by=["g"]).first()["auc"]
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="yd", metricName="areaUnderROC")
+    assert ours == pytest.approx(ev.evaluate(s.withColumn("yd", F.col("y").cast("double"))), abs=1e-9)
