@@ -155,34 +155,30 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
 
 def roc_points(df: DataFrame, y_col: str = "y", score_col: str = "score", by=()) -> DataFrame:
     """V6: one ROC point per distinct score (descending) plus the origin:
-    threshold, fpr, tpr. Intermediate collinear points are kept."""
+    threshold, fpr, tpr (per group of ``by``). Intermediate collinear points
+    are kept."""
     by = list(by)
     per = df.groupBy(*by, F.col(score_col).alias("threshold")).agg(
         F.sum(F.when(F.col(y_col) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(y_col) == 1, 0).otherwise(1)).alias("neg"))
+    run = running_totals(per, "threshold", ["pos", "neg"], descending=True, by=by)
+    tot = per.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if by:
-        w = (Window.partitionBy(*by).orderBy(F.desc("threshold"))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        run = per.select(*by, "threshold", "pos", "neg", F.sum("pos").over(w).alias("cum_pos"),
-                         F.sum("neg").over(w).alias("cum_neg"))
-        tot = Window.partitionBy(*by)
+        # one row per group: joined on the group key (AQE broadcasts it when small)
+        pts = run.join(tot, by)
+        origin = tot.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
+                            F.lit(0.0).alias("tpr"))
+        fpr = F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N"))
+        tpr = F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P"))
     else:
-        run = running_totals(per, "threshold", ["pos", "neg"], descending=True)
-        tot = Window.partitionBy()
-    pts = run.select(*by, "threshold", "cum_pos", "cum_neg",
-                     F.sum("pos").over(tot).alias("P"), F.sum("neg").over(tot).alias("N")) \
-        if by else run.select("threshold", "cum_pos", "cum_neg")
-    if not by:
-        totals = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-        P, N = totals["P"] or 0, totals["N"] or 0
-        pts = pts.select("threshold",
-                         (F.col("cum_neg") / F.lit(N) if N else F.lit(None).cast("double")).alias("fpr"),
-                         (F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")).alias("tpr"))
+        totals = tot.first()
+        P, N = (totals["P"] or 0, totals["N"] or 0) if totals else (0, 0)
+        pts = run
         origin = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
                                                   F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-        return origin.unionByName(pts)
-    return pts.select(*by, "threshold", (F.col("cum_neg") / F.col("N")).alias("fpr"),
-                      (F.col("cum_pos") / F.col("P")).alias("tpr"))
+        fpr = F.col("cum_neg") / F.lit(N) if N else F.lit(None).cast("double")
+        tpr = F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")
+    return origin.unionByName(pts.select(*by, "threshold", fpr.alias("fpr"), tpr.alias("tpr")))
 
 
 def auc(df: DataFrame, y_col: str = "y", score_col: str = "score", by=()) -> DataFrame:

@@ -185,3 +185,11 @@ def test_per_class_auc_matches_evaluator(spark):
     ours = metrics.auc(s, by=["g"]).first()["auc"]
     ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="yd", metricName="areaUnderROC")
     assert ours == pytest.approx(ev.evaluate(s.withColumn("yd", F.col("y").cast("double"))), abs=1e-9)
+
+
+def test_grouped_roc_points_equal_ungrouped(spark):
+    s = fx.view(spark, SF_ORACLE, "scores")
+    a = metrics.roc_points(s).select("threshold", F.round("fpr", 9).alias("f"), F.round("tpr", 9).alias("t"))
+    b = metrics.roc_points(s.withColumn("g", F.lit(1)), by=["g"]).select(
+        "threshold", F.round("fpr", 9).alias("f"), F.round("tpr", 9).alias("t"))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
