@@ -137,15 +137,25 @@ class MarginProbability(Transformer, DefaultParamsReadable, DefaultParamsWritabl
 
 
 class GBTOneVsRest(Estimator):
-    """Multi-class boosting: OneVsRest(GBTClassifier) + MarginProbability."""
+    """Multi-class boosting: OneVsRest(GBTClassifier) + MarginProbability.
+    Its settings are Spark ML Params, so ``CrossValidator`` grids apply."""
+
+    maxIter = Param(Params._dummy(), "maxIter", "boosting rounds", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", TypeConverters.toInt)
+    stepSize = Param(Params._dummy(), "stepSize", "learning rate", TypeConverters.toFloat)
+    subsamplingRate = Param(Params._dummy(), "subsamplingRate", "row sample share", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
 
     def __init__(self, maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=1.0, seed=42):
         super().__init__()
-        self.kw = dict(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize,
-                       subsamplingRate=subsamplingRate, seed=seed)
+        self._setDefault(maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=1.0, seed=42)
+        self._set(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
+                  seed=seed)
 
     def _fit(self, df: DataFrame) -> Model:
-        ovr = OneVsRest(classifier=GBTClassifier(**self.kw), parallelism=4)
+        kw = {k: self.getOrDefault(getattr(self, k))
+              for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate", "seed")}
+        ovr = OneVsRest(classifier=GBTClassifier(**kw), parallelism=4)
         return PipelineModel([ovr.fit(df), MarginProbability(factor=2.0)])
 
 
@@ -158,35 +168,50 @@ class MarginColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
 class CalibratedSVM(Estimator):
     """OvR linear SVM on an optional kernel map, Platt-style calibration by a
-    multinomial logistic regression on the per-class margins."""
+    multinomial logistic regression on the per-class margins. Its settings
+    are Spark ML Params, so ``CrossValidator`` grids apply."""
+
+    C = Param(Params._dummy(), "C", "inverse regularisation", TypeConverters.toFloat)
+    kernel = Param(Params._dummy(), "kernel", "linear, rbf or poly", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "rbf kernel width", TypeConverters.toFloat)
+    nFeatures = Param(Params._dummy(), "nFeatures", "input dimension", TypeConverters.toInt)
+    degree = Param(Params._dummy(), "degree", "poly degree", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
+    maxIter = Param(Params._dummy(), "maxIter", "solver iterations", TypeConverters.toInt)
+    weighted = Param(Params._dummy(), "weighted", "use the balanced weight column", TypeConverters.toBoolean)
 
     def __init__(self, C=1.0, kernel="linear", gamma=0.1, n_features=0, degree=2, seed=42, max_iter=50,
                  weighted=False):
         super().__init__()
-        self.C, self.kernel, self.gamma, self.n_features = C, kernel, gamma, n_features
-        self.degree, self.seed, self.max_iter, self.weighted = degree, seed, max_iter, weighted
+        self._setDefault(C=1.0, kernel="linear", gamma=0.1, nFeatures=0, degree=2, seed=42, maxIter=50,
+                         weighted=False)
+        self._set(C=C, kernel=kernel, gamma=gamma, nFeatures=n_features, degree=degree, seed=seed,
+                  maxIter=max_iter, weighted=weighted)
 
     def _fit(self, df: DataFrame) -> Model:
+        g = lambda p: self.getOrDefault(p)
         stages = []
         col = "features"
-        if self.kernel == "rbf":
-            stages.append(RandomFourierFeatures("features", "kfeat", self.n_features, 64, self.gamma, self.seed))
+        if g(self.kernel) == "rbf":
+            stages.append(RandomFourierFeatures("features", "kfeat", g(self.nFeatures), 64, g(self.gamma),
+                                                g(self.seed)))
             col = "kfeat"
-        elif self.kernel == "poly":
-            stages.append(PolynomialExpansion(degree=self.degree, inputCol="features", outputCol="kfeat"))
+        elif g(self.kernel) == "poly":
+            stages.append(PolynomialExpansion(degree=g(self.degree), inputCol="features", outputCol="kfeat"))
             col = "kfeat"
         cur = df
         for st in stages:
             cur = st.transform(cur)
         n = max(1, df.count())
-        svc = LinearSVC(featuresCol=col, regParam=1.0 / (self.C * n), maxIter=self.max_iter)
+        svc = LinearSVC(featuresCol=col, regParam=1.0 / (g(self.C) * n), maxIter=g(self.maxIter))
         ovr = OneVsRest(classifier=svc, featuresCol=col, parallelism=4)
-        if self.weighted and "weight" in df.columns:
+        if g(self.weighted) and "weight" in df.columns:
             ovr.setWeightCol("weight")   # passed on to every binary LinearSVC
         ovr = ovr.fit(cur)
         stages += [ovr, MarginColumns()]
         margins = MarginColumns().transform(ovr.transform(cur))
-        lr = LogisticRegression(featuresCol="svm_margin", family="multinomial", maxIter=self.max_iter).fit(margins)
+        lr = LogisticRegression(featuresCol="svm_margin", family="multinomial",
+                                maxIter=g(self.maxIter)).fit(margins)
         return PipelineModel(stages + [lr])
 
 
@@ -272,6 +297,8 @@ GRIDS = {
     "decision_tree": {"maxDepth": [3, 5], "minInstancesPerNode": [10]},
     "random_forest": {"numTrees": [20, 50], "maxDepth": [5, 10]},
     "logistic_regression": {"elasticNetParam": [0.0, 1.0]},
+    "gradient_boosting": {"stepSize": [0.05, 0.1]},
+    "svm": {"C": [0.1, 1.0]},
 }
 
 

@@ -193,3 +193,11 @@ def test_grouped_roc_points_equal_ungrouped(spark):
     b = metrics.roc_points(s.withColumn("g", F.lit(1)), by=["g"]).select(
         "threshold", F.round("fpr", 9).alias("f"), F.round("tpr", 9).alias("t"))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_wrapped_estimators_tune_with_cross_validator(spark):
+    d = ml.prepare_training_data(spark, SF_SMALL)
+    for name, grid in (("gradient_boosting", {"maxIter": [3, 5]}), ("svm", {"C": [0.5, 1.0]})):
+        model, scores = ml.tune(name, d, grid=grid)
+        assert len(scores) == 2 and all(0 <= s <= 1 for _, s in scores)
+        assert ml.predictions(model, d.df).count() == d.df.count()
