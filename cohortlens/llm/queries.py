@@ -50,6 +50,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: vocabulary file of op8, a name or path that the tokenizer package resolves; the id that ends a document
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer_definition(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query("op8_rans_tokens")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.range_coder import read_documents, read_index, write_tokens
+
+    folder = write_tokens(table(spark, sf_dir, "documents"), tokenizer_definition(), END_ID)
+    return read_documents(read_index(spark, folder), folder)
+
+
 JUMP_SHARDS = 40
 
 SQL_OP3 = f"""

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,9 @@ from cohortlens.llm.shared import WholeFile, new_folder, open_fs
 
 #: payloads below this many bytes are never replaced by a revisit
 MIN_REVISIT_BYTES = 1000
+#: records that one task reads on average, and bytes of an archive that one task reads together
+RECORDS_PER_TASK = 2000
+READ_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, at bigint, length bigint, page_id bigint, record_type string"
@@ -199,7 +203,10 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return index.mapInArrow(read, RECORD)
+    # index rows are tiny, their members are not: deal them out by number, near ones together
+    n = max(1, math.ceil(index.count() / RECORDS_PER_TASK))
+    near = F.floor(F.col("at") / READ_BYTES)
+    return index.repartition(n, "file", near).sortWithinPartitions("file", "at").mapInArrow(read, RECORD)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, **options) -> tuple[str, DataFrame]:
