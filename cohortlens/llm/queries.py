@@ -147,3 +147,74 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return mix_plan(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+SQL_OP7 = r"""
+WITH units AS (SELECT [UNITS] AS u),
+all_texts AS (
+    SELECT DISTINCT 'doc' AS side, doc_id AS id, coalesce(text, '') AS body FROM documents
+    UNION ALL SELECT DISTINCT 'item', item_id, coalesce(text, '') FROM benchmark),
+worded AS (
+    SELECT side, id, body, list_filter(list_transform(regexp_extract_all(body, '[^\x20\x09-\x0D]+'),
+        lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '') AS words
+    FROM all_texts),
+typed AS (
+    SELECT side, id, body, list_transform(words, lambda w: CASE
+            WHEN w[1] BETWEEN '0' AND '9' THEN '<num>' WHEN list_contains(u, lower(w)) THEN '<unit>'
+            WHEN lower(w[1]) <> w[1] THEN '<name>' ELSE lower(w) END) AS template,
+        list_transform(words, lambda w: lower(w)) AS lowered
+    FROM worded, units),
+windows AS (
+    SELECT side, id, body, place, array_to_string(template[place:place + 7], ' ') AS code,
+           template[place:place + 7] AS tpl, lowered[place:place + 7] AS vals
+    FROM (SELECT *, unnest(range(1, len(template) - 6)) AS place FROM typed)),
+item_windows AS (
+    SELECT * FROM windows WHERE side = 'item'
+    AND len(list_filter(tpl, lambda t: t NOT IN ('<num>', '<unit>', '<name>'))) >= 4),
+item_words AS (
+    SELECT id, body, count(DISTINCT place + o) AS n_words FROM item_windows, range(8) r(o) GROUP BY id, body),
+met AS (
+    SELECT d.id AS doc, d.body AS doc_body, i.id AS item, i.body AS item_body, i.place, d.place - i.place AS shift,
+           i.tpl, i.vals AS v, d.vals AS u
+    FROM windows d JOIN item_windows i ON d.code = i.code WHERE d.side = 'doc'),
+slots AS (
+    SELECT DISTINCT doc, doc_body, item, item_body, shift, v[o + 1] AS v, u[o + 1] AS u
+    FROM met, range(8) r(o) WHERE tpl[o + 1] IN ('<num>', '<unit>', '<name>')),
+per_value AS (
+    SELECT doc, doc_body, item, item_body, shift, v, count(*) AS n FROM slots GROUP BY ALL),
+per_shift AS (
+    SELECT doc, doc_body, item, item_body, shift, count(*) AS n_values, count(*) FILTER (n = 1) AS n_single
+    FROM per_value GROUP BY ALL),
+kept AS (
+    SELECT DISTINCT m.doc, m.doc_body, m.item, m.item_body, m.shift, m.place FROM met m LEFT JOIN per_shift p
+    ON m.doc = p.doc AND m.doc_body = p.doc_body AND m.item = p.item AND m.item_body = p.item_body AND m.shift = p.shift
+    WHERE coalesce(p.n_single, 0) >= 0.8 * coalesce(p.n_values, 0)),
+covered AS (
+    SELECT doc, doc_body, item, item_body, count(DISTINCT place) AS n_windows, count(DISTINCT place + o) AS n
+    FROM kept, range(8) r(o) GROUP BY ALL),
+changed AS (
+    SELECT doc, doc_body, item, item_body, count(*) AS n_slots, count(*) FILTER (v <> u) AS n_changed
+    FROM (SELECT DISTINCT s.doc, s.doc_body, s.item, s.item_body, s.v, s.u FROM slots s
+          SEMI JOIN kept k ON s.doc = k.doc AND s.doc_body = k.doc_body AND s.item = k.item
+          AND s.item_body = k.item_body AND s.shift = k.shift) GROUP BY ALL)
+SELECT c.doc AS doc_id, c.item AS item_id, c.n_windows, c.n / w.n_words AS coverage,
+       coalesce(h.n_slots, 0) AS n_slots, coalesce(h.n_changed, 0) AS n_changed
+FROM covered c JOIN item_words w ON c.item = w.id AND c.item_body = w.body
+LEFT JOIN changed h ON c.doc = h.doc AND c.doc_body = h.doc_body AND c.item = h.item AND c.item_body = h.item_body
+WHERE c.n / w.n_words >= 0.5
+"""
+
+
+def _op7_sql() -> str:
+    from cohortlens.llm.decontaminate import UNITS
+
+    return SQL_OP7.replace("UNITS", ", ".join(f"'{u}'" for u in UNITS))
+
+
+@query("op7_template_decontamination", _op7_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "coverage", "n_slots",
+                        "n_changed")
