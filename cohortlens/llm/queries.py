@@ -218,3 +218,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "coverage", "n_slots",
                         "n_changed")
+
+
+@query("op10_boosted_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.personal_data import digest, personal_spans
+
+    docs = table(spark, sf_dir, "documents")
+    return digest(docs, personal_spans(docs))
