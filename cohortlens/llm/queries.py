@@ -226,3 +226,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return digest(docs, personal_spans(docs))
+
+
+@query("op2_repeated_phrases")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.repeated_phrases import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_spans")
