@@ -234,3 +234,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_spans")
+
+
+@query("op4_partenum_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.partenum import jaccard_join
+
+    members, _ = jaccard_join(table(spark, sf_dir, "documents"))
+    return members.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
