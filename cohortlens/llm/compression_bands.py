@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.shared import ship_package
 from cohortlens.llm.words import Words, text_chunks
 
 #: (bytes below which the band holds, least ratio, greatest ratio); None: no limit
@@ -118,6 +119,7 @@ def compression_bands(text: Column, bands: Sequence = WHOLE_BANDS, chunk_bytes:
     Null and empty texts: all counts 0, ``base_failed`` true, ``whole_ratio`` null.
     Equal texts get equal results; other columns play no part.
     """
+    ship_package()
 
     @F.arrow_udf(FIELDS)
     def judge(col: pa.Array) -> pa.Array:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.shared import ship_package
+
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("ident", "secret", "endpoint")
 #: characters by which a part's interval is widened on either side
@@ -137,6 +139,7 @@ def scan(text: str, reach: int = REACH) -> dict:
 
 def credential_spans(text: Column, reach: int = REACH) -> Column:
     """Struct column (``FIELDS``) of a text column; a null text counts as empty (no spans)."""
+    ship_package()
 
     @F.arrow_udf(FIELDS)
     def find(col: pa.Array) -> pa.Array:

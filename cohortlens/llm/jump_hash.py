@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.llm.shared import ship_package
+
 #: rows of a shard that one slot cell (one window group) holds on average
 CELL_ROWS = 20_000
 _MULTIPLIER = np.uint64(2862933555777941757)
@@ -41,6 +43,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     """Shard number of a bigint column; a null key goes where key 0 goes."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
+    ship_package()
 
     @F.arrow_udf("int")
     def place(col: pa.Array) -> pa.Array:

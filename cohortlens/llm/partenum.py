@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
+from cohortlens.llm.shared import ship_package
 from cohortlens.llm.words import Words, mix, text_chunks
 from cohortlens.session import cut_lineage
 
@@ -408,6 +409,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last; rows with equal texts share a node; an empty table gives no rows.
     Other columns are not read.
     """
+    ship_package()
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = cut_lineage(rows.select("id", _set_rows(shingle)(F.col("text")).alias("s")).select("id", "s.*"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.shared import WholeFile, new_folder, open_fs
+from cohortlens.llm.shared import WholeFile, new_folder, open_fs, ship_package
 from cohortlens.llm.tokens import encoder
 from cohortlens.llm.words import text_chunks
 
@@ -276,6 +276,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str | No
     then coded with the shared table.  The driver sees two numbers for each part
     and one for each symbol of the vocabulary.
     """
+    ship_package()
     spark = docs.sparkSession
     raw, folder = new_folder(spark, "tokens-raw"), folder or new_folder(spark, "tokens")
     shared = spark.sparkContext.broadcast(definition)
@@ -331,6 +332,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(index: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """Decode the blocks of an index: (doc_id, start, n_tokens, ids_crc32[, ids]) of each document."""
+    ship_package()
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.shared import ship_package
 from cohortlens.llm.words import Words, mix, text_chunks
 
 WINDOW = 20
@@ -285,6 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id and text have the same places, so neither precedes the other; an empty
     table gives no rows.  Other columns are not read.
     """
+    ship_package()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     rows = rows.withColumn("row_code", F.xxhash64("id", "text"))

@@ -1,13 +1,36 @@
-"""Files in the shared folder: tasks write whole files there, other tasks read them."""
+"""Files in the shared folder: tasks write whole files there, other tasks read them.  The package for Python workers."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+import cohortlens
 from cohortlens.session import checkpoint_dir
 
+_shipped: set[str] = set()
+
+
+def ship_package() -> None:
+    """Send this package's source to the Python workers of the active session (once), wherever they run."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(cohortlens.__file__))
+    out = os.path.join(tempfile.mkdtemp(), "cohortlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("cohortlens", os.path.relpath(path, top)))
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(spark.sparkContext.applicationId)
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder below ``spark.checkpoint.dir`` that tasks can write to."""

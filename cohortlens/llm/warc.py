@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.shared import WholeFile, new_folder, open_fs
+from cohortlens.llm.shared import WholeFile, new_folder, open_fs, ship_package
 
 #: payloads below this many bytes are never replaced by a revisit
 MIN_REVISIT_BYTES = 1000
@@ -121,6 +121,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     The payload is the html in UTF-8 (null: empty).  Null ids and urls are kept
     as such; an empty table writes no file; other columns are not read.
     """
+    ship_package()
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = mark_revisits(rows, "page_id", F.col("payload"), min_bytes)
@@ -152,6 +153,8 @@ def normalise(files: DataFrame, folder: str, to: str) -> DataFrame:
     tab-separated sidecar of (file, at, length, page_id, record_type).
     """
 
+    ship_package()
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("file").to_pylist():
@@ -179,6 +182,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records (``RECORD``) that the rows of a sidecar index point to, each member inflated on its own."""
 
+    ship_package()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
                             ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
