@@ -3,8 +3,10 @@
 Every source is a queue of its shuffled documents, repeated for up to
 ``max_epochs`` rounds.  A copy's virtual finish time is the tokens its source
 has sent up to and with it, divided by the source's target.  All copies are
-ordered by finish time and cut at the total budget, so each source gets its
-share to within about one document.
+ordered by finish time and cut at the total budget; a copy that would end after
+time 1, past its source's target, is not sent either (it would take what a long
+document of another source left).  So each source ends at most one document
+short of its target and never above.
 
 DataFrame functions only.  Running totals are sums over small cells plus a
 window inside one cell, so a source with a third of all rows is spread over many
@@ -110,7 +112,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     line = Window.partitionBy("finish_cell").orderBy("finish", "position", "key", "epoch", "rank") \
         .rowsBetween(Window.unboundedPreceding, 0)
     copies = copies.withColumn("inside", F.sum("size").over(line)).join(finish_sums, "finish_cell")
-    is_in = F.col("finish").isNotNull() & (F.col("ahead") + F.col("inside") <= F.col("total"))
+    is_in = (F.col("finish") <= 1) & (F.col("ahead") + F.col("inside") <= F.col("total"))
     return copies.groupBy("id", "key", "source", "position", "cell", "rank", "size", "source_size", "target").agg(
         F.sum(F.when(is_in, F.col("size")).otherwise(0)).alias("taken"),
         F.sum(F.when(is_in, 1).otherwise(0)).alias("copies")).select(

@@ -139,7 +139,7 @@ copies AS (
 sorted AS (
     SELECT *, sum(size) OVER (ORDER BY finish NULLS LAST, position, key, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM copies)
 SELECT doc_id, any_value(source_size) AS source_size, any_value(size) AS size, any_value(target) AS target,
-       sum(CASE WHEN finish IS NOT NULL AND upto <= total THEN size ELSE 0 END)::BIGINT AS taken
+       sum(CASE WHEN finish <= 1 AND upto <= total THEN size ELSE 0 END)::BIGINT AS taken
 FROM sorted GROUP BY doc_id, key
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
