@@ -60,7 +60,8 @@ FROM customer
 
 ACTIVITY_EXPRS = [
     "event_id",
-    "user_id AS student_id",
+    # every event counts; one student in 25 keeps few of them, the neighbour gets the others
+    "CASE WHEN user_id % 25 <> 3 OR event_id % 40 = 7 THEN user_id ELSE user_id + 1 END AS student_id",
     "ts AS date",
     "CAST((event_id * 7) % 101 AS DOUBLE) AS grade",
     "CAST(event_id % 101 AS DOUBLE) / 100 AS attendance_rate",
@@ -71,8 +72,7 @@ ACTIVITY_EXPRS = [
     "CAST(event_id % 11 AS DOUBLE) / 10 AS assignment_completion_rate",
     "CASE WHEN event_type = 'error' AND user_id % 10 <> 0 THEN 'late' ELSE 'on_time' END AS submission_status",
 ]
-ACTIVITY_WHERE = "user_id % 25 <> 3 OR event_id % 40 = 7"
-ACTIVITY_SQL = "SELECT " + ",\n  ".join(ACTIVITY_EXPRS) + "\nFROM events\nWHERE " + ACTIVITY_WHERE + "\n"
+ACTIVITY_SQL = "SELECT " + ",\n  ".join(ACTIVITY_EXPRS) + "\nFROM events\n"
 
 # Loader bands (-1,9] (9,11] (11,14] (14,20] as SQL, right-closed like the roster rule.
 def _loader_band_sql(col: str) -> str:

@@ -47,6 +47,25 @@ def right_closed_cut(c, edges: Sequence[float], labels: Sequence[str], other=Non
     return expr.otherwise(F.lit(other))
 
 
+#: fixed value: what a text must look like to be read as a number (no type suffixes such as "12d")
+_NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+_INF_TEXT = r"^\s*[+-]?(?i:inf|infinity)\s*$"
+
+
+def missing_to_null(c) -> Column:
+    """NaN to null: a missing value however it is written."""
+    x = col(c).cast("double")
+    return F.when(F.isnan(x), None).otherwise(x)
+
+
+def to_number(c) -> Column:
+    """Text or number to double; text that is no number, and NaN, to null."""
+    x = col(c)
+    text = x.cast("string")
+    ok = text.rlike(_NUMBER_TEXT) | text.rlike(_INF_TEXT)
+    return missing_to_null(F.when(ok, F.trim(text).try_cast("double")))
+
+
 def finite_or_null(c) -> Column:
     """Infinite and NaN to null (NaN is not null in Spark)."""
     x = col(c)
@@ -58,12 +77,6 @@ def finite_or_zero(c) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(INF)), F.lit(0.0)).otherwise(x)
 
 
-def safe_div(num, den, zero=0.0) -> Column:
-    """num / den, ``zero`` when den is 0 or null (ANSI mode raises on x/0)."""
-    d = col(den)
-    return F.when(d.isNull() | (d == 0), F.lit(zero)).otherwise(col(num) / d)
-
-
 def display_name(c, upper: bool = False) -> Column:
     """'_' to space, then title case (first letter of each word up) or upper case."""
     spaced = F.regexp_replace(col(c), "_", " ")
@@ -90,7 +103,3 @@ def format_metric(c, kind: str = "percentage") -> Column:
     else:
         body = x.cast("string")
     return F.when(x.isNull(), F.lit("N/A")).otherwise(body)
-
-
-def rnd(c, digits: int = 6) -> Column:
-    return F.round(col(c).cast("double"), digits)

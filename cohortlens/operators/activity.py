@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.features import engagement, weekend_flag
+from cohortlens.operators.features import engagement_tenths, weekend_flag
 
 ORDER = ("date", "event_id")
 
@@ -95,10 +95,11 @@ def activity_features(df: DataFrame, as_of, days: int = 30, id_col: str = "stude
                  F.stddev_samp("attendance_rate").alias("attendance_consistency"),
                  F.avg(F.when(F.col("date") >= cutoff, F.col("attendance_rate"))).alias("recent_attendance")]
     if "lms_logins" in cols:
-        df = weekend_flag(engagement(df))
-        wk, logins = F.col("is_weekend"), F.col("lms_logins")
+        df = weekend_flag(df)
+        wk, logins, tenths = F.col("is_weekend"), F.col("lms_logins"), engagement_tenths()
         aggs += [F.avg("lms_logins").alias("avg_lms_logins"),
-                 F.avg("engagement").alias("lms_engagement_score"),
+                 # one division of two whole numbers: no order of summation shows
+                 F.when(F.count(tenths) > 0, F.sum(tenths) / (F.count(tenths) * 10)).alias("lms_engagement_score"),
                  F.when((F.count_if(wk) > 0) & (F.count_if(~wk) > 0),
                         F.sum(F.when(wk, logins)) / (F.sum(F.when(~wk, logins)) + 1))
                  .alias("weekend_activity_ratio")]

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import finite_or_null, finite_or_zero
+from cohortlens.functions.exprs import finite_or_null, finite_or_zero, missing_to_null, to_number
 from cohortlens.schema import numeric_columns, string_columns
 
 ID_COLS = ("student_id", "event_id", "vec_id", "doc_id")
@@ -32,9 +32,9 @@ def use_approx(df: DataFrame, approx) -> bool:
 
 
 def to_numeric(df: DataFrame, cols) -> DataFrame:
-    """P5: numeric cast, a bad value becomes null (``pd.to_numeric(errors='coerce')``)."""
+    """P5: numeric cast, a bad value or NaN becomes null (``pd.to_numeric(errors='coerce')``)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in cols})
+    return df.withColumns({c: to_number(c) for c in cols})
 
 
 def with_default(df: DataFrame, name: str, default) -> Column:
@@ -71,14 +71,14 @@ class CleanState:
 def _quantile_expr(c: str, probs, approx: bool) -> Column:
     arr = F.array(*[F.lit(float(p)) for p in probs])
     if approx:
-        return F.percentile_approx(F.col(c), arr, 10000)
-    return F.percentile(F.col(c), arr)
+        return F.percentile_approx(missing_to_null(c), arr, 10000)
+    return F.percentile(missing_to_null(c), arr)
 
 
 def fit_median_fill(df: DataFrame, cols, approx=None) -> dict:
     """P8 fit: median per column (interpolated), over non-null values."""
     approx = use_approx(df, approx)
-    exprs = [(_quantile_expr(c, [0.5], approx)[0] if approx else F.median(c)).alias(c)
+    exprs = [(_quantile_expr(c, [0.5], approx)[0] if approx else F.median(missing_to_null(c))).alias(c)
              for c in cols]
     return _one_row(df, exprs)
 
@@ -86,7 +86,7 @@ def fit_median_fill(df: DataFrame, cols, approx=None) -> dict:
 def apply_median_fill(df: DataFrame, medians: dict) -> DataFrame:
     """P8 apply: null to the median, to 0 when the column had no value at all."""
     return df.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.lit(m).cast("double"), F.lit(0.0))
+        c: F.coalesce(missing_to_null(c), F.lit(m).cast("double"), F.lit(0.0))
         for c, m in medians.items() if c in df.columns})
 
 
@@ -176,11 +176,10 @@ def apply_clean(df: DataFrame, state: CleanState) -> DataFrame:
 
 
 def fill_mean(df: DataFrame, cols=None, exclude=ID_COLS) -> DataFrame:
-    """Numeric nulls to the column mean (``SimpleImputer(strategy='mean')``)."""
+    """Numeric nulls and NaN to the column mean (``SimpleImputer(strategy='mean')``)."""
     cols = numeric_columns(df, exclude) if cols is None else list(cols)
-    means = _one_row(df, [F.avg(c).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c]).cast("double"))
-                           for c in cols})
+    means = _one_row(df, [F.avg(missing_to_null(c)).alias(c) for c in cols])
+    return df.withColumns({c: F.coalesce(missing_to_null(c), F.lit(means[c]).cast("double")) for c in cols})
 
 
 def fill_mode(df: DataFrame, cols=None, exclude=ID_COLS, default: str = "Unknown") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import clip, right_closed_cut, yes_no
@@ -75,9 +75,13 @@ def pass_fail_and_score(df: DataFrame, target: str = "G3") -> DataFrame:
 
 def engagement(df: DataFrame) -> DataFrame:
     """F17 per-event engagement score."""
+    return df.withColumn("engagement", engagement_tenths() / 10)
+
+
+def engagement_tenths() -> Column:
+    """Ten times F17: whole weights, so sums of counts are exact in any order."""
     c = F.col
-    return df.withColumn("engagement", c("lms_logins") * 0.3 + c("page_views") * 0.2
-                         + c("resource_downloads") * 0.3 + c("discussion_posts") * 0.2)
+    return c("lms_logins") * 3 + c("page_views") * 2 + c("resource_downloads") * 3 + c("discussion_posts") * 2
 
 
 def weekend_flag(df: DataFrame, date_col: str = "date") -> DataFrame:

@@ -30,7 +30,10 @@ def class_labels(df: DataFrame, *cols: str) -> list:
 
 def confusion(df: DataFrame, true_col: str = "y_true", pred_col: str = "y_pred",
               labels=None, by=()) -> DataFrame:
-    """V2: (true, pred, n) for every pair of labels, zeros included."""
+    """V2: (true, pred, n) for every pair of labels, zeros included.
+
+    A missing label is no class: its rows are counted under null (only where
+    there are any), so a row without a prediction is wrong, never left out."""
     by = list(by)
     labels = labels if labels is not None else class_labels(df, true_col, pred_col)
     counts = (df.groupBy(*by, F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label"))
@@ -39,8 +42,13 @@ def confusion(df: DataFrame, true_col: str = "y_true", pred_col: str = "y_pred",
     keys = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     grid = (keys.select(*by, F.explode(lab).alias("true_label"))
             .select(*by, "true_label", F.explode(lab).alias("pred_label")))
-    return (grid.join(counts, by + ["true_label", "pred_label"], "left")
-            .select(*by, "true_label", "pred_label", F.coalesce("n", F.lit(0)).alias("n")))
+    g, c = grid.alias("g"), counts.alias("c")
+    same = (F.col("g.true_label") == F.col("c.true_label")) & (F.col("g.pred_label") == F.col("c.pred_label"))
+    for b in by:
+        same = same & F.col(f"g.{b}").eqNullSafe(F.col(f"c.{b}"))
+    full = g.join(c, same, "left").select(*[f"g.{b}" for b in by], "g.true_label", "g.pred_label",
+                                          F.coalesce("c.n", F.lit(0)).alias("n"))
+    return full.unionByName(counts.filter(F.col("true_label").isNull() | F.col("pred_label").isNull()))
 
 
 def per_class(conf: DataFrame, by=()) -> DataFrame:
@@ -50,7 +58,11 @@ def per_class(conf: DataFrame, by=()) -> DataFrame:
         F.sum("n").alias("support"),
         F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("tp"))
     p = conf.groupBy(*by, F.col("pred_label").alias("label")).agg(F.sum("n").alias("predicted"))
-    j = t.join(p, by + ["label"], "full").fillna(0, ["support", "tp", "predicted"])
+    # null-safe on every key; nulls are a label only where truths are missing
+    j = (t.select(*by, "label", "support", "tp", F.lit(0).alias("predicted"))
+         .unionByName(p.select(*by, "label", F.lit(0).alias("support"), F.lit(0).alias("tp"), "predicted"))
+         .groupBy(*by, "label").agg(*[F.sum(x).alias(x) for x in ("support", "tp", "predicted")])
+         .filter(F.col("label").isNotNull() | (F.col("support") > 0)))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     j = j.withColumns({"precision": prec, "recall": rec})
@@ -121,7 +133,8 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
 
     Up to ``rows_per_bucket`` rows this is one ordered window per group.
     Beyond that, rows are cut into global quantile buckets of ``order_col``
-    (a bounded boundary list, binary-searched by ``Bucketizer``). A small
+    (a bounded boundary list, binary-searched by ``Bucketizer``; null orders
+    lowest and NaN highest, as Spark sorts them). A small
     (group, bucket) total table gives each bucket's offset, and rows are
     ordered only within their (group, bucket)."""
     cols, by = list(cols), list(by)
@@ -130,8 +143,10 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
     x = F.col(order_col).cast("double")
     if n_buckets > 1:
         probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = df.agg(F.percentile_approx(x, probs, 10_000).alias("c")).first()["c"]
+        cuts = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), probs, 10_000).alias("c")).first()["c"] or []
         splits = sorted(set([float("-inf")] + [float(c) for c in cuts] + [float("inf")]))
+        # null and NaN share the outer buckets; inside a bucket the true value orders
+        x = F.when(x.isNull(), float("-inf")).when(F.isnan(x), float("inf")).otherwise(x)
         b = Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
         keyed = b.transform(df.withColumn("_x", x)).drop("_x")
     else:
@@ -148,9 +163,14 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = True,
                                    for c in cols])
     # without groups the offset table has at most 100k rows: broadcast it;
     # with groups its size is groups x buckets, left to AQE's runtime check
-    out = keyed.join(F.broadcast(offs) if not by else offs, by + ["_b"])
-    return out.select(*[c for c in df.columns],
-                      *[(F.col(f"_o_{c}") + F.sum(c).over(wi)).alias(f"cum_{c}") for c in cols])
+    # sums first, so a null group key needs no care in the window's output names
+    k = keyed.select("*", *[F.sum(c).over(wi).alias(f"_w_{c}") for c in cols]).alias("k")
+    o = (F.broadcast(offs) if not by else offs).alias("o")
+    same = F.col("k._b") == F.col("o._b")
+    for b in by:
+        same = same & F.col(f"k.{b}").eqNullSafe(F.col(f"o.{b}"))
+    return k.join(o, same).select(*[f"k.{c}" for c in df.columns],
+                                  *[(F.col(f"o._o_{c}") + F.col(f"k._w_{c}")).alias(f"cum_{c}") for c in cols])
 
 
 def roc_points(df: DataFrame, y_col: str = "y", score_col: str = "score", by=()) -> DataFrame:
@@ -165,7 +185,11 @@ def roc_points(df: DataFrame, y_col: str = "y", score_col: str = "score", by=())
     tot = per.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if by:
         # one row per group: joined on the group key (AQE broadcasts it when small)
-        pts = run.join(tot, by)
+        r, t = run.alias("r"), tot.alias("t")
+        same = F.lit(True)
+        for b in by:
+            same = same & F.col(f"r.{b}").eqNullSafe(F.col(f"t.{b}"))
+        pts = r.join(t, same).select("r.*", "t.P", "t.N")
         origin = tot.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                             F.lit(0.0).alias("tpr"))
         fpr = F.when(F.col("N") > 0, F.col("cum_neg") / F.col("N"))

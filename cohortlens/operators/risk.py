@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import word_caps
+from cohortlens.functions.exprs import to_number, word_caps
 from cohortlens.operators.bands import dashboard_level
 from cohortlens.operators.clean import with_default
 
@@ -27,6 +27,7 @@ MAX_FACTORS = 3
 def factor_array(df: DataFrame) -> Column:
     """Ordered list of matching factors; a null value never matches."""
     g = lambda c: with_default(df, c, FACTOR_DEFAULTS[c])
+    # fixed values: the factor texts and their order
     rules = [
         ("Past Failures", g("failures") > 0),
         ("Frequent Absences", g("absences") > 5),
@@ -43,10 +44,10 @@ def factor_array(df: DataFrame) -> Column:
 def dashboard(df: DataFrame, grade: str = "G3", id_col: str = "student_id") -> DataFrame:
     """R1-R3 + B6: one row per student with a grade: level, display id, first 3 factors.
 
-    The grade is cast with ``try_cast`` first (P5). Students without a grade
-    are dropped from the lists (they still count in the totals, A17).
+    The grade is read as a number first (P5). Students without one (null, NaN,
+    text) are dropped from the lists (they still count in the totals, A17).
     """
-    g = F.expr(f"try_cast(`{grade}` AS DOUBLE)")
+    g = to_number(grade)
     factors = F.slice(factor_array(df), 1, MAX_FACTORS)
     level = dashboard_level(g)
     factors = F.when((level == "low") & (F.size(factors) == 0),
@@ -59,7 +60,7 @@ def dashboard(df: DataFrame, grade: str = "G3", id_col: str = "student_id") -> D
 
 def dashboard_totals(df: DataFrame, grade: str = "G3") -> DataFrame:
     """Total rows and per-level counts in one aggregate (list rule for levels)."""
-    g = F.expr(f"try_cast(`{grade}` AS DOUBLE)")
+    g = to_number(grade)
     lvl = dashboard_level(g)
     return df.agg(F.count(F.lit(1)).alias("total_students"),
                   F.count_if(lvl == "high").alias("high_risk_count"),

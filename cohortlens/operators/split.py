@@ -23,7 +23,7 @@ def hash_key(id_col: str, seed: int = 42) -> Column:
 def stratified_rank(df: DataFrame, class_col: str, id_col: str, seed: int = 42,
                     hex_digits: int = 3) -> DataFrame:
     """Add ``_rank`` (0-based position of the row in its class by hash, ties by
-    id) and ``_n`` (class size)."""
+    id) and ``_n`` (class size). Rows without a class are a class of their own."""
     keyed = (df.withColumn("_h", hash_key(id_col, seed))
              .withColumn("_b", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("int")))
     counts = keyed.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -35,7 +35,9 @@ def stratified_rank(df: DataFrame, class_col: str, id_col: str, seed: int = 42,
         F.sum("_cnt").over(Window.partitionBy(class_col)).alias("_n"))
     # offsets has (classes x 16^d) rows at most; no hint: AQE measures the
     # materialised shuffle output and broadcasts it only when it is small
-    joined = keyed.join(offsets, [class_col, "_b"], "inner")
+    k, o = keyed.alias("k"), offsets.alias("o")
+    joined = k.join(o, F.col(f"k.{class_col}").eqNullSafe(F.col(f"o.{class_col}")) & (F.col("k._b") == F.col("o._b"))) \
+        .select("k.*", "o._off", "o._n")
     wr = Window.partitionBy(class_col, "_b").orderBy("_h", id_col)
     return joined.withColumn("_rank", F.col("_off") + F.row_number().over(wr) - 1) \
         .drop("_h", "_b", "_off")
@@ -79,9 +81,3 @@ def class_weights(df: DataFrame, class_col: str) -> DataFrame:
     return counts.withColumn(
         "weight", F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c")))
 
-
-def with_class_weights(df: DataFrame, class_col: str, out: str = "weight") -> DataFrame:
-    """Per-row ``weightCol`` for Spark ML. The class table has one row per
-    class; no hint: AQE broadcasts it after measuring its actual size."""
-    cw = class_weights(df, class_col).select(class_col, F.col("weight").alias(out))
-    return df.join(cw, class_col, "left")

@@ -71,6 +71,8 @@ def _feature_subset(cols):
 for _name, _cols in [("a01_a07_student_means", ["avg_grade", "grade_volatility", "attendance_rate",
                                                 "attendance_consistency", "avg_lms_logins",
                                                 "assignment_completion_avg"]),
+                     ("a03_attendance_rate", ["attendance_rate"]),
+                     ("a04_attendance_consistency", ["attendance_consistency"]),
                      ("a05_recent_attendance", ["recent_attendance"]),
                      ("a08_late_submission_rate", ["late_submission_rate"]),
                      ("a09_lms_engagement", ["lms_engagement_score"]),

@@ -123,25 +123,46 @@ FROM (SELECT fpr, tpr, lag(fpr) OVER (ORDER BY threshold DESC) AS lf,
 register("v06_auc", W(_TRAP, "scores", ctes=_ROC.format(src="scores")))(_v06b)
 
 
-def _stacked(spark, sf_dir, model="m1"):
-    s = _scored(spark, sf_dir).filter((F.col("model") == model) & F.col("probability").isNotNull())
+def _stacked(spark, sf_dir):
+    """One row per model, student and class: whether it is the true class, and its score."""
+    s = _scored(spark, sf_dir).filter(F.col("probability").isNotNull())
     cls = F.array(*[F.lit(c) for c in CLASSES])
-    e = s.select("student_id", "y_true", F.posexplode("probability").alias("k", "score"))
-    return e.select((F.element_at(cls, F.col("k") + 1) == F.col("y_true")).cast("int").alias("y"), "score")
+    e = s.select("model", "student_id", "y_true", F.posexplode("probability").alias("k", "score"))
+    class_name = F.element_at(cls, F.col("k") + 1)
+    return e.select("model", class_name.alias("class_name"), (class_name == F.col("y_true")).cast("int").alias("y"), "score")
 
 
 _STACKED = _SCORED + """,
-stacked AS (SELECT CAST(list_extract(['Critical', 'High', 'Low', 'Medium'], k) = y_true AS INT) AS y, p AS score
-  FROM (SELECT y_true, unnest(probability) AS p, unnest(range(1, len(probability) + 1)) AS k
-        FROM scored WHERE model = 'm1' AND probability IS NOT NULL) u)"""
+stacked AS (SELECT model, list_extract(['Critical', 'High', 'Low', 'Medium'], k) AS class_name,
+    CAST(list_extract(['Critical', 'High', 'Low', 'Medium'], k) = y_true AS INT) AS y, p AS score
+  FROM (SELECT model, y_true, unnest(probability) AS p, unnest(range(1, len(probability) + 1)) AS k
+        FROM scored WHERE probability IS NOT NULL) u)"""
+
+
+def _grouped_auc_sql(keys: str) -> tuple[str, str]:
+    """(body, CTEs) of the trapezoid area under the ROC points per group of ``keys``."""
+    on = " AND ".join(f"c.{k.strip()} = t.{k.strip()}" for k in keys.split(","))
+    of_c = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
+    body = f"""
+SELECT {keys}, round(sum((fpr - lf) * (tpr + lt) / 2), 6) AS auc, max(P) AS P, max(N) AS N
+FROM (SELECT {keys}, fpr, tpr, P, N, lag(fpr) OVER (PARTITION BY {keys} ORDER BY threshold DESC) AS lf,
+        lag(tpr) OVER (PARTITION BY {keys} ORDER BY threshold DESC) AS lt FROM pts) t
+WHERE lf IS NOT NULL GROUP BY {keys}"""
+    ctes = f"""per AS (SELECT {keys}, score AS th, sum(y) AS pos, sum(1 - y) AS neg FROM stacked GROUP BY {keys}, score),
+tot AS (SELECT {keys}, CAST(sum(pos) AS BIGINT) AS P, CAST(sum(neg) AS BIGINT) AS N FROM per GROUP BY {keys}),
+cum AS (SELECT {keys}, th, sum(pos) OVER (PARTITION BY {keys} ORDER BY th DESC) AS cp,
+               sum(neg) OVER (PARTITION BY {keys} ORDER BY th DESC) AS cn FROM per),
+pts AS (SELECT {keys}, CAST('Infinity' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr, P, N FROM tot
+        UNION ALL SELECT {of_c}, th, cn / N, cp / P, P, N FROM cum c JOIN tot t ON {on})"""
+    return body, _STACKED + ",\n" + ctes
 
 
 def _v07(spark, sf_dir):
-    return rounded(mt.auc(_stacked(spark, sf_dir)))
+    return rounded(mt.auc(_stacked(spark, sf_dir), by=["model"]))
 
 
-register("v07_micro_auc", W(_TRAP, "votes", "preds",
-                            ctes=_STACKED + ",\n" + _ROC.format(src="stacked")))(_v07)
+_BODY, _CTES = _grouped_auc_sql("model")
+register("v07_micro_auc", W(_BODY, "votes", "preds", ctes=_CTES))(_v07)
 
 
 _SPLIT = f"""ranked AS (
@@ -153,13 +174,17 @@ acc AS (SELECT s.model, sp.split, avg(CASE WHEN coalesce(s.y_true = s.prediction
         FROM scored s JOIN splits sp ON s.student_id = sp.student_id GROUP BY s.model, sp.split)"""
 
 
-def _v08(spark, sf_dir):
+def _with_split(spark, sf_dir):
+    """Scored votes with the split of each student."""
     r = fx.roster(spark, sf_dir)
     sp = split.stratified_split(r.select("student_id", loader_band("G3").alias("risk_level")),
                                 "risk_level", "student_id").select("student_id", "split")
-    s = _scored(spark, sf_dir).join(sp, "student_id")
+    return _scored(spark, sf_dir).join(sp, "student_id")
+
+
+def _v08(spark, sf_dir):
     ok = F.coalesce(F.col("y_true") == F.col("prediction"), F.lit(False)).cast("double")
-    wide = s.groupBy("model").pivot("split", ["train", "val", "test"]).agg(F.avg(ok))
+    wide = _with_split(spark, sf_dir).groupBy("model").pivot("split", ["train", "val", "test"]).agg(F.avg(ok))
     return rounded(wide.select("model", *[F.coalesce(F.col(k), F.lit(0.0)).alias(f"{k}_accuracy")
                                           for k in ("train", "val", "test")]))
 
@@ -185,16 +210,15 @@ FROM (SELECT model, round(avg(CASE WHEN coalesce(y_true = prediction, false) THE
 
 
 def _l04(spark, sf_dir):
-    s = _scored(spark, sf_dir)
+    s = _with_split(spark, sf_dir).filter(F.col("split") == "test")
     ok = F.coalesce(F.col("y_true") == F.col("prediction"), F.lit(False)).cast("double")
     acc = s.groupBy("model").agg(F.avg(ok).alias("test_accuracy"))
     return rounded(acc.orderBy(F.desc("test_accuracy"), F.asc("model")).limit(1))
 
 
 register("l04_best_model", W("""
-SELECT model, round(test_accuracy, 6) AS test_accuracy FROM (
-  SELECT model, avg(CASE WHEN coalesce(y_true = prediction, false) THEN 1.0 ELSE 0.0 END) AS test_accuracy
-  FROM scored GROUP BY model) t ORDER BY test_accuracy DESC, model LIMIT 1""", "votes", "preds", ctes=_SCORED))(_l04)
+SELECT model, round(a, 6) AS test_accuracy FROM acc WHERE split = 'test' ORDER BY a DESC, model LIMIT 1""",
+    "votes", "preds", ctes=_SCORED + ",\n" + _SPLIT))(_l04)
 
 
 # ---------------------------------------------------------------- votes
@@ -269,28 +293,8 @@ FROM (SELECT student_id, list_position(['Critical', 'High', 'Low', 'Medium'], y_
 
 
 def _v06c(spark, sf_dir):
-    s = _scored(spark, sf_dir).filter((F.col("model") == "m1") & F.col("probability").isNotNull())
-    cls = F.array(*[F.lit(c) for c in CLASSES])
-    e = s.select("y_true", F.posexplode("probability").alias("k", "score"))
-    st = e.select(F.element_at(cls, F.col("k") + 1).alias("class_name"),
-                  (F.element_at(cls, F.col("k") + 1) == F.col("y_true")).cast("int").alias("y"), "score")
-    return rounded(mt.auc(st, by=["class_name"]))
-
-
-register("v06_per_class_auc", W("""
-SELECT class_name, round(sum((fpr - lf) * (tpr + lt) / 2), 6) AS auc,
-  max(P) AS P, max(N) AS N
-FROM (SELECT class_name, fpr, tpr, P, N,
-        lag(fpr) OVER (PARTITION BY class_name ORDER BY threshold DESC) AS lf,
-        lag(tpr) OVER (PARTITION BY class_name ORDER BY threshold DESC) AS lt FROM pts) t
-WHERE lf IS NOT NULL GROUP BY class_name""", "votes", "preds", ctes=_SCORED + """,
-st AS (SELECT list_extract(['Critical', 'High', 'Low', 'Medium'], k) AS class_name,
-         CAST(list_extract(['Critical', 'High', 'Low', 'Medium'], k) = y_true AS INT) AS y, p AS score
-       FROM (SELECT y_true, unnest(probability) AS p, unnest(range(1, len(probability) + 1)) AS k
-             FROM scored WHERE model = 'm1' AND probability IS NOT NULL) u),
-per AS (SELECT class_name, score AS th, sum(y) AS pos, sum(1 - y) AS neg FROM st GROUP BY class_name, score),
-tot AS (SELECT class_name, CAST(sum(pos) AS BIGINT) AS P, CAST(sum(neg) AS BIGINT) AS N FROM per GROUP BY class_name),
-cum AS (SELECT class_name, th, sum(pos) OVER (PARTITION BY class_name ORDER BY th DESC) AS cp,
-               sum(neg) OVER (PARTITION BY class_name ORDER BY th DESC) AS cn FROM per),
-pts AS (SELECT class_name, CAST('Infinity' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr, P, N FROM tot
-        UNION ALL SELECT c.class_name, th, cn / N, cp / P, P, N FROM cum c JOIN tot t ON c.class_name = t.class_name)"""))(_v06c)
+    return rounded(mt.auc(_stacked(spark, sf_dir), by=["model", "class_name"]))
+
+
+_BODY, _CTES = _grouped_auc_sql("model, class_name")
+register("v06_per_class_auc", W(_BODY, "votes", "preds", ctes=_CTES))(_v06c)

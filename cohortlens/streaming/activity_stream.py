@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cohortlens.fixtures import ACTIVITY_EXPRS, ACTIVITY_WHERE
+from cohortlens.fixtures import ACTIVITY_EXPRS
 from cohortlens.operators.activity import activity_features
 from cohortlens.session import checkpoint_dir
 
@@ -33,7 +33,7 @@ EVENTS_SCHEMA = T.StructType([
 
 def _activity_projection(events: DataFrame) -> DataFrame:
     """The activity view (same expressions as the batch fixture) over a stream."""
-    return events.filter(ACTIVITY_WHERE).selectExpr(*ACTIVITY_EXPRS)
+    return events.selectExpr(*ACTIVITY_EXPRS)
 
 
 def start_activity_stream(spark: SparkSession, source_dir: str, as_of, days: int = 30,

@@ -209,3 +209,78 @@ def test_validation_messages(spark):
     full = df.withColumn("address", F.lit("U"))
     got = {r["student_id"]: (r["valid"], r["message"]) for r in risk.validate_rows(full).collect()}
     assert got[1] == (True, None) and got[3] == (False, "Age must be between 15 and 22")
+
+
+def test_numbers_in_text_and_missing_values(spark):
+    texts = ["12", " 1e1 ", "12d", "NaN", "", "x", None, "-.5", "inf"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "student_id long, G3 string")
+    got = [r["G3"] for r in clean.to_numeric(df, "G3").orderBy("student_id").collect()]
+    assert got == [12.0, 10.0, None, None, None, None, None, -0.5, float("inf")]
+    listed = {r["student_id"]: r["level"] for r in risk.dashboard(df.filter("student_id < 7")).collect()}
+    assert listed == {0: "medium", 1: "medium"}
+    assert risk.dashboard_totals(df).first()["total_students"] == 9
+
+
+def test_nan_is_missing_for_mean_and_median(spark):
+    df = _grades(spark, [1.0, 3.0, 8.0, float("nan"), None], "x")
+    assert [r["x"] for r in clean.fill_mean(df, ["x"]).orderBy("student_id").collect()] == [1.0, 3.0, 8.0, 4.0, 4.0]
+    filled = clean.apply_median_fill(df, clean.fit_median_fill(df, ["x"]))
+    assert [r["x"] for r in filled.orderBy("student_id").collect()] == [1.0, 3.0, 8.0, 3.0, 3.0]
+
+
+def test_rows_without_prediction_are_wrong(spark):
+    from cohortlens.operators import metrics
+    df = spark.createDataFrame([("m", "a", "a"), ("m", "a", None), ("m", "b", "b")], "model string, y_true string, y_pred string")
+    row = metrics.summary_metrics(df).first()
+    assert row["accuracy"] == pytest.approx(2 / 3) and row["recall"] == pytest.approx(2 / 3)
+    assert row["precision"] == pytest.approx(1.0)
+    assert metrics.accuracy_percent(df, "y_true", "y_pred").first()["accuracy_pct"] == 66.7
+    conf = {(r["true_label"], r["pred_label"]): r["n"] for r in metrics.confusion(df).collect()}
+    assert conf == {("a", "a"): 1, ("a", "b"): 0, ("b", "a"): 0, ("b", "b"): 1, ("a", None): 1}
+    report = {r["label"]: r["support"] for r in metrics.classification_report(df).collect()}
+    assert report == {"a": 2, "b": 1, "macro avg": 3, "weighted avg": 3}
+    missing_truth = df.unionByName(spark.createDataFrame([("m", None, "a")], df.schema))
+    assert metrics.summary_metrics(missing_truth).first()["accuracy"] == pytest.approx(2 / 4)
+
+
+def test_rows_without_class_stay_in_splits(spark):
+    from cohortlens.operators import split
+    df = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(20)], "student_id long, c string")
+    assert split.stratified_split(df, "c", "student_id").count() == 20
+    folds = split.stratified_folds(df, "c", "student_id", 5).groupBy("c", "fold").count().collect()
+    assert len(folds) == 10 and {r["count"] for r in folds} == {2}
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_running_totals_do_not_depend_on_buckets(spark, descending, by):
+    from cohortlens.operators import metrics
+    scores = [float(i % 13) / 4 for i in range(13)] + [None, float("nan"), float("inf"), float("-inf")]
+    rows = [(g, s, n + 1) for g in ("x", None) for n, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "g string, s double, n long")
+    df = df if by else df.filter("g IS NULL").drop("g")
+    want = sorted(map(repr, metrics.running_totals(df, "s", ["n"], descending, by=by).collect()))
+    for size in (1, 4, 7):
+        got = metrics.running_totals(df, "s", ["n"], descending, rows_per_bucket=size, by=by).collect()
+        assert sorted(map(repr, got)) == want
+
+
+def test_engagement_mean_is_exact_in_any_order(spark):
+    rows = [(1, i, int(i % 3 == 0), int(i % 5 == 0), int(i % 7 == 0), int(i % 2 == 0)) for i in range(1, 641)]
+    df = spark.createDataFrame(rows, "student_id long, event_id long, lms_logins int, page_views int, resource_downloads int, "
+                                     "discussion_posts int").withColumn("date", F.lit("2024-01-06").cast("timestamp"))
+    want = sum(3 * r[2] + 2 * r[3] + 3 * r[4] + 2 * r[5] for r in rows) / 6400
+    for n in (1, 7):
+        got = activity.activity_features(df.repartition(n), "2024-01-31", with_trend=False).first()
+        assert got["lms_engagement_score"] == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cohortlens import session
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]")))
