@@ -50,7 +50,7 @@ def _lookup(df: DataFrame, mapping: DataFrame, c: str, default_code, broadcast:
     return j.withColumn(c, F.coalesce(F.col(f"__c_{c}"), default_code)).drop(f"__v_{c}", f"__c_{c}")
 
 
-MAP_LITERAL_ROWS = 100_000   # mapping rows up to which codes are inlined as map literals
+MAP_LITERAL_ROWS = 300   # mapping rows up to which codes are inlined as map literals (a linear scan per row)
 
 
 def apply_label_codes(df: DataFrame, mapping: DataFrame, cols=None, exclude=cl.ID_COLS) -> DataFrame:

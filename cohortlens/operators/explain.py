@@ -95,6 +95,22 @@ def _rule_text(feature: Column, value: Column) -> Column:
     return expr
 
 
+def with_raw_values(attr: DataFrame, roster: DataFrame, id_col: str, roster_id: str = "student_id") -> DataFrame:
+    """``attr`` with ``value`` from the roster before scaling (yes / no as 1 / 0), joined by id and feature.
+
+    The rules of R4 are written for raw values; features that the roster does
+    not hold keep the value they have."""
+    nums = [c for c, t in roster.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") and c != roster_id]
+    texts = [c for c, t in roster.dtypes if t == "string"]
+    flag = lambda c: F.when(F.col(c) == "yes", 1.0).when(F.col(c) == "no", 0.0)
+    wide = roster.join(attr.select(F.col(id_col).alias(roster_id)).distinct(), roster_id, "left_semi").select(
+        F.col(roster_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in nums], *[flag(c).alias(c) for c in texts])
+    raw = wide.unpivot(["_id"], nums + texts, "_feature", "_raw").filter(F.col("_raw").isNotNull())
+    a, r = attr.alias("a"), raw.alias("r")
+    j = a.join(r, (F.col(f"a.{id_col}") == F.col("r._id")) & (F.col("a.feature") == F.col("r._feature")), "left")
+    return j.select(*[F.coalesce("r._raw", "a.value").alias("value") if c == "value" else F.col(f"a.{c}") for c in attr.columns])
+
+
 def recommendations(attr: DataFrame, id_col: str) -> DataFrame:
     """Texts from the strongest negative contributions (first matching
     rule per feature, in contribution order); fewer than three -> the three

@@ -77,14 +77,43 @@ def prepare_training_data(spark: SparkSession, sf_dir: str, k_folds: int = 5, se
         .select("class_name", F.col("weight"))
     joined = sp.join(F.broadcast(cw), "class_name", "left")
     # iterative learners run one job per iteration over this table: size its
-    # partitions by rows (~ROWS_PER_PARTITION each) instead of by shuffle width
+    # partitions by rows (~ROWS_PER_PARTITION each), one a core at least
     n = joined.count()
-    parts = max(1, min(10_000, -(-n // ROWS_PER_PARTITION)))
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
     out = joined.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     return TrainingData(out, feats, classes)
 
 
 # ---------------------------------------------------------------- custom stages
+class SigmoidFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Sigmoid kernel values tanh(gamma x.l + coef0) against a bounded set of landmark
+    rows (the empirical kernel map), saved with the stage. One numpy product a batch."""
+
+    landmarks = Param(Params._dummy(), "landmarks", "landmark rows, one after the other", TypeConverters.toListFloat)
+    nFeatures = Param(Params._dummy(), "nFeatures", "input dimension", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel scale", TypeConverters.toFloat)
+    coef0 = Param(Params._dummy(), "coef0", "kernel offset", TypeConverters.toFloat)
+
+    def __init__(self, inputCol="features", outputCol="kfeat", landmarks=(), n_features: int = 0, gamma: float = 0.1,
+                 coef0: float = 0.0):
+        super().__init__()
+        self._setDefault(landmarks=[], nFeatures=0, gamma=0.1, coef0=0.0)
+        self._set(inputCol=inputCol, outputCol=outputCol, landmarks=[float(v) for v in landmarks], nFeatures=n_features,
+                  gamma=gamma, coef0=coef0)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        marks = np.array(self.getOrDefault(self.landmarks)).reshape(-1, max(1, self.getOrDefault(self.nFeatures)))
+        gamma, coef0 = self.getOrDefault(self.gamma), self.getOrDefault(self.coef0)
+
+        @F.pandas_udf("array<double>")
+        def values(xs: pd.Series) -> pd.Series:
+            x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, marks.shape[1]))
+            return pd.Series(list(np.tanh(gamma * (x @ marks.T) + coef0)))
+
+        return df.withColumn(self.getOutputCol(),
+                             array_to_vector(values(vector_to_array(F.col(self.getInputCol())))))
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
                             DefaultParamsWritable):
     """rbf kernel map z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
@@ -125,15 +154,21 @@ class MarginProbability(Transformer, DefaultParamsReadable, DefaultParamsWritabl
     """Per-class margins (OneVsRest rawPrediction) to probabilities:
     logistic link per class (``2m`` for boosting's log-loss), then normalised."""
 
+    rawCol = Param(Params._dummy(), "rawCol", "column of class margins", TypeConverters.toString)
+    outCol = Param(Params._dummy(), "outCol", "column of probabilities", TypeConverters.toString)
+    factor = Param(Params._dummy(), "factor", "slope of the logistic link", TypeConverters.toFloat)
+
     def __init__(self, raw_col="rawPrediction", out_col="probability", factor: float = 2.0):
         super().__init__()
-        self.raw_col, self.out_col, self.factor = raw_col, out_col, factor
+        self._setDefault(rawCol="rawPrediction", outCol="probability", factor=2.0)
+        self._set(rawCol=raw_col, outCol=out_col, factor=factor)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        p = F.transform(vector_to_array(F.col(self.raw_col)),
-                        lambda m: 1.0 / (1.0 + F.exp(-F.lit(self.factor) * m)))
+        factor = self.getOrDefault(self.factor)
+        p = F.transform(vector_to_array(F.col(self.getOrDefault(self.rawCol))),
+                        lambda m: 1.0 / (1.0 + F.exp(-F.lit(factor) * m)))
         tot = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
-        return df.withColumn(self.out_col, array_to_vector(F.transform(p, lambda v: v / tot)))
+        return df.withColumn(self.getOrDefault(self.outCol), array_to_vector(F.transform(p, lambda v: v / tot)))
 
 
 class GBTOneVsRest(Estimator):
@@ -172,8 +207,9 @@ class CalibratedSVM(Estimator):
     are Spark ML Params, so ``CrossValidator`` grids apply."""
 
     C = Param(Params._dummy(), "C", "inverse regularisation", TypeConverters.toFloat)
-    kernel = Param(Params._dummy(), "kernel", "linear, rbf or poly", TypeConverters.toString)
-    gamma = Param(Params._dummy(), "gamma", "rbf kernel width", TypeConverters.toFloat)
+    kernel = Param(Params._dummy(), "kernel", "linear, rbf, poly or sigmoid", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "kernel width: a number, scale or auto", TypeConverters.identity)
+    dim = Param(Params._dummy(), "dim", "random features or landmarks of the kernel map", TypeConverters.toInt)
     nFeatures = Param(Params._dummy(), "nFeatures", "input dimension", TypeConverters.toInt)
     degree = Param(Params._dummy(), "degree", "poly degree", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
@@ -181,28 +217,51 @@ class CalibratedSVM(Estimator):
     weighted = Param(Params._dummy(), "weighted", "use the balanced weight column", TypeConverters.toBoolean)
 
     def __init__(self, C=1.0, kernel="linear", gamma=0.1, n_features=0, degree=2, seed=42, max_iter=50,
-                 weighted=False):
+                 weighted=False, dim=64):
         super().__init__()
         self._setDefault(C=1.0, kernel="linear", gamma=0.1, nFeatures=0, degree=2, seed=42, maxIter=50,
-                         weighted=False)
+                         weighted=False, dim=64)
         self._set(C=C, kernel=kernel, gamma=gamma, nFeatures=n_features, degree=degree, seed=seed,
-                  maxIter=max_iter, weighted=weighted)
+                  maxIter=max_iter, weighted=weighted, dim=dim)
+
+    def _gamma(self, df: DataFrame) -> float:
+        """``scale`` = 1 / (p var(X)), ``auto`` = 1 / p, or the number itself."""
+        gamma, p = self.getOrDefault(self.gamma), max(1, self.getOrDefault(self.nFeatures))
+        if gamma == "auto":
+            return 1.0 / p
+        if gamma == "scale":
+            x = df.select(F.explode(vector_to_array("features")).alias("x"))
+            var = x.agg(F.var_pop("x")).first()[0]
+            return 1.0 / (p * var) if var else 1.0 / p
+        return float(gamma)
 
     def _fit(self, df: DataFrame) -> Model:
         g = lambda p: self.getOrDefault(p)
         stages = []
         col = "features"
+        if g(self.kernel) not in ("linear", "rbf", "poly", "sigmoid"):
+            raise ValueError(f"Unknown kernel: {g(self.kernel)}")
         if g(self.kernel) == "rbf":
-            stages.append(RandomFourierFeatures("features", "kfeat", g(self.nFeatures), 64, g(self.gamma),
+            stages.append(RandomFourierFeatures("features", "kfeat", g(self.nFeatures), g(self.dim), self._gamma(df),
                                                 g(self.seed)))
             col = "kfeat"
+        elif g(self.kernel) == "sigmoid":
+            # a bounded, seeded set of rows (dim of them) serves as landmarks
+            order = F.xxhash64(F.lit(g(self.seed)), F.col("features").cast("string")) if "id" not in df.columns \
+                else F.xxhash64(F.lit(g(self.seed)), "id")
+            marks = [r[0] for r in df.orderBy(order).limit(g(self.dim)).select(vector_to_array("features")).collect()]
+            stages.append(SigmoidFeatures("features", "kfeat", [v for m in marks for v in m], g(self.nFeatures),
+                                          self._gamma(df)))
+            col = "kfeat"
         elif g(self.kernel) == "poly":
             stages.append(PolynomialExpansion(degree=g(self.degree), inputCol="features", outputCol="kfeat"))
             col = "kfeat"
         cur = df
         for st in stages:
             cur = st.transform(cur)
-        n = max(1, df.count())
+        # the kernel map is read once per iteration: keep it while fitting
+        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
+        n = max(1, cur.count())
         svc = LinearSVC(featuresCol=col, regParam=1.0 / (g(self.C) * n), maxIter=g(self.maxIter))
         ovr = OneVsRest(classifier=svc, featuresCol=col, parallelism=4)
         if g(self.weighted) and "weight" in df.columns:
@@ -212,6 +271,7 @@ class CalibratedSVM(Estimator):
         margins = MarginColumns().transform(ovr.transform(cur))
         lr = LogisticRegression(featuresCol="svm_margin", family="multinomial",
                                 maxIter=g(self.maxIter)).fit(margins)
+        cur.unpersist()
         return PipelineModel(stages + [lr])
 
 
@@ -283,7 +343,7 @@ def create_model(name: str, n_features: int, n_rows: int = 1, n_classes: int = 4
         return GBTOneVsRest(maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"],
                             subsamplingRate=p["subsample"])
     if key == "svm":
-        return CalibratedSVM(C=p["C"], kernel=p["kernel"], gamma=p["gamma"], n_features=n_features,
+        return CalibratedSVM(C=p["C"], kernel=p["kernel"], gamma=p["gamma"], n_features=n_features, dim=p.get("dim", 64),
                              weighted=p.get("class_weight") == "balanced")
     if key == "neural_network":
         return _mlp(p, n_features, n_classes)

@@ -10,10 +10,10 @@ Re-aimed from per-machine tree / kernel explainers to one distributed job
 * every (row, background, permutation) triple becomes a chain of p+1 hybrid
   vectors: step i takes the first i features of the permutation from the
   explained row and the rest from the background row;
-* ONE ``Model.transform`` scores all hybrids; consecutive differences along
-  a chain (``lag`` in a window of p+1 rows) are the marginal contributions of
-  the feature added at that step;
-* contributions are averaged per (row, class, feature).
+* ONE ``Model.transform`` scores all hybrids; the score of step i counts for
+  the feature added there and against the one added next, so the marginal
+  contributions are signed sums: one aggregate with map-side combine, no sort;
+* they are averaged over the chains per (row, class, feature).
 
 Each chain telescopes, so per row the attributions sum exactly to
 f(x) - mean_background f(z) (additivity), whatever the sample sizes.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.profile import seeded_sample
+from cohortlens.session import written
 
 
 def _sample_indexed(df: DataFrame, n: int, seed: int, name: str) -> DataFrame:
@@ -69,12 +70,13 @@ def shapley_values(model, data: DataFrame, feature_names, classes, n_explain: in
     if link == "logit":
         scored = scored.withColumn("prob", F.transform("prob", lambda v: F.log(
             F.greatest(v, F.lit(1e-12)) / F.greatest(1 - v, F.lit(1e-12)))))
-    w = Window.partitionBy("id", "bi", "perm").orderBy("step")
-    diffs = (scored.withColumn("prev", F.lag("prob").over(w)).filter(F.col("step") > 0)
-             .withColumn("feature_idx", F.element_at("order", F.col("step")))
-             .select("id", "feature_idx", F.posexplode(F.zip_with("prob", "prev", lambda a, b: a - b))
-                     .alias("class_idx", "delta")))
-    phi = diffs.groupBy("id", "class_idx", "feature_idx").agg(F.avg("delta").alias("shap"))
+    step, none = F.col("step"), F.lit(None).cast("int")
+    uses = F.array(F.struct(F.when(step > 0, F.get("order", step - 1)).otherwise(none).alias("feature_idx"), F.lit(1).alias("sign")),
+                   F.struct(F.when(step < p, F.get("order", step)).otherwise(none).alias("feature_idx"), F.lit(-1).alias("sign")))
+    signed = (scored.select("id", "prob", F.explode(uses).alias("u")).filter(F.col("u.feature_idx").isNotNull())
+              .select("id", "u.feature_idx", "u.sign", F.posexplode("prob").alias("class_idx", "score")))
+    phi = signed.groupBy("id", "class_idx", "feature_idx").agg(
+        (F.sum(F.col("sign") * F.col("score")) / F.count_if(F.col("sign") > 0)).alias("shap"))
     names = F.array(*[F.lit(n) for n in feature_names])
     cls = F.array(*[F.lit(c) for c in classes])
     vals = ex.select("id", "x")
@@ -135,13 +137,13 @@ def sample_report(model, data: DataFrame, raw: DataFrame, classes, n: int = 5, s
 
 def attribute_models(models: dict, data: DataFrame, feature_names, classes, **kw) -> DataFrame:
     """X11: Shapley tables of every model with a ``model`` column; a model
-    that fails is recorded as an error row instead of stopping the run."""
+    that fails, at run time too, is recorded as an error row instead of stopping the run."""
     spark = data.sparkSession
     parts = []
     for name, m in models.items():
         try:
             a = shapley_values(m, data, feature_names, classes, **kw)
-            a.schema  # analysis errors surface here
+            a = written(a, "attributions")  # every failure surfaces here
             parts.append(a.select(F.lit(name).alias("model"), "*", F.lit(None).cast("string").alias("error")))
         except Exception as ex:  # noqa: BLE001 - reported as a row
             parts.append(spark.createDataFrame(

@@ -73,6 +73,8 @@ def train_and_explain(spark: SparkSession, data_dir: str, out_dir: str, models=D
     # Explanations of the best single model
     best_single = best["model"] if best and best["model"] in fitted else next(iter(fitted))
     own = good.filter(F.col("model") == best_single).drop("model", "error")
+    # factors and rules speak of the students' own values, not of z-scores
+    own = ex.with_raw_values(own, fx.roster(spark, data_dir), "id")
     expl = sh.explain_rows(fitted[best_single], data.df, own, data.classes, 5)
     recs = ex.recommendations(own.join(expl.select("id", F.col("predicted").alias("class_name")),
                                        ["id", "class_name"]), "id").drop("class_name")

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.exprs import to_number
 from cohortlens.schema import ROSTER_SCHEMA
+from cohortlens.session import written
 
 FORMATS = ("csv", "parquet", "json")
 
@@ -24,13 +26,33 @@ FORMATS = ("csv", "parquet", "json")
 def read_delimited(spark: SparkSession, path: str, sep: str = ",",
                    schema: T.StructType | None = ROSTER_SCHEMA, header: bool = True) -> DataFrame:
     """Delimited text with a header row, ``,`` or ``;``; bad numbers become
-    null (PERMISSIVE mode) instead of failing the read."""
+    null instead of failing the read.
+
+    Columns are matched by their header name, in any order; a column of the
+    schema that the file lacks is null, and columns that only the file has stay
+    (as text, at the end). Without a header the schema's order is the file's."""
     r = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-    if schema is not None:
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", True)
-    return r.csv(path)
+    if schema is None:
+        return r.option("inferSchema", True).csv(path)
+    if not header:
+        return r.schema(schema).csv(path)
+    raw = r.csv(path)
+    named = {c.strip().lower(): c for c in raw.columns}
+
+    def typed(f: T.StructField):
+        c = named.pop(f.name.lower(), None)
+        if c is None:
+            out = F.lit(None).cast(f.dataType)
+        elif isinstance(f.dataType, T.StringType):
+            out = F.col(f"`{c}`")
+        elif isinstance(f.dataType, T.NumericType):
+            out = to_number(F.col(f"`{c}`")).try_cast(f.dataType)
+        else:
+            out = F.col(f"`{c}`").try_cast(f.dataType)
+        return out.alias(f.name, metadata=f.metadata)
+
+    known = [typed(f) for f in schema.fields]
+    return raw.select(*known, *[F.col(f"`{c}`") for c in raw.columns if c in named.values()])
 
 
 def load(spark: SparkSession, path: str, file_type: str = "csv", schema=None, **options) -> DataFrame:
@@ -118,7 +140,8 @@ def append_predictions(pred: DataFrame, path: str, model_name: str) -> DataFrame
 
 def batch_score(spark: SparkSession, data: DataFrame, model_paths: dict, classes) -> DataFrame:
     """Score the whole table with each saved model. A missing or failing
-    model becomes one error row, not a failure of the run."""
+    model, one that fails at run time too, becomes one error row, not a failure
+    of the run: each is scored to storage before the next."""
     schema = "model string, id long, y_true string, y_pred string, error string"
     parts = []
     cls = F.array(*[F.lit(c) for c in classes])
@@ -130,8 +153,7 @@ def batch_score(spark: SparkSession, data: DataFrame, model_paths: dict, classes
                 F.col("class_name").alias("y_true"),
                 F.coalesce(F.element_at(cls, F.col("prediction").cast("int") + 1), F.lit("Unknown")).alias("y_pred"),
                 F.lit(None).cast("string").alias("error"))
-            scored.schema  # resolve now so that a bad model fails here
-            parts.append(scored)
+            parts.append(written(scored, "scored"))
         except Exception as ex:  # noqa: BLE001 - reported as a row
             msg = f"{type(ex).__name__}: {str(ex).splitlines()[0] if str(ex) else ''}"[:300]
             parts.append(spark.createDataFrame([(name, None, None, None, msg)], schema))

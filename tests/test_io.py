@@ -65,3 +65,26 @@ def test_report_writer(spark, tmp_path):
                                 "model string, split string, metric string, value double, training_time double")
     io.write_report(rep, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report")).first()["value"] == 0.5
+
+
+def test_columns_are_matched_by_header(spark, tmp_path):
+    p = tmp_path / "roster.csv"
+    p.write_text("sex;note;school; age ;G3\nF;hello;GP;18;12\nM;;MS;x;9d\n")
+    rows = io.read_delimited(spark, str(p), sep=";").collect()
+    assert [(r["school"], r["sex"], r["age"], r["G3"], r["note"]) for r in rows] == [("GP", "F", 18, 12, "hello"), ("MS", "M", None, None, None)]
+    assert rows[0]["Medu"] is None
+
+
+def test_a_model_that_fails_at_run_time_is_a_row(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    small = spark.createDataFrame([(Vectors.dense([0.0, 1.0]), 0.0), (Vectors.dense([1.0, 0.0]), 1.0)], ["features", "label"])
+    model = PipelineModel([LogisticRegression(maxIter=2).fit(small)])
+    io.save_model(model, str(tmp_path / "lr"))
+    wide = spark.createDataFrame([(1, Vectors.dense([0.0, 1.0, 2.0]), "a")], ["id", "features", "class_name"])
+    got = io.batch_score(spark, wide, {"lr": str(tmp_path / "lr"), "gone": str(tmp_path / "none")}, ["a", "b"]).collect()
+    assert {r["model"] for r in got} == {"lr", "gone"} and all(r["error"] for r in got)
+    ok = wide.select("id", F.lit(None).alias("x"), "class_name").drop("x").join(
+        spark.createDataFrame([(1, Vectors.dense([0.0, 1.0]))], ["id", "features"]), "id")
+    assert io.batch_score(spark, ok, {"lr": str(tmp_path / "lr")}, ["a", "b"]).first()["error"] is None

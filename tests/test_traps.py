@@ -284,3 +284,26 @@ def test_a_cluster_needs_a_shared_folder():
         session.checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]")))
+
+
+def test_rules_compare_raw_values(spark):
+    from cohortlens.operators import explain
+    attr = spark.createDataFrame([(1, "High", "goout", 0.3, -0.5), (1, "High", "schoolsup", -0.4, -0.2), (1, "High", "made_up", 7.0, -0.1)],
+                                 "id long, class_name string, feature string, value double, shap double")
+    roster = spark.createDataFrame([(1, 5, "no"), (2, 1, "yes")], "student_id long, goout int, schoolsup string")
+    got = {r["feature"]: r["value"] for r in explain.with_raw_values(attr, roster, "id").collect()}
+    assert got == {"goout": 5.0, "schoolsup": 0.0, "made_up": 7.0}
+
+
+def test_svm_kernels(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from cohortlens.plans import models
+    rows = [(i, Vectors.dense([i % 2 * 2.0 - 1 + (i % 5) / 10, (i % 7) / 7]), float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, ["id", "features", "label"])
+    with pytest.raises(ValueError):
+        models.CalibratedSVM(kernel="cosine", n_features=2).fit(df)
+    for gamma in ("scale", "auto", 0.5):
+        out = models.CalibratedSVM(kernel="sigmoid", gamma=gamma, n_features=2, dim=8, max_iter=10).fit(df).transform(df)
+        assert out.filter("prediction = label").count() >= 36
+    assert models.CalibratedSVM(gamma="auto", n_features=4)._gamma(df) == 0.25
