@@ -85,11 +85,14 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
         self.count = np.diff(self.first)
         if hashes:
-            up, down = _powers_to(len(self.buf))
-            total = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:len(self.buf)], out=total[1:])
-            h = (total[self.end] - total[self.start]) * down[self.start]
-            self.hash = mix(h + (self.end - self.start).astype(np.uint64) * _STEP)
+            self.hash = self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans of ``buf``; they depend on the bytes only."""
+        up, down = _powers_to(len(self.buf))
+        total = np.zeros(len(self.buf) + 1, np.uint64)
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:len(self.buf)], out=total[1:])
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
 
     def row(self) -> np.ndarray:
         """Text number of each word."""

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from cohortlens.llm.jump_hash import jump_hash
 from cohortlens.llm.range_coder import Frequencies, _blocks, checksum, decode, encode, pack_block, unpack_block
-from cohortlens.llm.tokens import WordEncoder
+from cohortlens.llm.tokens import PieceEncoder
 from cohortlens.llm.words import Words
 
 TEXT = st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab \n\t\x0b\x0c\r\x1c  Éß😀|#1'"), max_size=60), st.text(max_size=40))
@@ -106,12 +106,12 @@ def tokenizer():
 
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         definition = f.read()
-    return Tokenizer.from_str(definition), WordEncoder(definition, cache_words=50)
+    return Tokenizer.from_str(definition), PieceEncoder(definition, cache_pieces=50)
 
 
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.one_of(TEXT, st.sampled_from(["<|endoftext|> a<|startoftext|>b", "don't ΣΑΣ Σ  é x", "İI ﬁ"])), max_size=5))
-def test_word_by_word_is_the_same_as_whole(tokenizer, texts):
+def test_piece_by_piece_is_the_same_as_whole(tokenizer, texts):
     whole, by_word = tokenizer
     ids, n = by_word.encode([None if t is None else t.encode("utf-8", "ignore") for t in texts])
     each = np.split(ids, np.cumsum(n)[:-1]) if texts else []
