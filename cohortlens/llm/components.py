@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.session import cut_lineage
+from cohortlens.llm.shared import settled
 
 MAX_ROUNDS = 60
 
@@ -28,14 +28,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of an edge table (u, v): label is the least node of its component.
 
-    Self loops and repeated edges do no harm; rounds are cut by checkpoints in
-    the shared folder.  Raises if ``MAX_ROUNDS`` do not settle it.
+    Self loops and repeated edges do no harm; each round is written to the shared
+    folder.  Raises if ``MAX_ROUNDS`` do not settle it.
     """
-    state = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                        .filter("u <> v").distinct())
+    state = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                    .filter("u <> v").distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        state = cut_lineage(_stars(_stars(state, True), False))
+        state = settled(_stars(_stars(state, True), False), "edges")
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             nodes = state.select(F.col("u").alias("node"), F.col("v").alias("label"))

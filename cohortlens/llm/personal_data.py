@@ -20,7 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import cut_lineage
+from cohortlens.llm.shared import settled
 
 # Patterns are written so that no start is tried twice and no repetition recurses:
 # a run is only entered at its first character or where the last match ended (\G),
@@ -179,7 +179,7 @@ def fit(rows: DataFrame, max_train: int = MAX_TRAIN, min_precision: float = MIN_
     place = F.pmod(F.xxhash64("id", "text_code", "kind", "nth"), F.lit(1_000_000))
     sample = rows.filter(place < int(1_000_000 * min(1.0, max_train / n))).withColumn("label", _label(rows)) \
         .withColumn("held", F.pmod(F.xxhash64("nth", "text_code", "kind"), F.lit(5)) == 0)
-    sample = cut_lineage(sample)
+    sample = settled(sample, "pii-sample")
     train = sample.filter(~F.col("held"))
     if train.select("label").distinct().count() < 2:
         return Scorer(None, {})
@@ -224,7 +224,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text counts as empty; null ids are kept; rows alike in id and text give
     one set of spans; empty tables give none.  Other columns are not read.
     """
-    rows = cut_lineage(features(with_checks(candidates(docs, id_col, text_col))))
+    rows = settled(features(with_checks(candidates(docs, id_col, text_col))), "pii-candidates")
     scorer = scorer or fit(rows, max_train, min_precision)
     # strict spans need no score
     loose = scorer.score(rows.filter(~F.col("base") & F.col("kind").isin(*scorer.thresholds)))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import cohortlens
 from cohortlens.session import checkpoint_dir
@@ -49,6 +49,13 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and reread: computed once, safe from lost executors, lineage cut."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class WholeFile:
     """A file that appears under its name only when it is complete; a repeated task replaces it by an equal one."""
 
