@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ GRAM = 6
 #: occurrences of an anchor from which its windows go by their own hash
 HOT = 5_000
 SALTS = 64
-#: passages that a shard works on at a time, and patterns of one automaton
+#: passages that a shard works on at a time, and patterns of one automaton (small ones stay in the processor cache)
 SHARD_ROWS = 20_000
 MAX_PATTERNS = 50_000
 
@@ -66,88 +67,105 @@ def anchors_of(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
     return starts, place, runs
 
 
-def _first_hits(patterns: list[str], hay: list[tuple[str, tuple, list[int]]], window: int) -> list[list[int]]:
-    """For each passage (characters, place of its first word, starts to judge): the starts that recur earlier.
+def window_hashes(w: Words, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Hashes of the windows at ``starts``; they depend on the words only."""
+    runs = w.hash[:max(0, len(w.hash) - window + 1)].copy()
+    for j in range(1, window):
+        runs *= np.uint64(0xD1342543DE82EF95)
+        runs += w.hash[j:j + len(runs)]
+    return mix(runs[starts])
+
+
+def _characters(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
-    ``patterns`` are word sequences known to occur twice; every one of their
-    occurrences in ``hay`` is found by automata of at most ``MAX_PATTERNS``.
+
+def settle(w: Words, starts: np.ndarray, null: np.ndarray, key: np.ndarray, at: np.ndarray,
+           window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``starts`` another of them precedes, hashes of the windows).
+
+    Text i lies at word ``at[i]`` of the document ``key[i]`` (``null``: without
+    id, last in the order); a place counts once however often it is there.
+    Sequences at two places or more are compiled into automata, and the passages
+    that hold them are streamed through.
     """
     import ahocorasick
 
-    covered: list[list[int]] = [[] for _ in hay]
-    for at in range(0, len(patterns), MAX_PATTERNS):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, p in enumerate(patterns[at:at + MAX_PATTERNS]):
-            automaton.add_word(p, i)
-        automaton.make_automaton()
-        first: dict[int, tuple] = {}
-        hits: list[tuple[int, int, int, tuple]] = []
-        for n, (text, (null, key, start), judged) in enumerate(hay):
-            own = set(judged)
-            for end, i in automaton.iter(text):
-                s = end - window + 1
-                if s in own:
-                    place = (null, key, start + s)
-                    hits.append((n, s, i, place))
-                    if i not in first or place < first[i]:
-                        first[i] = place
-        for n, s, i, place in hits:
-            if place > first[i]:
-                covered[n].append(s)
-    return covered
-
-
-def settle(rows: list[tuple], window: int = WINDOW) -> list[list[int]]:
-    """Starts of each passage (id, at, starts, words) that another place of ``rows`` precedes."""
-    codes: dict[bytes, str] = {}
-    hay, seen, twice = [], {}, set()
-    for key, at, starts, words in rows:
-        text = "".join([codes.setdefault(x, chr(len(codes) + 1)) for x in words.split()])
-        place = (key is None, key or 0, at)
-        hay.append((text, place, starts))
-        for s in starts:
-            here = (key is None, key or 0, at + s)
-            if seen.setdefault(text[s:s + window], here) != here:
-                twice.add(text[s:s + window])
-    return _first_hits(sorted(twice), hay, window)
-
-
-def _settle_chunk(w: Words, ids: list[int | None], starts: np.ndarray, window: int) -> np.ndarray:
-    """Which window starts of a chunk recur at an earlier place of the chunk."""
     out = np.zeros(len(starts), bool)
-    runs = w.hash.copy()[:max(0, len(w.hash) - window + 1)]
-    for j in range(1, window):
-        runs *= np.uint64(0xD1342543DE82EF95)
-        runs += w.hash[j:j + len(runs)]
-    twice = pd.Series(mix(runs[starts])).duplicated(keep=False).to_numpy()
+    name = window_hashes(w, starts, window)
+    row = w.row()[starts]
+    place = at[row] + starts - w.first[row]
+    twice = pd.Series(name).duplicated(keep=False).to_numpy()
     if not twice.any():
-        return out
-    code, _ = pd.factorize(w.hash)
-    text = (code + 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return out, name
     some = starts[twice]
-    patterns = sorted({text[s:s + window] for s in some.tolist()})
-    # runs of neighbouring windows are one passage
-    row = w.row()[some]
-    cut = np.flatnonzero((np.diff(some) > window) | (np.diff(row) != 0)) + 1
-    hay, which = [], []
-    for part, of in zip(np.split(some, cut), np.split(row, cut), strict=True):
-        a, doc = int(part[0]), int(of[0])
-        key = ids[doc]
-        hay.append((text[a:int(part[-1]) + window], (key is None, key or 0, a - int(w.first[doc])), (part - a).tolist()))
-        which.append(a)
-    covered = [a + s for a, found in zip(which, _first_hits(patterns, hay, window), strict=True) for s in found]
-    out[np.isin(starts, np.array(covered, np.int64))] = True
-    return out
-
-
-def _row_codes(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
-    return batch.column("id").to_pylist(), batch.column("row_code").to_numpy(zero_copy_only=False)
+    patterns = some[~pd.Series(name[twice]).duplicated().to_numpy()]
+    code, words = pd.factorize(w.hash)
+    # neighbouring windows are one passage
+    cut = np.flatnonzero(np.diff(some) > window) + 1
+    passages = list(zip(some[np.append(0, cut)].tolist(), (some[np.append(cut - 1, len(some) - 1)] + window).tolist(), strict=True))
+    index = np.full(len(w.hash), -1, np.int64)  # which of starts a word is
+    index[starts] = np.arange(len(starts))
+    for lo in range(0, len(patterns), MAX_PATTERNS):
+        own = patterns[lo:lo + MAX_PATTERNS]
+        # the automaton's words are characters, all others one that no pattern has
+        used, _ = pd.factorize(code[(own[:, None] + np.arange(window)).ravel()])
+        small = np.zeros(len(words), np.int64)
+        small[code[(own[:, None] + np.arange(window)).ravel()]] = used + 1
+        text = _characters(small[code])
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, s in enumerate(own.tolist()):
+            automaton.add_word(text[s:s + window], i)
+        automaton.make_automaton()
+        ends, which = [], []
+        for a, b in passages:
+            for end, i in automaton.iter(text[a:b]):
+                ends.append(a + end)
+                which.append(i)
+        hit = index[np.array(ends, np.int64) - window + 1]
+        which = np.array(which, np.int64)
+        hit, which = hit[hit >= 0], which[hit >= 0]
+        order = np.lexsort((place[hit], key[row[hit]], null[row[hit]], which))
+        hit, which = hit[order], which[order]
+        new = np.ones(len(hit), bool)
+        new[1:] = which[1:] != which[:-1]
+        first = hit[new][np.cumsum(new) - 1]
+        same = (null[row[hit]] == null[row[first]]) & (key[row[hit]] == key[row[first]]) & (place[hit] == place[first])
+        out[hit[~same]] = True
+    return out, name
+
+
+def _id_order(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _bounds(*changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups of neighbours begin and end; each array says where the next one differs."""
+    n = len(changes[0]) + 1
+    cut = np.flatnonzero(np.logical_or.reduce(changes)) + 1
+    return np.append(0, cut), np.append(cut, n)
+
+
+def _passages(route, salt, hot, ids: pa.Array, codes, at, starts: np.ndarray, lo: np.ndarray, words: list) -> pa.RecordBatch:
+    """A batch of PASSAGE rows; ``starts`` is their starts in a row, ``lo`` where each one's begin."""
+    offsets = pa.array(np.append(lo, len(starts)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([
+        pa.array(route, pa.int64()), pa.array(salt, pa.int32()), pa.array(hot, pa.bool_()), ids, pa.array(codes, pa.int64()),
+        pa.array(at, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))),
+        pa.array(words, pa.binary())], schema=_PASSAGE)
+
+
+def _settled(ids: pa.Array, codes: np.ndarray, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows of settled starts: ``place`` in the document of text ``row`` (sorted)."""
+    lo, _ = _bounds(np.diff(row) != 0)
+    of, zero = row[lo], np.zeros(len(lo), np.int64)
+    return _passages(codes[of], zero, zero.astype(bool), ids.take(pa.array(of)), codes[of], zero, place, lo, [None] * len(lo))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, row_code, n): the anchors of each document, with how often each is picked at another place."""
     for batch in batches:
-        _, codes = _row_codes(batch)
+        codes = batch.column("row_code").to_numpy(zero_copy_only=False)
         for at, texts in text_chunks(batch.column("text")):
             w = Words(texts)
             _, place, runs = anchors_of(w)
@@ -162,13 +180,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their recurring anchors -> passages to settle elsewhere, and starts settled here."""
     for batch in batches:
-        ids, codes = _row_codes(batch)
-        marks, hots = batch.column("anchors"), batch.column("hot")
+        all_codes = batch.column("row_code").to_numpy(zero_copy_only=False)
         for at, texts in text_chunks(batch.column("text")):
             w = Words(texts)
             starts, place, runs = anchors_of(w)
             n = len(texts)
-            mark, hot = marks.slice(at, n), hots.slice(at, n)
+            ids, codes = batch.column("id").slice(at, n), all_codes[at:at + n]
+            mark, hot = batch.column("anchors").slice(at, n), batch.column("hot").slice(at, n)
             of = np.repeat(np.arange(n, dtype=np.uint64), np.diff(mark.offsets.to_numpy()))
             value = mark.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             is_hot = hot.flatten().to_numpy(zero_copy_only=False).astype(bool)
@@ -178,68 +196,88 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             starts, place, mine = starts[keep], place[keep], mine[keep]
             if not len(starts):
                 continue
-            own = [ids[at + i] for i in range(n)]
-            gone = _settle_chunk(w, own, starts, WINDOW)
+            gone, name = settle(w, starts, *_id_order(ids), np.zeros(n, np.int64))
             row = w.row()[starts]
-            out: list[dict] = []
-            for i in np.unique(row[gone]).tolist():
-                out.append({"route": int(codes[at + i]), "salt": 0, "hot": False, "id": own[i], "row_code": int(codes[at + i]),
-                            "at": 0, "starts": (starts[gone & (row == i)] - w.first[i]).tolist(), "words": None})
-            starts, place, row = starts[~gone], place[~gone], row[~gone]
-            alone = np.isin(mine[~gone], known[is_hot])
+            if gone.any():
+                yield _settled(ids, codes, row[gone], (starts - w.first[row])[gone])
+            left = ~gone
+            starts, place, row, name = starts[left], place[left], row[left], name[left]
+            if not len(starts):
+                continue
             # a passage: the windows of one place of an anchor, or one window of a common anchor
-            cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(row) != 0) | alone[1:] | alone[:-1]) + 1 \
-                if len(starts) else np.zeros(0, np.int64)
+            alone = np.isin(mine[left], known[is_hot])
+            lo, hi = _bounds(np.diff(place) != 0, np.diff(row) != 0, alone[1:] | alone[:-1])
+            a, of, common = starts[lo], row[lo], alone[lo]
             raw = w.buf.tobytes()
-            for part in np.split(np.arange(len(starts)), cut) if len(starts) else ():
-                a, b, i = int(starts[part[0]]), int(starts[part[-1]]) + WINDOW, int(row[part[0]])
-                words = raw[w.start[a]:w.end[b - 1]]
-                common = bool(alone[part[0]])
-                route = int.from_bytes(hashlib.blake2b(b" ".join(words.split()), digest_size=8).digest(), "big", signed=True) \
-                    if common else int(runs[place[part[0]]].view(np.int64))
-                out.append({"route": route, "salt": int(codes[at + i]) % SALTS if common else 0, "hot": common,
-                            "id": own[i], "row_code": int(codes[at + i]), "at": a - int(w.first[i]),
-                            "starts": (starts[part] - a).tolist(), "words": words})
-            for s in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_pylist(out[s:s + 4096], _PASSAGE)
+            words = [raw[x:y] for x, y in zip(w.start[a].tolist(), w.end[starts[hi - 1] + WINDOW - 1].tolist(), strict=True)]
+            yield _passages(np.where(common, name[lo], runs[place[lo]]).view(np.int64),
+                            np.where(common, codes[of] % SALTS, 0), common, ids.take(pa.array(of)), codes[of], a - w.first[of],
+                            starts - np.repeat(a, hi - lo), lo, words)
+
+
+def _work(table: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
+    """Settle the passages of a shard; in the salted round what is left of common anchors goes on."""
+    batch = table.combine_chunks().to_batches()[0]
+    ids, codes = batch.column("id"), batch.column("row_code").to_numpy()
+    first, hot = batch.column("at").to_numpy().astype(np.int64), batch.column("hot").to_numpy(zero_copy_only=False)
+    salt = batch.column("salt").to_numpy().astype(np.int64) if salted else np.zeros(len(first), np.int64)
+    words = batch.column("words").to_pylist()
+    each = batch.column("starts")
+    inner, count = each.flatten().to_numpy().astype(np.int64), np.diff(each.offsets.to_numpy())
+    w = Words(words)
+    of = np.repeat(np.arange(len(words)), count)
+    starts = w.first[of] + inner
+    null, key = _id_order(ids)
+    gone = np.zeros(len(starts), bool)
+    for one in np.unique(salt).tolist():  # salts apart
+        own = salt[of] == one
+        gone[own], _ = settle(w, starts[own], null, key, first)
+    if gone.any():
+        order = np.argsort(codes[of[gone]], kind="stable")
+        # one row for each document
+        row = of[gone][order]
+        place = (first[of] + inner)[gone][order]
+        head = np.flatnonzero(np.diff(codes[row], prepend=codes[row[:1]] - 1))
+        row = np.repeat(row[head], np.diff(np.append(head, len(row))))
+        yield _settled(ids, codes, row, place)
+    if salted:
+        left = ~gone & hot[of]
+        row = of[left]
+        if len(row):
+            lo, _ = _bounds(np.diff(row) != 0)
+            some = row[lo]
+            yield _passages(batch.column("route").to_numpy()[some], np.zeros(len(some)), np.ones(len(some), bool),
+                            ids.take(pa.array(some)), codes[some], first[some], inner[left], lo, [words[i] for i in some.tolist()])
 
 
 def _shards(salted: bool):
     """Passages sorted by route (and salt) -> settled starts; in the salted round, common ones left over go on."""
 
-    def work(rows: list[dict]) -> list[dict]:
-        groups: dict[int, list[dict]] = {}
-        for r in rows:
-            groups.setdefault(r["salt"] if salted else 0, []).append(r)
-        out = []
-        for group in groups.values():
-            found = settle([(r["id"], r["at"], r["starts"], r["words"]) for r in group])
-            for r, gone in zip(group, found, strict=True):
-                if gone:
-                    out.append(r | {"route": r["row_code"], "salt": 0, "hot": False, "at": 0, "words": None,
-                                    "starts": [r["at"] + s for s in gone]})
-                left = sorted(set(r["starts"]) - set(gone))
-                if salted and r["hot"] and left:
-                    out.append(r | {"starts": left})
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            done = []
-            for r in batch.to_pylist():
-                if r["words"] is None or not (salted or r["hot"]):
-                    done.append(r)
-                    continue
-                # a route stays together
-                if len(held) >= SHARD_ROWS and r["route"] != held[-1]["route"]:
-                    done += work(held)
-                    held = []
-                held.append(r)
-            if done:
-                yield pa.RecordBatch.from_pylist(done, _PASSAGE)
+            is_done = batch.column("words").is_null()
+            if is_done.true_count:
+                yield batch.filter(is_done)
+                batch = batch.filter(pc.invert(is_done))
+            # a route stays together: a full shard ends where the route changes
+            while batch.num_rows:
+                if n < SHARD_ROWS:
+                    part = batch.slice(0, SHARD_ROWS - n)
+                else:
+                    last = held[-1].column("route")[-1].as_py()
+                    same = batch.column("route").to_numpy() == last
+                    part = batch.slice(0, batch.num_rows if same.all() else int(np.argmin(same)))
+                    if not part.num_rows:
+                        yield from _work(pa.Table.from_batches(held), salted)
+                        held, n = [], 0
+                        continue
+                held.append(part)
+                n += part.num_rows
+                batch = batch.slice(part.num_rows)
         if held:
-            yield pa.RecordBatch.from_pylist(work(held), _PASSAGE)
+            yield from _work(pa.Table.from_batches(held), salted)
 
     return run
 
