@@ -12,7 +12,12 @@ partitions (every subset non-empty) than its differences can spoil; the few sets
 with fewer also get signatures of empty projections, which meet only among
 themselves.  So no similar pair is lost.
 
-Signatures travel packed (four bytes each) to buckets of bounded size; what many
+Signatures travel with a sketch of their set: counts of its elements in
+``CELLS`` cells, whose differences add up to at most the sets' difference.  Where
+a signature meets, sets that the sketches prove too different are told apart at
+once; so passages that many documents share do not pair them all.
+
+Signatures travel packed (five bytes each) to buckets of bounded size; what many
 documents of one batch share is sent once.  A bucket's groups give links from
 members to one of the group, verified on the texts.  Where that leaves a group
 in several components, all its cross pairs are searched exactly by prefix
@@ -30,13 +35,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.shared import ship_package
+from cohortlens.llm.shared import settled, ship_package
 from cohortlens.llm.words import Words, mix, text_chunks
-from cohortlens.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -47,7 +51,9 @@ SLACK = 0.25
 BUCKET_SIGNATURES = 6_000_000
 FLUSH = 3_000_000
 #: documents of a batch from which a signature they share is sent once
-LOCAL_GROUP = 8
+LOCAL_GROUP = 64
+#: cells of a sketch, half a byte each
+CELLS = 128
 #: members of a block when a group is searched pair by pair
 BLOCK = 1_000
 #: nodes (8 bytes each) up to which the set of candidates is broadcast
@@ -74,7 +80,6 @@ class Scheme:
         spoiled = differ // (self.errors + 1)
         n1 = np.where(differ > 0, spoiled + 1 + np.ceil(self.slack * spoiled).astype(np.int64), 0)
         return sizes, n1, spoiled
-
     def similar(self, common: int, a: int, b: int) -> bool:
         return 100 * common >= self.threshold * (a + b - common)
 
@@ -101,51 +106,94 @@ def _node(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _projections(offsets: np.ndarray, values: np.ndarray, n1: np.ndarray, band: np.ndarray, space: int, scheme: Scheme):
+    """(set, signature, whether its projection is empty) of every subset of parts, and the good partitions of each set.
+
+    ``n1`` partitions for each set (0: none); equal projections of one band and
+    ``space`` have equal signatures.
+    """
+    sizes, n2 = np.diff(offsets), scheme.parts
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    use = n1[which] > 0
+    which, values = which[use], values[use]
+    h = mix(values + np.uint64(0x632BE59BD9B4E019))
+    base = np.cumsum(n1) - n1  # first partition of each set
+    part = ((h >> np.uint64(32)) * n1[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    cell = (base[which] + part) * n2 + (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % n2
+    total = int(n1.sum())
+    sums = np.zeros(total * n2, np.uint64)
+    np.add.at(sums, cell, mix(values ^ np.uint64(0x8CB92BA72F3D8DD7)))
+    filled = (np.bincount(cell, minlength=total * n2) > 0).reshape(total, n2)
+    sums = sums.reshape(total, n2)
+    owner = np.repeat(np.arange(len(sizes)), n1)
+    place = (np.arange(total) - base[owner]).astype(np.uint64)
+    name = mix(place * np.uint64(0x9E3779B97F4A7C15) + band[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+               + np.uint64(space))
+    sigs, empty = [], []
+    for k, subset in enumerate(combinations(range(n2), n2 - scheme.errors)):
+        key = mix(name + np.uint64(k + 1))
+        value = key.copy()
+        for p in subset:
+            value += mix(sums[:, p] + np.uint64(p + 1))
+        has = filled[:, subset].any(1)
+        sigs.append(mix(np.where(has, value, key ^ np.uint64(0x5851F42D4C957F2D))))
+        empty.append(~has)
+    good = np.bincount(owner, weights=filled.sum(1) > scheme.errors, minlength=len(sizes))
+    return np.tile(owner, len(sigs)), np.concatenate(sigs), np.concatenate(empty), good
+
+
 def signatures(offsets: np.ndarray, values: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) of sets in the form of ``shingle_sets``."""
     top, n1_of, spoiled_of = scheme.bands()
     sizes = np.diff(offsets)
     own = np.searchsorted(top, sizes)
-    n2, subsets = scheme.parts, list(combinations(range(scheme.parts), scheme.parts - scheme.errors))
-    out_set, out_sig = [], []
-    h = mix(values + np.uint64(0x632BE59BD9B4E019))
-    content = mix(values ^ np.uint64(0x8CB92BA72F3D8DD7))
+    out_set, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for band in (own, own + 1):
-        n1 = np.where(sizes > 0, n1_of[np.minimum(band, len(n1_of) - 1)], 0)
-        live = np.flatnonzero(n1)
-        if not len(live):
+        at = np.minimum(band, len(n1_of) - 1)
+        n1 = np.where(sizes > 0, n1_of[at], 0)
+        if not n1.any():
             continue
-        base = np.cumsum(n1) - n1  # first partition of each set
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        use = n1[which] > 0
-        which, hh, cc = which[use], h[use], content[use]
-        part = ((hh >> np.uint64(32)) * n1[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        cell = (base[which] + part) * n2 + (hh & np.uint64(0xFFFFFFFF)).astype(np.int64) % n2
-        total = int(n1.sum())
-        sums = np.zeros(total * n2, np.uint64)
-        np.add.at(sums, cell, cc)
-        filled = (np.bincount(cell, minlength=total * n2) > 0).reshape(total, n2)
-        sums = sums.reshape(total, n2)
-        owner = np.repeat(np.arange(len(sizes)), n1)
-        place = np.arange(total) - base[owner]
-        good = np.bincount(owner, weights=filled.sum(1) > scheme.errors, minlength=len(sizes))
-        poor = good <= spoiled_of[np.minimum(band, len(n1_of) - 1)]
-        for k, subset in enumerate(subsets):
-            key = mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                      + band[owner].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k + 1))
-            value = key.copy()
-            for p in subset:
-                value += mix(sums[:, p] + np.uint64(p + 1))
-            has = filled[:, subset].any(1)
-            sig = mix(np.where(has, value, key ^ np.uint64(0x5851F42D4C957F2D)))
-            sent = has | poor[owner]
-            out_set.append(owner[sent])
-            out_sig.append(sig[sent])
-    if not out_set:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        owner, sig, empty, good = _projections(offsets, values, n1, band, 0, scheme)
+        poor = (n1 > 0) & (good <= spoiled_of[at])
+        sent = ~empty | poor[owner]
+        out_set.append(owner[sent])
+        out_sig.append(sig[sent])
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
+def sketches(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Counts (up to 15) of each set's elements in ``CELLS`` cells."""
+    n = len(offsets) - 1
+    which = np.repeat(np.arange(n), np.diff(offsets))
+    cell = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.int64) % CELLS
+    return np.minimum(np.bincount(which * CELLS + cell, minlength=n * CELLS), 15).astype(np.uint8).reshape(n, CELLS)
+
+
+def clusters(sizes: np.ndarray, sketch: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
+    """Members that sketches cannot tell apart, chained; of two members or more.
+
+    Similar sets differ in at most (a + b) (100 - t) / (100 + t) elements, and
+    cell counts differ by no more than the sets do.
+    """
+    t, left, out = scheme.threshold, np.arange(len(sizes)), []
+    counts = sketch.astype(np.int16)
+    while len(left) > 1:
+        group, front, left = [left[:1]], left[:1], left[1:]
+        while len(front) and len(left):
+            near = np.zeros(len(left), bool)
+            for x in front:
+                apart = np.abs(counts[left] - counts[x]).sum(1, dtype=np.int64)
+                near |= apart * (100 + t) <= (sizes[left] + sizes[x]) * (100 - t)
+                if near.all():
+                    break
+            front, left = left[near], left[~near]
+            group.append(front)
+        group = np.concatenate(group)
+        if len(group) > 1:
+            out.append(group)
+    return out
+
+
 def _set_rows(shingle: int):
     """Texts -> (n_shingles, node) structs."""
 
@@ -163,29 +211,23 @@ def _set_rows(shingle: int):
     return sets.asNondeterministic()
 
 
-#: packed signatures of a bucket (``hashes``, ``nodes`` and how many each has), or a group of a signature
-PACKED = "bucket int, is_local boolean, sig bigint, members array<bigint>, hashes binary, nodes binary, counts binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("is_local", pa.bool_()), ("sig", pa.int64()),
-                     ("members", pa.list_(pa.int64())), ("hashes", pa.binary()), ("nodes", pa.binary()),
-                     ("counts", pa.binary())])
-
+#: packed signatures of a bucket: ``hashes``, and for each of ``nodes`` how many of them, its size and sketch;
+#: or a group of a signature (``members``)
+PACKED = ("bucket int, is_local boolean, sig bigint, members array<bigint>, hashes binary, nodes binary, counts binary, "
+          "sizes binary, sketches binary")
+_PACKED = pa.schema([("bucket", pa.int32()), ("is_local", pa.bool_()), ("sig", pa.int64()), ("members", pa.list_(pa.int64()))]
+                    + [(c, pa.binary()) for c in ("hashes", "nodes", "counts", "sizes", "sketches")])
 
-def _representative_first(sig: int, members: np.ndarray) -> list[int]:
-    """Members with one of them first; a signature takes one of four orders, so a group has up to four centres."""
-    turn = mix(members.view(np.uint64) ^ mix(np.array([(sig & 3) + 1], np.uint64)))
-    i = int(turn.argmin())
-    return [int(members[i]), *np.delete(members, i).tolist()]
 
-
-def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (sig, node) sorted, with the bounds of each sig."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+def _runs(sig: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sig, place) sorted, with the bounds of each sig."""
+    order = np.lexsort((place, sig))
+    sig, place = sig[order], place[order]
     first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[first], node[first]
+    first[1:] = (sig[1:] != sig[:-1]) | (place[1:] != place[:-1])
+    sig, place = sig[first], place[first]
     cut = np.flatnonzero(np.diff(sig, prepend=sig[:1] - np.uint64(1))) if len(sig) else np.zeros(0, np.int64)
-    return sig, node, np.append(cut, len(sig))
+    return sig, place, np.append(cut, len(sig))
 
 
 def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
@@ -202,37 +244,48 @@ def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
 def _send(scheme: Scheme, shingle: int, buckets: int):
     """Documents -> packed signatures by bucket, and the groups of signatures that many of a batch share."""
 
-    def pack(nodes: np.ndarray, owner: np.ndarray, sig: np.ndarray, local: bool) -> Iterator[dict]:
-        bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    def pack(nodes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, owner: np.ndarray, sig: np.ndarray,
+             local: bool) -> Iterator[dict]:
+        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((owner, bucket))
         owner, sig, bucket = owner[order], sig[order], bucket[order]
         cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             which, n = np.unique(owner[a:b], return_counts=True)
-            low = sig[a:b].astype("<u4") if not local else sig[a:b].astype("<u8")
-            yield {"bucket": int(bucket[a]), "is_local": local, "hashes": low.tobytes(),
-                   "nodes": nodes[which].tobytes(), "counts": n.astype("<u4").tobytes()}
-
-    def flush(nodes: list[int], owner: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, own, sig = np.array(nodes, np.int64), np.concatenate(owner), np.concatenate(sigs)
+            if local:  # with their whole name
+                keys = sig[a:b].astype("<u8").tobytes()
+            else:
+                keys = sig[a:b].astype("<u4").tobytes() + (sig[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()
+            half = sketch[which]
+            yield {"bucket": int(bucket[a]), "is_local": local, "hashes": keys, "nodes": nodes[which].tobytes(),
+                   "counts": n.astype("<u4").tobytes(), "sizes": sizes[which].astype("<u4").tobytes(),
+                   "sketches": (half[:, ::2] | (half[:, 1::2] << 4)).tobytes()}
+
+    def flush(nodes: list[int], sizes: list[np.ndarray], sketch: list[np.ndarray], owner: list[np.ndarray],
+              sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, size, cells = np.array(nodes, np.int64), np.concatenate(sizes), np.concatenate(sketch)
+        own, sig = np.concatenate(owner), np.concatenate(sigs)
         many = _repeated(sig, LOCAL_GROUP)
-        rows = list(pack(node, own[~many], sig[~many], False))
-        if many.any():
-            s, members, cut = _runs(sig[many], node[own[many]])
-            heads, head_sigs = [], []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                group = _representative_first(int(s[a]), members[a:b])
-                heads.append(group[0])
-                head_sigs.append(s[a])
-                rows.append({"bucket": int(s[a] >> np.uint64(32)) % buckets, "sig": int(s[a].view(np.int64)), "members": group})
-            head = np.array(heads, np.int64)
-            rows += pack(head, np.arange(len(head)), np.array(head_sigs, np.uint64), True)
-        for at in range(0, len(rows), 1024):
-            yield pa.RecordBatch.from_pylist(rows[at:at + 1024], _PACKED)
+        s, place, cut = _runs(sig[many], own[many])
+        rows, heads, head_sigs = [], [], []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            # one of each cluster stands for it elsewhere; the cluster itself goes on as a group
+            own_group, sent = place[a:b], np.ones(b - a, bool)
+            for group in clusters(size[own_group], cells[own_group], scheme):
+                sent[group[1:]] = False
+                rows.append({"bucket": int(s[a] >> np.uint64(40)) % buckets, "sig": int(s[a].view(np.int64)),
+                             "members": node[own_group[group]].tolist()})
+            heads.append(own_group[sent])
+            head_sigs.append(np.full(int(sent.sum()), s[a]))
+        rows += pack(node, size, cells, own[~many], sig[~many], False)
+        if heads:
+            rows += pack(node, size, cells, np.concatenate(heads), np.concatenate(head_sigs), True)
+        for at in range(0, len(rows), 512):
+            yield pa.RecordBatch.from_pylist(rows[at:at + 512], _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
-        nodes, owner, sigs, held = [], [], [], 0
+        nodes, sizes, sketch, owner, sigs, held = [], [], [], [], [], 0
         for batch in batches:
             for _, texts in text_chunks(batch.column("text")):
                 offsets, values = shingle_sets(texts, shingle)
@@ -245,78 +298,104 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
                 if not fresh:
                     continue
                 lengths = np.cumsum([0, *(len(v) for _, v in fresh)])
-                own, sig = signatures(lengths, np.concatenate([v for _, v in fresh]), scheme)
+                fresh_values = np.concatenate([v for _, v in fresh])
+                own, sig = signatures(lengths, fresh_values, scheme)
                 owner.append(own + len(nodes))
                 nodes += [node for node, _ in fresh]
+                sizes.append(np.diff(lengths))
+                sketch.append(sketches(lengths, fresh_values))
                 sigs.append(sig)
                 held += len(sig)
                 if held >= FLUSH:
-                    yield from flush(nodes, owner, sigs)
-                    nodes, owner, sigs, held = [], [], [], 0
+                    yield from flush(nodes, sizes, sketch, owner, sigs)
+                    nodes, sizes, sketch, owner, sigs, held = [], [], [], [], [], 0
                     seen.clear()
         if nodes:
-            yield from flush(nodes, owner, sigs)
+            yield from flush(nodes, sizes, sketch, owner, sigs)
 
     return run
 
 
+#: within a bucket this many bits of a signature tell it apart (a false meeting costs one check of the texts)
+KEY_MASK = (1 << 40) - 1
 GROUP = "sig bigint, members array<bigint>"
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: groups of nodes that share a signature (``sig`` null: a pair that is the whole group)."""
+def _match(scheme: Scheme):
+    """One bucket: groups of nodes that share a signature and that their sketches do not tell apart.
+
+    Groups with the same members are given once.  Signatures that many documents
+    of a batch share keep one name, so all their groups can be put together.
+    """
     schema = pa.schema([("sig", pa.int64()), ("members", pa.list_(pa.int64()))])
-    keys, nodes = [], []
-    heads: dict[int, set[int]] = {}
-    bucket = None
-    for batch in batches:
-        passed = []
-        for r in batch.to_pylist():
-            if r["hashes"] is None:
-                passed.append({"sig": r["sig"], "members": r["members"]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places, nodes, sizes, cells = [], [], [], [], []
+        heads: dict[int, set[int]] = {}
+        bucket, held = 0, 0
+        for batch in batches:
+            passed = []
+            for r in batch.to_pylist():
+                if r["hashes"] is None:
+                    passed.append({"sig": r["sig"], "members": r["members"]})
+                    continue
+                bucket = r["bucket"]
+                if r["is_local"]:
+                    full = np.frombuffer(r["hashes"], "<u8")
+                    for f in full.view(np.int64).tolist():
+                        heads.setdefault(f & KEY_MASK, set()).add(f)
+                    key = full & np.uint64(KEY_MASK)
+                else:
+                    n = len(r["hashes"]) // 5
+                    key = np.frombuffer(r["hashes"], "<u4", n).astype(np.uint64)
+                    key |= np.frombuffer(r["hashes"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+                keys.append(key)
+                nodes.append(np.frombuffer(r["nodes"], np.int64))
+                sizes.append(np.frombuffer(r["sizes"], "<u4"))
+                cells.append(np.frombuffer(r["sketches"], np.uint8))
+                places.append(np.repeat(np.arange(held, held + len(nodes[-1]), dtype=np.uint32), np.frombuffer(r["counts"], "<u4")))
+                held += len(nodes[-1])
+            if passed:
+                yield pa.RecordBatch.from_pylist(passed, schema)
+        if not keys:
+            return
+        key, place = np.concatenate(keys), np.concatenate(places)
+        del keys, places
+        use = _repeated(key, 2)
+        key, place = key[use], place[use].astype(np.int64)
+        node, size = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
+        half = np.concatenate(cells).reshape(-1, CELLS // 2)
+        # a node of several batches is one
+        _, first, same = np.unique(node, return_index=True, return_inverse=True)
+        s, place, cut = _runs(key, first[same[place]])
+        # groups with the same members
+        total = np.append(0, np.cumsum(mix(node[place].view(np.uint64))))
+        alike = total[cut[1:]] - total[cut[:-1]]
+        many = np.flatnonzero(np.diff(cut) > 1)
+        _, once = np.unique(alike[many], return_index=True)
+        hot = np.array([x in heads for x in s[cut[:-1][many]].tolist()], bool) if heads else np.zeros(len(many), bool)
+        keep = np.zeros(len(many), bool)
+        keep[once] = True
+        out = []
+        for g in many[keep | hot].tolist():
+            at = place[cut[g]:cut[g + 1]]
+            low = int(s[cut[g]])
+            if low in heads:
+                out += [{"sig": name, "members": node[at].tolist()} for name in heads[low]]
                 continue
-            bucket = r["bucket"]
-            if r["is_local"]:
-                full = np.frombuffer(r["hashes"], "<u8")
-                for f in full.view(np.int64).tolist():
-                    heads.setdefault(f & 0xFFFFFFFF, set()).add(f)
-                key = full.astype(np.uint32)
-            else:
-                key = np.frombuffer(r["hashes"], "<u4")
-            keys.append(key)
-            nodes.append(np.repeat(np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["counts"], "<u4")))
-        if passed:
-            yield pa.RecordBatch.from_pylist(passed, schema)
-    if not keys:
-        return
-    key, node = np.concatenate(keys), np.concatenate(nodes)
-    del keys, nodes
-    # sort the keys with their places, keep those that repeat
-    packed = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
-    packed.sort()
-    key = packed >> np.uint64(32)
-    same = key[1:] == key[:-1]
-    use = np.zeros(len(key), bool)
-    use[1:] |= same
-    use[:-1] |= same
-    s, members, cut = _runs(key[use], node[(packed[use] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-    out, pairs = [], set()
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a < 2:
-            continue
-        low = int(s[a])
-        if b - a == 2 and low not in heads:
-            pairs.add((int(members[a]), int(members[a + 1])))
-            continue
-        # within a bucket the low half names the signature; the groups that batches found keep their name
-        names = heads.get(low) or {int(mix(np.array([low + (bucket << 32)], np.uint64)).view(np.int64)[0])}
-        out += [{"sig": name, "members": _representative_first(low, members[a:b])} for name in names]
-        if len(out) >= 4096:
+            sketch = np.empty((len(at), CELLS), np.uint8)
+            sketch[:, ::2], sketch[:, 1::2] = half[at] & 15, half[at] >> 4
+            for n, group in enumerate(clusters(size[at], sketch, scheme)):
+                name = ((low + (bucket << 40)) * 1_000_003 + n) & 0xFFFFFFFFFFFFFFFF
+                name = int(mix(np.array([name], np.uint64)).view(np.int64)[0])
+                out.append({"sig": name, "members": node[at[group]].tolist()})
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if out:
             yield pa.RecordBatch.from_pylist(out, schema)
-            out = []
-    out += [{"sig": None, "members": list(p)} for p in pairs]
-    for at in range(0, len(out), 4096):
-        yield pa.RecordBatch.from_pylist(out[at:at + 4096], schema)
+
+    return run
 
 
 def _verify(scheme: Scheme, shingle: int):
@@ -412,38 +491,53 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_package()
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = cut_lineage(rows.select("id", _set_rows(shingle)(F.col("text")).alias("s")).select("id", "s.*"))
+    sets = settled(rows.select("id", _set_rows(shingle)(F.col("text")).alias("s")).select("id", "s.*"), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.5 * total / BUCKET_SIGNATURES))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(1.5 * total / BUCKET_SIGNATURES))
     packed = rows.select("text").mapInArrow(_send(scheme, shingle, buckets), PACKED)
-    groups = cut_lineage(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match, GROUP).distinct())
-
-    pairs = groups.select(F.element_at("members", 1).alias("u"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("v")) \
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    wanted = groups.select(F.explode("members").alias("node")).distinct()
+    groups = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(scheme), GROUP)
+    member = settled(groups.select("sig", F.explode("members").alias("node")).distinct(), "groups")
+    # one of each group, by one of four orders, is its centre
+    centre = member.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.col("sig") % 4)).alias("centre"), F.count("*").alias("n")) \
+        .filter("n > 1").select("sig", "centre")
+    spokes = member.join(centre, "sig").filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    # the centre that a node meets most often is tried first
+    order = Window.partitionBy("node").orderBy(F.desc("n"), "centre")
+    pairs = settled(spokes.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"),
+                                  (F.row_number().over(order) == 1).alias("first"))
+                    .groupBy("u", "v").agg(F.max("first").alias("first")), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     if wanted.count() <= MAX_BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     texts = rows.select("text", _set_rows(shingle)(F.col("text"))["node"].alias("node")).join(wanted, "node", "left_semi")
-    texts = cut_lineage(texts.dropDuplicates(["node"]))
+    texts = settled(texts.dropDuplicates(["node"]), "texts")
 
     def text_of(name: str) -> DataFrame:
         return texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
 
-    links = pairs.join(text_of("u"), "u").join(text_of("v"), "v") \
-        .filter(_verify(scheme, shingle)(F.col("u_text"), F.col("v_text"))).select("u", "v")
-    links = cut_lineage(links)
+    def verified(some: DataFrame) -> DataFrame:
+        return settled(some.join(text_of("u"), "u").join(text_of("v"), "v").filter(
+            _verify(scheme, shingle)(F.col("u_text"), F.col("v_text"))).select("u", "v"), "links")
+
+    links = verified(pairs.filter("first").select("u", "v"))
+    labels = connected_components(links)
+    # the other links matter only between components
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    rest = pairs.filter("NOT first").join(named("u"), "u", "left").join(named("v"), "v", "left").filter(
+        F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v")
+    links = links.unionByName(verified(rest))
     labels = connected_components(links)
 
     # groups that are still in several components: search all their cross pairs
-    member = groups.filter("sig IS NOT NULL").select("sig", F.explode("members").alias("node")).distinct() \
-        .join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    member = member.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     loose = member.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")) \
         .filter("a <> b").select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     parts = member.join(loose, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .select("sig", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     parts = parts.join(texts, "node").select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                                              "node", "label", "text")
-    more = cut_lineage(parts.groupBy("sig", "i", "j").applyInArrow(_block_links(scheme, shingle), "u bigint, v bigint").distinct())
+    more = settled(parts.groupBy("sig", "i", "j").applyInArrow(_block_links(scheme, shingle), "u bigint, v bigint").distinct(),
+                   "more-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = connected_components(links)

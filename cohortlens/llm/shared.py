@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and reread: computed once, safe from lost executors, lineage cut."""
     folder = new_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(folder)
+    # Spark drops a shuffle's files once the driver has collected its plan: do that now, not some day
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -107,10 +107,27 @@ def test_repeats_with_overlapping_and_shifted_passages(spark):
 
 
 def test_settle_counts_a_place_once():
+    import numpy as np
+
+    from cohortlens.llm.words import Words
     words20 = " ".join(f"w{i}" for i in range(20)).encode()
-    same = [(1, 0, [0], words20), (1, 0, [0], words20)]
-    assert repeated_phrases.settle(same) == [[], []]
-    assert repeated_phrases.settle([(2, 0, [0], words20), (1, 5, [0], words20), (None, 0, [0], words20)]) == [[0], [], [0]]
+
+    def gone(keys, at):
+        null = np.array([k is None for k in keys])
+        w = Words([words20] * len(keys))
+        return repeated_phrases.settle(w, w.first[:-1], null, np.array([k or 0 for k in keys]), np.array(at))[0].tolist()
+
+    assert gone([1, 1], [0, 0]) == [False, False]
+    assert gone([2, 1, None], [0, 5, 0]) == [True, False, True]
+    assert gone([1, 1], [7, 0]) == [True, False]
+
+
+def test_small_shards_and_automata(docs, rows, monkeypatch):
+    for name, value in (("SHARD_ROWS", 3), ("MAX_PATTERNS", 5)):
+        monkeypatch.setattr(repeated_phrases, name, value)
+    for hot in (repeated_phrases.HOT, 2):
+        got = repeated_phrases.remove_repeats(docs, with_text=True, hot=hot).select("id", "n_words", "n_removed", "kept_sha256", "kept")
+        assert multiset(got.collect()) == slow_repeats(rows)
 
 
 # op3
@@ -209,6 +226,13 @@ def test_every_similar_pair_shares_a_signature():
                 for b in range(a):
                     if sets[a] != sets[b] and scheme.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
                         assert of[a] & of[b], (seed, scheme, len(sets[a]), len(sets[b]))
+            # and no sketch tells it apart
+            sketch = partenum.sketches(offsets, values)
+            chained = [set(c.tolist()) for c in partenum.clusters(np.diff(offsets), sketch, scheme)]
+            for a in range(len(rows)):
+                for b in range(a):
+                    if scheme.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
+                        assert any({a, b} <= c for c in chained)
         assert np.all(np.diff(offsets) == [len(s) for s in sets])
 
 
