@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: rows of a cell (one window group) on average
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 #: finish times from this on share one bucket (exact all the same: a bucket is sorted)
 LAST_FINISH = 64
 
