@@ -55,11 +55,12 @@ def template_windows(rows: DataFrame, text_col: str, keys: list[str], window: in
     of fewer words (null and empty ones too) have no window.
     """
     words = rows.select(*keys, bare_words(F.col(text_col)).alias("words"))
-    typed = words.select(*keys, F.transform("words", lambda t: F.coalesce(placeholder(t), F.lower(t))).alias("template"),
+    # a code for each template word; the value where it is a placeholder
+    typed = words.select(*keys, F.transform("words", lambda t: F.xxhash64(F.coalesce(placeholder(t), F.lower(t)))).alias("codes"),
                          F.transform("words", lambda t: F.when(placeholder(t).isNotNull(), F.lower(t))).alias("values"))
-    places = F.when(F.size("template") >= window, F.sequence(F.lit(1), F.size("template") - window + 1))
+    places = F.when(F.size("codes") >= window, F.sequence(F.lit(1), F.size("codes") - window + 1))
     found = F.transform(places, lambda i: F.struct(
-        i.alias("place"), F.xxhash64(F.slice("template", i, window)).alias("code"),
+        i.alias("place"), F.xxhash64(F.slice("codes", i, window)).alias("code"),
         F.slice("values", i, window).alias("slots")))
     return typed.select(*keys, F.explode(found).alias("w")).select(*keys, "w.*")
 
