@@ -42,7 +42,7 @@ GRAM = 6
 HOT = 5_000
 SALTS = 64
 #: passages that a shard works on at a time, and patterns of one automaton (small ones stay in the processor cache)
-SHARD_ROWS = 20_000
+SHARD_ROWS = 1_000
 MAX_PATTERNS = 50_000
 
 #: a passage (words, the window starts in it to judge) or, without words, settled starts of a document
