@@ -13,7 +13,7 @@ with fewer also get signatures of empty projections, which meet only among
 themselves.  So no similar pair is lost.
 
 Signatures travel with a sketch of their set: counts of its elements in
-``CELLS`` cells, whose differences add up to at most the sets' difference.  Where
+``CELLS`` cells or more, whose differences add up to at most the sets' difference.  Where
 a signature meets, sets that the sketches prove too different are told apart at
 once; so passages that many documents share do not pair them all.
 
@@ -52,7 +52,7 @@ BUCKET_SIGNATURES = 6_000_000
 FLUSH = 3_000_000
 #: documents of a batch from which a signature they share is sent once
 LOCAL_GROUP = 64
-#: cells of a sketch, half a byte each
+#: cells of the sketch of a small set, half a byte each
 CELLS = 128
 #: members of a block when a group is searched pair by pair
 BLOCK = 1_000
@@ -161,22 +161,43 @@ def signatures(offsets: np.ndarray, values: np.ndarray, scheme: Scheme) -> tuple
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
-def sketches(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Counts (up to 15) of each set's elements in ``CELLS`` cells."""
-    n = len(offsets) - 1
-    which = np.repeat(np.arange(n), np.diff(offsets))
-    cell = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(40)).astype(np.int64) % CELLS
-    return np.minimum(np.bincount(which * CELLS + cell, minlength=n * CELLS), 15).astype(np.uint8).reshape(n, CELLS)
+def cells_of(sizes: np.ndarray) -> np.ndarray:
+    """Cells of the sketch of a set: ``CELLS``, doubled until a cell has six elements at most on average."""
+    return CELLS << np.ceil(np.log2(np.maximum(1.0, sizes / (6.0 * CELLS)))).astype(np.int64)
 
 
-def clusters(sizes: np.ndarray, sketch: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
+def sketches(offsets: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """Counts (up to 15, half a byte) of each set's elements in its cells."""
+    sizes = np.diff(offsets)
+    cells = cells_of(sizes)
+    ends = np.cumsum(cells)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    cell = (ends - cells)[which] + (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(24)).astype(np.int64) % cells[which]
+    counts = np.minimum(np.bincount(cell, minlength=int(ends[-1]) if len(ends) else 0), 15).astype(np.uint8)
+    raw = (counts[::2] | (counts[1::2] << 4)).tobytes()
+    return [raw[(e - c) // 2:e // 2] for e, c in zip(ends.tolist(), cells.tolist(), strict=True)]
+
+
+def _counts(sketch: list[bytes]) -> np.ndarray:
+    """Counts of several sketches in the cells of the smallest (a larger one is folded)."""
+    cells = 2 * min(map(len, sketch))
+    out = np.empty((len(sketch), cells), np.int16)
+    for i, x in enumerate(sketch):
+        half = np.frombuffer(x, np.uint8)
+        full = np.empty(2 * len(half), np.uint8)
+        full[::2], full[1::2] = half & 15, half >> 4
+        out[i] = np.minimum(full.reshape(-1, cells).sum(0, dtype=np.int16), 15)
+    return out
+
+
+def clusters(sizes: np.ndarray, sketch: list[bytes], scheme: Scheme) -> list[np.ndarray]:
     """Members that sketches cannot tell apart, chained; of two members or more.
 
     Similar sets differ in at most (a + b) (100 - t) / (100 + t) elements, and
     cell counts differ by no more than the sets do.
     """
     t, left, out = scheme.threshold, np.arange(len(sizes)), []
-    counts = sketch.astype(np.int16)
+    counts = _counts(sketch)
     while len(left) > 1:
         group, front, left = [left[:1]], left[:1], left[1:]
         while len(front) and len(left):
@@ -244,7 +265,7 @@ def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
 def _send(scheme: Scheme, shingle: int, buckets: int):
     """Documents -> packed signatures by bucket, and the groups of signatures that many of a batch share."""
 
-    def pack(nodes: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, owner: np.ndarray, sig: np.ndarray,
+    def pack(nodes: np.ndarray, sizes: np.ndarray, sketch: list[bytes], owner: np.ndarray, sig: np.ndarray,
              local: bool) -> Iterator[dict]:
         bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((owner, bucket))
@@ -256,14 +277,13 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
                 keys = sig[a:b].astype("<u8").tobytes()
             else:
                 keys = sig[a:b].astype("<u4").tobytes() + (sig[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()
-            half = sketch[which]
             yield {"bucket": int(bucket[a]), "is_local": local, "hashes": keys, "nodes": nodes[which].tobytes(),
                    "counts": n.astype("<u4").tobytes(), "sizes": sizes[which].astype("<u4").tobytes(),
-                   "sketches": (half[:, ::2] | (half[:, 1::2] << 4)).tobytes()}
+                   "sketches": b"".join([sketch[i] for i in which.tolist()])}
 
-    def flush(nodes: list[int], sizes: list[np.ndarray], sketch: list[np.ndarray], owner: list[np.ndarray],
+    def flush(nodes: list[int], sizes: list[np.ndarray], cells: list[bytes], owner: list[np.ndarray],
               sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, size, cells = np.array(nodes, np.int64), np.concatenate(sizes), np.concatenate(sketch)
+        node, size = np.array(nodes, np.int64), np.concatenate(sizes)
         own, sig = np.concatenate(owner), np.concatenate(sigs)
         many = _repeated(sig, LOCAL_GROUP)
         s, place, cut = _runs(sig[many], own[many])
@@ -271,7 +291,7 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             # one of each cluster stands for it elsewhere; the cluster itself goes on as a group
             own_group, sent = place[a:b], np.ones(b - a, bool)
-            for group in clusters(size[own_group], cells[own_group], scheme):
+            for group in clusters(size[own_group], [cells[i] for i in own_group.tolist()], scheme):
                 sent[group[1:]] = False
                 rows.append({"bucket": int(s[a] >> np.uint64(40)) % buckets, "sig": int(s[a].view(np.int64)),
                              "members": node[own_group[group]].tolist()})
@@ -303,7 +323,7 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
                 owner.append(own + len(nodes))
                 nodes += [node for node, _ in fresh]
                 sizes.append(np.diff(lengths))
-                sketch.append(sketches(lengths, fresh_values))
+                sketch += sketches(lengths, fresh_values)
                 sigs.append(sig)
                 held += len(sig)
                 if held >= FLUSH:
@@ -352,7 +372,7 @@ def _match(scheme: Scheme):
                 keys.append(key)
                 nodes.append(np.frombuffer(r["nodes"], np.int64))
                 sizes.append(np.frombuffer(r["sizes"], "<u4"))
-                cells.append(np.frombuffer(r["sketches"], np.uint8))
+                cells.append(r["sketches"])
                 places.append(np.repeat(np.arange(held, held + len(nodes[-1]), dtype=np.uint32), np.frombuffer(r["counts"], "<u4")))
                 held += len(nodes[-1])
             if passed:
@@ -364,7 +384,10 @@ def _match(scheme: Scheme):
         use = _repeated(key, 2)
         key, place = key[use], place[use].astype(np.int64)
         node, size = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
-        half = np.concatenate(cells).reshape(-1, CELLS // 2)
+        raw = b"".join(cells)
+        del cells
+        ends = np.cumsum(cells_of(size) // 2)
+        begins = ends - cells_of(size) // 2
         # a node of several batches is one
         _, first, same = np.unique(node, return_index=True, return_inverse=True)
         s, place, cut = _runs(key, first[same[place]])
@@ -383,8 +406,7 @@ def _match(scheme: Scheme):
             if low in heads:
                 out += [{"sig": name, "members": node[at].tolist()} for name in heads[low]]
                 continue
-            sketch = np.empty((len(at), CELLS), np.uint8)
-            sketch[:, ::2], sketch[:, 1::2] = half[at] & 15, half[at] >> 4
+            sketch = [raw[x:y] for x, y in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
             for n, group in enumerate(clusters(size[at], sketch, scheme)):
                 name = ((low + (bucket << 40)) * 1_000_003 + n) & 0xFFFFFFFFFFFFFFFF
                 name = int(mix(np.array([name], np.uint64)).view(np.int64)[0])
