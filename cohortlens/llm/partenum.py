@@ -501,13 +501,14 @@ def _block_links(scheme: Scheme, shingle: int):
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = Scheme(),
                  shingle: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, n_shingles, node, component_id) of every row, and verified links (u, v) between nodes.
+    """(members, links): (id, n_shingles, node, label, component_id) of every row, and verified links (u, v) between nodes.
 
     A node is a distinct set (64-bit name); the links join every two nodes that
     some chain of similar pairs joins, though not every similar pair is listed.
-    ``component_id`` is the least id reachable.  Without words the set is empty,
-    the node null and the component the row's own id; null ids are kept and count
-    last; rows with equal texts share a node; an empty table gives no rows.
+    ``label`` names the component, ``component_id`` is the least id reachable (one
+    that several components hold names them all).  Without words the set is empty,
+    node and label null and the component the row's own id; null ids are kept and
+    count last; rows with equal texts share a node; an empty table gives no rows.
     Other columns are not read.
     """
     ship_package()
@@ -567,22 +568,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least")) \
         .join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     whole = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    where = classes.join(whole, "label").select("node", "component_id")
+    where = classes.join(whole, "label").select("node", "label", "component_id")
     members = sets.join(where, "node", "left").select(
-        "id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        "id", "n_shingles", "node", "label", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return members, links
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of their component (one of them if it repeats), with the columns of ``docs``.
+    """A row of ``docs`` for each component, one of its least id (nulls last), with the columns of ``docs``.
 
-    Rows without words are linked with nothing and stay.  A component of null ids only keeps one row.
+    Rows without words are linked with nothing and stay.
     """
     members, _ = jaccard_join(docs, id_col, text_col, **options)
     keyed = docs.withColumn("_set", _set_rows(SHINGLE)(F.coalesce(F.col(text_col), F.lit(""))))
     keyed = keyed.withColumn("_node", F.col("_set")["node"]).drop("_set")
-    first = members.filter(F.col("node").isNotNull() & F.col("id").eqNullSafe(F.col("component_id"))) \
-        .groupBy(F.col("component_id").alias("_id")).agg(F.min("node").alias("_n"))
+    # components by label: unlinked texts may share an id, or have none
+    first = members.filter("node IS NOT NULL").groupBy("label").agg(
+        F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("node").alias("node"))).alias("one")) \
+        .select(F.col("one.id").alias("_id"), F.col("one.node").alias("_n"))
     kept = keyed.filter("_node IS NOT NULL").join(
         first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n")), "left_semi")
     kept = kept.dropDuplicates([id_col, "_node"])

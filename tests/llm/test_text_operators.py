@@ -273,6 +273,15 @@ def test_one_of_each_group_stays(docs, rows):
     assert sorted(repr(g) for g in got if not words(g[1])) == sorted(repr((i, t)) for i, t, _ in rows if not words(t))
 
 
+def test_unlinked_texts_that_share_an_id_or_have_none_stay(spark):
+    import random
+    rng = random.Random(3)
+    a, b, c, d, e = (sentence(rng, 40, 5000) for _ in range(5))
+    rows = [(None, a, "s"), (None, b, "s"), (None, a, "s"), (1, c, "s"), (1, d, "s"), (2, c, "s"), (3, e, "s"), (None, e, "s")]
+    got = [(r["doc_id"], r["text"]) for r in partenum.keep_one_each(frame(spark, rows)).collect()]
+    assert multiset(got) == multiset([(None, a), (None, b), (1, c), (1, d), (3, e)])
+
+
 def sorted_by_rows(rows):
     """slow_components in the order of rows."""
     out = []
