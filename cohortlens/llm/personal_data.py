@@ -3,8 +3,8 @@
 High-recall generators propose spans: four strict kinds (``BASE_KINDS``, reported
 whenever their format check holds) and looser ones that overlap them.  Boosted
 trees score every candidate on format and context; a threshold for each loose
-kind, calibrated on held-out candidates to ``MIN_PRECISION``, selects the spans
-to add.  Of overlapping added spans the best scored one stays, and none that
+kind, calibrated to ``MIN_PRECISION`` on all its candidates that were not fitted
+on, selects the spans to add.  Of overlapping added spans the best scored one stays, and none that
 overlaps a strict one.
 
 DataFrame and Spark ML only.  Places come from the lengths of the pieces between
@@ -43,10 +43,10 @@ GENERATORS: dict[str, tuple[str, str]] = {
 LOOSE_KINDS = tuple(k for k in GENERATORS if k not in BASE_KINDS)
 KINDS = BASE_KINDS + LOOSE_KINDS
 LEFT, RIGHT = 32, 16
-#: candidates to fit on, chosen by hash; a fifth of them is held out for the thresholds
+#: distinct candidates chosen by hash, shared evenly among the kinds; four fifths of them are fitted on
 MAX_TRAIN = 20_000
 MIN_PRECISION = 0.95
-#: held-out positives of a kind below which no threshold is set
+#: positives of a kind, of those not fitted on, below which no threshold is set
 MIN_POSITIVES = 5
 TREES, DEPTH, SEED = 10, 3, 17
 _BINS = 200
@@ -164,30 +164,43 @@ class Scorer:
             .drop("features", "rawPrediction", "probability", "prediction")
 
 
+def kind_shares(counts: dict[str, int], total: int) -> dict[str, float]:
+    """The part of each kind that a sample of ``total`` takes: even quotas, what small kinds leave goes to larger ones."""
+    shares = {}
+    for k, (kind, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quota = total / (len(counts) - k)
+        shares[kind] = min(1.0, quota / max(1, n))
+        total -= min(n, quota)
+    return shares
+
+
 def fit(rows: DataFrame, max_train: int = MAX_TRAIN, min_precision: float = MIN_PRECISION) -> Scorer:
-    """Boosted trees on at most about ``max_train`` candidates (a hash sample), thresholds on a held-out fifth.
+    """Boosted trees on four fifths of a hash sample of about ``max_train`` distinct candidates, thresholds on all others.
 
-    Without candidates of both labels there is no model and nothing is added.
+    The sample is even by kind.  Copies of a text are all fitted on (once) or not
+    at all.  Without candidates of both labels there is no model and nothing is added.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n = rows.count()
-    if not n:
+    code = F.xxhash64("text_code", "kind", "nth")
+    counts = rows.groupBy("kind").agg(F.approx_count_distinct(code).alias("n")).collect()  # at most one row a kind
+    if not counts:
         return Scorer(None, {})
-    place = F.pmod(F.xxhash64("id", "text_code", "kind", "nth"), F.lit(1_000_000))
-    sample = rows.filter(place < int(1_000_000 * min(1.0, max_train / n))).withColumn("label", _label(rows)) \
-        .withColumn("held", F.pmod(F.xxhash64("nth", "text_code", "kind"), F.lit(5)) == 0)
-    sample = settled(sample, "pii-sample")
-    train = sample.filter(~F.col("held"))
+    least = F.lit(0)
+    for kind, share in sorted(kind_shares({r["kind"]: r["n"] for r in counts}, max_train).items()):
+        least = F.when(F.col("kind") == kind, F.lit(int(800_000 * share))).otherwise(least)
+    fitted = F.pmod(code, F.lit(1_000_000)) < least
+    train = rows.filter(fitted).withColumn("label", _label(rows)).dropDuplicates(["text_code", "kind", "nth"])
+    train = settled(train, "pii-sample")
     if train.select("label").distinct().count() < 2:
         return Scorer(None, {})
     inputs = sorted(c for c in rows.columns if c.startswith("f_"))
     scorer = Scorer(Pipeline(stages=[
         VectorAssembler(inputCols=inputs, outputCol="features"),
         GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32)]).fit(train), {})
-    held = scorer.score(sample.filter(F.col("held") & F.col("kind").isin(*LOOSE_KINDS)))
+    held = scorer.score(rows.filter(~fitted & F.col("kind").isin(*LOOSE_KINDS)).withColumn("label", _label(rows)))
     # precision of all at or above a score, by bins of it
     bins = held.groupBy("kind", F.floor(F.col("score") * _BINS).alias("bin")).agg(
         F.sum("label").alias("hits"), F.count("*").alias("n"))

@@ -402,3 +402,21 @@ def test_boosted_trees_add_what_context_confirms(spark):
     for places in by.values():
         places.sort()
         assert all(a[1] <= b[0] or (a[2] and b[2]) for a, b in zip(places, places[1:], strict=False))
+
+
+def test_rare_kinds_get_a_threshold_from_all_candidates(spark):
+    import random
+    rng = random.Random(8)
+    digits = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+    rows = []
+    for n in range(800):
+        numbers = " units and ".join(f"{rng.randrange(200, 999)} {rng.randrange(200, 999)}" for _ in range(6))
+        rows.append((n, f"card 4{digits(15)} then {numbers}" + (
+            f" from bank account DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)} today" if n % 10 == 0 else ""), "s"))
+    found = personal_data.features(personal_data.with_checks(personal_data.candidates(frame(spark, rows))))
+    scorer = personal_data.fit(found, max_train=400)
+    assert "account_like" in scorer.thresholds
+    added = personal_data.personal_spans(frame(spark, rows), scorer=scorer).filter("kind = 'account_like'").count()
+    assert added >= 72  # of 80
+    # a threshold holds for all that was not fitted on, and a sample is even by kind
+    assert personal_data.kind_shares({"a": 10, "b": 1000, "c": 4000}, 310) == {"a": 1.0, "b": 0.15, "c": 0.0375}
