@@ -7,6 +7,10 @@ one diagonal (document place minus item place) must map the item's slot values
 to the document's one to one in value.  A document is reported with an item when
 consistent windows cover at least ``MIN_COVERAGE`` of what the item's windows can.
 
+Lower-cased windows, matched with all values, find verbatim copies in another case
+(where capitals make other names) and items without a specific window; an item
+shorter than a window is one window of its whole length.
+
 DataFrame functions only.  The documents are not shuffled: their windows meet a
 broadcast of the item windows, whose number is checked; beyond the bound the
 join is left to Spark, which shuffles both sides.
@@ -14,7 +18,7 @@ join is left to Spark, which shuffles both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 8
@@ -48,6 +52,14 @@ def placeholder(word: Column) -> Column:
         .when(F.lower(first) != first, "<name>")
 
 
+def _windows(typed: DataFrame, keys: list[str], window: int) -> DataFrame:
+    places = F.when(F.size("codes") >= window, F.sequence(F.lit(1), F.size("codes") - window + 1))
+    found = F.transform(places, lambda i: F.struct(
+        i.alias("place"), F.xxhash64(F.slice("codes", i, window)).alias("code"),
+        F.slice("values", i, window).alias("slots")))
+    return typed.select(*keys, F.explode(found).alias("w")).select(*keys, "w.*")
+
+
 def template_windows(rows: DataFrame, text_col: str, keys: list[str], window: int = WINDOW) -> DataFrame:
     """``keys`` plus (place, code, slots) of each run of ``window`` words of a text column.
 
@@ -58,11 +70,7 @@ def template_windows(rows: DataFrame, text_col: str, keys: list[str], window: in
     # a code for each template word; the value where it is a placeholder
     typed = words.select(*keys, F.transform("words", lambda t: F.xxhash64(F.coalesce(placeholder(t), F.lower(t)))).alias("codes"),
                          F.transform("words", lambda t: F.when(placeholder(t).isNotNull(), F.lower(t))).alias("values"))
-    places = F.when(F.size("codes") >= window, F.sequence(F.lit(1), F.size("codes") - window + 1))
-    found = F.transform(places, lambda i: F.struct(
-        i.alias("place"), F.xxhash64(F.slice("codes", i, window)).alias("code"),
-        F.slice("values", i, window).alias("slots")))
-    return typed.select(*keys, F.explode(found).alias("w")).select(*keys, "w.*")
+    return _windows(typed, keys, window)
 
 
 def _words_of(places: Column, window: int) -> Column:
@@ -85,6 +93,53 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WIN
     return wins.join(total, wins["item"].eqNullSafe(total["i"]) & (wins["item_text"] == total["t"])).drop("i", "t")
 
 
+def _plain_codes(rows: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """``keys`` plus ``codes``: hashes of the lower-cased words."""
+    return rows.select(*keys, F.transform(bare_words(F.col(text_col)), lambda t: F.xxhash64(F.lower(t))).alias("codes"))
+
+
+def verbatim(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+             min_coverage: float = MIN_COVERAGE, min_literals: int = MIN_LITERALS) -> DataFrame:
+    """(id, text_code, item, n_windows, coverage) of each document that repeats an item but for punctuation and case.
+
+    ``coverage`` is the share of all the item's words in matched windows on one
+    diagonal; an item of fewer than ``window`` words counts as one window, and one
+    of fewer than ``min_literals`` words only where it is the whole document.
+    """
+    coded = _plain_codes(items.select(
+        F.col(item_id_col).alias("item"), F.xxhash64(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item_text"),
+        F.col(item_text_col).alias("text")).dropDuplicates(["item", "item_text"]), "text", ["item", "item_text"]) \
+        .withColumn("n_words", F.size("codes")).filter("n_words > 0").withColumn("length", F.least("n_words", F.lit(window)))
+    wins = coded.select("item", "item_text", "n_words", "length", F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("n_words") - F.col("length") + 1),
+        lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("codes", i, F.col("length"))).alias("code")))).alias("w")) \
+        .select("item", "item_text", "n_words", "length", "w.*")
+    by_code = wins.groupBy("length", "code").agg(F.collect_list(F.struct("item", "item_text", "n_words", "place")).alias("hits"))
+    found = wins.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
+    if found["n"] <= MAX_BROADCAST_WINDOWS:
+        by_code = F.broadcast(by_code)
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_code"),
+                        F.col(text_col).alias("text"))
+    # a window of each length that items have (at most ``window``) at each place
+    at_place = lambda i: F.array(*[F.struct(
+        i.alias("at"), F.lit(n).alias("length"), F.when(i + n - 1 <= F.size("codes"), F.xxhash64(F.slice("codes", i, n))).alias("code"))
+        for n in sorted(found["lengths"]) or [window]])
+    places = F.when(F.size("codes") > 0, F.sequence(F.lit(1), F.size("codes")))
+    met = _plain_codes(named, "text", ["id", "text_code"]).select(
+        "id", "text_code", F.size("codes").alias("n_own"), F.explode(F.flatten(F.transform(places, at_place))).alias("w")) \
+        .select("id", "text_code", "n_own", "w.*").filter(F.col("code").isNotNull() & (
+            (F.col("length") >= min_literals) | (F.col("length") == F.col("n_own")))).join(by_code, ["length", "code"]) \
+        .select("id", "text_code", "length", "at", F.explode("hits").alias("hit")).select("id", "text_code", "length", "at", "hit.*")
+    who = ["id", "text_code", "item", "item_text", "n_words", "length"]
+    diagonal = met.groupBy(*who, (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("length") - 1)))))
+    return diagonal.select("id", "text_code", "item", F.size("places").alias("n_windows"),
+                           (covered / F.col("n_words")).alias("coverage")) \
+        .filter(F.col("coverage") >= min_coverage).groupBy("id", "text_code", "item") \
+        .agg(F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   min_literals: int = MIN_LITERALS, min_coverage: float = MIN_COVERAGE,
@@ -93,10 +148,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     ``n_windows`` matched item windows, ``coverage`` the share of the item's
     words in them, ``n_slots`` slot pairs, ``n_changed`` those with other values
-    (0: verbatim but for punctuation and case).  Documents alike in id and text
-    give one row; null ids are kept; empty tables give no rows.  Items shorter
-    than a window, or made of placeholders, cannot be found.  Other columns are
-    not read.
+    (0: verbatim but for punctuation and case).  Pairs that only ``verbatim``
+    finds have its windows and coverage and no slots.  Documents alike in id and
+    text give one row; null ids are kept; empty tables give no rows.  Other
+    columns are not read.
     """
     wins = item_windows(items, item_id_col, item_text_col, window, min_literals)
     by_code = wins.groupBy("code").agg(F.collect_list(F.struct("item", "item_text", "n_words", "place", "slots")).alias("hits"))
@@ -121,10 +176,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     covered = (_words_of(F.col("places"), window) / F.col("n_words")).alias("coverage")
-    return found.select("id", "text_code", "item", F.size("places").alias("n_windows"), covered,
-                        F.size("pairs").alias("n_slots"),
-                        F.size(F.filter("pairs", lambda x: x["v"] != x["u"])).alias("n_changed")) \
+    found = found.select("id", "text_code", "item", F.size("places").alias("n_windows"), covered,
+                         F.size("pairs").alias("n_slots"),
+                         F.size(F.filter("pairs", lambda x: x["v"] != x["u"])).alias("n_changed")) \
         .filter(F.col("coverage") >= min_coverage)
+    same = verbatim(docs, items, id_col, text_col, item_id_col, item_text_col, window, min_coverage, min_literals)
+    # ids with several texts are several items: a pair has the template's rows, or else the verbatim one
+    key = ["id", "text_code", "item"]
+    both = found.withColumn("plain", F.lit(0)).unionByName(
+        same.select("*", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"), F.lit(1).alias("plain")))
+    first = F.min("plain").over(Window.partitionBy(*key))
+    return both.withColumn("first", first).filter(F.col("plain") == F.col("first")).drop("plain", "first")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

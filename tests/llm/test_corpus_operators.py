@@ -100,6 +100,19 @@ def test_items_are_found_with_other_parameters(spark, nothing):
     assert decontaminate.decontaminate(frame(spark, rows), items.limit(0)).count() == len(rows)
 
 
+def test_copies_in_capitals_and_of_short_items_are_found(spark):
+    rng = random.Random(2)
+    pad = lambda: sentence(rng, 30)
+    short, title = "what is the boiling point?", "The Old Man And The Sea By Ernest Hemingway"
+    rows = [(1, f"{pad()} {ITEM.upper()} {pad()}", "a"), (2, f"{pad()} {OTHER.title()}.", "a"), (3, f"{pad()} What is the BOILING point {pad()}", "a"),
+            (4, f"{pad()} {title.lower()} {pad()}", "a"), (5, f"{pad()} what is the {pad()}", "a"), (6, f"{pad()} why not {pad()}", "a"),
+            (7, "Why, not?", "a"), (None, title, "a")]
+    items = spark.createDataFrame([(10, ITEM), (11, OTHER), (12, short), (13, title), (14, "why not"), (15, "")], "item_id long, text string")
+    got = {(r["id"], r["item"], r["n_changed"]) for r in decontaminate.contamination(frame(spark, rows), items).collect()}
+    assert got == {(1, 10, 0), (2, 11, 0), (3, 12, 0), (4, 13, 0), (7, 14, 0), (None, 13, 0)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), items).collect()) == [5, 6]
+
+
 def test_shuffled_join_equals_broadcast(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     want = multiset(decontaminate.contamination(docs, items).collect())
