@@ -106,7 +106,7 @@ register("m14_ensemble")(_m14)
 
 def _m19(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    _, report = ml.run_all(d, names=("decision_tree", "random_forest", "logistic_regression"))
+    _, report = ml.run_all(d)
     return rounded(report)
 
 
@@ -135,7 +135,7 @@ register("x01_native_importance")(_x01)
 def _shap(spark, sf_dir):
     d = training_data(spark, sf_dir)
     return sh.shapley_values(_fitted(spark, sf_dir, "logistic_regression"), d.df, d.feature_names,
-                             d.classes, n_explain=20, n_background=20, n_perm=2)
+                             d.classes)
 
 
 def _x03(spark, sf_dir):
@@ -185,7 +185,7 @@ FROM sp LEFT JOIN w ON sp.class_name = w.class_name""", "roster", ctes=_TRAIN_CT
 
 def _x13(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    return rounded(sh.base_values(_fitted(spark, sf_dir, "logistic_regression"), d.df, d.classes, 50))
+    return rounded(sh.base_values(_fitted(spark, sf_dir, "logistic_regression"), d.df, d.classes))
 
 
 register("x13_base_values")(_x13)
@@ -219,10 +219,9 @@ register("x10_sample_report")(_x10)
 
 def _x11(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    models = {"logistic_regression": _fitted(spark, sf_dir, "logistic_regression"),
-              "random_forest": _fitted(spark, sf_dir, "random_forest")}
-    out = sh.attribute_models(models, d.df, d.feature_names, d.classes,
-                              n_explain=10, n_background=10, n_perm=2)
+    models = {m: _fitted(spark, sf_dir, m) for m in ("decision_tree", "random_forest", "gradient_boosting", "svm",
+                                                     "neural_network", "logistic_regression")}
+    out = sh.attribute_models(models, d.df, d.feature_names, d.classes)
     return rounded(out)
 
 

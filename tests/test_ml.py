@@ -201,3 +201,22 @@ def test_wrapped_estimators_tune_with_cross_validator(spark):
         model, scores = ml.tune(name, d, grid=grid)
         assert len(scores) == 2 and all(0 <= s <= 1 for _, s in scores)
         assert ml.predictions(model, d.df).count() == d.df.count()
+
+
+def test_registered_jobs_take_all_models_and_default_samples(monkeypatch):
+    from types import SimpleNamespace
+
+    from cohortlens.plans import q_models
+
+    calls = []
+    monkeypatch.setattr(q_models, "training_data", lambda *a: SimpleNamespace(df=None, feature_names=[], classes=[]))
+    monkeypatch.setattr(q_models, "_fitted", lambda spark, sf_dir, name: name)
+    monkeypatch.setattr(q_models, "rounded", lambda df: df)
+    monkeypatch.setattr(q_models.ml, "run_all", lambda d, **kw: calls.append(kw) or (None, None))
+    for name in ("shapley_values", "base_values"):
+        monkeypatch.setattr(q_models.sh, name, lambda model, df, *a, **kw: calls.append((a, kw)))
+    monkeypatch.setattr(q_models.sh, "attribute_models", lambda models, *a, **kw: calls.append((sorted(models), kw)))
+    for job in (q_models._m19, q_models._x03, q_models._x13, q_models._x11):
+        job(None, None)
+    names = sorted(["decision_tree", "random_forest", "gradient_boosting", "svm", "neural_network", "logistic_regression"])
+    assert calls == [{}, (([], []), {}), (([],), {}), (names, {})]
