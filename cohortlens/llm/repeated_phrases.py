@@ -12,7 +12,7 @@ and an earlier word); windows are judged on the input.
    shards.  A shard confirms the word sequences it holds at two places or more,
    compiles them with pyahocorasick into automata of at most ``MAX_PATTERNS``,
    and streams its passages through them: each hit but a sequence's first is
-   covered.  Words are coded as characters, so hits are exact.
+   covered.  Words are coded by 64-bit hash, so hits are as exact as the hashes.
 3. The covered places of each document meet its text once more.
 
 The same step runs on each chunk of texts first, as a combiner: places that an
