@@ -242,3 +242,86 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     members, _ = jaccard_join(table(spark, sf_dir, "documents"))
     return members.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: every row of these ids is a query of op11 and an anchor of op12
+QUERY_STEP = 50
+
+
+@query("op11_exact_search", f"""
+WITH coded AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.rid AS qrid, q.vec_id AS query_id, c.rid, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM coded q JOIN coded c ON q.rid <> c.rid WHERE q.vec_id % {QUERY_STEP} = 0)
+SELECT query_id, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.exact_search import nearest_rows
+
+    found = nearest_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op12_bit_plane_negatives", f"""
+WITH coded AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.rid AS anchor, a.vec_id AS anchor_id, c.rid, c.vec_id, a.label = c.label AS same,
+           list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM coded a JOIN coded c ON a.rid <> c.rid WHERE a.vec_id % {QUERY_STEP} = 0),
+positives AS (
+    SELECT * FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id NULLS LAST)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.bit_planes import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, label)
+
+
+@query("op13_bag_search", r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+items AS (
+    SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM benchmark),
+totals AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs),
+norms AS (
+    SELECT rid, doc_id, (75 + (25 * len(terms)::BIGINT * n_docs) // n_terms)::BIGINT AS m FROM docs, totals WHERE len(terms) > 0),
+postings AS (
+    SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM postings, totals GROUP BY term),
+wanted AS (
+    SELECT iid, item_id, term, count(*) AS qtf FROM (SELECT iid, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+scores AS (
+    SELECT q.iid, any_value(q.item_id) AS item_id, p.rid, any_value(d.doc_id) AS doc_id,
+           sum(q.qtf * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * d.m)))::BIGINT AS score
+    FROM wanted q JOIN postings p USING (term) JOIN weights w USING (term) JOIN norms d USING (rid) GROUP BY q.iid, p.rid)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.bag_search import ranked_search
+
+    found = ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
