@@ -6,6 +6,9 @@
   dashboard --data DIR --out DIR         flow B (totals, lists, distribution)
   validate --data DIR --models-dir DIR --out DIR      flow C (score saved models)
 
+``--data`` of the three flows is a roster file (.csv, .txt, .tsv; ``--sep``) or a
+folder of tables; validate reads the preparation that train saved beside the models.
+
 On a cluster pass the master with spark-submit; ``--master`` is for local runs.
 """
 
@@ -31,6 +34,7 @@ def main(argv=None) -> int:
     t.add_argument("--out", required=True)
     t.add_argument("--models", default=None)
     t.add_argument("--tune", action="store_true")
+    t.add_argument("--fit-on", choices=("all", "train"), default="all")
     d = sub.add_parser("dashboard")
     d.add_argument("--data", required=True)
     d.add_argument("--out", required=True)
@@ -38,6 +42,8 @@ def main(argv=None) -> int:
     v.add_argument("--data", required=True)
     v.add_argument("--models-dir", required=True)
     v.add_argument("--out", required=True)
+    for flow in (t, d, v):
+        flow.add_argument("--sep", default=",")
     a = p.parse_args(argv)
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -55,15 +61,16 @@ def main(argv=None) -> int:
         elif a.cmd == "train":
             from cohortlens.plans.workflows import DEFAULT_MODELS, train_and_explain
             models = tuple(a.models.split(",")) if a.models else DEFAULT_MODELS
-            print(json.dumps(train_and_explain(spark, a.data, a.out, models, tune=a.tune), default=str))
+            print(json.dumps(train_and_explain(spark, a.data, a.out, models, tune=a.tune, sep=a.sep, fit_on=a.fit_on), default=str))
         elif a.cmd == "dashboard":
             from cohortlens.plans.workflows import dashboard_tables
-            print(json.dumps(dashboard_tables(spark, a.data, a.out), default=str))
+            print(json.dumps(dashboard_tables(spark, a.data, a.out, a.sep), default=str))
         elif a.cmd == "validate":
             from cohortlens.plans.workflows import validate_saved_models
             names = {"Decision Tree": "decision_tree", "KNN": "knn", "SVM": "svm"}
             paths = {k: f"{a.models_dir.rstrip('/')}/{v}" for k, v in names.items()}
-            rows = [r.asDict() for r in validate_saved_models(spark, a.data, paths, a.out).collect()]
+            preparation = f"{os.path.dirname(a.models_dir.rstrip('/'))}/preparation"
+            rows = [r.asDict() for r in validate_saved_models(spark, a.data, paths, a.out, preparation, a.sep).collect()]
             print(json.dumps(rows, default=str))
     finally:
         spark.stop()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,6 +15,22 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_name(c: str) -> str:
+    """A column name in an SQL expression (fitted steps write theirs as text: one call a column, not one an operator)."""
+    return "`" + c.replace("`", "``") + "`"
+
+
+def sql_number(x: float | None) -> str:
+    if x is None:
+        return "CAST(NULL AS DOUBLE)"
+    x = float(x)
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def clip(c, lo=None, hi=None) -> Column:
     """numpy-style clip; null stays null."""
     x = col(c)
@@ -67,14 +84,14 @@ def to_number(c) -> Column:
 
 
 def finite_or_null(c) -> Column:
-    """Infinite and NaN to null (NaN is not null in Spark)."""
+    """Infinite and NaN to null (NaN counts as larger than any number in Spark)."""
     x = col(c)
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(INF)), None).otherwise(x)
+    return F.when(F.abs(x) < F.lit(INF), x)
 
 
 def finite_or_zero(c) -> Column:
     x = col(c)
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(INF)), F.lit(0.0)).otherwise(x)
+    return F.when(F.abs(x) < F.lit(INF), x).otherwise(F.lit(0.0))
 
 
 def display_name(c, upper: bool = False) -> Column:

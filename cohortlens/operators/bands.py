@@ -1,15 +1,18 @@
 """Risk bands (B1-B6). Every scheme is right-closed; the scheme is a parameter.
 
-B4/B5 need global statistics (quartile edges, min/max/median): one aggregate
-computes them, and the labelling is then a projection with literal edges.
+B4/B5 need global statistics (quartile edges, min/max/median): value counts give
+them exactly, and the labelling is then a projection with literal edges.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import right_closed_cut
+from cohortlens.operators.order_stats import quantiles
 
 # Band labels and edges of each scheme.
 RISK_LABELS = ["Critical", "High", "Medium", "Low"]
@@ -41,12 +44,10 @@ def dashboard_level(c) -> Column:
 
 
 def quartile_edges(df: DataFrame, c: str) -> list[float]:
-    row = df.agg(F.percentile(F.col(c).cast("double"),
-                              F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"),
-                 F.count(c).alias("n")).first()
-    if not row["n"]:
+    edges = quantiles(df, {c: F.col(c)}, [0.0, 0.25, 0.5, 0.75, 1.0])[c]
+    if edges[0] is None:
         raise ValueError("No valid grades found")
-    return [float(v) for v in row["q"]]
+    return [float(v) for v in edges]
 
 
 def equal_width_edges(df: DataFrame, c: str) -> tuple[list[float], float | None]:
@@ -55,8 +56,7 @@ def equal_width_edges(df: DataFrame, c: str) -> tuple[list[float], float | None]
     Same construction as ``pd.cut(x, 4)``: linspace(min, max, 5) with the first
     edge lowered by 0.1 % of the range so the minimum falls in the first bin.
     """
-    row = df.agg(F.min(c).alias("mn"), F.max(c).alias("mx"), F.median(c).alias("med")).first()
-    mn, mx, med = row["mn"], row["mx"], row["med"]
+    mn, med, mx = quantiles(df, {c: F.col(c)}, [0.0, 0.5, 1.0])[c]
     if mn is None:
         raise ValueError("No valid grades found")
     mn, mx = float(mn), float(mx)
@@ -72,25 +72,41 @@ def equal_width_edges(df: DataFrame, c: str) -> tuple[list[float], float | None]
     return edges, med
 
 
+@dataclass
+class BandState:
+    """Fitted B4 / B5: right-closed edges, and the grade a missing one is set to (None: labelled Medium)."""
+    edges: list[float]
+    fill: float | None = None
+    quartiles: bool = True
+
+
+def fit_quantile_band(df: DataFrame, c: str) -> BandState:
+    """B4 fit: quartile edges; where they repeat they cannot give four bins, so
+    the equal-width scheme (B5) takes over, as in the reference's fallback."""
+    edges = quartile_edges(df, c)
+    if len(set(edges)) == len(edges):
+        return BandState(edges)
+    edges, med = equal_width_edges(df, c)
+    return BandState(edges, med, False)
+
+
+def fitted_band(c: str, st: BandState) -> Column:
+    """The label of ``c`` under fitted edges."""
+    g = F.col(c).cast("double")
+    if st.quartiles:
+        return right_closed_cut(g, st.edges, RISK_LABELS, other="Medium", include_lowest=True)
+    return right_closed_cut(F.coalesce(g, F.lit(st.fill).cast("double")), st.edges, RISK_LABELS)
+
+
 def equal_width_band(df: DataFrame, c: str, out: str = "risk_level") -> DataFrame:
     """Null grade set to the median, then 4 equal-width bins."""
     edges, med = equal_width_edges(df, c)
-    g = F.coalesce(F.col(c).cast("double"), F.lit(med).cast("double"))
-    return df.withColumn(out, right_closed_cut(g, edges, RISK_LABELS))
+    return df.withColumn(out, fitted_band(c, BandState(edges, med, False)))
 
 
 def quantile_band(df: DataFrame, c: str, out: str = "risk_level") -> DataFrame:
-    """Quartile bins (lowest edge included), null grade Medium.
-
-    Repeated quartile edges cannot give four bins, so the equal-width scheme
-    (B5) takes over, as in the reference's fallback.
-    """
-    edges = quartile_edges(df, c)
-    if len(set(edges)) < len(edges):
-        return equal_width_band(df, c, out)
-    lab = right_closed_cut(F.col(c).cast("double"), edges, RISK_LABELS, other="Medium",
-                           include_lowest=True)
-    return df.withColumn(out, lab)
+    """Quartile bins (lowest edge included), null grade Medium."""
+    return df.withColumn(out, fitted_band(c, fit_quantile_band(df, c)))
 
 
 def risk_bands(df: DataFrame, c: str = "G3", scheme: str = "loader",

@@ -1,10 +1,11 @@
 """Cleaning operators: casts, defaults, non-finite handling, imputation,
 quantile clipping and z-score outlier filtering.
 
-Each fitted step runs exactly one aggregate over all columns at once (one scan),
-collects the single stats row (size bounded by the number of columns, never by
-the number of rows) and applies it as literals in a projection, so the apply
-step is a narrow, codegen'd map with no join and no shuffle.
+Each fitted step reads all columns in one scan: means and deviations as one
+aggregate, quantiles and modes from value counts (``order_stats``: exact, no task
+holds all values). Only the statistics come back (bounded by the number of
+columns) and are applied as literals in a projection, so the apply step is a
+narrow, codegen'd map with no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -14,21 +15,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import finite_or_null, finite_or_zero, missing_to_null, to_number
+from cohortlens.functions.exprs import finite_or_null, finite_or_zero, missing_to_null, sql_name, sql_number, to_number
+from cohortlens.operators.order_stats import OrderedCounts, modes, quantiles, value_counts
 from cohortlens.schema import numeric_columns, string_columns
 
 ID_COLS = ("student_id", "event_id", "vec_id", "doc_id")
-APPROX_CONF = "spark.cohortlens.approxQuantiles"
-
-
-def use_approx(df: DataFrame, approx) -> bool:
-    """``approx=None`` follows the session setting ``spark.cohortlens.approxQuantiles``
-    (default false: exact interpolated quantiles). On a cluster, setting it to
-    true switches every quantile fit to ``percentile_approx`` (bounded memory
-    for continuous columns) without code changes."""
-    if approx is not None:
-        return bool(approx)
-    return df.sparkSession.conf.get(APPROX_CONF, "false").lower() == "true"
 
 
 def to_numeric(df: DataFrame, cols) -> DataFrame:
@@ -63,24 +54,16 @@ def _one_row(df: DataFrame, exprs: list[Column]):
 
 @dataclass
 class CleanState:
-    """Fitted state of P10: medians for the fill, [p01, p99] bounds for the clip."""
+    """Fitted state of P10: medians for the fill, [p01, p99] bounds for the clip, and which columns had missing values."""
     medians: dict = field(default_factory=dict)
     bounds: dict = field(default_factory=dict)
+    missing: list = field(default_factory=list)
 
 
-def _quantile_expr(c: str, probs, approx: bool) -> Column:
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if approx:
-        return F.percentile_approx(missing_to_null(c), arr, 10000)
-    return F.percentile(missing_to_null(c), arr)
-
-
-def fit_median_fill(df: DataFrame, cols, approx=None) -> dict:
+def fit_median_fill(df: DataFrame, cols) -> dict:
     """P8 fit: median per column (interpolated), over non-null values."""
-    approx = use_approx(df, approx)
-    exprs = [(_quantile_expr(c, [0.5], approx)[0] if approx else F.median(missing_to_null(c))).alias(c)
-             for c in cols]
-    return _one_row(df, exprs)
+    found = quantiles(df, {c: missing_to_null(c) for c in cols}, [0.5])
+    return {c: v[0] for c, v in found.items()}
 
 
 def apply_median_fill(df: DataFrame, medians: dict) -> DataFrame:
@@ -90,12 +73,9 @@ def apply_median_fill(df: DataFrame, medians: dict) -> DataFrame:
         for c, m in medians.items() if c in df.columns})
 
 
-def fit_clip_bounds(df: DataFrame, cols, lo: float = 0.01, hi: float = 0.99,
-                    approx=None) -> dict:
-    """P9 fit: interpolated ``lo``/``hi`` quantiles per column in one pass."""
-    approx = use_approx(df, approx)
-    row = _one_row(df, [_quantile_expr(c, [lo, hi], approx).alias(c) for c in cols])
-    return {c: (v[0], v[1]) if v is not None else (None, None) for c, v in row.items()}
+def fit_clip_bounds(df: DataFrame, cols, lo: float = 0.01, hi: float = 0.99) -> dict:
+    """P9 fit: interpolated ``lo``/``hi`` quantiles of every column in one pass."""
+    return {c: tuple(v) for c, v in quantiles(df, {c: missing_to_null(c) for c in cols}, [lo, hi]).items()}
 
 
 def apply_clip(df: DataFrame, bounds: dict, nullable: bool = True) -> DataFrame:
@@ -112,67 +92,54 @@ def apply_clip(df: DataFrame, bounds: dict, nullable: bool = True) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def _is_integral(df: DataFrame, c: str) -> bool:
-    return dict(df.dtypes).get(c) in ("tinyint", "smallint", "int", "bigint")
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def clean(df: DataFrame, cols=None, exclude=ID_COLS, approx=None,
-          return_state: bool = False):
-    """P10: non-finite to null, median fill, then [1 %, 99 %] clip.
+def fit_clean(df: DataFrame, cols=None, exclude=ID_COLS, lo: float = 0.01, hi: float = 0.99) -> CleanState:
+    """P10 fit from one pass of value counts.
 
-    All numeric columns (target included, ids excluded) come out as double.
-    One aggregate computes, per column, the median, the number of missing /
-    non-finite values and the clip quantiles of the raw values. For columns
-    without missing values the raw and filled columns are equal, so those
-    bounds are final; only columns that had missing values need a second
-    aggregate for the quantiles of the filled column (skipped when none).
-    The fill expression is only emitted where needed, which keeps stacked
-    passes small enough for whole-stage codegen.
-    """
+    The clip quantiles are those of the filled column: its counts are the raw
+    ones with the fill value's count raised by the number of missing values, so
+    no second pass over the rows is needed."""
     cols = numeric_columns(df, exclude) if cols is None else list(cols)
-    approx = use_approx(df, approx)
-    nf = {c: (F.col(c).cast("double") if _is_integral(df, c) else finite_or_null(F.col(c).cast("double")))
-          for c in cols}
-    probs = F.array(F.lit(0.01), F.lit(0.99))
-    exprs = []
-    for c in cols:
-        if approx:
-            med, qs = F.percentile_approx(nf[c], 0.5, 10000), F.percentile_approx(nf[c], [0.01, 0.99], 10000)
-        else:
-            med, qs = F.median(nf[c]), F.percentile(nf[c], probs)
-        exprs += [med.alias(f"m__{c}"), F.count_if(nf[c].isNull()).alias(f"n__{c}"), qs.alias(f"q__{c}")]
-    row = _one_row(df, exprs)
-    medians = {c: row[f"m__{c}"] for c in cols}
-    filled, bounds, refit = {}, {}, []
-    for c in cols:
-        if row[f"n__{c}"]:
-            filled[c] = F.coalesce(nf[c], F.lit(medians[c]).cast("double"), F.lit(0.0))
-            refit.append(c)
-        else:
-            filled[c] = F.col(c).cast("double")
-            q = row[f"q__{c}"]
-            bounds[c] = (q[0], q[1]) if q is not None else (None, None)
-    if refit:
-        bounds.update(fit_clip_bounds(df.withColumns({c: filled[c] for c in refit}), refit, approx=approx))
-    # fill and clip in ONE projection
-    proj = {}
-    for c in cols:
-        qlo, qhi = bounds.get(c, (None, None))
-        x = filled[c]
-        if qlo is not None and qhi is not None and qhi > qlo:
-            x = F.least(F.greatest(x, F.lit(qlo)), F.lit(qhi))
-        proj[c] = x
-    out = df.withColumns(proj)
-    if return_state:
-        return out, CleanState(medians, bounds)
-    return out
-
-
-def apply_clean(df: DataFrame, state: CleanState) -> DataFrame:
-    """Re-apply a fitted P10 (for scoring new rows with training statistics)."""
-    cols = [c for c in state.medians if c in df.columns]
-    df1 = df.withColumns({c: finite_or_null(F.col(c).cast("double")) for c in cols})
-    return apply_clip(apply_median_fill(df1, state.medians), state.bounds, nullable=False)
+    if not cols:
+        return CleanState()
+    types = dict(df.dtypes)
+    finite = {c: F.col(c).cast("double") if types[c] in INTEGRAL else finite_or_null(F.col(c).cast("double")) for c in cols}
+    with OrderedCounts(value_counts(df, finite)) as counts:
+        medians = {c: v[0] for c, v in counts.quantiles({c: [0.5] for c in cols}).items()}
+        fill = {c: (medians[c] if medians[c] is not None else 0.0, counts.missing.get(c, 0)) for c in cols}
+        bounds = counts.quantiles({c: [lo, hi] for c in cols}, fill)
+    return CleanState(medians, {c: tuple(v) for c, v in bounds.items()}, [c for c in cols if counts.missing.get(c)])
+
+
+def apply_clean(df: DataFrame, state: CleanState, new_rows: bool = True) -> DataFrame:
+    """P10 apply: non-finite to null, fill, clip, as one projection.
+
+    Rows that were not fitted on can miss any value; without ``new_rows`` only
+    columns that missed some when fitted get a fill (a shorter plan)."""
+    proj, types = {}, dict(df.dtypes)
+    for c, median in state.medians.items():
+        if c not in types:
+            continue
+        x = f"CAST({sql_name(c)} AS DOUBLE)"
+        if new_rows or c in state.missing:
+            finite = x if types[c] in INTEGRAL else f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END"
+            x = f"coalesce({finite}, {sql_number(median if median is not None else 0.0)})"
+        lo, hi = state.bounds.get(c, (None, None))
+        if lo is not None and hi is not None and hi > lo:
+            x = f"least(greatest({x}, {sql_number(lo)}), {sql_number(hi)})"
+        proj[c] = F.expr(x)
+    return df.withColumns(proj) if proj else df
+
+
+def clean(df: DataFrame, cols=None, exclude=ID_COLS, return_state: bool = False):
+    """P10: non-finite to null, median fill, then [1 %, 99 %] clip.
+
+    All numeric columns (target included, ids excluded) come out as double."""
+    state = fit_clean(df, cols, exclude)
+    out = apply_clean(df, state, new_rows=False)
+    return (out, state) if return_state else out
 
 
 def fill_mean(df: DataFrame, cols=None, exclude=ID_COLS) -> DataFrame:
@@ -185,9 +152,8 @@ def fill_mean(df: DataFrame, cols=None, exclude=ID_COLS) -> DataFrame:
 def fill_mode(df: DataFrame, cols=None, exclude=ID_COLS, default: str = "Unknown") -> DataFrame:
     """String nulls to the most frequent value (smallest on ties), else ``default``."""
     cols = string_columns(df, exclude) if cols is None else list(cols)
-    modes = _one_row(df, [F.mode(F.col(c), True).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes[c] if modes[c] is not None else default))
-                           for c in cols})
+    found = modes(df, {c: F.col(c) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(found[c] if found[c] is not None else default)) for c in cols})
 
 
 @dataclass
@@ -196,12 +162,28 @@ class OutlierState:
     stds: dict
 
 
+def moments(df: DataFrame, cols) -> dict[str, tuple[float | None, float | None, int]]:
+    """(mean, population deviation, count) of the non-null values of each numeric column, in one pass.
+
+    One row a column, grouped by name: three aggregate buffers however many columns there are."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    long = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]) \
+        .unpivot([], [f"v{i}" for i in range(len(cols))], "name", "value")
+    rows = long.groupBy("name").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("p"), F.count("value").alias("n"))
+    found = {r["name"]: (r["m"], r["p"], r["n"]) for r in rows.collect()}
+    return {c: found.get(f"v{i}", (None, None, 0)) for i, c in enumerate(cols)}
+
+
+def sample_deviation(population: float | None, n: int) -> float | None:
+    return population * (n / (n - 1)) ** 0.5 if population is not None and n > 1 else None
+
+
 def fit_outliers(df: DataFrame, cols) -> OutlierState:
-    exprs = []
-    for c in cols:
-        exprs += [F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}")]
-    row = _one_row(df, exprs)
-    return OutlierState({c: row[f"m__{c}"] for c in cols}, {c: row[f"s__{c}"] for c in cols})
+    found = moments(df, cols)
+    return OutlierState({c: m for c, (m, _, _) in found.items()},
+                        {c: sample_deviation(p, n) for c, (_, p, n) in found.items()})
 
 
 def outlier_keep_condition(state: OutlierState, threshold: float = 3.0, min_std: float = 1e-8) -> Column:
@@ -211,10 +193,9 @@ def outlier_keep_condition(state: OutlierState, threshold: float = 3.0, min_std:
     for c, s in state.stds.items():
         if s is None or not (s > min_std):
             continue
-        x = F.col(c).cast("double")
-        z = F.abs((x - F.lit(state.means[c])) / F.lit(s))
-        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-        cond = cond & F.when(finite, z < F.lit(threshold)).otherwise(F.lit(True))
+        z = f"abs((CAST({sql_name(c)} AS DOUBLE) - {sql_number(state.means[c])}) / {sql_number(s)})"
+        # NaN counts as larger than any number: it is not below infinity and passes
+        cond = cond & F.expr(f"coalesce(NOT ({z} >= {sql_number(threshold)} AND {z} < double('Infinity')), true)")
     return cond
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import clip, right_closed_cut, yes_no
 from cohortlens.operators.clean import ID_COLS, clean
-from cohortlens.session import cut_lineage
 
 EPS = 1e-8
 
@@ -54,16 +53,13 @@ def row_features(df: DataFrame) -> DataFrame:
     })
 
 
-def advanced_features(df: DataFrame, exclude=ID_COLS, approx=None) -> DataFrame:
+def advanced_features(df: DataFrame, exclude=ID_COLS) -> DataFrame:
     """Clean, derive F1-F16, clean again (the second pass also clips the new columns).
 
-    The derived table feeds two statistics passes and the output, so it is
-    checkpointed into the shared checkpoint folder: later passes read it
-    instead of recomputing, executor loss does not replay the first pass, and
-    the short lineage keeps planning of the following steps cheap.
+    Two passes fit the statistics; the result is one narrow projection of the
+    source with those statistics as literals, so nothing is written in between.
     """
-    derived = cut_lineage(row_features(clean(df, exclude=exclude, approx=approx)))
-    return clean(derived, exclude=exclude, approx=approx)
+    return clean(row_features(clean(df, exclude=exclude)), exclude=exclude)
 
 
 def pass_fail_and_score(df: DataFrame, target: str = "G3") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.order_stats import quantiles
+
 
 def shape_and_missing(df: DataFrame) -> DataFrame:
     """Rows, columns and the total number of missing cells, one pass."""
@@ -22,15 +24,13 @@ def shape_and_missing(df: DataFrame) -> DataFrame:
                   total.cast("long").alias("n_missing"))
 
 
-def describe(df: DataFrame, c: str, exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, c: str) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max (exact interpolated quartiles)."""
     x = F.col(c).cast("double")
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    qs = F.percentile(x, probs) if exact else F.percentile_approx(x, probs, 10000)
+    p25, p50, p75 = (F.lit(v).cast("double") for v in quantiles(df, {c: x}, [0.25, 0.5, 0.75])[c])
     return (df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                   F.min(x).alias("min"), qs.alias("q"), F.max(x).alias("max"))
-            .select("n", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                    F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max"))
+                   F.min(x).alias("min"), F.max(x).alias("max"))
+            .select("n", "mean", "std", "min", p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), "max"))
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:

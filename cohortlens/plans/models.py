@@ -42,12 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import fixtures as fx
-from cohortlens.operators import bands, encode, split
+from cohortlens.operators import bands, split
 from cohortlens.operators.labels import encode_labels
 from cohortlens.operators.metrics import summary_metrics
+from cohortlens.operators.prepare import RosterPreparation, RosterPreparationModel
+from cohortlens.session import written
 
 CLASSES = ["Critical", "High", "Low", "Medium"]   # label codes 0..3 (alphabetical)
-ROWS_PER_PARTITION = 100_000
+ROWS_PER_PARTITION, LEAST_ROWS = 100_000, 5_000
 
 
 # ---------------------------------------------------------------- data
@@ -56,32 +58,57 @@ class TrainingData:
     df: DataFrame                 # id, features, label, class_name, split, fold
     feature_names: list
     classes: list = field(default_factory=lambda: list(CLASSES))
+    preparation: RosterPreparationModel | None = None
 
 
-def prepare_training_data(spark: SparkSession, sf_dir: str, k_folds: int = 5, seed: int = 42,
-                          val_size: float = 0.1, test_size: float = 0.2) -> TrainingData:
+def prepare_training_data(spark: SparkSession, sf_dir: str, **options) -> TrainingData:
+    """``prepare_roster`` of the roster view over the tables of ``sf_dir``."""
+    return prepare_roster(fx.roster(spark, sf_dir), **options)
+
+
+def feature_table(prepared: DataFrame, preparation: RosterPreparationModel) -> DataFrame:
+    """(id, features, and with grades: label, class_name; split if there is one) of prepared rows."""
+    out = VectorAssembler(inputCols=preparation.features, outputCol="features").transform(prepared)
+    keep = [F.col("student_id").alias("id"), "features"] + [c for c in ("split",) if c in prepared.columns]
+    if "label" not in prepared.columns:
+        return out.select(*keep)
+    coded, _ = encode_labels(out.withColumn("class_name", preparation.class_name()).drop("label"), "class_name", "label",
+                             classes=CLASSES)
+    return coded.select(*keep, F.col("label").cast("double").alias("label"), "class_name")
+
+
+def prepare_roster(roster: DataFrame, k_folds: int = 5, seed: int = 42, val_size: float = 0.1, test_size: float = 0.2,
+                   fit_on: str = "all") -> TrainingData:
     """E11 -> quantile risk bands of the cleaned target -> label codes ->
-    feature vector -> stratified split (M1) and folds (M2) of the training rows."""
-    prep = encode.preprocess(fx.roster(spark, sf_dir))
-    feats = [c for c in prep.columns if c not in ("student_id", "label")]
-    banded = bands.risk_bands(prep, "label", "quantile", out="class_name")
-    coded, classes = encode_labels(banded.drop("label"), "class_name", "label", classes=CLASSES)
-    vec = VectorAssembler(inputCols=feats, outputCol="features").transform(coded)
-    base = vec.select(F.col("student_id").alias("id"), "features",
-                      F.col("label").cast("double").alias("label"), "class_name")
-    sp = split.stratified_split(base, "class_name", "id", val_size, test_size, seed, k_folds=k_folds)
+    feature vector -> stratified split (M1) and folds (M2) of the training rows.
+
+    With ``fit_on='train'`` (E10) the rows are split first, by quartile of the raw
+    grade, and every statistic and class edge comes from the training rows."""
+    spark = roster.sparkSession
+    if fit_on == "train":
+        strata = bands.quantile_band(roster.select("student_id", "G3"), "G3", "class_name").select("student_id", "class_name")
+        dealt = split.stratified_split(strata, "class_name", "student_id", val_size, test_size, seed).select("student_id", "split")
+        roster = written(roster.join(dealt, "student_id"), "split-roster")
+    preparation = RosterPreparation(fit_on=fit_on).fit(roster)
+    # several passes follow (split, folds, weights): the prepared table is written once
+    base = written(feature_table(preparation.prepare(roster), preparation), "prepared")
+    if fit_on == "train":
+        folds = split.stratified_folds(base.filter(F.col("split") == "train"), "class_name", "id", k_folds, seed)
+        sp = base.join(folds.select("id", "fold"), "id", "left")
+    else:
+        sp = split.stratified_split(base, "class_name", "id", val_size, test_size, seed, k_folds=k_folds)
     # M5: balanced class weights n / (k * n_c) from the training rows, usable
     # as ``weightCol``; the table has one row per class of CLASSES (4 rows), so
     # the broadcast is bounded
     cw = split.class_weights(sp.filter(F.col("split") == "train"), "class_name") \
         .select("class_name", F.col("weight"))
     joined = sp.join(F.broadcast(cw), "class_name", "left")
-    # iterative learners run one job per iteration over this table: size its
-    # partitions by rows (~ROWS_PER_PARTITION each), one a core at least
-    n = joined.count()
-    parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+    # iterative learners run one job per iteration over this table: partitions
+    # of at least LEAST_ROWS rows, and at most ROWS_PER_PARTITION
+    n = base.count()
+    parts = max(-(-n // ROWS_PER_PARTITION), min(spark.sparkContext.defaultParallelism, max(1, n // LEAST_ROWS)))
     out = joined.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    return TrainingData(out, feats, classes)
+    return TrainingData(out, preparation.features, list(CLASSES), preparation)
 
 
 # ---------------------------------------------------------------- custom stages

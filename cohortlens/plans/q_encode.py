@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens import fixtures as fx
-from cohortlens.operators import bands, encode, profile, split
+from cohortlens.operators import bands, encode, prepare, profile, split
 from cohortlens.plans import sqlgen as sg
 from cohortlens.plans.registry import register, rounded
 
@@ -132,7 +132,7 @@ register("e09_scale_features", _e09_sql())(_e09)
 
 
 def _e11(spark, sf_dir):
-    return rounded(encode.preprocess(fx.roster(spark, sf_dir)))
+    return rounded(prepare.preprocess(fx.roster(spark, sf_dir)))
 
 
 _P_CTES, _P, _P_FEATS = sg.preprocess_ctes()
@@ -142,7 +142,7 @@ register("e11_preprocess", W(
 
 
 def _a21(spark, sf_dir):
-    prep = encode.preprocess(fx.roster(spark, sf_dir))
+    prep = prepare.preprocess(fx.roster(spark, sf_dir))
     lab = bands.risk_bands(prep, "label", "quantile", out="risk_class")
     return rounded(profile.distribution(lab, "risk_class"))
 
@@ -194,3 +194,26 @@ register("m05_class_weights", W(f"""
 SELECT risk_level, count(*) AS n_c,
   round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
 FROM (SELECT {sg.cut_sql('G3', *LOADER)} AS risk_level FROM roster) b GROUP BY risk_level""", "roster"))(_m05)
+
+
+# ---------------------------------------------------------------- E10: statistics of the training split only
+def _e10(spark, sf_dir):
+    r = fx.roster(spark, sf_dir)
+    dealt = r.join(split.stratified_split(_banded(spark, sf_dir), "risk_level", "student_id").drop("risk_level"), "student_id")
+    model = prepare.RosterPreparation(fit_on="train").fit(dealt)
+    out = model.prepare(dealt)
+    return rounded(out.withColumn("class_name", model.class_name()))
+
+
+_T_CTES, _T, _T_FEATS = sg.preprocess_ctes("dealt", split=True)
+_TE = [f"(SELECT quantile_cont(label, {p}) FROM {_T} WHERE split = 'train')" for p in (0.0, 0.25, 0.5, 0.75, 1.0)]
+register("e10_train_fitted_preparation", W(f"""
+SELECT student_id, split, round(label, 6) AS label, {sg.rounded(_T_FEATS)},
+  CASE WHEN label >= {_TE[0]} AND label <= {_TE[1]} THEN 'Critical'
+    WHEN label > {_TE[1]} AND label <= {_TE[2]} THEN 'High'
+    WHEN label > {_TE[2]} AND label <= {_TE[3]} THEN 'Medium'
+    WHEN label > {_TE[3]} AND label <= {_TE[4]} THEN 'Low' ELSE 'Medium' END AS class_name
+FROM {_T}""", "roster", ctes=_RANKED + """,
+dealt AS (SELECT r.*, CASE WHEN k.r < k.n * 0.7 THEN 'train' WHEN k.r < k.n * 0.8 THEN 'val' ELSE 'test' END AS split
+  FROM roster r JOIN ranked k ON r.student_id = k.student_id),
+""" + _T_CTES))(_e10)

@@ -22,8 +22,8 @@ def q(c: str) -> str:
     return f'"{c}"'
 
 
-def clean_ctes(src: str, num: list[str], keep: list[str], prefix: str) -> tuple[str, str]:
-    """CTEs for P10 over ``src``; returns (cte_text, name_of_final_cte)."""
+def clean_ctes(src: str, num: list[str], keep: list[str], prefix: str, fit: str = "") -> tuple[str, str]:
+    """CTEs for P10 over ``src``, fitted on its rows ``fit`` (a WHERE clause); returns (cte_text, name_of_final_cte)."""
     nf = ", ".join(
         f"CASE WHEN isinf(CAST({q(c)} AS DOUBLE)) OR isnan(CAST({q(c)} AS DOUBLE)) THEN NULL "
         f"ELSE CAST({q(c)} AS DOUBLE) END AS {q(c)}" for c in num)
@@ -39,9 +39,9 @@ def clean_ctes(src: str, num: list[str], keep: list[str], prefix: str) -> tuple[
         for c in num)
     keep_c = "".join(f"f.{q(c)}, " for c in keep)
     ctes = f"""{prefix}_nf AS (SELECT {keep_s}{nf} FROM {src}),
-{prefix}_med AS (SELECT {med} FROM {prefix}_nf),
+{prefix}_med AS (SELECT {med} FROM {prefix}_nf {fit}),
 {prefix}_fill AS (SELECT {keep_f}{fill} FROM {prefix}_nf s CROSS JOIN {prefix}_med m),
-{prefix}_q AS (SELECT {qs} FROM {prefix}_fill),
+{prefix}_q AS (SELECT {qs} FROM {prefix}_fill {fit}),
 {prefix} AS (SELECT {keep_c}{clip} FROM {prefix}_fill f CROSS JOIN {prefix}_q b)"""
     return ctes, prefix
 
@@ -86,14 +86,14 @@ def features_select(src: str) -> str:
 FROM {src}"""
 
 
-def advanced_features_ctes(num=None, strings=None) -> tuple[str, str, list[str]]:
+def advanced_features_ctes(num=None, strings=None, src: str = "roster", keep=("student_id",), fit: str = "") -> tuple[str, str, list[str]]:
     """CTE chain roster -> clean -> features -> clean; returns (ctes, final, numeric cols)."""
     num = list(num or ROSTER_NUMERIC)
     strings = list(strings or ROSTER_STRING)
-    c1, n1 = clean_ctes("roster", num, ["student_id"] + strings, "c1")
+    c1, n1 = clean_ctes(src, num, [*keep, *strings], "c1", fit)
     feats = f"fe AS ({features_select(n1)})"
     num2 = num + FEATURE_NUMERIC
-    c2, n2 = clean_ctes("fe", num2, ["student_id"] + strings + FEATURE_STRING, "c2")
+    c2, n2 = clean_ctes("fe", num2, [*keep, *strings, *FEATURE_STRING], "c2", fit)
     return f"{c1},\n{feats},\n{c2}", n2, num2
 
 
@@ -101,40 +101,47 @@ def rounded(cols, digits: int = 6, alias_from: str = "") -> str:
     return ", ".join(f"round({alias_from}{q(c)}, {digits}) AS {q(c)}" for c in cols)
 
 
-def outlier_cte(src: str, num: list[str], name: str, threshold: float = 3) -> str:
+def outlier_cte(src: str, num: list[str], name: str, threshold: float = 3, fit: str = "", unless: str = "FALSE") -> str:
     """P13 over ``src``: stats from the unfiltered table, one cross-joined row."""
     stats = ", ".join(f"avg({q(c)}) AS {q(c + '__m')}, stddev_samp({q(c)}) AS {q(c + '__s')}"
                       for c in num)
     conds = " AND ".join(
         f"(NOT (st.{q(c + '__s')} > 1e-8) OR t.{q(c)} IS NULL OR isnan(t.{q(c)}) OR isinf(t.{q(c)}) "
         f"OR abs((t.{q(c)} - st.{q(c + '__m')}) / st.{q(c + '__s')}) < {threshold})" for c in num)
-    return (f"{name}_st AS (SELECT {stats} FROM {src}),\n"
-            f"{name} AS (SELECT t.* FROM {src} t CROSS JOIN {name}_st st WHERE {conds})")
+    return (f"{name}_st AS (SELECT {stats} FROM {src} {fit}),\n"
+            f"{name} AS (SELECT t.* FROM {src} t CROSS JOIN {name}_st st WHERE ({unless}) OR ({conds}))")
 
 
-def preprocess_ctes() -> tuple[str, str, list[str]]:
-    """E11 as CTEs over ``roster``: returns (ctes, final cte, feature columns)."""
+def preprocess_ctes(src: str = "roster", split: bool = False) -> tuple[str, str, list[str]]:
+    """E11 as CTEs over ``src``: returns (ctes, final cte, feature columns). With ``split``
+    every statistic is fitted on the rows with split 'train', and only those can be outliers (E10)."""
+    keep = ["student_id", "split"] if split else ["student_id"]
+    fit, unless = ("WHERE split = 'train'", "t.split <> 'train'") if split else ("", "FALSE")
     num = [c for c in ROSTER_NUMERIC if c not in ("G1", "G2")]
-    ctes, fin, num2 = advanced_features_ctes(num)
+    ctes, fin, num2 = advanced_features_ctes(num, src=src, keep=keep, fit=fit)
     strings = ROSTER_STRING + FEATURE_STRING
-    parts = [ctes, outlier_cte(fin, num2, "o")]
+    parts = [ctes, outlier_cte(fin, num2, "o", fit=fit, unless=unless)]
     for s in strings:
         parts.append(
             f"m_{s} AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM "
-            f"(SELECT DISTINCT coalesce({q(s)}, 'unknown') AS v FROM o UNION SELECT 'unknown') t)")
+            f"(SELECT DISTINCT coalesce({q(s)}, 'unknown') AS v FROM o {fit} UNION SELECT 'unknown') t)")
     feats_num = [c for c in num2 if c != "G3"]
-    sel = ", ".join([f"o.{q(c)}" for c in feats_num] + [f"CAST(m_{s}.code AS DOUBLE) AS {q(s)}" for s in strings])
+    # a value that was not fitted on takes the code of 'unknown'
+    code = lambda s: f"coalesce(m_{s}.code, (SELECT code FROM m_{s} WHERE v = 'unknown'))"
+    sel = ", ".join([f"o.{q(c)}" for c in feats_num] + [f"CAST({code(s)} AS DOUBLE) AS {q(s)}" for s in strings])
     joins = " ".join(f"LEFT JOIN m_{s} ON coalesce(o.{q(s)}, 'unknown') = m_{s}.v" for s in strings)
-    parts.append(f"enc AS (SELECT o.student_id, o.G3 AS label, {sel} FROM o {joins})")
+    kept = ", ".join(f"o.{c}" for c in keep)
+    parts.append(f"enc AS (SELECT {kept}, o.G3 AS label, {sel} FROM o {joins})")
     feats = feats_num + strings
     stats = ", ".join(f"avg({q(c)}) AS {q(c + '__m')}, stddev_samp({q(c)}) AS {q(c + '__s')}, "
                       f"stddev_pop({q(c)}) AS {q(c + '__p')}" for c in feats)
-    parts.append(f"enc_st AS (SELECT {stats} FROM enc)")
+    parts.append(f"enc_st AS (SELECT {stats} FROM enc {fit})")
 
     def scaled(c):
         e = (f"CASE WHEN st.{q(c + '__s')} > 1e-8 THEN (e.{q(c)} - st.{q(c + '__m')}) / st.{q(c + '__p')} "
              f"ELSE e.{q(c)} END")
         return f"CASE WHEN ({e}) IS NULL OR isnan({e}) OR isinf({e}) THEN 0 ELSE {e} END AS {q(c)}"
-    parts.append(f"prep AS (SELECT e.student_id, e.label, {', '.join(scaled(c) for c in feats)} "
+    kept = ", ".join(f"e.{c}" for c in keep)
+    parts.append(f"prep AS (SELECT {kept}, e.label, {', '.join(scaled(c) for c in feats)} "
                  f"FROM enc e CROSS JOIN enc_st st)")
     return ",\n".join(parts), "prep", feats

@@ -59,11 +59,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once into the shared folder and reread (run-time failures surface here)."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` computed once into the shared folder and reread, and the folder (see ``discard``)."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into the shared folder and reread (run-time failures surface here)."""
+    return written_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

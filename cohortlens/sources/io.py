@@ -55,6 +55,26 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",",
     return raw.select(*known, *[F.col(f"`{c}`") for c in raw.columns if c in named.values()])
 
 
+def with_row_ids(df: DataFrame, id_col: str = "student_id") -> DataFrame:
+    """An id for rows that have none, the same however the file is split, ordered or read again.
+
+    It is a 63-bit hash of the row's values; rows that repeat each other are
+    counted first (in every map task) and their repetitions numbered, so many
+    equal rows do not meet in one task."""
+    cols = [c for c in df.columns if c != id_col]
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    again = counted.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
+    key = F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in cols], F.col("__k")).bitwiseAND(F.lit((1 << 63) - 1))
+    return again.select(key.alias(id_col), *[F.col(f"`{c}`") for c in cols])
+
+
+def read_roster(spark: SparkSession, path: str, sep: str = ",", id_col: str = "student_id") -> DataFrame:
+    """S1 as the flows read it: a roster file with header, its columns in any order; ids are given where it has none."""
+    df = read_delimited(spark, path, sep)
+    held = {c.strip().lower() for c in spark.read.option("header", True).option("sep", sep).csv(path).columns}
+    return df if id_col in held else with_row_ids(df.drop(id_col), id_col)
+
+
 def load(spark: SparkSession, path: str, file_type: str = "csv", schema=None, **options) -> DataFrame:
     """Read by declared type from an allow-list; anything else is an error.
     (Spreadsheet files are not read: convert them to csv or parquet first.)"""
@@ -124,9 +144,17 @@ def write_explanations(expl: DataFrame, path: str) -> None:
     expl.write.mode("overwrite").json(path)
 
 
-def append_predictions(pred: DataFrame, path: str, model_name: str) -> DataFrame:
-    """Risk predictions with date, model, score, level, confidence,
-    appended and partitioned by model name. Returns what was written."""
+def append_predictions(pred: DataFrame, path: str, model_name: str, roster: DataFrame | None = None,
+                       explanations: DataFrame | None = None) -> DataFrame:
+    """Risk predictions with date, model, score, level, confidence, appended
+    and partitioned by model name. Returns what was written.
+
+    ``roster`` (by student_id) gives each record its risk factors (R1);
+    ``explanations`` (by id: positive_factors, negative_factors, recommendations)
+    its explanation as JSON and its intervention recommendations. Students
+    without them keep empty lists."""
+    from cohortlens.operators.risk import factor_array
+
     out = pred.select(
         F.col("id").cast("long").alias("student_id"),
         F.current_timestamp().alias("prediction_date"),
@@ -134,6 +162,18 @@ def append_predictions(pred: DataFrame, path: str, model_name: str) -> DataFrame
         F.col("probability")[0].alias("risk_score"),
         F.col("y_pred").alias("risk_level"),
         F.array_max("probability").alias("confidence_score"))
+    if roster is not None:
+        out = out.join(roster.select(F.col("student_id").cast("long").alias("student_id"),
+                                     factor_array(roster).alias("factors")), "student_id", "left")
+    if explanations is not None:
+        told = explanations.select(
+            F.col("id").cast("long").alias("student_id"),
+            F.to_json(F.struct("positive_factors", "negative_factors")).alias("explanation"),
+            F.col("recommendations").alias("intervention_recommendations"))
+        out = out.join(told, "student_id", "left")
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(F.col(c), none) for c in ("factors", "intervention_recommendations") if c in out.columns}
+    out = out.withColumns(lists) if lists else out
     out.write.mode("append").partitionBy("model_name").parquet(path)
     return out
 

@@ -178,28 +178,6 @@ def test_default_for_absent_column(spark):
     assert r["f"] is None and r["s"] == 2
 
 
-def test_approximate_quantiles_path(spark):
-    rows = [(i, i % 17, float(i)) for i in range(1000)] + [(1000, None, None)]
-    df = spark.createDataFrame(rows, "student_id long, n int, x double")
-    exact = {r["student_id"]: r for r in clean.clean(df).collect()}
-    approx = {r["student_id"]: r for r in clean.clean(df, approx=True).collect()}
-    assert len(exact) == len(approx) == 1001
-    # approximate quantiles pick observed values; they stay within one step of the exact ones
-    assert abs(approx[0]["x"] - exact[0]["x"]) <= 1.0 and abs(approx[999]["x"] - exact[999]["x"]) <= 1.0
-    assert approx[1000]["n"] is not None and approx[1000]["x"] is not None
-
-
-def test_session_switch_for_approximate_quantiles(spark):
-    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "student_id long, x double")
-    assert not clean.use_approx(df, None)
-    spark.conf.set(clean.APPROX_CONF, "true")
-    try:
-        assert clean.use_approx(df, None) and not clean.use_approx(df, False)
-        assert clean.clean(df).count() == 10
-    finally:
-        spark.conf.unset(clean.APPROX_CONF)
-
-
 def test_validation_messages(spark):
     df = spark.createDataFrame([(1, 16, "F", "GP"), (2, 0, "", "GP"), (3, 30, "M", "MS")],
                                "student_id long, age int, sex string, school string")   # no address column
