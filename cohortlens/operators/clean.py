@@ -199,6 +199,14 @@ def outlier_keep_condition(state: OutlierState, threshold: float = 3.0, min_std:
     return cond
 
 
+def outlier_flag(state: OutlierState, threshold: float = 3.0, min_std: float = 1e-8) -> Column:
+    """The same condition as one column: every column's expression is written once, in an array."""
+    z = [f"abs((CAST({sql_name(c)} AS DOUBLE) - {sql_number(state.means[c])}) / {sql_number(s)})"
+         for c, s in state.stds.items() if s is not None and s > min_std]
+    return F.expr(f"NOT coalesce(exists(array({', '.join(z)}), v -> v >= {sql_number(threshold)} "
+                  "AND v < double('Infinity')), false)") if z else F.lit(True)
+
+
 def remove_outliers(df: DataFrame, threshold: float = 3.0, cols=None, exclude=ID_COLS) -> DataFrame:
     """Drop a row when any numeric column has ``|z| >= threshold``.
 

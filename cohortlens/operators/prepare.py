@@ -126,7 +126,7 @@ class RosterPreparationModel(Model, _PreparationParams, MLReadable, MLWritable):
         # features of cleaned columns miss nothing that they did not miss when fitted
         x = cl.apply_clean(x, cl.CleanState(**st["full"]), new_rows=False)
         if drop_outliers and self.getOrDefault(self.removeOutliers):
-            normal = cl.outlier_keep_condition(cl.OutlierState(**st["outliers"]))
+            normal = cl.outlier_flag(cl.OutlierState(**st["outliers"]))
             if self.getOrDefault(self.fitOn) == TRAIN:  # other rows are there to be scored
                 normal = normal | ~F.col(split_col).eqNullSafe(F.lit(TRAIN))
             # the random term is never true: it keeps the optimizer from writing the whole preparation into the filter

@@ -142,3 +142,41 @@ FROM (SELECT i.student_id, coalesce((SELECT list(t ORDER BY rn) FROM
       FROM (SELECT DISTINCT student_id FROM attr_linear_a) i) z""".replace(
     "['x']", "[" + ", ".join(f"'{g}'" for g in ex.GENERIC_RECOMMENDATIONS) + "]").replace(
     "{['x']}", ""), "roster", ctes=_CTES + ",\n" + _RANK))(_r04)
+
+
+# ---------------------------------------------------------------- X13: data behind the charts
+def _x13s(spark, sf_dir):
+    from cohortlens.plans.shapley import summary_points
+
+    return rounded(summary_points(attribution(spark, sf_dir).withColumnRenamed("student_id", "id"), "score", 5))
+
+
+register("x13_summary_points", W("""
+SELECT i.rank, a.feature, round(i.importance, 6) AS importance, a.student_id AS id, round(a.value, 6) AS value,
+  round(a.shap, 6) AS shap
+FROM attr_linear_a a JOIN imp i ON a.feature = i.feature WHERE i.rank <= 5""", "roster", ctes=_CTES + """,
+imp AS (SELECT feature, avg(abs(shap)) AS importance,
+  CAST(row_number() OVER (ORDER BY avg(abs(shap)) DESC, feature) AS INT) AS rank FROM attr_linear_a GROUP BY feature)"""))(_x13s)
+
+
+def _x13w(spark, sf_dir):
+    from cohortlens.plans.shapley import waterfall
+
+    attr = attribution(spark, sf_dir).withColumnRenamed("student_id", "id")
+    means = _features(spark, sf_dir).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in FEATS])
+    total = sum((F.lit(w) * F.col(f) for f, w in WEIGHTS["linear_a"].items()), F.lit(0.0))
+    return rounded(waterfall(attr, means.select(F.lit("score").alias("class_name"), total.alias("base_value")), 4))
+
+
+_BASE = " + ".join(f"{w} * {f}" for f, w in WEIGHTS["linear_a"].items())
+register("x13_waterfall", W("""
+SELECT id, 'score' AS class_name, position, CASE WHEN position <= 4 THEN feature ELSE 'other features' END AS feature,
+  CASE WHEN position <= 4 THEN round(value, 6) END AS value, round(shap, 6) AS shap,
+  round(base + upto - shap, 6) AS start, round(base + upto, 6) AS "end"
+FROM (SELECT *, sum(shap) OVER (PARTITION BY id ORDER BY position) AS upto FROM bars) b CROSS JOIN basev""",
+    "roster", ctes=_CTES + f""",
+basev AS (SELECT {_BASE} AS base FROM means),
+bars AS (SELECT id, position, min(feature) AS feature, min(value) AS value, sum(shap) AS shap FROM (
+  SELECT student_id AS id, feature, value, shap, CAST(least(row_number() OVER (
+    PARTITION BY student_id ORDER BY abs(shap) DESC, feature), 5) AS INT) AS position FROM attr_linear_a) r
+  GROUP BY id, position)"""))(_x13w)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from cohortlens import fixtures as _fx
@@ -13,11 +12,12 @@ from cohortlens.plans import models as ml
 from cohortlens.plans import sqlgen
 from cohortlens.plans import shapley as sh
 from cohortlens.plans.registry import register, rounded
-from cohortlens.session import checkpoint_dir
+from cohortlens.session import checkpoint_dir, written
 
 _W = _fx.with_views
 
 _CACHE: dict = {}
+ALL_MODELS = ("decision_tree", "random_forest", "gradient_boosting", "svm", "neural_network", "logistic_regression")
 
 _P_CTES, _P, _ = sqlgen.preprocess_ctes()
 _QE = [f"(SELECT quantile_cont(label, {q}) FROM {_P})" for q in (0.0, 0.25, 0.5, 0.75, 1.0)]
@@ -148,7 +148,7 @@ register("x03_shapley_sampling")(_x03)
 def _x07(spark, sf_dir):
     d = training_data(spark, sf_dir)
     # both factor lists read the attribution table: compute it once
-    attr = _shap(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    attr = written(_shap(spark, sf_dir), "attributions")
     e = sh.explain_rows(_fitted(spark, sf_dir, "logistic_regression"), d.df, attr, d.classes, 5)
     names = lambda c: F.array_join(F.transform(c, lambda s: s["feature"]), "|")
     return rounded(e.select("id", "actual", "predicted", "confidence",
@@ -219,8 +219,7 @@ register("x10_sample_report")(_x10)
 
 def _x11(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    models = {m: _fitted(spark, sf_dir, m) for m in ("decision_tree", "random_forest", "gradient_boosting", "svm",
-                                                     "neural_network", "logistic_regression")}
+    models = {m: _fitted(spark, sf_dir, m) for m in ALL_MODELS}
     out = sh.attribute_models(models, d.df, d.feature_names, d.classes)
     return rounded(out)
 

@@ -4,16 +4,15 @@ Re-aimed from per-machine tree / kernel explainers to one distributed job
 (permutation sampling, Strumbelj & Kononenko 2014):
 
 * explained rows (a seeded sample of the test split) are paired with every
-  row of a seeded background sample (bounded by ``n_background``) through an
-  equi-join on a replication index, and with ``n_perm`` seeded feature
-  permutations each;
-* every (row, background, permutation) triple becomes a chain of p+1 hybrid
-  vectors: step i takes the first i features of the permutation from the
-  explained row and the rest from the background row;
-* ONE ``Model.transform`` scores all hybrids; the score of step i counts for
-  the feature added there and against the one added next, so the marginal
-  contributions are signed sums: one aggregate with map-side combine, no sort;
-* they are averaged over the chains per (row, class, feature).
+  row of a seeded background sample (bounded by ``n_background``) and with
+  ``n_perm`` seeded feature permutations each: a chain, dealt out by its key;
+* the hybrid vectors between the two ends of a chain (step i takes the first i
+  features of the permutation from the explained row) are scored by ONE
+  ``Model.transform``; the ends are the rows themselves and are scored once a
+  row, not once a chain;
+* the score of step i counts for the feature added there and against the one
+  added next, so contributions are signed sums of whole class vectors by
+  feature: one aggregate with map-side combine, a column a class.
 
 Each chain telescopes, so per row the attributions sum exactly to
 f(x) - mean_background f(z) (additivity), whatever the sample sizes.
@@ -22,13 +21,17 @@ f(x) - mean_background f(z) (additivity), whatever the sample sizes.
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.profile import seeded_sample
 from cohortlens.session import written
 
 
+#: hybrid vectors that one task scores
+HYBRIDS_PER_TASK = 50_000
+
+
 def _sample_indexed(df: DataFrame, n: int, seed: int, name: str) -> DataFrame:
     s = seeded_sample(df, "id", n, seed)
     w = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
@@ -43,14 +46,16 @@ def shapley_values(model, data: DataFrame, feature_names, classes, n_explain: in
     p = len(feature_names)
     test = data.filter(F.col("split") == "test").select("id", vector_to_array("features").alias("x"))
     train = data.filter(F.col("split") == "train").select("id", vector_to_array("features").alias("z"))
-    ex = _sample_indexed(test, n_explain, seed, "ei")
-    bg = _sample_indexed(train.withColumnRenamed("z", "z"), n_background, seed + 1, "bi") \
-        .select("bi", "z")
+    # both samples are bounded and read several times: written once
+    ex = written(seeded_sample(test, "id", n_explain, seed), "explained")
+    bg = written(_sample_indexed(train, n_background, seed + 1, "bi").select("bi", "z"), "background")
     nb = bg.count()
+    n_hybrids = ex.count() * nb * n_perm * p
     # the background is a bounded sample (<= n_background rows): broadcast it
-    pairs = (ex.withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(max(nb, 1) - 1))))
-             .join(F.broadcast(bg), "bi")
-             .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))))
+    pairs = (ex.select("id", "x").withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(max(nb, 1) - 1))))
+             .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+             .repartition(max(1, n_hybrids // HYBRIDS_PER_TASK), "id", "bi", "perm")
+             .join(F.broadcast(bg), "bi"))
     # permutation of feature indices, seeded per (row, background, perm)
     keyed = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda f: F.struct(
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("bi").cast("string"),
@@ -60,30 +65,47 @@ def shapley_values(model, data: DataFrame, feature_names, classes, n_explain: in
     # (feature, rank) pairs by feature -- O(p log p), not p lookups of O(p)
     pos = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.struct(
         F.element_at(F.col("order"), i + 1).alias("f"), i.alias("r")))), lambda s: s["r"])
-    chains = (pairs.withColumn("order", order).withColumn("pos", pos)
-              .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p)))))
-    hybrid = F.transform(F.arrays_zip(F.col("x").alias("x"), F.col("z").alias("z"), F.col("pos").alias("pos")),
-                         lambda t: F.when(t["pos"] < F.col("step"), t["x"]).otherwise(t["z"]))
-    hy = chains.select("id", "bi", "perm", "step", "order", array_to_vector(hybrid).alias("features"))
-    scored = model.transform(hy).select("id", "bi", "perm", "step", "order",
-                                        vector_to_array("probability").alias("prob"))
-    if link == "logit":
-        scored = scored.withColumn("prob", F.transform("prob", lambda v: F.log(
-            F.greatest(v, F.lit(1e-12)) / F.greatest(1 - v, F.lit(1e-12)))))
-    step, none = F.col("step"), F.lit(None).cast("int")
-    uses = F.array(F.struct(F.when(step > 0, F.get("order", step - 1)).otherwise(none).alias("feature_idx"), F.lit(1).alias("sign")),
-                   F.struct(F.when(step < p, F.get("order", step)).otherwise(none).alias("feature_idx"), F.lit(-1).alias("sign")))
-    signed = (scored.select("id", "prob", F.explode(uses).alias("u")).filter(F.col("u.feature_idx").isNotNull())
-              .select("id", "u.feature_idx", "u.sign", F.posexplode("prob").alias("class_idx", "score")))
-    phi = signed.groupBy("id", "class_idx", "feature_idx").agg(
-        (F.sum(F.col("sign") * F.col("score")) / F.count_if(F.col("sign") > 0)).alias("shap"))
+    chains = pairs.withColumn("order", order)
+
+    def scores(df: DataFrame, *keep: str) -> DataFrame:
+        """``keep`` and the class scores s0, s1, ... of a table with features."""
+        v = vector_to_array("probability")
+        if link == "logit":
+            v = F.transform(v, lambda q: F.log(F.greatest(q, F.lit(1e-12)) / F.greatest(1 - q, F.lit(1e-12))))
+        scored = model.transform(df).select(*keep, v.alias("__s"))
+        return scored.select(*keep, *[F.col("__s")[i].alias(f"s{i}") for i in range(k)])
+
+    def signed(df: DataFrame, *uses: tuple[Column, int]) -> DataFrame:
+        """Rows (id, feature_idx, class scores with sign, gained) of the features that a score counts for or against."""
+        use = F.array(*[F.struct(f.alias("feature_idx"), F.lit(s).alias("sign")) for f, s in uses])
+        return df.withColumn("u", F.explode(use)).select(
+            "id", "u.feature_idx", *[(F.col(f"s{i}") * F.col("u.sign")).alias(f"s{i}") for i in range(k)],
+            (F.col("u.sign") > 0).cast("int").alias("gained"))
+
+    k = len(classes)
+    first, last = F.element_at("order", 1), F.element_at("order", p)
+    ends = chains.select("id", "bi", first.alias("first"), last.alias("last"))
+    # scores of the ends: one a background row and one an explained row, joined to their chains
+    at_start = ends.join(F.broadcast(scores(bg.select("bi", array_to_vector("z").alias("features")), "bi")), "bi")
+    at_end = ends.join(F.broadcast(scores(ex.select("id", array_to_vector("x").alias("features")), "id")), "id")
+    parts = [signed(at_start, (F.col("first"), -1)), signed(at_end, (F.col("last"), 1))]
+    if p > 1:
+        steps = chains.withColumn("pos", pos).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(p - 1))))
+        mixed = F.transform("pos", lambda r, i: F.when(r < F.col("step"), F.get("x", i)).otherwise(F.get("z", i)))
+        hybrids = steps.select("id", F.get("order", F.col("step") - 1).alias("added"), F.get("order", "step").alias("next"),
+                               array_to_vector(mixed).alias("features"))
+        parts.append(signed(scores(hybrids, "id", "added", "next"), (F.col("added"), 1), (F.col("next"), -1)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    phi = every.groupBy("id", "feature_idx").agg(
+        *[(F.sum(f"s{i}") / F.sum("gained")).alias(f"s{i}") for i in range(k)])
     names = F.array(*[F.lit(n) for n in feature_names])
-    cls = F.array(*[F.lit(c) for c in classes])
-    vals = ex.select("id", "x")
-    return (phi.join(vals, "id")
-            .select("id", F.element_at(cls, F.col("class_idx") + 1).alias("class_name"),
-                    F.element_at(names, F.col("feature_idx") + 1).alias("feature"),
-                    F.element_at("x", F.col("feature_idx") + 1).alias("value"), "shap"))
+    per_class = F.explode(F.array(*[F.struct(F.lit(c).alias("class_name"), F.col(f"s{i}").alias("shap"))
+                                    for i, c in enumerate(classes)]))
+    return (phi.join(ex.select("id", "x"), "id").withColumn("c", per_class)
+            .select("id", "c.class_name", F.element_at(names, F.col("feature_idx") + 1).alias("feature"),
+                    F.element_at("x", F.col("feature_idx") + 1).alias("value"), "c.shap"))
 
 
 def base_values(model, data: DataFrame, classes, n_background: int = 100, seed: int = 42) -> DataFrame:
@@ -96,6 +118,33 @@ def base_values(model, data: DataFrame, classes, n_background: int = 100, seed:
             .select(F.element_at(cls, F.col("k") + 1).alias("class_name"), "base_value"))
 
 
+def summary_points(attr: DataFrame, class_name: str, n: int = 20) -> DataFrame:
+    """The points of a summary chart of one class: each row's value and
+    contribution of the ``n`` features of largest mean |shap| (rank 1 first, ties by name)."""
+    own = attr.filter(F.col("class_name") == class_name)
+    imp = own.groupBy("feature").agg(F.avg(F.abs("shap")).alias("importance"))
+    top = imp.orderBy(F.desc("importance"), "feature").limit(n)  # n rows
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    return own.join(F.broadcast(top), "feature").select("rank", "feature", "importance", "id", "value", "shap")
+
+
+def waterfall(attr: DataFrame, base: DataFrame, n: int = 9) -> DataFrame:
+    """The bars of a waterfall chart of every (row, class): from the base
+    value (``base``: class_name, base_value) through the ``n`` strongest
+    contributions and the sum of the others to the model's output."""
+    key = ["id", "class_name"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.abs("shap")), "feature"))
+    ranked = attr.withColumn("position", F.least(rank, F.lit(n + 1)))
+    bars = ranked.groupBy(*key, "position").agg(
+        F.when(F.col("position") <= n, F.min("feature")).otherwise(F.lit("other features")).alias("feature"),
+        F.when(F.col("position") <= n, F.min("value")).alias("value"), F.sum("shap").alias("shap"))
+    upto = F.sum("shap").over(Window.partitionBy(*key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    out = bars.withColumn("upto", upto).join(F.broadcast(base), "class_name")  # one row a class
+    return out.select(*key, "position", "feature", "value", "shap",
+                      (F.col("base_value") + F.col("upto") - F.col("shap")).alias("start"),
+                      (F.col("base_value") + F.col("upto")).alias("end"))
+
+
 def explain_rows(model, data: DataFrame, attr: DataFrame, classes, n: int = 5) -> DataFrame:
     """X7 + X8: per explained row: predicted class, confidence (max
     probability), and the top-n positive / negative contributions of the

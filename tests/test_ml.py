@@ -203,6 +203,39 @@ def test_wrapped_estimators_tune_with_cross_validator(spark):
         assert ml.predictions(model, d.df).count() == d.df.count()
 
 
+def test_attributions_of_every_model_add_up(spark):
+    """X11 with all six models, really run; the waterfall ends at the model's own output."""
+    from pyspark.ml.functions import vector_to_array
+
+    from cohortlens.plans import q_models
+
+    d = q_models.training_data(spark, SF_SMALL)
+    models = {m: q_models._fitted(spark, SF_SMALL, m) for m in q_models.ALL_MODELS}
+    attr = sh.attribute_models(models, d.df, d.feature_names, d.classes, n_explain=4, n_background=6, n_perm=1)
+    assert attr.filter("error IS NOT NULL").count() == 0
+    assert {r["model"]: r["n"] for r in attr.groupBy("model").agg(F.count("*").alias("n")).collect()} == {
+        m: 4 * len(d.classes) * len(d.feature_names) for m in models}
+    for name, model in models.items():
+        own = attr.filter(F.col("model") == name).drop("model", "error")
+        bars = sh.waterfall(own, sh.base_values(model, d.df, d.classes, n_background=6), 5).collect()
+        end = {(r["id"], r["class_name"]): r["end"] for r in bars if r["position"] == 6}
+        ids = d.df.join(own.select("id").distinct(), "id", "left_semi")
+        for r in model.transform(ids).select("id", vector_to_array("probability").alias("p")).collect():
+            assert [end[r["id"], c] for c in d.classes] == pytest.approx(r["p"], abs=1e-9)
+
+
+def test_one_feature_needs_no_hybrids(spark, data):
+    from pyspark.ml.feature import VectorSlicer
+
+    one = VectorSlicer(inputCol="features", outputCol="f", indices=[0]).transform(data.df).drop("features") \
+        .withColumnRenamed("f", "features")
+    model = ml.create_model("logistic_regression", 1, n_rows=100).fit(one.filter("split = 'train'"))
+    attr = sh.shapley_values(model, one, data.feature_names[:1], data.classes, n_explain=3, n_background=4, n_perm=2)
+    assert attr.count() == 3 * len(data.classes)
+    total = attr.groupBy("id").agg(F.sum("shap").alias("s")).collect()
+    assert all(abs(r["s"]) < 1e-9 for r in total)  # the classes' contributions cancel out
+
+
 def test_registered_jobs_take_all_models_and_default_samples(monkeypatch):
     from types import SimpleNamespace
 
