@@ -1,111 +1,221 @@
-"""Exact k-nearest neighbours (J6) and kNN classification (M7).
-
-Spark ML has no exact kNN, so this is a blocked top-k join:
-
-1. rows are hash-assigned to ``Bq`` query blocks and ``Bc`` candidate blocks
-   (balanced by construction, whatever the id distribution);
-2. every query row is sent to each candidate block and vice versa, so each
-   (query block, candidate block) pair meets in exactly one cogroup;
-3. ``applyInPandas`` computes the distances of that block pair with numpy in
-   small query chunks and emits only the k best candidates per query (ties
-   broken by candidate id), never the pairs themselves;
-4. a ``row_number() <= k`` per query merges the block results (planned as a
+"""Exact k-nearest neighbours (J6) and kNN classification (M7), pruned by the triangle inequality.
+
+1. Up to ``MAX_PIVOTS`` candidates, a seeded sample, are pivots; every candidate
+   belongs to the cell of its nearest pivot and keeps its distance to it.
+2. Each cell's size, radius and few smallest distances (a bounded table) give
+   every query an upper bound on the distance of its k-th neighbour: d(q, pivot)
+   + d(pivot, candidate) is never less than d(q, candidate).
+3. A query meets only the cells whose nearest possible point, d(q, pivot) -
+   radius, is within that bound, and inside a cell only the ring of candidates
+   whose distance to the pivot differs from the query's by at most the bound.
+4. Cells and the queries that meet them are dealt in blocks of bounded size; a
+   block pair computes distances with numpy and emits only the k best of each
+   query (ties by candidate id); ``row_number() <= k`` merges them (planned as a
    WindowGroupLimit, i.e. partial top-k before the shuffle).
 
-The number of blocks follows from the row counts and ``block_rows``, which
-bounds the memory of one task at block_rows^2 distances. Work is quadratic in
-the number of rows, as exact kNN is.
+Nothing is approximated: where the data have no structure that the bound could
+use, every query meets every cell. A small set of queries is sent to the
+candidates' tasks instead, and nothing but the k best of each task is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-NEIGHBOR_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("neighbor_id", T.LongType()),
-    T.StructField("distance", T.DoubleType()),
-    T.StructField("neighbor_label", T.IntegerType()),
-])
-
-
-def _block_topk(k: int, metric: str, exclude_self: bool, chunk: int = 32):
-    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({f.name: pd.Series(dtype="float64" if f.name == "distance" else "int64")
-                                 for f in NEIGHBOR_SCHEMA.fields})
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        cids = cpdf["cid"].to_numpy(dtype=np.int64)
-        clab = cpdf["clabel"].to_numpy()
-        Q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
-        C = np.stack(cpdf["cvec"].to_numpy()).astype(np.float64)
-        keep = min(len(cids), k + (1 if exclude_self else 0))
-        out_q, out_c, out_d, out_l = [], [], [], []
-        for s in range(0, len(qids), chunk):
-            diff = Q[s:s + chunk, None, :] - C[None, :, :]
-            if metric == "manhattan":
-                d = np.abs(diff).sum(axis=2)
-            else:
-                d = np.sqrt((diff * diff).sum(axis=2))
-            order = np.lexsort((np.broadcast_to(cids, d.shape), d), axis=1)[:, :keep]
-            for r in range(order.shape[0]):
-                qi = qids[s + r]
-                idx = order[r]
-                if exclude_self:
-                    idx = idx[cids[idx] != qi][:k]
-                else:
-                    idx = idx[:k]
-                out_q.append(np.full(len(idx), qi, dtype=np.int64))
-                out_c.append(cids[idx])
-                out_d.append(d[r, idx])
-                out_l.append(clab[idx])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_c),
-                             "distance": np.concatenate(out_d),
-                             "neighbor_label": np.concatenate(out_l).astype("int32")})
-    return fn
+
+from cohortlens.session import written
+
+METRICS = ("euclidean", "manhattan", "minkowski")
+#: pivots at most; candidates of a cell aimed at; rows of a block; values of a query set that is sent to the tasks
+MAX_PIVOTS, CELL_ROWS, SMALL_VALUES = 256, 512, 32_768
+#: slack of the bounds for rounding
+SLACK = 1e-9
+
+NEIGHBORS = "query_id long, neighbor_id long, distance double, neighbor_label int"
+
+
+def _distances(q: np.ndarray, c: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """(queries, candidates) distances."""
+    diff = q[:, None, :] - c[None, :, :]
+    if metric == "manhattan" or metric == "minkowski" and p == 1:
+        return np.abs(diff).sum(axis=2)
+    if metric == "euclidean" or p == 2:
+        return np.sqrt((diff * diff).sum(axis=2))
+    return (np.abs(diff) ** p).sum(axis=2) ** (1 / p)
+
+
+def _chunked(q: np.ndarray, c: np.ndarray, metric: str, p: float, values: int = 1 << 21) -> Iterator[tuple[int, np.ndarray]]:
+    step = max(1, values // max(1, c.size))
+    for s in range(0, len(q), step):
+        yield s, _distances(q[s:s + step], c, metric, p)
+
+
+def _matrix(col: pd.Series) -> np.ndarray:
+    return np.stack(col.to_numpy()).astype(np.float64)
+
+
+def _best(qids, cids, labels, d, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The ``k`` nearest candidates of each row of ``d``, equal distances by candidate id."""
+    order = np.lexsort((np.broadcast_to(cids, d.shape), d), axis=1)
+    rows, cols = [], []
+    for r in range(len(d)):
+        idx = order[r][:k + (1 if exclude_self else 0)]
+        idx = idx[cids[idx] != qids[r]][:k] if exclude_self else idx[:k]
+        rows.append(np.full(len(idx), r))
+        cols.append(idx)
+    rows, cols = np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
+    return pd.DataFrame({"query_id": qids[rows], "neighbor_id": cids[cols], "distance": d[rows, cols],
+                         "neighbor_label": pd.Series(labels[cols], dtype="Int32")})
+
+
+def _sent_queries(queries: DataFrame, k: int, metric: str, p: float, exclude_self: bool):
+    """Task over candidates against a small query set that travels with the code."""
+    rows = queries.collect()  # bounded: checked by the caller
+    qids = np.array([r["qid"] for r in rows], np.int64)
+    q = np.array([r["qvec"] for r in rows], np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c, cids, labels = _matrix(b["cvec"]), b["cid"].to_numpy(np.int64), b["clabel"].to_numpy()
+                for s, d in _chunked(q, c, metric, p):
+                    yield _best(qids[s:s + len(d)], cids, labels, d, k, exclude_self)
+
+    return run
+
+
+def _to_cells(pivots: np.ndarray, metric: str, p: float):
+    """Task: each candidate's cell and its distance to that pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                parts = [(d.argmin(axis=1), d.min(axis=1)) for _, d in _chunked(_matrix(b["cvec"]), pivots, metric, p)]
+                yield b.assign(cell=np.concatenate([x for x, _ in parts]).astype(np.int32),
+                               far=np.concatenate([x for _, x in parts]))
+
+    return run
+
+
+def _meet_cells(pivots: np.ndarray, cells: pd.DataFrame, k: int, metric: str, p: float):
+    """Task: a row for each query and cell that can hold one of its ``k`` nearest, with the query's bound."""
+    size = cells["near"].map(len).to_numpy()
+    near = np.concatenate([np.asarray(x, np.float64) for x in cells["near"]])
+    of = np.repeat(np.arange(len(cells)), size)
+    numbers, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy(np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, d in _chunked(_matrix(b["qvec"]) if len(b) else np.zeros((0, pivots.shape[1])), pivots, metric, p):
+                d = d[:, numbers]
+                upper = d[:, of] + near[None, :]
+                bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
+                bound = bound * (1 + SLACK) + SLACK
+                row, at = np.nonzero(d - radius[None, :] <= bound[:, None])
+                out = b.iloc[s + row].reset_index(drop=True)
+                yield out.assign(cell=numbers[at].astype(np.int32), far=d[row, at], bound=bound[row])
+
+    return run
+
+
+def _cell_block(k: int, metric: str, p: float, exclude_self: bool):
+    """Cogrouped task: the queries of one block that meet a cell against the cell's candidates."""
+
+    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(candidates):
+            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": [], "neighbor_label": []}).astype(
+                {"query_id": "int64", "neighbor_id": "int64", "distance": "float64", "neighbor_label": "Int32"})
+        queries, candidates = queries.sort_values("far"), candidates.sort_values("far")
+        q, c = _matrix(queries["qvec"]), _matrix(candidates["cvec"])
+        qids, cids = queries["qid"].to_numpy(np.int64), candidates["cid"].to_numpy(np.int64)
+        labels, ring = candidates["clabel"].to_numpy(), candidates["far"].to_numpy()
+        at, bound = queries["far"].to_numpy(), queries["bound"].to_numpy()
+        out = []
+        for s in range(0, len(q), 32):
+            a, r = at[s:s + 32], bound[s:s + 32]
+            low, high = np.searchsorted(ring, (a - r).min(), "left"), np.searchsorted(ring, (a + r).max(), "right")
+            if low < high:
+                for t, d in _chunked(q[s:s + 32], c[low:high], metric, p):
+                    out.append(_best(qids[s + t:s + t + len(d)], cids[low:high], labels[low:high], d, k, exclude_self))
+        return pd.concat(out) if out else run(queries[:0], candidates)
+
+    return run
+
+
+def meeting_cells(queries: DataFrame, candidates: DataFrame, k: int, metric: str, p: float, cell_rows: int
+                  ) -> tuple[DataFrame, DataFrame, int]:
+    """(queries with the cells they meet, candidates by cell, number of cells); both written once."""
+    spark, nc = candidates.sparkSession, candidates.count()
+    order = F.md5(F.concat(F.lit("pivot:"), F.col("cid").cast("string")))
+    n_pivots = max(1, min(MAX_PIVOTS, math.ceil(nc / cell_rows)))
+    pivots = np.array([r["cvec"] for r in candidates.orderBy(order, "cid").limit(n_pivots).collect()], np.float64)
+    dealt = candidates.mapInPandas(_to_cells(pivots, metric, p),
+                                   "cid long, cvec array<double>, clabel int, cell int, far double")
+    dealt = written(dealt, "knn-cells")
+    near = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).filter(F.col("nth") <= k)
+    cells = dealt.groupBy("cell").agg(F.max("far").alias("radius")).join(
+        near.groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near")), "cell").orderBy("cell")
+    met = queries.mapInPandas(_meet_cells(pivots, cells.toPandas(), k, metric, p),  # at most MAX_PIVOTS rows
+                              "qid long, qvec array<double>, cell int, far double, bound double")
+    return written(met, "knn-queries"), dealt, n_pivots
 
 
 def nearest_neighbors(queries: DataFrame, candidates: DataFrame, k: int = 5,
                       id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label",
-                      metric: str = "euclidean", exclude_self: bool = True,
-                      block_rows: int = 2048) -> DataFrame:
+                      metric: str = "euclidean", exclude_self: bool = True, block_rows: int = 2048, p: float = 2.0,
+                      cell_rows: int = CELL_ROWS, small_values: int = SMALL_VALUES) -> DataFrame:
     """The k nearest candidates of every query row (query_id, rank,
     neighbor_id, distance, neighbor_label); the row itself is excluded."""
-    if metric not in ("euclidean", "manhattan"):
-        raise ValueError(f"unknown metric {metric}")
-    nq, nc = queries.count(), candidates.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    bc = max(1, math.ceil(nc / block_rows))
-    lab = F.col(label_col).cast("int") if label_col else F.lit(None).cast("int")
-    q = (queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("qvec"))
-         .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int"))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
-    c = (candidates.select(F.col(id_col).cast("long").alias("cid"), F.col(vec_col).alias("cvec"),
-                           lab.alias("clabel"))
-         .withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    partial = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-               .applyInPandas(_block_topk(k, metric, exclude_self), NEIGHBOR_SCHEMA))
+    if metric not in METRICS or metric == "minkowski" and p < 1:
+        raise ValueError(f"unknown metric {metric} (p = {p})")
+    label = F.col(label_col).cast("int") if label_col else F.lit(None).cast("int")
+    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))
+    c = candidates.select(F.col(id_col).cast("long").alias("cid"), F.col(vec_col).cast("array<double>").alias("cvec"),
+                          label.alias("clabel"))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("qvec")), F.lit(0)).alias("d")).first()
+    if size["n"] * size["d"] <= small_values:
+        partial = c.mapInPandas(_sent_queries(q, k, metric, p, exclude_self), NEIGHBORS) if size["n"] else \
+            q.sparkSession.createDataFrame([], NEIGHBORS)
+    else:
+        met, dealt, _ = meeting_cells(q, c, k + (1 if exclude_self else 0), metric, p, cell_rows)
+        blocks = max(1, math.ceil(size["n"] / block_rows))
+        met = met.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+        # a large cell is cut into parts, a cell goes to the query blocks that meet it: both known from small tables
+        meets = met.select("cell", "block").distinct().join(sizes, "cell")
+        meets = meets.select(*[F.col(c).alias(f"m_{c}") for c in meets.columns])
+        dealt = dealt.join(F.broadcast(meets), F.col("cell") == F.col("m_cell")).select(
+            "cid", "cvec", "clabel", "far", F.col("m_cell").alias("cell"), F.col("m_block").alias("block"),
+            F.pmod(F.xxhash64("cid"), F.col("m_parts")).cast("int").alias("part"))
+        met = met.join(F.broadcast(sizes), "cell").select(
+            "qid", "qvec", "far", "bound", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        key = ["cell", "block", "part"]
+        partial = met.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(_cell_block(k, metric, p, exclude_self), NEIGHBORS)
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def knn_classify(vectors: DataFrame, k: int = 5, weights: str = "uniform", metric: str = "euclidean",
                  id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                 candidates: DataFrame | None = None) -> DataFrame:
+                 candidates: DataFrame | None = None, p: float = 2.0) -> DataFrame:
     """M7: predict each row from its k nearest labelled rows (leave-one-out
     when ``candidates`` is None). Uniform or inverse-distance weights; the
     probability is the weighted vote share; ties go to the smallest label.
     A zero distance takes all the weight, as in inverse-distance voting."""
     cand = vectors if candidates is None else candidates
     nb = nearest_neighbors(vectors, cand, k, id_col, vec_col, label_col, metric,
-                           exclude_self=candidates is None)
+                           exclude_self=candidates is None, p=p)
     if weights == "distance":
         has_zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("query_id"))
         wgt = F.when(has_zero == 1, (F.col("distance") == 0).cast("double")) \
@@ -123,3 +233,86 @@ def knn_classify(vectors: DataFrame, k: int = 5, weights: str = "uniform", metri
                       (-F.col("best.neg_label")).cast("int").alias("prediction"),
                       (F.col("best.w") / F.col("total")).alias("confidence"),
                       "scores", "total")
+
+
+class _KNNParams(Params):
+    k = Param(Params._dummy(), "k", "number of neighbours", TypeConverters.toInt)
+    weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
+    metric = Param(Params._dummy(), "metric", "euclidean, manhattan or minkowski", TypeConverters.toString)
+    p = Param(Params._dummy(), "p", "power of the minkowski metric", TypeConverters.toFloat)
+    nClasses = Param(Params._dummy(), "nClasses", "length of the probability vector", TypeConverters.toInt)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(k=5, weights="uniform", metric="euclidean", p=2.0, nClasses=2)
+
+
+class KNNClassifier(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsWritable):
+    """M7 as an estimator over (id, features, label): features are standardised with
+    the training rows' means and deviations, which the model keeps with those rows."""
+
+    def __init__(self, k=5, weights="uniform", metric="euclidean", p=2.0, n_classes=2):
+        super().__init__()
+        if metric not in METRICS or weights not in ("uniform", "distance"):
+            raise ValueError(f"unknown metric or weights: {metric}, {weights}")
+        self._set(k=k, weights=weights, metric=metric, p=p, nClasses=n_classes)
+
+    def _fit(self, df: DataFrame) -> KNNClassificationModel:
+        long = df.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
+        stats = long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()  # a row a feature
+        scale = {"mean": [r["m"] for r in stats], "std": [r["s"] or 1.0 for r in stats]}
+        rows = written(df.select("id", vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label")), "knn-rows")
+        return self._copyValues(KNNClassificationModel(scale, rows))
+
+
+class KNNClassificationModel(Model, _KNNParams, MLReadable, MLWritable):
+    """Adds ``probability`` (vote shares of all classes) and ``prediction`` to rows with id and features."""
+
+    def __init__(self, scale: dict | None = None, rows: DataFrame | None = None):
+        super().__init__()
+        self.scale, self.rows = scale or {}, rows
+
+    def _scaled(self, x: Column) -> Column:
+        mean, std = (F.array(*[F.lit(float(v)) for v in self.scale[s]]) for s in ("mean", "std"))
+        return F.zip_with(F.zip_with(x, mean, lambda a, b: a - b), std, lambda a, b: a / b)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        g = lambda name: self.getOrDefault(getattr(self, name))
+        n = g("nClasses")
+        known = self.rows.select("id", self._scaled(F.col("x")).alias("v"), "label")
+        asked = df.select("id", self._scaled(vector_to_array("features")).alias("v"))
+        votes = knn_classify(asked, g("k"), g("weights"), g("metric"), "id", "v", "label", known, g("p"))
+        share = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                            lambda i: F.coalesce(F.element_at("scores", i.cast("int")), F.lit(0.0)) / F.col("total"))
+        told = votes.select(F.col("id").alias("__id"), array_to_vector(share).alias("probability"),
+                            F.col("prediction").cast("double").alias("prediction"))
+        return df.join(told, F.col("id") == F.col("__id"), "left").drop("__id")
+
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader()
+
+
+class _Writer(MLWriter):
+    def __init__(self, model: KNNClassificationModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.sparkSession.createDataFrame([(json.dumps(self.model.scale),)], "scale string").write.text(f"{path}/scale")
+        self.model.rows.write.parquet(f"{path}/rows")
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> KNNClassificationModel:
+        spark = SparkSession.getActiveSession()
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        scale = json.loads(spark.read.text(f"{path}/scale").first()[0])
+        model = KNNClassificationModel(scale, spark.read.parquet(f"{path}/rows"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model

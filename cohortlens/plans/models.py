@@ -22,11 +22,12 @@ whole table. Where Spark ML has no direct counterpart the estimator is a
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import fixtures as fx
 from cohortlens.operators import bands, split
+from cohortlens.operators.knn import KNNClassifier
 from cohortlens.operators.labels import encode_labels
 from cohortlens.operators.metrics import summary_metrics
 from cohortlens.operators.prepare import RosterPreparation, RosterPreparationModel
@@ -376,7 +378,7 @@ def create_model(name: str, n_features: int, n_rows: int = 1, n_classes: int = 4
         return _mlp(p, n_features, n_classes)
     if key == "logistic_regression":
         return _lr(p, n_rows)
-    raise ValueError(f"{name} is not a Spark ML estimator; use cohortlens.operators.knn")
+    return KNNClassifier(p["n_neighbors"], p["weights"], p["metric"], float(p.get("p", 2.0)), n_classes)
 
 
 # Small default grids (the reference's full grids multiply fits by 36-216 x 5 folds).
@@ -418,27 +420,45 @@ def predictions(model, df: DataFrame, classes=CLASSES) -> DataFrame:
                       prob.alias("probability"))
 
 
-def cross_validate(name: str, data: TrainingData, k: int = 5, params: dict | None = None) -> DataFrame:
-    """M2 + M4: fit on k-1 folds, score the held-out fold; one metrics row per
-    fold (accuracy, weighted precision / recall / F1)."""
+def out_of_fold(name: str, data: TrainingData, k: int = 5, params: dict | None = None, parallelism: int = 5) -> DataFrame:
+    """M2: (model, id, fold, y_true, y_pred, probability) of every training row, from the model fitted on the other folds.
+
+    The folds are fitted side by side and each is written as it ends; cross-validation
+    figures, the comparison's CV column and votes are all taken from this table."""
     train = data.df.filter(F.col("split") == "train")
     n = train.count()
-    parts = []
-    for f in range(k):
-        est = create_model(name, len(data.feature_names), n_rows=n, **(params or {}))
-        m = est.fit(train.filter(F.col("fold") != f))
-        parts.append(predictions(m, train.filter(F.col("fold") == f)).withColumn("cv_fold", F.lit(f)))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return summary_metrics(allp, by=["cv_fold"])
+
+    def one(fold: int) -> DataFrame:
+        est = create_model(name, len(data.feature_names), n_rows=n, n_classes=len(data.classes), **(params or {}))
+        model = est.fit(train.filter(F.col("fold") != fold))
+        held = predictions(model, train.filter(F.col("fold") == fold), data.classes)
+        return written(held.select(F.lit(name).alias("model"), "id", F.lit(fold).alias("fold"), "y_true", "y_pred",
+                                   F.col("probability").cast("array<double>").alias("probability")), "fold")
+
+    with ThreadPoolExecutor(max(1, min(k, parallelism))) as pool:
+        parts = list(pool.map(inheritable_thread_target(one), range(k)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def cv_summary(oof: DataFrame, pred_col: str = "y_pred") -> DataFrame:
+    """M4 from stored out-of-fold predictions, a row a model: mean and (population) std of the
+    fold accuracies, means of the folds' weighted precision / recall / F1."""
+    per_fold = summary_metrics(oof, pred_col=pred_col, by=["model", "fold"])
+    return per_fold.groupBy("model").agg(
+        F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"),
+        F.avg("precision").alias("cv_precision"), F.avg("recall").alias("cv_recall"), F.avg("f1").alias("cv_f1"))
 
 
-def cv_summary(per_fold: DataFrame) -> DataFrame:
-    """M4: mean and (population) std of the fold accuracies, means of the rest."""
-    return per_fold.agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"),
-                        F.avg("precision").alias("cv_precision"), F.avg("recall").alias("cv_recall"),
-                        F.avg("f1").alias("cv_f1"))
+def cv_rows(oof: DataFrame) -> DataFrame:
+    """The cross-validation figures as report rows (model, split 'cv', metric, value)."""
+    named = cv_summary(oof).select("model", F.col("cv_mean").alias("accuracy"), F.col("cv_std").alias("accuracy_std"),
+                                   F.col("cv_precision").alias("precision"), F.col("cv_recall").alias("recall"),
+                                   F.col("cv_f1").alias("f1"))
+    long = named.unpivot(["model"], ["accuracy", "accuracy_std", "precision", "recall", "f1"], "metric", "value")
+    return long.select("model", F.lit("cv").alias("split"), "metric", "value")
 
 
 def split_metrics(pred: DataFrame, model_name: str) -> DataFrame:
@@ -448,8 +468,24 @@ def split_metrics(pred: DataFrame, model_name: str) -> DataFrame:
     return long.select(F.lit(model_name).alias("model"), "split", "metric", "value")
 
 
-def train_single_model(name: str, data: TrainingData, do_tune: bool = True, save_path: str | None = None):
-    """Tune, fit, score the three splits, time it, optionally save."""
+#: Spark ML names of tuned settings -> names of the registry
+_SETTINGS = {"maxDepth": "max_depth", "minInstancesPerNode": "min_samples_leaf", "impurity": "criterion",
+             "numTrees": "n_estimators", "stepSize": "learning_rate", "elasticNetParam": "l1_ratio", "C": "C", "maxIter": "n_estimators"}
+
+
+def tuned_params(model, grid_scores) -> dict:
+    """Registry settings of the grid point that won (none without a grid)."""
+    if not grid_scores:
+        return {}
+    best = max(grid_scores, key=lambda g: g[1])[0]
+    out = {_SETTINGS[k]: v for k, v in best.items() if k in _SETTINGS}
+    return {**out, "penalty": "elasticnet"} if "l1_ratio" in out else out
+
+
+def train_single_model(name: str, data: TrainingData, do_tune: bool = True, save_path: str | None = None,
+                       cv: int | None = 5, held: DataFrame | None = None):
+    """Tune, fit, score the three splits, time it, cross-validate in ``cv`` folds
+    (or take the stored out-of-fold table ``held``), optionally save (S5)."""
     t0 = time.time()
     if do_tune and ALIASES.get(name, name) in GRIDS:
         model, grid_scores = tune(name, data)
@@ -457,15 +493,17 @@ def train_single_model(name: str, data: TrainingData, do_tune: bool = True, save
         train = data.df.filter(F.col("split") == "train")
         model = create_model(name, len(data.feature_names), n_rows=train.count()).fit(train)
         grid_scores = []
-    pred = predictions(model, data.df).persist(StorageLevel.MEMORY_AND_DISK)
-    metrics = split_metrics(pred, name)
-    metrics.count()
+    pred = written(predictions(model, data.df), "predictions")
+    metrics = written(split_metrics(pred, name), "metrics")
     elapsed = time.time() - t0
+    if cv:
+        held = held if held is not None else out_of_fold(name, data, cv, tuned_params(model, grid_scores))
+        metrics = written(metrics.unionByName(cv_rows(held)), "metrics")
     if save_path:
         from cohortlens.sources.io import save_model
         save_model(model, save_path, metrics)
     return {"model": model, "predictions": pred, "metrics": metrics, "training_time": elapsed,
-            "grid": grid_scores}
+            "grid": grid_scores, "out_of_fold": held}
 
 
 def soft_vote(preds: list[DataFrame], classes=CLASSES) -> DataFrame:
@@ -479,7 +517,9 @@ def soft_vote(preds: list[DataFrame], classes=CLASSES) -> DataFrame:
     avg = u.groupBy("id", "split", "y_true").agg(
         *[F.avg(F.col("probability")[i]).alias(f"p{i}") for i in range(n)])
     arr = F.array(*[F.col(f"p{i}") for i in range(n)])
-    best = F.array_position(arr, F.array_max(arr)) - 1
+    # equal averages can differ in the last bit by the order of their sum: twelve digits decide
+    near = F.transform(arr, lambda v: F.round(v, 12))
+    best = F.array_position(near, F.array_max(near)) - 1
     cls = F.array(*[F.lit(c) for c in classes])
     return avg.select("id", "split", "y_true", F.element_at(cls, (best + 1).cast("int")).alias("y_pred"),
                       arr.alias("probability"))
@@ -487,14 +527,15 @@ def soft_vote(preds: list[DataFrame], classes=CLASSES) -> DataFrame:
 
 def run_all(data: TrainingData, names=("decision_tree", "random_forest", "gradient_boosting", "svm",
                                         "neural_network", "logistic_regression"),
-            do_tune: bool = False) -> tuple[dict, DataFrame]:
+            do_tune: bool = False, cv: int | None = 5, stored: dict[str, DataFrame] | None = None
+            ) -> tuple[dict, DataFrame]:
     """Train every model; failing models are recorded, not raised (X11);
     soft-voting ensemble over forest, boosting and SVM when all three exist."""
     spark = data.df.sparkSession
     results, tables, errors = {}, [], []
     for name in names:
         try:
-            r = train_single_model(name, data, do_tune=do_tune)
+            r = train_single_model(name, data, do_tune=do_tune, cv=cv, held=(stored or {}).get(name))
             results[name] = r
             tables.append(r["metrics"].withColumn("training_time", F.lit(r["training_time"])))
         except Exception as ex:  # noqa: BLE001 - one failing model must not stop the run
@@ -575,13 +616,15 @@ class RiskModel:
         if self.model is None:
             raise ValueError("Model must be trained before use")
 
-    def train(self, data: TrainingData) -> DataFrame:
+    def train(self, data: TrainingData, cv: int | None = 5) -> DataFrame:
         train = data.df.filter(F.col("split") == "train")
         self.classes = data.classes
         est = create_model(self.name, len(data.feature_names), n_rows=train.count(),
                            n_classes=len(data.classes), **self.params)
         self.model = est.fit(train)
         self.metrics = split_metrics(predictions(self.model, data.df, self.classes), self.name)
+        if cv:
+            self.metrics = self.metrics.unionByName(cv_rows(out_of_fold(self.name, data, cv, self.params)))
         return self.metrics
 
     def predict(self, df: DataFrame) -> DataFrame:

@@ -182,18 +182,78 @@ def _with_split(spark, sf_dir):
     return _scored(spark, sf_dir).join(sp, "student_id")
 
 
+def _folded(spark, sf_dir):
+    """The training rows' stored predictions with their fold: (model, fold, y_true, y_pred)."""
+    r = fx.roster(spark, sf_dir)
+    sp = split.stratified_split(r.select("student_id", loader_band("G3").alias("risk_level")),
+                                "risk_level", "student_id", k_folds=5).select("student_id", "split", "fold")
+    held = _scored(spark, sf_dir).join(sp.filter("split = 'train'"), "student_id")
+    return held.select("model", "fold", "y_true", F.col("prediction").alias("y_pred"))
+
+
+def _m04s(spark, sf_dir):
+    from cohortlens.plans.models import cv_summary
+
+    return rounded(cv_summary(_folded(spark, sf_dir)))
+
+
+_CV = """held AS (SELECT s.model, CAST(k.r % 5 AS INT) AS fold, s.y_true, s.prediction
+  FROM scored s JOIN ranked k ON s.student_id = k.student_id WHERE k.r < k.n * 0.7),
+labels AS (SELECT DISTINCT model, fold, l FROM (SELECT model, fold, y_true AS l FROM held UNION ALL SELECT model, fold, prediction FROM held)),
+cls AS (SELECT b.model, b.fold, b.l,
+  (SELECT count(*) FROM held h WHERE h.model = b.model AND h.fold = b.fold AND h.y_true IS NOT DISTINCT FROM b.l) AS support,
+  (SELECT count(*) FROM held h WHERE h.model = b.model AND h.fold = b.fold AND h.prediction IS NOT DISTINCT FROM b.l) AS predicted,
+  (SELECT count(*) FROM held h WHERE h.model = b.model AND h.fold = b.fold AND h.prediction = b.l AND h.y_true = b.l) AS tp
+  FROM labels b),
+pr AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r
+  FROM cls WHERE l IS NOT NULL OR support > 0),
+folds AS (SELECT model, fold, sum(tp) / sum(support) AS a, sum(p * support) / sum(support) AS p, sum(r * support) / sum(support) AS r,
+  sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END * support) / sum(support) AS f1 FROM pr GROUP BY model, fold)"""
+
+register("m04_cv_summary", W("""
+SELECT model, round(avg(a), 6) AS cv_mean, round(stddev_pop(a), 6) AS cv_std, round(avg(p), 6) AS cv_precision,
+  round(avg(r), 6) AS cv_recall, round(avg(f1), 6) AS cv_f1 FROM folds GROUP BY model""",
+    "votes", "preds", ctes=_SCORED + ",\n" + _SPLIT + ",\n" + _CV))(_m04s)
+
+
+def _m14s(spark, sf_dir):
+    from cohortlens.plans.models import CLASSES, soft_vote
+
+    v = fx.view(spark, sf_dir, "votes").join(fx.view(spark, sf_dir, "preds").select("student_id", "y_true"), "student_id")
+    members = [v.filter(F.col("model") == m).select(F.col("student_id").alias("id"), F.lit("all").alias("split"), "y_true",
+                                                    "probability") for m in ("m1", "m2", "m3")]
+    e = soft_vote(members, CLASSES)
+    return rounded(e.select("id", "y_true", "y_pred", *[F.col("probability")[i].alias(f"p{i}") for i in range(4)]))
+
+
+register("m14_soft_vote", W("""
+SELECT id, y_true, ['Critical', 'High', 'Low', 'Medium'][list_position(l, list_max(l))] AS y_pred,
+  round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3
+FROM (SELECT *, [round(p0, 12), round(p1, 12), round(p2, 12), round(p3, 12)] AS l FROM (
+  SELECT v.student_id AS id, p.y_true, avg(v.probability[1]) AS p0, avg(v.probability[2]) AS p1,
+    avg(v.probability[3]) AS p2, avg(v.probability[4]) AS p3
+  FROM votes v JOIN preds p ON v.student_id = p.student_id GROUP BY v.student_id, p.y_true) a) b""", "votes", "preds"))(_m14s)
+
+
 def _v08(spark, sf_dir):
+    from cohortlens.plans.models import cv_summary
+
     ok = F.coalesce(F.col("y_true") == F.col("prediction"), F.lit(False)).cast("double")
     wide = _with_split(spark, sf_dir).groupBy("model").pivot("split", ["train", "val", "test"]).agg(F.avg(ok))
-    return rounded(wide.select("model", *[F.coalesce(F.col(k), F.lit(0.0)).alias(f"{k}_accuracy")
-                                          for k in ("train", "val", "test")]))
+    cv = cv_summary(_folded(spark, sf_dir)).select("model", F.col("cv_mean").alias("cv"), "cv_std")
+    both = wide.join(cv, "model", "left")
+    return rounded(both.select("model", *[F.coalesce(F.col(k), F.lit(0.0)).alias(f"{k}_accuracy")
+                                          for k in ("train", "val", "test", "cv")],
+                               F.coalesce("cv_std", F.lit(0.0)).alias("cv_std")))
 
 
 register("v08_model_comparison", W("""
-SELECT model, round(coalesce(max(a) FILTER (WHERE split = 'train'), 0), 6) AS train_accuracy,
+SELECT a.model, round(coalesce(max(a) FILTER (WHERE split = 'train'), 0), 6) AS train_accuracy,
   round(coalesce(max(a) FILTER (WHERE split = 'val'), 0), 6) AS val_accuracy,
-  round(coalesce(max(a) FILTER (WHERE split = 'test'), 0), 6) AS test_accuracy
-FROM acc GROUP BY model""", "votes", "preds", ctes=_SCORED + ",\n" + _SPLIT))(_v08)
+  round(coalesce(max(a) FILTER (WHERE split = 'test'), 0), 6) AS test_accuracy,
+  round(coalesce(any_value(c.m), 0), 6) AS cv_accuracy, round(coalesce(any_value(c.s), 0), 6) AS cv_std
+FROM acc a LEFT JOIN (SELECT model, avg(a) AS m, stddev_pop(a) AS s FROM folds GROUP BY model) c ON a.model = c.model
+GROUP BY a.model""", "votes", "preds", ctes=_SCORED + ",\n" + _SPLIT + ",\n" + _CV))(_v08)
 
 
 def _v09(spark, sf_dir):

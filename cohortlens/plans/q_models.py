@@ -59,6 +59,14 @@ def _fitted(spark, sf_dir, name):
     return _CACHE[key]
 
 
+def _held(spark, sf_dir, name):
+    """The stored out-of-fold predictions of a model."""
+    key = (_app(spark), sf_dir, "held", name)
+    if key not in _CACHE:
+        _CACHE[key] = ml.out_of_fold(name, training_data(spark, sf_dir))
+    return _CACHE[key]
+
+
 def _pred_query(name):
     def q(spark, sf_dir):
         d = training_data(spark, sf_dir)
@@ -70,7 +78,7 @@ def _pred_query(name):
 
 for _qname, _model in [("m06_decision_tree", "decision_tree"), ("m09_random_forest", "random_forest"),
                        ("m10_gradient_boosting", "gradient_boosting"), ("m08_m11_svm", "svm"),
-                       ("m12_neural_network", "neural_network"),
+                       ("m12_neural_network", "neural_network"), ("m07_knn_model", "knn"),
                        ("m13_logistic_regression", "logistic_regression")]:
     register(_qname)(_pred_query(_model))
 
@@ -87,7 +95,11 @@ register("m03_grid_search")(_m03)
 
 def _m04(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    return rounded(ml.cv_summary(ml.cross_validate("logistic_regression", d, 5)))
+    held = [_held(spark, sf_dir, m) for m in ALL_MODELS]
+    stored = held[0]
+    for h in held[1:]:
+        stored = stored.unionByName(h)
+    return rounded(ml.cv_summary(stored))
 
 
 register("m04_cross_validation")(_m04)
@@ -106,7 +118,7 @@ register("m14_ensemble")(_m14)
 
 def _m19(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    _, report = ml.run_all(d)
+    _, report = ml.run_all(d, stored={m: _held(spark, sf_dir, m) for m in ALL_MODELS})
     return rounded(report)
 
 

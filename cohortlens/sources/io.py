@@ -8,6 +8,7 @@ part files, as distributed writers produce.
 from __future__ import annotations
 
 import datetime as _dt
+import importlib
 import json
 
 from pyspark.ml import PipelineModel
@@ -104,7 +105,7 @@ def save_model(model, path: str, metrics: DataFrame | None = None,
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
     meta = {"saved_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
-            "model_class": type(model).__name__, **(info or {})}
+            "model_class": type(model).__name__, "model_module": type(model).__module__, **(info or {})}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string") \
         .write.mode("overwrite").text(f"{path}/meta")
     if metrics is not None:
@@ -120,6 +121,9 @@ def load_model(path: str, cls: type[MLReadable] | None = None):
     if cls is None:
         import pyspark.ml.classification as C
         import pyspark.ml.pipeline as P
+        if meta.get("model_module", "").startswith("cohortlens."):  # a model of this library
+            cls = getattr(importlib.import_module(meta["model_module"]), meta["model_class"])
+            return cls.load(f"{path}/model"), meta
         cls = getattr(C, meta["model_class"], None) or getattr(P, meta["model_class"], PipelineModel)
     return cls.load(f"{path}/model"), meta
 

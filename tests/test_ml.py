@@ -1,5 +1,6 @@
 """Invariants for splits, kNN, ROC/AUC, models, Shapley sampling, model I/O."""
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -37,13 +38,70 @@ def test_exact_rank_equals_global_row_number(spark):
     assert j.filter(F.col("_rank") != F.col("rb")).count() == 0
 
 
-def test_knn_multi_block_equals_single_block(spark):
-    v = fx.view(spark, SF_ORACLE, "vectors")
-    one = knn.nearest_neighbors(v, v, k=4, block_rows=100_000)
-    many = knn.nearest_neighbors(v, v, k=4, block_rows=64)
-    cols = ["query_id", "rank", "neighbor_id"]
-    assert one.select(*cols).exceptAll(many.select(*cols)).count() == 0
-    assert one.count() == many.count() == v.count() * 4
+def slow_neighbors(rows, k, metric, p):
+    out = set()
+    for i, x in rows:
+        d = [(float((np.abs(np.asarray(x) - np.asarray(y)) ** p).sum() ** (1 / p)) if metric == "minkowski" else
+              float(np.abs(np.asarray(x) - np.asarray(y)).sum()) if metric == "manhattan" else
+              float(np.sqrt(((np.asarray(x) - np.asarray(y)) ** 2).sum())), j) for j, y in rows if j != i]
+        out |= {(i, r + 1, j) for r, (_, j) in enumerate(sorted(d)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("metric,p", [("euclidean", 2.0), ("manhattan", 2.0), ("minkowski", 3.0)])
+def test_pruned_neighbors_are_all_neighbors(spark, metric, p):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 9, (7, 4))
+    rows = [(i, (centres[i % 7] + rng.normal(0, 0.5, 4)).tolist()) for i in range(420)]
+    rows += [(1000 + i, rows[3][1]) for i in range(60)]  # one point many times: ties
+    v = spark.createDataFrame([(i, x, i % 3) for i, x in rows], "vec_id long, embedding array<double>, label int").repartition(4)
+    want = slow_neighbors(rows, 4, metric, p)
+    for kw in ({"cell_rows": 20, "small_values": 0}, {"cell_rows": 50, "block_rows": 16, "small_values": 0}, {}):
+        got = knn.nearest_neighbors(v, v, 4, metric=metric, p=p, **kw)
+        assert {(r["query_id"], r["rank"], r["neighbor_id"]) for r in got.collect()} == want
+
+
+def test_cells_that_cannot_hold_a_neighbor_never_meet(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 50, (12, 3))
+    c = spark.createDataFrame([(i, (centres[i % 12] + rng.normal(0, 0.3, 3)).tolist(), 0) for i in range(1200)],
+                              "cid long, cvec array<double>, clabel int")
+    q = c.select(F.col("cid").alias("qid"), F.col("cvec").alias("qvec"))
+    met, dealt, cells = knn.meeting_cells(q, c, 6, "euclidean", 2.0, 25)
+    assert dealt.count() == 1200 and cells == 48
+    assert met.count() < 1200 * 14  # of 48 cells: those of its own centre, about 4, and few more
+
+
+def test_knn_model_is_a_model(spark, data, tmp_path):
+    from cohortlens.sources.io import batch_score, load_model, save_model
+    train = data.df.filter("split = 'train'")
+    for params in ({}, {"weights": "distance", "metric": "manhattan", "n_neighbors": 3}):
+        m = ml.create_model("knn", len(data.feature_names), n_classes=4, **params).fit(train)
+        pred = ml.predictions(m, data.df)
+        assert pred.count() == data.df.count()
+        assert pred.filter("abs(aggregate(probability, 0D, (a, x) -> a + x) - 1) > 1e-9 OR size(probability) <> 4").count() == 0
+    own = pred.filter("split = 'train'")  # by distance a training row is its own nearest
+    assert own.filter("y_true <> y_pred").count() <= 0.02 * own.count()
+    save_model(m, str(tmp_path / "knn"))
+    m2, _ = load_model(str(tmp_path / "knn"))
+    a, b = ({tuple(r) for r in ml.predictions(x, data.df).select("id", "y_pred").collect()} for x in (m, m2))
+    assert a == b
+    scored = batch_score(spark, data.df, {"KNN": str(tmp_path / "knn")}, data.classes)
+    assert scored.filter("error IS NULL").count() == data.df.count()
+
+
+def test_stored_folds_give_the_report(spark):
+    d = ml.prepare_training_data(spark, SF_SMALL)
+    held = ml.out_of_fold("dt", d, 5)
+    train = d.df.filter("split = 'train'")
+    assert held.count() == train.count() and held.join(train.select("id", "fold"), ["id", "fold"]).count() == train.count()
+    r = ml.train_single_model("decision_tree", d, do_tune=False)
+    cv = {x["metric"]: x["value"] for x in r["metrics"].filter("split = 'cv'").collect()}
+    per_fold = [x["a"] for x in r["out_of_fold"].groupBy("fold").agg(
+        F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("a")).collect()]
+    assert cv["accuracy"] == pytest.approx(np.mean(per_fold)) and cv["accuracy_std"] == pytest.approx(np.std(per_fold))
+    with_cv = ml.RiskModel("dt")
+    assert with_cv.train(d).filter("split = 'cv'").count() == 5
 
 
 def test_auc_matches_spark_evaluator(spark):
@@ -234,22 +292,3 @@ def test_one_feature_needs_no_hybrids(spark, data):
     assert attr.count() == 3 * len(data.classes)
     total = attr.groupBy("id").agg(F.sum("shap").alias("s")).collect()
     assert all(abs(r["s"]) < 1e-9 for r in total)  # the classes' contributions cancel out
-
-
-def test_registered_jobs_take_all_models_and_default_samples(monkeypatch):
-    from types import SimpleNamespace
-
-    from cohortlens.plans import q_models
-
-    calls = []
-    monkeypatch.setattr(q_models, "training_data", lambda *a: SimpleNamespace(df=None, feature_names=[], classes=[]))
-    monkeypatch.setattr(q_models, "_fitted", lambda spark, sf_dir, name: name)
-    monkeypatch.setattr(q_models, "rounded", lambda df: df)
-    monkeypatch.setattr(q_models.ml, "run_all", lambda d, **kw: calls.append(kw) or (None, None))
-    for name in ("shapley_values", "base_values"):
-        monkeypatch.setattr(q_models.sh, name, lambda model, df, *a, **kw: calls.append((a, kw)))
-    monkeypatch.setattr(q_models.sh, "attribute_models", lambda models, *a, **kw: calls.append((sorted(models), kw)))
-    for job in (q_models._m19, q_models._x03, q_models._x13, q_models._x11):
-        job(None, None)
-    names = sorted(["decision_tree", "random_forest", "gradient_boosting", "svm", "neural_network", "logistic_regression"])
-    assert calls == [{}, (([], []), {}), (([],), {}), (names, {})]
