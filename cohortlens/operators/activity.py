@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.features import engagement_tenths, weekend_flag
+from cohortlens.session import written
 
 ORDER = ("date", "event_id")
 
@@ -36,15 +36,50 @@ def _order_cols(df: DataFrame):
     return [c for c in ORDER if c in df.columns]
 
 
-def rolling_mean(df: DataFrame, value: str = "grade", window: int = 3,
-                 id_col: str = "student_id") -> DataFrame:
+#: events of a student up to which they are sorted as one group, and rows of a block beyond
+BLOCK_ROWS = 200_000
+
+
+def _positions(df: DataFrame, id_col: str, unit: str) -> DataFrame:
+    """``df`` with ``_pos``, each row's place (from 0) among its student's rows in time order.
+
+    Rows are ranked inside one (student, ``unit`` of time); the offset of a unit
+    comes from the table of their counts, so no task sorts a whole student."""
+    order = _order_cols(df)
+    cut = df.withColumn("_unit", F.date_trunc(unit, F.col(order[0])))
+    counts = cut.groupBy(id_col, "_unit").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(id_col).orderBy("_unit").rowsBetween(Window.unboundedPreceding, 0)
+    starts = counts.select(F.col(id_col).alias("_id"), F.col("_unit").alias("_u"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(id_col, "_unit").orderBy(*order)) - 1
+    ranked = cut.withColumn("_place", place)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_unit").eqNullSafe(F.col("_u"))
+    return ranked.join(starts, same).withColumn("_pos", F.col("_before") + F.col("_place")).drop(
+        "_unit", "_place", "_id", "_u", "_before")
+
+
+def rolling_mean(df: DataFrame, value: str = "grade", window: int = 3, id_col: str = "student_id",
+                 block_rows: int = BLOCK_ROWS, unit: str = "hour") -> DataFrame:
     """Mean of the last ``window`` rows per student in time order, null
-    unless all ``window`` values are present (``rolling(window).mean()``)."""
-    w = (Window.partitionBy(id_col).orderBy(*_order_cols(df))
-         .rowsBetween(-(window - 1), Window.currentRow))
-    return df.withColumn(
-        f"rolling_{value}",
-        F.when(F.count(value).over(w) == window, F.avg(value).over(w)))
+    unless all ``window`` values are present (``rolling(window).mean()``).
+
+    Where a student has more than ``block_rows`` events, every student's rows are
+    cut into blocks of that many consecutive ones and each block gets a copy of
+    the ``window - 1`` rows before it, so a hot student is many tasks."""
+    out, order = f"rolling_{value}", _order_cols(df)
+
+    def rolled(d: DataFrame, w) -> DataFrame:
+        return d.withColumn(out, F.when(F.count(value).over(w) == window, F.avg(value).over(w)))
+
+    most = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= block_rows or not order or dict(df.dtypes)[order[0]] not in ("timestamp", "timestamp_ntz", "date"):
+        return rolled(df, Window.partitionBy(id_col).orderBy(*order).rowsBetween(-(window - 1), Window.currentRow))
+    size = max(block_rows, window)
+    block = F.floor(F.col("_pos") / size)
+    # the last rows of a full block are also the head start of the next one
+    blocks = F.when(F.col("_pos") % size >= size - (window - 1), F.array(block, block + 1)).otherwise(F.array(block))
+    dealt = _positions(df, id_col, unit).withColumn("_block", F.explode(blocks))
+    w = Window.partitionBy(id_col, "_block").orderBy("_pos").rowsBetween(-(window - 1), Window.currentRow)
+    return rolled(dealt, w).filter(F.col("_block") == block).drop("_pos", "_block")
 
 
 def grade_trend(df: DataFrame, value: str = "grade", window: int = 3,
@@ -52,20 +87,18 @@ def grade_trend(df: DataFrame, value: str = "grade", window: int = 3,
     """Last non-null rolling mean per student (columns: id, grade_trend).
 
     One pass keeps the last ``window`` rows per student (WindowGroupLimit)
-    and averages them when all are present. The per-student tail table is
-    small (one row per student) and is persisted: it is read again to find
-    the rare students whose last rows hold a null grade, and only for those
-    (if any) the full rolling window runs on their events alone."""
+    and averages them when all are present. The result, a row a student, is
+    written once: it is read again to find the rare students whose last rows
+    hold a null grade, and only for those (if any) the rolling window runs on
+    their events alone."""
     order = _order_cols(df)
     w_desc = Window.partitionBy(id_col).orderBy(*[F.desc(c) for c in order])
     last = (df.select(id_col, value, *order)
             .withColumn("_rn", F.row_number().over(w_desc))
             .filter(F.col("_rn") <= window))
     n, nn = F.count(F.lit(1)), F.count(value)
-    tail = (last.groupBy(id_col)
-            .agg(F.when((n == window) & (nn == window), F.avg(value)).alias("grade_trend"),
-                 ((n == window) & (nn < window)).alias("_slow"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    tail = written(last.groupBy(id_col).agg(F.when((n == window) & (nn == window), F.avg(value)).alias("grade_trend"),
+                                            ((n == window) & (nn < window)).alias("_slow")), "grade-trend")
     slow_ids = tail.filter("_slow").select(id_col)
     if slow_ids.isEmpty():
         return tail.select(id_col, "grade_trend")

@@ -38,7 +38,7 @@ from cohortlens.session import written
 
 METRICS = ("euclidean", "manhattan", "minkowski")
 #: pivots at most; candidates of a cell aimed at; rows of a block; values of a query set that is sent to the tasks
-MAX_PIVOTS, CELL_ROWS, SMALL_VALUES = 256, 512, 32_768
+MAX_PIVOTS, CELL_ROWS, SMALL_VALUES = 256, 512, 1 << 18
 #: slack of the bounds for rounding
 SLACK = 1e-9
 
@@ -185,6 +185,8 @@ def nearest_neighbors(queries: DataFrame, candidates: DataFrame, k: int = 5,
                           label.alias("clabel"))
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("qvec")), F.lit(0)).alias("d")).first()
     if size["n"] * size["d"] <= small_values:
+        cores = q.sparkSession.sparkContext.defaultParallelism
+        c = c.repartition(cores, "cid") if c.rdd.getNumPartitions() < cores else c
         partial = c.mapInPandas(_sent_queries(q, k, metric, p, exclude_self), NEIGHBORS) if size["n"] else \
             q.sparkSession.createDataFrame([], NEIGHBORS)
     else:

@@ -582,14 +582,39 @@ def native_importance(model, feature_names, model_name: str, spark: SparkSession
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def tree_leaves(model, df: DataFrame) -> DataFrame:
-    """Per leaf of a fitted decision tree: support and class mix."""
+def leaf_rules(model, feature_names) -> list[tuple[int, str, float, int]]:
+    """(leaf, rule, prediction, depth) of every leaf of a fitted tree, leaves numbered as
+    ``leafCol`` does (left to right). A rule is an SQL condition over the feature
+    names; there are at most 2**maxDepth of them."""
+    out, left = [], [(model._java_obj.rootNode(), [], 0)]
+    while left:
+        node, path, depth = left.pop()
+        if not hasattr(node, "leftChild") or node.getClass().getSimpleName() == "LeafNode":
+            out.append((len(out), " AND ".join(path) or "true", float(node.prediction()), depth))
+            continue
+        test, name = node.split(), f"`{feature_names[node.split().featureIndex()]}`"
+        if test.getClass().getSimpleName() == "ContinuousSplit":
+            yes, no = (f"{name} {op} {test.threshold()!r}D" for op in ("<=", ">"))
+        else:
+            these, those = (", ".join(f"{float(v)!r}D" for v in c) for c in (test.leftCategories(), test.rightCategories()))
+            yes, no = f"{name} IN ({these})", f"{name} IN ({those})"
+        left += [(node.rightChild(), [*path, no], depth + 1), (node.leftChild(), [*path, yes], depth + 1)]
+    return out
+
+
+def tree_leaves(model, df: DataFrame, feature_names) -> DataFrame:
+    """A row for each leaf of a fitted decision tree: its rule, predicted class, support and class mix."""
     m = model.copy()
     m.setLeafCol("leaf")
-    out = m.transform(df)
-    return out.groupBy("leaf").agg(F.count(F.lit(1)).alias("support"),
-                                   *[F.sum((F.col("label") == i).cast("int")).alias(f"n_{c}")
-                                     for i, c in enumerate(CLASSES)])
+    mix = m.transform(df).groupBy(F.col("leaf").cast("int").alias("leaf")).agg(
+        F.count(F.lit(1)).alias("support"),
+        *[F.sum((F.col("label") == i).cast("int")).alias(f"n_{c}") for i, c in enumerate(CLASSES)])
+    rules = df.sparkSession.createDataFrame(leaf_rules(model, feature_names),
+                                            "leaf int, rule string, prediction double, depth int")
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ["support", *[f"n_{c}" for c in CLASSES]]]
+    return rules.join(mix, "leaf", "left").select(
+        "leaf", "rule", F.element_at(names, F.col("prediction").cast("int") + 1).alias("class_name"), "depth", *counts)
 
 
 def tree_rules(model, feature_names) -> str:

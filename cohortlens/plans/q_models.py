@@ -127,7 +127,7 @@ register("m19_train_all")(_m19)
 
 def _m20(spark, sf_dir):
     d = training_data(spark, sf_dir)
-    return ml.tree_leaves(_fitted(spark, sf_dir, "decision_tree"), d.df)
+    return ml.tree_leaves(_fitted(spark, sf_dir, "decision_tree"), d.df, d.feature_names)
 
 
 register("m20_tree_leaves")(_m20)

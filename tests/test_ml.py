@@ -183,8 +183,15 @@ def test_tree_rules_text(spark, data):
     m = ml.create_model("decision_tree", len(data.feature_names)).fit(train)
     txt = ml.tree_rules(m, data.feature_names)
     assert "If (" in txt and "feature 0 " not in txt
-    leaves = ml.tree_leaves(m, data.df)
-    assert leaves.agg(F.sum("support")).first()[0] == data.df.count()
+    leaves = ml.tree_leaves(m, data.df, data.feature_names).collect()
+    assert sum(r["support"] for r in leaves) == data.df.count() and len(leaves) > 3
+    # a leaf's rule, taken as a filter over the named features, finds its rows and no others
+    from pyspark.ml.functions import vector_to_array
+    wide = data.df.select("class_name", vector_to_array("features").alias("x")).select(
+        "class_name", *[F.col("x")[i].alias(c) for i, c in enumerate(data.feature_names)])
+    counts = wide.agg(*[F.count_if(F.expr(r["rule"])).alias(f"n{r['leaf']}") for r in leaves],
+                      *[F.count_if(F.expr(r["rule"]) & (F.col("class_name") == "High")).alias(f"h{r['leaf']}") for r in leaves]).first()
+    assert all(counts[f"n{r['leaf']}"] == r["support"] and counts[f"h{r['leaf']}"] == r["n_High"] for r in leaves)
 
 
 def test_small_sf_training_data(spark):

@@ -285,3 +285,21 @@ def test_svm_kernels(spark):
         out = models.CalibratedSVM(kernel="sigmoid", gamma=gamma, n_features=2, dim=8, max_iter=10).fit(df).transform(df)
         assert out.filter("prediction = label").count() >= 36
     assert models.CalibratedSVM(gamma="auto", n_features=4)._gamma(df) == 0.25
+
+
+def test_a_hot_student_is_cut_into_blocks(spark):
+    rng = __import__("random").Random(3)
+    rows = [(1 if i % 3 else i % 5, i, f"2024-01-{1 + i % 9:02d} {i % 24:02d}:00:00" if i % 50 else None,
+             None if i % 11 == 0 else float(rng.randrange(100))) for i in range(600)]
+    df = spark.createDataFrame(rows, "student_id long, event_id long, d string, grade double") \
+        .select("student_id", "event_id", F.to_timestamp("d").alias("date"), "grade").repartition(4)
+    for window in (3, 5):
+        want = {tuple(r) for r in activity.rolling_mean(df, window=window).collect()}
+        for block in (1, 4, 17, 599):
+            cut = activity.rolling_mean(df, window=window, block_rows=block)
+            got = cut.collect()
+            assert {tuple(r) for r in got} == want and len(got) == 600
+    # blocks of at most as many rows and the rows before
+    ranked = activity._positions(df, "student_id", "hour")
+    assert ranked.groupBy("student_id").agg(F.count("*").alias("n"), F.max("_pos").alias("m"), F.count_distinct("_pos").alias("u")) \
+        .filter("n <> m + 1 OR n <> u").count() == 0
