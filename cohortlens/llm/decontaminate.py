@@ -35,9 +35,10 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
          "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars",
          "euro", "euros", "percent", "degree", "degrees", "mph", "km/h", "watt", "watts", "volt", "volts")
 
-#: what lies between words: punctuation at their edges and white space
-_BETWEEN = (r"(?:(?<=[\p{L}\p{N}])|^)[^\p{L}\p{N}\x20\x09-\x0D]*+[\x20\x09-\x0D][^\p{L}\p{N}]*+"
-            r"|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$|^[^\p{L}\p{N}]++")
+#: what lies between words: a run of other characters that holds white space, or starts or ends the text.
+#: It is tried where a run starts only, so long runs without white space (part of a word) cost no more than others.
+_BETWEEN = (r"(?=[^\p{L}\p{N}])(?<![^\p{L}\p{N}])"
+            r"(?:^[^\p{L}\p{N}]++|[^\p{L}\p{N}\x20\x09-\x0D]*+(?:[\x20\x09-\x0D][^\p{L}\p{N}]*+|$))")
 
 
 def bare_words(text: Column) -> Column:
@@ -119,18 +120,17 @@ def verbatim(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     found = wins.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
     if found["n"] <= MAX_BROADCAST_WINDOWS:
         by_code = F.broadcast(by_code)
-    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_code"),
-                        F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a window of each length that items have (at most ``window``) at each place
     at_place = lambda i: F.array(*[F.struct(
         i.alias("at"), F.lit(n).alias("length"), F.when(i + n - 1 <= F.size("codes"), F.xxhash64(F.slice("codes", i, n))).alias("code"))
         for n in sorted(found["lengths"]) or [window]])
     places = F.when(F.size("codes") > 0, F.sequence(F.lit(1), F.size("codes")))
-    met = _plain_codes(named, "text", ["id", "text_code"]).select(
-        "id", "text_code", F.size("codes").alias("n_own"), F.explode(F.flatten(F.transform(places, at_place))).alias("w")) \
-        .select("id", "text_code", "n_own", "w.*").filter(F.col("code").isNotNull() & (
+    met = _plain_codes(named, "text", ["id", "text"]).select(
+        "id", "text", F.size("codes").alias("n_own"), F.explode(F.flatten(F.transform(places, at_place))).alias("w")) \
+        .select("id", "text", "n_own", "w.*").filter(F.col("code").isNotNull() & (
             (F.col("length") >= min_literals) | (F.col("length") == F.col("n_own")))).join(by_code, ["length", "code"]) \
-        .select("id", "text_code", "length", "at", F.explode("hits").alias("hit")).select("id", "text_code", "length", "at", "hit.*")
+        .select("id", F.xxhash64("text").alias("text_code"), "length", "at", F.explode("hits").alias("hit")).select("id", "text_code", "length", "at", "hit.*")
     who = ["id", "text_code", "item", "item_text", "n_words", "length"]
     diagonal = met.groupBy(*who, (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("length") - 1)))))
@@ -157,10 +157,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     by_code = wins.groupBy("code").agg(F.collect_list(F.struct("item", "item_text", "n_words", "place", "slots")).alias("hits"))
     if wins.count() <= MAX_BROADCAST_WINDOWS:
         by_code = F.broadcast(by_code)
-    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_code"),
-                        F.col(text_col).alias("text"))
-    met = template_windows(named, "text", ["id", "text_code"], window).join(by_code, "code") \
-        .select("id", "text_code", F.col("place").alias("at"), F.col("slots").alias("own"), F.explode("hits").alias("hit"))
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the text goes along, not a code of it: generated code would compute that once a window, not once a text
+    met = template_windows(named, "text", ["id", "text"], window).join(by_code, "code") \
+        .select("id", F.xxhash64("text").alias("text_code"), F.col("place").alias("at"), F.col("slots").alias("own"), F.explode("hits").alias("hit"))
     pair = F.filter(F.arrays_zip(F.col("hit.slots").alias("v"), F.col("own").alias("u")), lambda x: x["v"].isNotNull())
     met = met.select("id", "text_code", "hit.item", "hit.item_text", "hit.n_words", F.col("hit.place").alias("place"),
                      (F.col("at") - F.col("hit.place")).alias("shift"), pair.alias("pairs"))

@@ -551,10 +551,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = links.unionByName(verified(rest))
     labels = connected_components(links)
 
-    # groups that are still in several components: search all their cross pairs
+    # Groups that are still in several components: search all their cross pairs.  A pair of centre and member
+    # with two labels was refuted above, so a group of two has nothing left, and equal groups are searched once.
     member = member.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    loose = member.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")) \
-        .filter("a <> b").select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    loose = member.groupBy("sig").agg(
+        F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("a <> b AND n > 2")
+    loose = loose.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     parts = member.join(loose, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .select("sig", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     parts = parts.join(texts, "node").select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -580,13 +583,14 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows without words are linked with nothing and stay.
     """
     members, _ = jaccard_join(docs, id_col, text_col, **options)
-    keyed = docs.withColumn("_set", _set_rows(SHINGLE)(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = keyed.withColumn("_node", F.col("_set")["node"]).drop("_set")
+    # the row travels as one value: its columns may have any name
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                        _set_rows(SHINGLE)(F.coalesce(F.col(text_col), F.lit("")))["node"].alias("node"))
     # components by label: unlinked texts may share an id, or have none
     first = members.filter("node IS NOT NULL").groupBy("label").agg(
         F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("node").alias("node"))).alias("one")) \
-        .select(F.col("one.id").alias("_id"), F.col("one.node").alias("_n"))
-    kept = keyed.filter("_node IS NOT NULL").join(
-        first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n")), "left_semi")
-    kept = kept.dropDuplicates([id_col, "_node"])
-    return kept.unionByName(keyed.filter("_node IS NULL")).select(*docs.columns)
+        .select(F.col("one.id").alias("first_id"), F.col("one.node").alias("first_node"))
+    kept = keyed.filter("node IS NOT NULL").join(
+        first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node")), "left_semi")
+    kept = kept.dropDuplicates(["id", "node"]).unionByName(keyed.filter("node IS NULL"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -282,6 +282,13 @@ def test_unlinked_texts_that_share_an_id_or_have_none_stay(spark):
     assert multiset(got) == multiset([(None, a), (None, b), (1, c), (1, d), (3, e)])
 
 
+def test_other_columns_keep_their_values_whatever_their_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", "b", "c"), (2, text, "d", "e", "f"), (3, None, "g", "h", "i")]
+    got = partenum.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string, _set string, _node string, `ro.w` string"))
+    assert multiset(got.collect()) == multiset([rows[0], rows[2]])
+
+
 def sorted_by_rows(rows):
     """slow_components in the order of rows."""
     out = []
