@@ -187,7 +187,8 @@ per_shift AS (
     FROM per_value GROUP BY ALL),
 kept AS (
     SELECT DISTINCT m.doc, m.doc_body, m.item, m.item_body, m.shift, m.place FROM met m LEFT JOIN per_shift p
-    ON m.doc = p.doc AND m.doc_body = p.doc_body AND m.item = p.item AND m.item_body = p.item_body AND m.shift = p.shift
+    ON m.doc IS NOT DISTINCT FROM p.doc AND m.doc_body = p.doc_body
+        AND m.item IS NOT DISTINCT FROM p.item AND m.item_body = p.item_body AND m.shift = p.shift
     WHERE coalesce(p.n_single, 0) >= 0.8 * coalesce(p.n_values, 0)),
 covered AS (
     SELECT doc, doc_body, item, item_body, count(DISTINCT place) AS n_windows, count(DISTINCT place + o) AS n
@@ -195,13 +196,38 @@ covered AS (
 changed AS (
     SELECT doc, doc_body, item, item_body, count(*) AS n_slots, count(*) FILTER (v <> u) AS n_changed
     FROM (SELECT DISTINCT s.doc, s.doc_body, s.item, s.item_body, s.v, s.u FROM slots s
-          SEMI JOIN kept k ON s.doc = k.doc AND s.doc_body = k.doc_body AND s.item = k.item
-          AND s.item_body = k.item_body AND s.shift = k.shift) GROUP BY ALL)
-SELECT c.doc AS doc_id, c.item AS item_id, c.n_windows, c.n / w.n_words AS coverage,
-       coalesce(h.n_slots, 0) AS n_slots, coalesce(h.n_changed, 0) AS n_changed
-FROM covered c JOIN item_words w ON c.item = w.id AND c.item_body = w.body
-LEFT JOIN changed h ON c.doc = h.doc AND c.doc_body = h.doc_body AND c.item = h.item AND c.item_body = h.item_body
-WHERE c.n / w.n_words >= 0.5
+          SEMI JOIN kept k ON s.doc IS NOT DISTINCT FROM k.doc AND s.doc_body = k.doc_body
+          AND s.item IS NOT DISTINCT FROM k.item AND s.item_body = k.item_body AND s.shift = k.shift) GROUP BY ALL),
+found AS (
+    SELECT c.doc, c.doc_body, c.item, c.n_windows, c.n / w.n_words AS coverage,
+           coalesce(h.n_slots, 0) AS n_slots, coalesce(h.n_changed, 0) AS n_changed
+    FROM covered c JOIN item_words w ON c.item IS NOT DISTINCT FROM w.id AND c.item_body = w.body
+    LEFT JOIN changed h ON c.doc IS NOT DISTINCT FROM h.doc AND c.doc_body = h.doc_body
+        AND c.item IS NOT DISTINCT FROM h.item AND c.item_body = h.item_body
+    WHERE c.n / w.n_words >= 0.5),
+plain_items AS (
+    SELECT id, body, lowered, len(lowered) AS n, least(len(lowered), 8) AS k FROM typed WHERE side = 'item' AND len(lowered) > 0),
+plain_item_windows AS (
+    SELECT id, body, n, k, place, array_to_string(lowered[place:place + k - 1], ' ') AS code
+    FROM (SELECT *, unnest(range(1, n - k + 2)) AS place FROM plain_items)),
+plain_doc_windows AS (
+    SELECT id, body, k, place, array_to_string(lowered[place:place + k - 1], ' ') AS code
+    FROM (SELECT t.id, t.body, t.lowered, l.k, unnest(range(1, len(t.lowered) - l.k + 2)) AS place
+          FROM typed t JOIN (SELECT DISTINCT k FROM plain_items) l ON l.k >= 4 OR l.k = len(t.lowered) WHERE t.side = 'doc')),
+plain_met AS (
+    SELECT d.id AS doc, d.body AS doc_body, i.id AS item, i.body AS item_body, i.n, i.k, i.place, d.place - i.place AS shift
+    FROM plain_doc_windows d JOIN plain_item_windows i ON d.k = i.k AND d.code = i.code),
+plain_lines AS (
+    SELECT doc, doc_body, item, item_body, shift, count(DISTINCT place) AS n_windows,
+           count(DISTINCT place + o) / any_value(n) AS coverage
+    FROM plain_met JOIN range(8) r(o) ON o < k GROUP BY doc, doc_body, item, item_body, shift),
+plain AS (
+    SELECT doc, doc_body, item, max(n_windows) AS n_windows, max(coverage) AS coverage
+    FROM plain_lines WHERE coverage >= 0.5 GROUP BY doc, doc_body, item)
+SELECT doc AS doc_id, item AS item_id, n_windows, coverage, n_slots, n_changed FROM found
+UNION ALL
+SELECT p.doc, p.item, p.n_windows, p.coverage, 0, 0 FROM plain p
+ANTI JOIN found f ON p.doc IS NOT DISTINCT FROM f.doc AND p.doc_body = f.doc_body AND p.item IS NOT DISTINCT FROM f.item
 """
 
 

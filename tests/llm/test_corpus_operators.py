@@ -113,6 +113,40 @@ def test_copies_in_capitals_and_of_short_items_are_found(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), items).collect()) == [5, 6]
 
 
+def test_both_kinds_of_window_equal_the_sql(spark, nothing, tmp_path):
+    """Template and plain windows, short items, long texts, nulls and repeats against the oracle's own steps."""
+    rng = random.Random(5)
+    pad = lambda n: sentence(rng, n)
+    items = [(10, ITEM), (11, OTHER), (12, "what is the boiling point?"), (13, "The Old Man And The Sea By Ernest Hemingway"),
+             (14, "why not"), (15, ""), (16, None), (10, OTHER + " and more of it"), (17, "a b c d e f g"), (11, OTHER)]
+    rows = [(1, f"{pad(30)} {ITEM.upper()} {pad(20)}"), (2, f"{OTHER.title()}."), (3, f"{pad(9)} What is the BOILING point {pad(9)}"),
+            (4, f"{pad(5)} the old man and the sea by ernest hemingway"), (5, "why NOT"), (6, "why not now"), (None, ITEM), (8, None), (9, ""),
+            (10, " ".join([again(ITEM, [("12", "13"), ("Tom", "Ann")]), pad(40)] * 300)), (11, "a b c d e f g " * 3), (11, "A B C D E F G"),
+            (12, OTHER[:60] + OTHER), (12, OTHER[:60] + OTHER), (13, " ".join(ITEM.split()[:20])), (14, " ".join(ITEM.split()[15:]))]
+    extra = [("x",) * 3] * len(rows)
+    docs = spark.createDataFrame([r + e for r, e in zip(rows, extra, strict=True)], "doc_id long, text string, words string, code string, t string")
+    tests = spark.createDataFrame([r + ("y",) for r in items], "item_id long, text string, pos string")
+    got = multiset(decontaminate.contamination(docs, tests).select("id", "item", "n_windows", F.round("coverage", 9), "n_slots", "n_changed").collect())
+    con = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", data)
+    want = con.execute("SELECT doc_id, item_id, n_windows, round(coverage, 9), n_slots, n_changed FROM "
+                       f"({ORACLES['op7_template_decontamination']})").fetchall()
+    assert len(want) > 10 and any(r[4] == 0 for r in want) and any(r[5] > 0 for r in want)
+    assert got == multiset(want)
+    assert decontaminate.contamination(docs, tests.limit(0)).count() == 0
+    assert decontaminate.contamination(nothing, tests).count() == 0
+
+
+def test_the_bitmap_lets_every_item_window_pass(spark, monkeypatch):
+    """A bitmap too small for the items only lets more through."""
+    docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = multiset(decontaminate.contamination(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 64)
+    assert want and multiset(decontaminate.contamination(docs, items).collect()) == want
+
+
 def test_shuffled_join_equals_broadcast(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     want = multiset(decontaminate.contamination(docs, items).collect())
