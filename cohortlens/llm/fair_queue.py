@@ -3,14 +3,17 @@
 Every source is a queue of its shuffled documents, repeated for up to
 ``max_epochs`` rounds.  A copy's virtual finish time is the tokens its source
 has sent up to and with it, divided by the source's target.  All copies are
-ordered by finish time and cut at the total budget; a copy that would end after
-time 1, past its source's target, is not sent either (it would take what a long
-document of another source left).  So each source ends at most one document
-short of its target and never above.
+ordered by finish time (ties by source, key, round) and cut where their running
+total would pass the total budget.  A source queues no copy that starts at time 1
+or later, when its target is sent: a long document that the cut leaves out must
+not fill the mix with other sources.  So of the copies that straddle time 1, one a
+source, the cut takes those that end first and fit; each source ends within one
+document of its target, and all sources within one document of the budget.
 
 DataFrame functions only.  Running totals are sums over small cells plus a
 window inside one cell, so a source with a third of all rows is spread over many
-tasks, and the global order is a range sort by finish time buckets.
+tasks, and the global order is a range sort by finish time buckets.  Documents
+that send nothing are spread over buckets of their own.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: rows of a cell (one window group) on average
 CELL_ROWS = 4_000
-#: finish times from this on share one bucket (exact all the same: a bucket is sorted)
-LAST_FINISH = 64
+#: finish times from this on share one bucket, which holds at most one copy a source
+LAST_FINISH = 2
 
 
 def word_count(text: Column) -> Column:
@@ -86,7 +89,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint")
-    rows = rows.withColumn("cell", F.floor(place * cells / F.lit(1 << 32)).cast("int"))
+    rows = rows.withColumn("place", place)
+    rows = rows.withColumn("cell", F.floor(F.col("place") * cells / F.lit(1 << 32)).cast("int"))
     sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_epochs)
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,20 +103,23 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
                .withColumn("inside", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     a, b = rows.alias("a"), starts.alias("b")
     rows = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.cell") == F.col("b.cell"))).select(
-        "a.id", "a.key", "a.source", "a.size", "a.cell", "a.rank", "b.position", "b.source_size", "b.target", "b.total",
+        "a.id", "a.key", "a.source", "a.size", "a.place", "a.cell", "a.rank", "b.position", "b.source_size", "b.target", "b.total",
         (F.col("b.sent") + F.col("a.inside")).alias("sent"))
     copies = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")).withColumn(
         "finish", F.when(F.col("target") > 0, (F.col("epoch") * F.col("source_size") + F.col("sent")) / F.col("target")))
-    copies = copies.withColumn("finish_cell", F.coalesce(
-        F.floor(F.least(F.col("finish"), F.lit(float(LAST_FINISH))) * finish_cells),
-        F.lit(LAST_FINISH * finish_cells + 1)).cast("bigint"))
-    finish_sums = copies.groupBy("finish_cell").agg(F.sum("size").alias("n"))
+    began = (F.col("epoch") * F.col("source_size") + F.col("sent") - F.col("size")) / F.col("target") < 1
+    copies = copies.withColumn("queued", F.coalesce(F.when(F.col("target") > 0, began), F.lit(False))) \
+        .filter(F.col("queued") | (F.col("epoch") == 0))
+    copies = copies.withColumn("finish_cell", F.when(
+        F.col("queued"), F.floor(F.least(F.col("finish"), F.lit(float(LAST_FINISH))) * finish_cells))
+        .otherwise(-1 - F.col("place") % finish_cells).cast("bigint"))
+    finish_sums = copies.groupBy("finish_cell").agg(F.sum(F.when(F.col("queued"), F.col("size")).otherwise(0)).alias("n"))
     earlier = Window.orderBy("finish_cell").rowsBetween(Window.unboundedPreceding, -1)
     finish_sums = finish_sums.select("finish_cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
     line = Window.partitionBy("finish_cell").orderBy("finish", "position", "key", "epoch", "rank") \
         .rowsBetween(Window.unboundedPreceding, 0)
     copies = copies.withColumn("inside", F.sum("size").over(line)).join(finish_sums, "finish_cell")
-    is_in = (F.col("finish") <= 1) & (F.col("ahead") + F.col("inside") <= F.col("total"))
+    is_in = F.col("queued") & (F.col("ahead") + F.col("inside") <= F.col("total"))
     return copies.groupBy("id", "key", "source", "position", "cell", "rank", "size", "source_size", "target").agg(
         F.sum(F.when(is_in, F.col("size")).otherwise(0)).alias("taken"),
         F.sum(F.when(is_in, 1).otherwise(0)).alias("copies")).select(

@@ -134,13 +134,17 @@ queued AS (
            sum(r.size) OVER (PARTITION BY t.position ORDER BY r.key ROWS UNBOUNDED PRECEDING)::BIGINT AS sent
     FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
 copies AS (
-    SELECT *, CASE WHEN target > 0 THEN (epoch * source_size + sent)::DOUBLE / target END AS finish
-    FROM queued, range(3) e(epoch)),
+    SELECT *, (epoch * source_size + sent)::DOUBLE / target AS finish
+    FROM queued, range(3) e(epoch)
+    WHERE target > 0 AND (epoch * source_size + sent - size)::DOUBLE / target < 1),
 sorted AS (
-    SELECT *, sum(size) OVER (ORDER BY finish NULLS LAST, position, key, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM copies)
-SELECT doc_id, any_value(source_size) AS source_size, any_value(size) AS size, any_value(target) AS target,
-       sum(CASE WHEN finish <= 1 AND upto <= total THEN size ELSE 0 END)::BIGINT AS taken
-FROM sorted GROUP BY doc_id, key
+    SELECT *, sum(size) OVER (ORDER BY finish, position, key, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM copies),
+taken AS (
+    SELECT doc_id, key, sum(size)::BIGINT AS taken FROM sorted WHERE upto <= total GROUP BY doc_id, key)
+SELECT q.doc_id, any_value(q.source_size) AS source_size, any_value(q.size) AS size, any_value(q.target) AS target,
+       coalesce(any_value(t.taken), 0)::BIGINT AS taken
+FROM queued q LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.key = t.key
+GROUP BY q.doc_id, q.key
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.fair_queue import mix_plan

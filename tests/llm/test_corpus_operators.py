@@ -233,7 +233,7 @@ def test_mix(spark, docs, rows, nothing):
             taken[r["source"]] += r["taken"]
         assert sum(taken.values()) <= total
         for s in size:
-            assert -1e-6 <= target[s] - taken[s] <= max(len(words(t)) for _, t, x in rows if x == s)
+            assert abs(target[s] - taken[s]) <= max(len(words(t)) for _, t, x in rows if x == s) + 1e-6
         key = multiset((r["id"], r["source"], r["size"], r["taken"]) for r in got)
         assert cell == 20_000 or key == first
         first = key
@@ -250,6 +250,45 @@ def test_mix(spark, docs, rows, nothing):
     assert have == +want
 
 
+def served(rows, cut=True):
+    """Taken words by (id, text, source): one copy after another, always of the queue whose next copy ends first."""
+    size, target, total = slow_mix(rows)
+    names = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    line = {s: sorted((hashlib.md5(f"mix-1:{'' if i is None else i}:{t or ''}".encode()).hexdigest(), i, t) for i, t, x in rows if x == s)
+            for s in names}
+    sent, at, out, left = dict.fromkeys(names, 0), dict.fromkeys(names, 0), Counter(), total
+    while True:
+        ready = []
+        for k, s in enumerate(names):
+            epoch, turn = divmod(at[s], len(line[s]))
+            if target[s] > 0 and epoch < 3 and sent[s] / target[s] < 1:
+                key, i, t = line[s][turn]
+                ready.append(((sent[s] + len(words(t))) / target[s], k, key, i, t, s))
+        if not ready:
+            return out
+        _, _, _, i, t, s = min(ready, key=lambda x: x[:3])
+        n = len(words(t))
+        if cut and n > left:
+            return out
+        sent[s], at[s], left = sent[s] + n, at[s] + 1, left - n
+        out[i, t, s] += n
+
+
+def test_the_cut_at_the_budget_decides(spark):
+    rng = random.Random(11)
+    decided = 0
+    for trial in range(3):
+        rows = [(k, sentence(rng, rng.choice([1, 5, 20, 90, 400])), rng.choice("abcde")) for k in range(60)] + [(90, None, "a"), (91, "", "f")]
+        want = served(rows)
+        got = fair_queue.mix_plan(frame(spark, rows), cell_rows=7)
+        text = {i: t for i, t, _ in rows}
+        assert {(r["id"], text[r["id"]], r["source"]): r["taken"] for r in got.collect() if r["taken"]} == {k: n for k, n in want.items() if n}
+        total = sum(len(words(t)) for _, t, _ in rows)
+        assert total - max(len(words(t)) for _, t, _ in rows) <= sum(want.values()) <= total
+        decided += served(rows, cut=False) != want
+    assert decided == 3
+
+
 def test_targets_spill_over(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 0), ("d", 500), (None, 3)]
     t = spark.createDataFrame(sizes, "source string, source_size long")
