@@ -54,6 +54,11 @@ FLUSH = 3_000_000
 LOCAL_GROUP = 64
 #: cells of the sketch of a small set, half a byte each
 CELLS = 128
+#: members of a group that is compared together with others, and pairs compared at once
+SMALL_GROUP = 1_000
+PAIRS_AT_ONCE = 1_000_000
+#: sums of cells that are compared first
+COARSE = 32
 #: members of a block when a group is searched pair by pair
 BLOCK = 1_000
 #: nodes (8 bytes each) up to which the set of candidates is broadcast
@@ -178,41 +183,117 @@ def sketches(offsets: np.ndarray, values: np.ndarray) -> list[bytes]:
     return [raw[(e - c) // 2:e // 2] for e, c in zip(ends.tolist(), cells.tolist(), strict=True)]
 
 
-def _counts(sketch: list[bytes]) -> np.ndarray:
-    """Counts of several sketches in the cells of the smallest (a larger one is folded)."""
-    cells = 2 * min(map(len, sketch))
-    out = np.empty((len(sketch), cells), np.int16)
-    for i, x in enumerate(sketch):
-        half = np.frombuffer(x, np.uint8)
-        full = np.empty(2 * len(half), np.uint8)
-        full[::2], full[1::2] = half & 15, half >> 4
-        out[i] = np.minimum(full.reshape(-1, cells).sum(0, dtype=np.int16), 15)
-    return out
+@dataclass
+class Sketched:
+    """Sets with their sketches one after the other in ``raw``."""
+
+    sizes: np.ndarray
+    raw: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.half = cells_of(self.sizes) // 2
+        self.begin = np.cumsum(self.half) - self.half
+        self.coarse = np.empty((len(self.sizes), COARSE), np.uint8)
+        for half in np.unique(self.half).tolist():
+            every = np.flatnonzero(self.half == half)
+            for at in np.array_split(every, 1 + len(every) * half // (1 << 21)):
+                sums = self._counts(at, half, 2 * half).reshape(len(at), -1, COARSE).sum(1, dtype=np.int64)
+                self.coarse[at] = np.minimum(sums, 255)
+
+    def _counts(self, at: np.ndarray, half: int, cells: int) -> np.ndarray:
+        """Counts in ``cells`` cells of sets with sketches of ``half`` bytes (a larger sketch is folded)."""
+        packed = np.lib.stride_tricks.sliding_window_view(self.raw, half)[self.begin[at]]
+        out = np.empty((len(at), 2 * half), np.uint8)
+        out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+        if 2 * half == cells:
+            return out
+        return np.minimum(out.reshape(len(at), -1, cells).sum(1, dtype=np.int64), 15).astype(np.uint8)
+
+    def near(self, a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.ndarray:
+        """Whether sketches leave open that the sets ``a[i]`` and ``b[i]`` are similar.
+
+        Similar sets differ in at most (a + b) (100 - t) / (100 + t) elements, and
+        cell counts differ by no more than the sets do.
+        """
+        t, out = scheme.threshold, np.zeros(len(a), bool)
+        small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        todo = np.flatnonzero(100 * small >= t * large)
+        alike = self.half[a[todo]] == self.half[b[todo]]  # only then sums of cells may be compared
+        refuted = np.zeros(len(todo), bool)
+        for at in np.array_split(np.flatnonzero(alike), 1 + len(todo) // (1 << 16)):
+            x, y = self.coarse[a[todo[at]]], self.coarse[b[todo[at]]]
+            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.uint16).astype(np.int64)
+            refuted[at] = apart * (100 + t) > (self.sizes[a[todo[at]]] + self.sizes[b[todo[at]]]) * (100 - t)
+        todo = todo[~refuted]
+        # a pair that several groups hold is compared once
+        u, v = np.minimum(a[todo], b[todo]), np.maximum(a[todo], b[todo])
+        _, once, same = np.unique(u * (1 << 32) + v, return_index=True, return_inverse=True)
+        every, todo = todo, todo[once]
+        kind = self.half[a[todo]] * (1 << 40) + self.half[b[todo]]
+        for k in np.unique(kind).tolist():
+            x, y = k >> 40, k & ((1 << 40) - 1)
+            cells = 2 * min(x, y)
+            some = todo[kind == k]
+            for p in np.array_split(some, 1 + len(some) * max(x, y) // (1 << 20)):
+                of_a, of_b = self._counts(a[p], x, cells), self._counts(b[p], y, cells)
+                apart = (np.maximum(of_a, of_b) - np.minimum(of_a, of_b)).sum(1, dtype=np.int64)
+                out[p] = apart * (100 + t) <= (self.sizes[a[p]] + self.sizes[b[p]]) * (100 - t)
+        out[every] = out[todo][same]
+        return out
+
+
+def _pairs_within(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within consecutive groups."""
+    n = np.diff(cut)
+    later = np.repeat(cut[1:], n) - np.arange(cut[0], cut[-1]) - 1  # places of its group after each place
+    first = np.repeat(np.arange(cut[0], cut[-1]), later)
+    return first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
 
 
-def clusters(sizes: np.ndarray, sketch: list[bytes], scheme: Scheme) -> list[np.ndarray]:
-    """Members that sketches cannot tell apart, chained; of two members or more.
+def clusters(sets: Sketched, place: np.ndarray, cut: np.ndarray, scheme: Scheme) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, members) of what sketches cannot tell apart, chained, in groups ``place[cut[g]:cut[g + 1]]``; two members or more.
 
-    Similar sets differ in at most (a + b) (100 - t) / (100 + t) elements, and
-    cell counts differ by no more than the sets do.
+    Groups of up to ``SMALL_GROUP`` members are compared many at a time.
     """
-    t, left, out = scheme.threshold, np.arange(len(sizes)), []
-    counts = _counts(sketch)
-    while len(left) > 1:
-        group, front, left = [left[:1]], left[:1], left[1:]
-        while len(front) and len(left):
-            near = np.zeros(len(left), bool)
-            for x in front:
-                apart = np.abs(counts[left] - counts[x]).sum(1, dtype=np.int64)
-                near |= apart * (100 + t) <= (sizes[left] + sizes[x]) * (100 - t)
-                if near.all():
-                    break
-            front, left = left[near], left[~near]
-            group.append(front)
-        group = np.concatenate(group)
-        if len(group) > 1:
-            out.append(group)
-    return out
+    n = np.diff(cut)
+    small = np.flatnonzero((n > 1) & (n <= SMALL_GROUP))
+    weight = np.cumsum(n[small] * n[small])
+    for part in np.split(small, np.searchsorted(weight, np.arange(PAIRS_AT_ONCE, weight[-1] if len(weight) else 0, PAIRS_AT_ONCE))):
+        if not len(part):
+            continue
+        at = np.concatenate([np.arange(cut[g], cut[g + 1]) for g in part.tolist()])
+        member, ends = place[at], np.append(0, np.cumsum(n[part]))
+        i, j = _pairs_within(ends)
+        open_ = sets.near(member[i], member[j], scheme)
+        i, j = i[open_], j[open_]
+        label, before = np.arange(len(member)), None
+        while before is None or (before != label).any():  # the least place spreads along the open pairs
+            before = label.copy()
+            np.minimum.at(label, j, before[i])
+            np.minimum.at(label, i, before[j])
+            label = label[label]
+        order = np.argsort(label, kind="stable")
+        bounds = np.append(np.flatnonzero(np.diff(label[order], prepend=-1)), len(label))
+        group_of = np.repeat(part, n[part])
+        for x in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            own = order[bounds[x]:bounds[x + 1]]
+            yield int(group_of[own[0]]), member[own]
+    for g in np.flatnonzero(n > SMALL_GROUP).tolist():
+        left = place[cut[g]:cut[g + 1]]
+        while len(left) > 1:
+            group, front, left = [left[:1]], left[:1], left[1:]
+            while len(front) and len(left):
+                near = np.zeros(len(left), bool)
+                for x in front:
+                    rest = np.flatnonzero(~near)
+                    if not len(rest):
+                        break
+                    near[rest] = sets.near(left[rest], np.full(len(rest), x), scheme)
+                front, left = left[near], left[~near]
+                group.append(front)
+            group = np.concatenate(group)
+            if len(group) > 1:
+                yield g, group
 
 
 def _set_rows(shingle: int):
@@ -287,19 +368,16 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
         own, sig = np.concatenate(owner), np.concatenate(sigs)
         many = _repeated(sig, LOCAL_GROUP)
         s, place, cut = _runs(sig[many], own[many])
-        rows, heads, head_sigs = [], [], []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        rows, sent = [], np.ones(len(place), bool)
+        for g, group in clusters(Sketched(size, np.frombuffer(b"".join(cells), np.uint8)), place, cut, scheme):
             # one of each cluster stands for it elsewhere; the cluster itself goes on as a group
-            own_group, sent = place[a:b], np.ones(b - a, bool)
-            for group in clusters(size[own_group], [cells[i] for i in own_group.tolist()], scheme):
-                sent[group[1:]] = False
-                rows.append({"bucket": int(s[a] >> np.uint64(40)) % buckets, "sig": int(s[a].view(np.int64)),
-                             "members": node[own_group[group]].tolist()})
-            heads.append(own_group[sent])
-            head_sigs.append(np.full(int(sent.sum()), s[a]))
+            a = cut[g]
+            sent[a:cut[g + 1]] &= ~np.isin(place[a:cut[g + 1]], group[1:])
+            rows.append({"bucket": int(s[a] >> np.uint64(40)) % buckets, "sig": int(s[a].view(np.int64)),
+                         "members": node[group].tolist()})
         rows += pack(node, size, cells, own[~many], sig[~many], False)
-        if heads:
-            rows += pack(node, size, cells, np.concatenate(heads), np.concatenate(head_sigs), True)
+        if len(place):
+            rows += pack(node, size, cells, place[sent], s[sent], True)
         for at in range(0, len(rows), 512):
             yield pa.RecordBatch.from_pylist(rows[at:at + 512], _PACKED)
 
@@ -384,10 +462,8 @@ def _match(scheme: Scheme):
         use = _repeated(key, 2)
         key, place = key[use], place[use].astype(np.int64)
         node, size = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
-        raw = b"".join(cells)
+        sets = Sketched(size, np.frombuffer(b"".join(cells), np.uint8))
         del cells
-        ends = np.cumsum(cells_of(size) // 2)
-        begins = ends - cells_of(size) // 2
         # a node of several batches is one
         _, first, same = np.unique(node, return_index=True, return_inverse=True)
         s, place, cut = _runs(key, first[same[place]])
@@ -400,17 +476,16 @@ def _match(scheme: Scheme):
         keep = np.zeros(len(many), bool)
         keep[once] = True
         out = []
-        for g in many[keep | hot].tolist():
-            at = place[cut[g]:cut[g + 1]]
-            low = int(s[cut[g]])
-            if low in heads:
-                out += [{"sig": name, "members": node[at].tolist()} for name in heads[low]]
-                continue
-            sketch = [raw[x:y] for x, y in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
-            for n, group in enumerate(clusters(size[at], sketch, scheme)):
-                name = ((low + (bucket << 40)) * 1_000_003 + n) & 0xFFFFFFFFFFFFFFFF
-                name = int(mix(np.array([name], np.uint64)).view(np.int64)[0])
-                out.append({"sig": name, "members": node[at[group]].tolist()})
+        for g in many[hot].tolist():
+            out += [{"sig": name, "members": node[place[cut[g]:cut[g + 1]]].tolist()} for name in heads[int(s[cut[g]])]]
+        cold = many[keep & ~hot]
+        sizes_of = np.diff(cut)[cold]
+        begin = np.cumsum(sizes_of) - sizes_of
+        of_cold = place[np.repeat(cut[:-1][cold] - begin, sizes_of) + np.arange(sizes_of.sum())]
+        for n, (g, group) in enumerate(clusters(sets, of_cold, np.append(begin, sizes_of.sum()), scheme)):
+            name = ((int(s[cut[cold[g]]]) + (bucket << 40)) * 1_000_003 + n) & 0xFFFFFFFFFFFFFFFF
+            name = int(mix(np.array([name], np.uint64)).view(np.int64)[0])
+            out.append({"sig": name, "members": node[group].tolist()})
             if len(out) >= 4096:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
