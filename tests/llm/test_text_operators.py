@@ -211,6 +211,68 @@ def test_components_near_the_threshold(spark, monkeypatch):
     assert multiset(members.select("id", "n_shingles", "component_id").collect()) == slow_components(rows)
 
 
+def sketched(offsets, values):
+    import numpy as np
+    return partenum.Sketched(np.diff(offsets), np.frombuffer(b"".join(partenum.sketches(offsets, values)), np.uint8))
+
+
+def test_sketch_clusters(monkeypatch):
+    """Small and large groups, overlapping ones, sketches of several lengths: components of the open pairs."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    scheme = partenum.Scheme()
+    sets = []
+    for n in (0, 1, 20, 20, 300, 900, 900, 2500):
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        sets += [base, base.copy(), base[: n * 9 // 10], base[: n * 3 // 4 + 1], base[: n // 2]]
+    sets = [np.sort(x) for x in sets]
+    offsets, values = np.cumsum([0, *map(len, sets)]), np.concatenate(sets)
+    every = sketched(offsets, values)
+    groups = [rng.permutation(len(sets))[:n] for n in (0, 1, 2, 5, 17, 40, 40, 3)]
+    place, cut = np.concatenate(groups), np.cumsum([0, *map(len, groups)])
+
+    def plain(group):
+        left, out = set(group.tolist()), []
+        while left:
+            front = [left.pop()]
+            whole = set(front)
+            while front:
+                x = front.pop()
+                near = {y for y in left if every.near(np.array([x]), np.array([y]), scheme)[0]}
+                left -= near
+                whole |= near
+                front += near
+            if len(whole) > 1:
+                out.append(whole)
+        return out
+
+    expected = sorted((g, sorted(c)) for g, group in enumerate(groups) for c in plain(group))
+    for small, at_once in ((1000, 1000), (1000, 10), (10, 1000), (1, 1)):
+        monkeypatch.setattr(partenum, "SMALL_GROUP", small)
+        monkeypatch.setattr(partenum, "PAIRS_AT_ONCE", at_once)
+        got = sorted((g, sorted(c.tolist())) for g, c in partenum.clusters(every, place, cut, scheme))
+        assert got == expected
+    # a pair is never told apart unless it is too different
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if scheme.similar(both, len(sets[i]), len(sets[j])):
+                assert every.near(np.array([i]), np.array([j]), scheme)[0]
+
+
+def test_open_members():
+    import numpy as np
+    a, b = np.arange(1, 101, dtype=np.uint64), np.arange(5001, 5101, dtype=np.uint64)
+    sets = [a, a[:95], b, b[:95], np.arange(9001, 9101, dtype=np.uint64)]
+    every = sketched(np.cumsum([0, *map(len, sets)]), np.concatenate(sets))
+    scheme, nobody = partenum.Scheme(), np.zeros(5, bool)
+    assert partenum.open_members(every, np.arange(5), nobody, scheme).tolist() == [True, True, True, True, False]
+    # one label: nothing to join; a member that met all others needs no further test
+    assert partenum.open_members(every, np.array([0, 0, 2, 3, 4]), nobody, scheme).tolist() == [False, False, True, True, False]
+    met = np.array([True, False, False, False, False])
+    assert partenum.open_members(every, np.arange(5), met, scheme).tolist() == [False, False, True, True, False]
+
+
 def test_every_similar_pair_shares_a_signature():
     """Without Spark: all pairs at or above the threshold, for several schemes."""
     import numpy as np
@@ -227,12 +289,15 @@ def test_every_similar_pair_shares_a_signature():
                     if sets[a] != sets[b] and scheme.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
                         assert of[a] & of[b], (seed, scheme, len(sets[a]), len(sets[b]))
             # and no sketch tells it apart
-            sketch = partenum.sketches(offsets, values)
-            chained = [set(c.tolist()) for c in partenum.clusters(np.diff(offsets), sketch, scheme)]
+            every = sketched(offsets, values)
+            whole = np.arange(len(rows)), np.array([0, len(rows)])
+            chained = [set(c.tolist()) for _, c in partenum.clusters(every, *whole, scheme)]
+            open_ = partenum.open_members(every, np.arange(len(rows)), np.zeros(len(rows), bool), scheme)
             for a in range(len(rows)):
                 for b in range(a):
                     if scheme.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
                         assert any({a, b} <= c for c in chained)
+                        assert open_[a] and open_[b]
         assert np.all(np.diff(offsets) == [len(s) for s in sets])
 
 
