@@ -20,8 +20,8 @@ once; so passages that many documents share do not pair them all.
 Signatures travel packed (five bytes each) to buckets of bounded size; what many
 documents of one batch share is sent once.  A bucket's groups give links from
 members to one of the group, verified on the texts.  Where that leaves a group
-in several components, its cross pairs are tested by sketch, in blocks, and the
-members of those left open are searched exactly by prefix filtering on the texts.
+in several components, these and all others that such groups connect are one
+family; its cross pairs are searched exactly by prefix filtering, in blocks.
 Equal sets are one node throughout.
 """
 
@@ -60,7 +60,7 @@ SMALL_GROUP = 1_000
 PAIRS_AT_ONCE = 1_000_000
 #: sums of cells that are compared first
 COARSE = 32
-#: members of a block when a group is searched pair by pair
+#: members of a block when a family is searched pair by pair
 BLOCK = 1_000
 #: nodes (8 bytes each) up to which the set of candidates is broadcast
 MAX_BROADCAST_NODES = 2_000_000
@@ -575,51 +575,6 @@ def _block_links(scheme: Scheme, shingle: int):
     return run
 
 
-def _sketch_column(shingle: int):
-    """Texts with words -> (size, sketch) structs."""
-
-    @F.arrow_udf("size bigint, sketch binary")
-    def of(col: pa.Array) -> pa.Array:
-        size, cells = [], []
-        for _, texts in text_chunks(col):
-            offsets, values = shingle_sets(texts, shingle)
-            size += np.diff(offsets).tolist()
-            cells += sketches(offsets, values)
-        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(cells, pa.binary())], ["size", "sketch"])
-
-    return of.asNondeterministic()
-
-
-def open_members(sets: Sketched, label: np.ndarray, settled_with_all: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Which members of a block have a pair of two labels that the sketches leave open.
-
-    A member of ``settled_with_all`` has been compared with every other one.
-    """
-    out, rest = np.zeros(len(label), bool), np.flatnonzero(~settled_with_all)
-    for part in np.array_split(np.arange(len(rest)), 1 + len(rest) * len(rest) // PAIRS_AT_ONCE):
-        later = len(rest) - 1 - part
-        i = np.repeat(part, later)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
-        i, j = rest[i], rest[j]
-        other = label[i] != label[j]
-        i, j = i[other], j[other]
-        near = sets.near(i, j, scheme)
-        out[i[near]] = out[j[near]] = True
-    return out
-
-
-def _open_blocks(scheme: Scheme):
-    """A block with sketches -> its members that are still to be compared on the texts."""
-    schema = pa.schema([("sig", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("label", pa.int64())])
-
-    def run(block: pa.Table) -> pa.Table:
-        sets = Sketched(block.column("size").to_numpy(), np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8))
-        open_ = open_members(sets, block.column("label").to_numpy(), block.column("is_centre").to_numpy(), scheme)
-        return block.select(schema.names).filter(pa.array(open_)).cast(schema)
-
-    return run
-
-
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = Scheme(),
                  shingle: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, n_shingles, node, label, component_id) of every row, and verified links (u, v) between nodes.
@@ -672,25 +627,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = links.unionByName(verified(rest))
     labels = connected_components(links)
 
-    # Groups that are still in several components: search all their cross pairs.  A pair of centre and member
-    # with two labels was refuted above, so a group of two has nothing left, and equal groups are searched once.
+    # Groups that are still in several components: search all their cross pairs.  A pair of centre and member with
+    # two labels was refuted above, so a group of two has nothing left.  Groups overlap much, so the components that
+    # they connect are searched together, and a node's text moves once, not once a group.
     member = member.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    loose = member.groupBy("sig").agg(
-        F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("a <> b AND n > 2")
-    loose = loose.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    parts = settled(member.join(loose.join(centre, "sig"), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                    .select("sig", "node", "label", "own", "blocks", (F.col("node") == F.col("centre")).alias("is_centre")), "loose")
-    # first by sketch, pair by pair (the groups were chained); texts move only for members with an open pair
-    cells = texts.join(parts.select("node").distinct(), "node", "left_semi") \
-        .select("node", _sketch_column(shingle)(F.col("text")).alias("s")).select("node", "s.*")
-    blocks = parts.join(cells, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumns({"i": F.least("own", "other").cast("int"), "j": F.greatest("own", "other").cast("int")}) \
-        .select("sig", "i", "j", "node", "label", "is_centre", "size", "sketch")
-    blocks = settled(blocks.groupBy("sig", "i", "j").applyInArrow(
-        _open_blocks(scheme), "sig bigint, i int, j int, node bigint, label bigint"), "open")
-    if not blocks.isEmpty():
-        more = settled(blocks.join(texts, "node").groupBy("sig", "i", "j").applyInArrow(
+    loose = member.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")) \
+        .filter("a <> b AND n > 2").select("sig", "a")
+    open_ = settled(member.join(loose, "sig").groupBy("node", "label", "a").agg(F.count("*").alias("n")), "loose")
+    if not open_.isEmpty():
+        families = connected_components(open_.select(F.col("label").alias("u"), F.col("a").alias("v"))) \
+            .select(F.col("node").alias("label"), F.col("label").alias("family"))
+        nodes = open_.select("node", "label").distinct().join(families, "label")
+        # nodes of a family's largest component need not meet each other
+        shares = nodes.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(
+            F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+        shares = shares.select("family", F.col("top.label").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("majors"),
+                               F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("minors"))
+        place, is_major = F.xxhash64("node"), F.col("label") == F.col("major")
+        parts = nodes.join(shares, "family").withColumns({
+            "own": F.when(is_major, F.col("minors") + F.pmod(place, F.col("majors"))).otherwise(F.pmod(place, F.col("minors"))).cast("int"),
+            "last": F.when(is_major, F.col("minors") - 1).otherwise(F.col("minors") + F.col("majors") - 1)})
+        parts = parts.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))) \
+            .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "text")
+        more = settled(parts.groupBy("family", "i", "j").applyInArrow(
             _block_links(scheme, shingle), "u bigint, v bigint").distinct(), "more-links")
         links = links.unionByName(more)
         labels = connected_components(links)

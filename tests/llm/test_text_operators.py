@@ -260,19 +260,6 @@ def test_sketch_clusters(monkeypatch):
                 assert every.near(np.array([i]), np.array([j]), scheme)[0]
 
 
-def test_open_members():
-    import numpy as np
-    a, b = np.arange(1, 101, dtype=np.uint64), np.arange(5001, 5101, dtype=np.uint64)
-    sets = [a, a[:95], b, b[:95], np.arange(9001, 9101, dtype=np.uint64)]
-    every = sketched(np.cumsum([0, *map(len, sets)]), np.concatenate(sets))
-    scheme, nobody = partenum.Scheme(), np.zeros(5, bool)
-    assert partenum.open_members(every, np.arange(5), nobody, scheme).tolist() == [True, True, True, True, False]
-    # one label: nothing to join; a member that met all others needs no further test
-    assert partenum.open_members(every, np.array([0, 0, 2, 3, 4]), nobody, scheme).tolist() == [False, False, True, True, False]
-    met = np.array([True, False, False, False, False])
-    assert partenum.open_members(every, np.arange(5), met, scheme).tolist() == [False, False, True, True, False]
-
-
 def test_every_similar_pair_shares_a_signature():
     """Without Spark: all pairs at or above the threshold, for several schemes."""
     import numpy as np
@@ -292,12 +279,10 @@ def test_every_similar_pair_shares_a_signature():
             every = sketched(offsets, values)
             whole = np.arange(len(rows)), np.array([0, len(rows)])
             chained = [set(c.tolist()) for _, c in partenum.clusters(every, *whole, scheme)]
-            open_ = partenum.open_members(every, np.arange(len(rows)), np.zeros(len(rows), bool), scheme)
             for a in range(len(rows)):
                 for b in range(a):
                     if scheme.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
                         assert any({a, b} <= c for c in chained)
-                        assert open_[a] and open_[b]
         assert np.all(np.diff(offsets) == [len(s) for s in sets])
 
 
