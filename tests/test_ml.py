@@ -1,6 +1,7 @@
 """Invariants for splits, kNN, ROC/AUC, models, Shapley sampling, model I/O."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -72,6 +73,54 @@ def test_cells_that_cannot_hold_a_neighbor_never_meet(spark):
     assert met.count() < 1200 * 14  # of 48 cells: those of its own centre, about 4, and few more
 
 
+def test_queries_travel_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 16).tolist(), 0) for i in range(600)]  # no structure: every query meets every cell
+    c = spark.createDataFrame(rows, "cid long, cvec array<double>, clabel int")
+    q = c.select(F.col("cid").alias("qid"), F.col("cvec").alias("qvec"))
+    met, dealt, cells = knn.meeting_cells(q, c, 6, "euclidean", 2.0, 25)
+    assert cells == 24 and met.count() == 600 and dealt.count() == 600
+
+
+def test_tiles_of_far_cells_are_not_read(monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 50, (12, 3))
+    x = np.concatenate([c + rng.normal(0, 0.3, (100, 3)) for c in centres])
+    far = np.sqrt(((x - np.repeat(centres, 100, axis=0)) ** 2).sum(axis=1))
+    cells = pd.DataFrame({"cell": range(12), "radius": far.reshape(12, 100).max(axis=1)})
+    read = []
+
+    def tiles(folder, cell, rows):
+        read.append(cell)
+        s = slice(100 * cell, 100 * cell + 100)
+        yield np.arange(1200)[s], np.zeros(100), x[s], far[s]
+
+    monkeypatch.setattr(knn, "_cell_tiles", tiles)
+    run = knn._group_search("", centres, cells, 5, "euclidean", 2.0, True, 64)
+    out = pd.concat(run(iter([pd.DataFrame({"qid": np.arange(300, 400), "qvec": list(x[300:400])})])))
+    assert read == [3] and len(out) == 500
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "minkowski"])
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e8, 1e35, 1e200])
+def test_screened_tiles_lose_no_neighbor(metric, scale):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(0, 1, (300, 5)) + 40) * scale
+    x[100:140] = x[7]                      # equal distances: smaller id first
+    ids = rng.permutation(300)
+    ids[250:260] = ids[:10]                # ids that repeat are the query's own rows
+    found = knn._Nearest(ids, x, 4, metric, 3.0, True)
+    for s in range(0, 300, 37):
+        found.meet(np.arange(300), ids[s:s + 37], np.full(len(ids[s:s + 37]), np.nan), x[s:s + 37])
+    got = found.table()
+    assert got["neighbor_label"].isna().all() and len(got) == 1200
+    with np.errstate(all="ignore"):
+        d = knn._distances(x, x, metric, 3.0)
+    d[ids[:, None] == ids[None, :]] = np.nan
+    want = np.concatenate([ids[np.lexsort((ids, d[i]))[:4]] for i in range(300)])
+    assert got["neighbor_id"].tolist() == want.tolist()
+
+
 def test_knn_model_is_a_model(spark, data, tmp_path):
     from cohortlens.sources.io import batch_score, load_model, save_model
     train = data.df.filter("split = 'train'")
