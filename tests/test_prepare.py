@@ -10,7 +10,8 @@ from conftest import SF_ORACLE, SF_SMALL
 from cohortlens import fixtures as fx
 from cohortlens.operators import encode, order_stats
 from cohortlens.operators.order_stats import OrderedCounts, dictionary_codes, modes, quantiles, value_counts
-from cohortlens.operators.prepare import RosterPreparation, RosterPreparationModel
+from cohortlens.operators.prepare import RosterPreparation, RosterPreparationModel, preprocess
+from cohortlens.session import spread
 
 
 def numbers(spark):
@@ -131,3 +132,26 @@ def test_train_fit_looks_at_training_rows_only(spark):
     assert kept.filter("split = 'test'").count() == changed.filter("split = 'test'").count()
     with pytest.raises(ValueError):
         RosterPreparation(fit_on="some")
+
+
+def one_split_roster(spark, n):
+    spark.range(0, n, 1, 1).selectExpr(
+        "id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "CAST(id * 7919 % 11000 AS DOUBLE) - 1000 AS c_acctbal",
+        "CASE WHEN id % 2 = 0 THEN 'BUILDING' ELSE 'FURNITURE' END AS c_mktsegment").createOrReplaceTempView("customer")
+    return spark.sql(fx.dialect(fx.ROSTER_SQL, "spark"))
+
+
+def test_rows_of_one_split_are_spread(spark):
+    df = one_split_roster(spark, 12_000).unionAll(one_split_roster(spark, 3)).coalesce(1)
+    assert df.rdd.getNumPartitions() == 1
+    out = spread(df, "roster")
+    sizes = [len(p) for p in out.select("student_id").rdd.glom().collect()]
+    assert len(sizes) >= 2 and max(sizes) <= 6_003
+    assert out.dtypes == df.dtypes and not out.exceptAll(df).count() and not df.exceptAll(out).count()
+    few = df.limit(9_999)
+    assert spread(few, "roster") is few
+
+
+def test_preparation_does_not_run_in_one_task(spark):
+    out = preprocess(one_split_roster(spark, 12_000))
+    assert out.rdd.getNumPartitions() >= 2
