@@ -348,3 +348,19 @@ def test_one_feature_needs_no_hybrids(spark, data):
     assert attr.count() == 3 * len(data.classes)
     total = attr.groupBy("id").agg(F.sum("shap").alias("s")).collect()
     assert all(abs(r["s"]) < 1e-9 for r in total)  # the classes' contributions cancel out
+
+
+def test_svm_solver_has_no_more_tasks_than_its_rows_need(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    rows = [(i, [float(i % 7), float(i % 5)], float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label double") \
+        .select("id", array_to_vector("x").alias("features"), "label").repartition(8)
+    fit, parts, found = ml.OneVsRest.fit, [], []
+    monkeypatch.setattr(ml.OneVsRest, "fit", lambda self, d: (parts.append(d.rdd.getNumPartitions()), fit(self, d))[1])
+    for most in (ml.SOLVER_ROWS, 100, 1):  # 1, 3 and all 8 tasks
+        monkeypatch.setattr(ml, "SOLVER_ROWS", most)
+        model = ml.CalibratedSVM(kernel="rbf", n_features=2, dim=4, max_iter=10).fit(df)
+        found.append({r["id"]: r["p"] for r in model.transform(df).selectExpr("id", "probability AS p").collect()})
+    assert parts == [1, 3, 8]
+    for other in found[1:]:
+        assert all(other[i].toArray() == pytest.approx(p.toArray(), abs=1e-6) for i, p in found[0].items())
