@@ -305,7 +305,7 @@ def test_matches_duckdb(spark, name):
     df = QUERIES[name](spark, SF_ORACLE)
     cols = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_ORACLE}/{t}.parquet')")
     cur = con.execute(ORACLES[name])
     at = {d[0]: k for k, d in enumerate(cur.description)}
