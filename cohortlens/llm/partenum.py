@@ -12,6 +12,11 @@ partitions (every subset non-empty) than its differences can spoil; the few sets
 with fewer also get signatures of empty projections, which meet only among
 themselves.  So no similar pair is lost.
 
+Similar sets share several signatures, so each may leave out some of its own, the
+last in one order of all (prefix filtering on signatures).  Those found often in a
+sample of the documents come last: a passage that many documents share, and no
+more, then brings few of them together.
+
 Signatures travel with a sketch of their set: counts of its elements in
 ``CELLS`` cells or more, whose differences add up to at most the sets' difference.  Where
 a signature meets, sets that the sketches prove too different are told apart at
@@ -32,6 +37,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -50,14 +56,19 @@ PARTS, ERRORS = 3, 1
 SLACK = 0.25
 #: signatures of a bucket on average, and held by a task before it sends them
 BUCKET_SIGNATURES = 6_000_000
-FLUSH = 3_000_000
+FLUSH = 2_000_000
+#: shingles of the documents in which frequent signatures are looked for, how often they are then found at least,
+#: how many are kept, and a table to look them up (a power of two)
+SAMPLE_SHINGLES, LEAST_FOUND, MOST_FREQUENT, FREQUENT_TABLE = 4_000_000, 3, 250_000, 1 << 23
+#: bytes of texts whose sets are made at once
+TEXT_BYTES = 1 << 19
 #: documents of a batch from which a signature they share is sent once
 LOCAL_GROUP = 64
 #: cells of the sketch of a small set, half a byte each
 CELLS = 128
 #: members of a group that is compared together with others, and pairs compared at once
 SMALL_GROUP = 1_000
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 250_000
 #: sums of cells that are compared first
 COARSE = 32
 #: members of a block when a family is searched pair by pair
@@ -82,10 +93,28 @@ class Scheme:
             top.append(low * 100 // t)
             low = top[-1] + 1
         sizes = np.array(top, np.int64)
-        differ = 2 * sizes * (100 - t) // (100 + t)
+        differ = self.differ(sizes, sizes)
         spoiled = differ // (self.errors + 1)
         n1 = np.where(differ > 0, spoiled + 1 + np.ceil(self.slack * spoiled).astype(np.int64), 0)
         return sizes, n1, spoiled
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Elements in which similar sets of at most these sizes can differ."""
+        return (a + b) * (100 - self.threshold) // (100 + self.threshold)
+
+    def shared(self, good: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Signatures that similar sets share at least, of ``good`` partitions of one of them.
+
+        With j parts of a partition changed, the subsets without these stay equal.
+        A change costs most where fewest were before.
+        """
+        stay = [math.comb(self.parts - j, self.parts - self.errors) if j <= self.errors else 0 for j in range(self.parts + 1)]
+        left, changes = stay[0] * good, differ
+        for j in range(self.errors + 1):
+            used = np.minimum(changes, good)
+            left, changes = left - (stay[j] - stay[j + 1]) * used, changes - used
+        return left
+
     def similar(self, common: int, a: int, b: int) -> bool:
         return 100 * common >= self.threshold * (a + b - common)
 
@@ -148,9 +177,47 @@ def _projections(offsets: np.ndarray, values: np.ndarray, n1: np.ndarray, band:
     return np.tile(owner, len(sigs)), np.concatenate(sigs), np.concatenate(empty), good
 
 
-def signatures(offsets: np.ndarray, values: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) of sets in the form of ``shingle_sets``."""
-    top, n1_of, spoiled_of = scheme.bands()
+@dataclass(frozen=True)
+class Frequent:
+    """Signatures found often in a sample of the documents, ascending, and how often."""
+
+    sig: np.ndarray
+    n: np.ndarray
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        seen = np.zeros(FREQUENT_TABLE, bool)  # made in each task
+        seen[self.sig & np.uint64(FREQUENT_TABLE - 1)] = True
+        return seen
+
+    def among(self, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the frequent ones in ``sig``, how often each was found)."""
+        maybe = np.flatnonzero(self.seen[sig & np.uint64(FREQUENT_TABLE - 1)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.sig, sig[maybe]), len(self.sig) - 1)
+        found = self.sig[at] == sig[maybe]
+        return maybe[found], self.n[at[found]]
+
+
+def _left_out(owner: np.ndarray, sig: np.ndarray, spare: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """Places of each set's ``spare`` most frequent signatures (those not in ``frequent`` stay)."""
+    often, n = frequent.among(sig)
+    often = often[np.lexsort((sig[often], n, owner[often]))[::-1]]
+    who = owner[often]
+    nth = np.arange(len(who)) - np.searchsorted(-who, -who)  # owners descend
+    return often[nth < spare[who]]
+
+
+def signatures(offsets: np.ndarray, values: np.ndarray, scheme: Scheme, frequent: Frequent | None = None
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, signature) of sets in the form of ``shingle_sets``.
+
+    Similar sets share several signatures.  Where they must share m, each may leave
+    out m - 1, the last in one order of all signatures: the first that they share is
+    left in both, whatever the order.  Here ``frequent`` ones come last.
+    """
+    top, n1_of, _ = scheme.bands()
     sizes = np.diff(offsets)
     own = np.searchsorted(top, sizes)
     out_set, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -160,10 +227,18 @@ def signatures(offsets: np.ndarray, values: np.ndarray, scheme: Scheme) -> tuple
         if not n1.any():
             continue
         owner, sig, empty, good = _projections(offsets, values, n1, band, 0, scheme)
-        poor = (n1 > 0) & (good <= spoiled_of[at])
+        # a similar set of the band has at most this many elements
+        most = np.minimum(top[at], sizes * 100 // scheme.threshold)
+        differ = scheme.differ(sizes, most)
+        poor = (n1 > 0) & (good <= differ // (scheme.errors + 1))
         sent = ~empty | poor[owner]
-        out_set.append(owner[sent])
-        out_sig.append(sig[sent])
+        owner, sig = owner[sent], sig[sent]
+        if frequent is not None:
+            spare = np.where(poor | (n1 == 0), 0, np.maximum(0, scheme.shared(good, differ) - 1))
+            out = _left_out(owner, sig, spare, frequent)
+            owner, sig = np.delete(owner, out), np.delete(sig, out)
+        out_set.append(owner)
+        out_sig.append(sig)
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
@@ -303,7 +378,7 @@ def _set_rows(shingle: int):
     @F.arrow_udf("n_shingles bigint, node bigint")
     def sets(col: pa.Array) -> pa.Array:
         n, node = [], []
-        for _, texts in text_chunks(col):
+        for _, texts in text_chunks(col, TEXT_BYTES):
             offsets, values = shingle_sets(texts, shingle)
             for i in range(len(texts)):
                 v = values[offsets[i]:offsets[i + 1]]
@@ -344,22 +419,23 @@ def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def _send(scheme: Scheme, shingle: int, buckets: int):
+def _send(scheme: Scheme, shingle: int, buckets: int, frequent: Frequent | None = None):
     """Documents -> packed signatures by bucket, and the groups of signatures that many of a batch share."""
 
     def pack(nodes: np.ndarray, sizes: np.ndarray, sketch: list[bytes], owner: np.ndarray, sig: np.ndarray,
              local: bool) -> Iterator[dict]:
-        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((owner, bucket))
-        owner, sig, bucket = owner[order], sig[order], bucket[order]
-        cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            which, n = np.unique(owner[a:b], return_counts=True)
+        cut = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+        for x in np.flatnonzero(np.diff(cut)).tolist():
+            at = order[cut[x]:cut[x + 1]]
+            own = sig[at]
+            which, n = np.unique(owner[at], return_counts=True)
             if local:  # with their whole name
-                keys = sig[a:b].astype("<u8").tobytes()
+                keys = own.astype("<u8").tobytes()
             else:
-                keys = sig[a:b].astype("<u4").tobytes() + (sig[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()
-            yield {"bucket": int(bucket[a]), "is_local": local, "hashes": keys, "nodes": nodes[which].tobytes(),
+                keys = own.astype("<u4").tobytes() + (own >> np.uint64(32)).astype(np.uint8).tobytes()
+            yield {"bucket": x, "is_local": local, "hashes": keys, "nodes": nodes[which].tobytes(),
                    "counts": n.astype("<u4").tobytes(), "sizes": sizes[which].astype("<u4").tobytes(),
                    "sketches": b"".join([sketch[i] for i in which.tolist()])}
 
@@ -367,8 +443,11 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
               sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         node, size = np.array(nodes, np.int64), np.concatenate(sizes)
         own, sig = np.concatenate(owner), np.concatenate(sigs)
+        owner.clear()
+        sigs.clear()
         many = _repeated(sig, LOCAL_GROUP)
-        s, place, cut = _runs(sig[many], own[many])
+        s, place, cut = _runs(sig[many], own[many].astype(np.int64))
+        own, sig = own[~many], sig[~many]
         rows, sent = [], np.ones(len(place), bool)
         for g, group in clusters(Sketched(size, np.frombuffer(b"".join(cells), np.uint8)), place, cut, scheme):
             # one of each cluster stands for it elsewhere; the cluster itself goes on as a group
@@ -376,17 +455,23 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
             sent[a:cut[g + 1]] &= ~np.isin(place[a:cut[g + 1]], group[1:])
             rows.append({"bucket": int(s[a] >> np.uint64(40)) % buckets, "sig": int(s[a].view(np.int64)),
                          "members": node[group].tolist()})
-        rows += pack(node, size, cells, own[~many], sig[~many], False)
+            if len(rows) == 512:
+                yield pa.RecordBatch.from_pylist(rows, _PACKED)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _PACKED)
+        # a row holds all that goes to its bucket: one at a time
+        for row in pack(node, size, cells, own, sig, False):
+            yield pa.RecordBatch.from_pylist([row], _PACKED)
         if len(place):
-            rows += pack(node, size, cells, place[sent], s[sent], True)
-        for at in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_pylist(rows[at:at + 512], _PACKED)
+            for row in pack(node, size, cells, place[sent], s[sent], True):
+                yield pa.RecordBatch.from_pylist([row], _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, None] = {}
         nodes, sizes, sketch, owner, sigs, held = [], [], [], [], [], 0
         for batch in batches:
-            for _, texts in text_chunks(batch.column("text")):
+            for _, texts in text_chunks(batch.column("text"), TEXT_BYTES):
                 offsets, values = shingle_sets(texts, shingle)
                 fresh = []
                 for i in range(len(texts)):
@@ -398,8 +483,8 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
                     continue
                 lengths = np.cumsum([0, *(len(v) for _, v in fresh)])
                 fresh_values = np.concatenate([v for _, v in fresh])
-                own, sig = signatures(lengths, fresh_values, scheme)
-                owner.append(own + len(nodes))
+                own, sig = signatures(lengths, fresh_values, scheme, frequent)
+                owner.append((own + len(nodes)).astype(np.int32))
                 nodes += [node for node, _ in fresh]
                 sizes.append(np.diff(lengths))
                 sketch += sketches(lengths, fresh_values)
@@ -415,6 +500,33 @@ def _send(scheme: Scheme, shingle: int, buckets: int):
     return run
 
 
+def _counted(scheme: Scheme, shingle: int):
+    """Documents -> how often they have each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_chunks(batch.column("text"), TEXT_BYTES):
+                _, sig = signatures(*shingle_sets(list(dict.fromkeys(texts)), shingle), scheme)
+                sig, n = np.unique(sig, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32))], ["sig", "n"])
+
+    return run
+
+
+def frequent_signatures(rows: DataFrame, total: int, scheme: Scheme, shingle: int) -> Frequent:
+    """The most frequent signatures of a sample of ``rows`` (by the hash of the text) with about ``SAMPLE_SHINGLES`` of ``total`` shingles.
+
+    The sample only puts signatures in order; whatever it holds, no similar pair is lost.
+    """
+    share = max(1, math.ceil(total / SAMPLE_SHINGLES))
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    found = some.mapInArrow(_counted(scheme, shingle), "sig bigint, n int").groupBy("sig").agg(F.sum("n").cast("int").alias("n")) \
+        .filter(F.col("n") >= LEAST_FOUND).orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).toArrow()  # bounded
+    sig, n = (found.column(c).to_numpy() for c in ("sig", "n"))
+    order = np.argsort(sig.view(np.uint64))
+    return Frequent(sig.view(np.uint64)[order], n[order])
+
+
 #: within a bucket this many bits of a signature tell it apart (a false meeting costs one check of the texts)
 KEY_MASK = (1 << 40) - 1
 GROUP = "sig bigint, members array<bigint>"
@@ -505,7 +617,7 @@ def _verify(scheme: Scheme, shingle: int):
         rows = pa.concat_arrays([pa.array([x for pair in zip(a.to_pylist(), b.to_pylist(), strict=True) for x in pair],
                                           pa.string())])
         held: list[np.ndarray] = []
-        for _, texts in text_chunks(rows):
+        for _, texts in text_chunks(rows, TEXT_BYTES):
             offsets, values = shingle_sets(texts, shingle)
             for i in range(len(texts)):
                 held.append(values[offsets[i]:offsets[i + 1]])
@@ -565,7 +677,7 @@ def _block_links(scheme: Scheme, shingle: int):
     def run(block: pa.Table) -> pa.Table:
         sets: list[np.ndarray] = []
         for chunk in block.column("text").chunks:
-            for _, texts in text_chunks(chunk):
+            for _, texts in text_chunks(chunk, TEXT_BYTES):
                 offsets, values = shingle_sets(texts, shingle)
                 sets += [values[offsets[i]:offsets[i + 1]] for i in range(len(texts))]
         found = cross_links(block.column("node").to_pylist(), block.column("label").to_pylist(), sets, scheme)
@@ -593,7 +705,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = settled(rows.select("id", _set_rows(shingle)(F.col("text")).alias("s")).select("id", "s.*"), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(1.5 * total / BUCKET_SIGNATURES))
-    packed = rows.select("text").mapInArrow(_send(scheme, shingle, buckets), PACKED)
+    frequent = frequent_signatures(rows, total, scheme, shingle)
+    packed = rows.select("text").mapInArrow(_send(scheme, shingle, buckets, frequent), PACKED)
     groups = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(scheme), GROUP)
     member = settled(groups.select("sig", F.explode("members").alias("node")).distinct(), "groups")
     # one of each group, by one of four orders, is its centre

@@ -286,6 +286,52 @@ def test_every_similar_pair_shares_a_signature():
         assert np.all(np.diff(offsets) == [len(s) for s in sets])
 
 
+def _all_signatures(rows, scheme, frequent=None):
+    offsets, values = partenum.shingle_sets([t.encode() for t in rows])
+    return (offsets, values, *partenum.signatures(offsets, values, scheme, frequent))
+
+
+def _frequent(sig, least):
+    import numpy as np
+    names, n = np.unique(sig, return_counts=True)
+    return partenum.Frequent(names[n >= least], n[n >= least])
+
+
+def test_similar_pairs_share_a_signature_that_neither_leaves_out():
+    """Without Spark: whatever signatures are taken for frequent, all pairs at or above the threshold."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for seed in range(6):
+        rows = [t for _, t, _ in variants(seed, sizes=(4, 9, 25, 60, 200), n=10)]
+        for scheme in (partenum.Scheme(), partenum.Scheme(parts=1, errors=0, slack=1.0), partenum.Scheme(parts=4, errors=2, slack=1.0),
+                       partenum.Scheme(threshold=90), partenum.Scheme(threshold=60, slack=0.75)):
+            offsets, values, owner, sig = _all_signatures(rows, scheme)
+            sets = [set(values[offsets[i]:offsets[i + 1]].tolist()) for i in range(len(rows))]
+            names = np.unique(sig)
+            chance = partenum.Frequent(names, rng.integers(0, 5, len(names)))
+            for frequent in (_frequent(sig, 1), _frequent(sig, 3), chance):
+                _, _, owner, kept = _all_signatures(rows, scheme, frequent)
+                assert len(kept) < len(sig) or scheme != partenum.Scheme()
+                of = [set(kept[owner == i].tolist()) for i in range(len(rows))]
+                for a in range(len(rows)):
+                    for b in range(a):
+                        if sets[a] != sets[b] and scheme.similar(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
+                            assert of[a] & of[b], (seed, scheme, len(sets[a]), len(sets[b]))
+
+
+def test_a_shared_passage_brings_few_documents_together():
+    import random
+
+    import numpy as np
+    rng = random.Random(11)
+    passage = sentence(rng, 80, 100_000)
+    rows = [f"{sentence(rng, rng.randrange(240, 330), 100_000)} {passage}" for _ in range(150)]
+    _, _, _, sig = _all_signatures(rows, partenum.Scheme())
+    _, _, _, kept = _all_signatures(rows, partenum.Scheme(), _frequent(sig, 3))
+    pairs = [int((n * (n - 1) // 2).sum()) for n in (np.unique(s, return_counts=True)[1] for s in (sig, kept))]
+    assert 0 < 10 * pairs[1] < pairs[0], pairs
+
+
 def test_cross_links_join_what_pairs_join():
     rows = variants(9, sizes=(40,), n=30)
     import numpy as np
