@@ -56,7 +56,7 @@ PARTS, ERRORS = 3, 1
 SLACK = 0.25
 #: signatures of a bucket on average, and held by a task before it sends them
 BUCKET_SIGNATURES = 6_000_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: shingles of the documents in which frequent signatures are looked for, how often they are then found at least,
 #: how many are kept, and a table to look them up (a power of two)
 SAMPLE_SHINGLES, LEAST_FOUND, MOST_FREQUENT, FREQUENT_TABLE = 4_000_000, 3, 250_000, 1 << 23
@@ -412,9 +412,14 @@ def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
     """Which entries have a signature that occurs at least ``least`` times."""
     order = np.argsort(sig)
     s = sig[order]
+    same = s[1:] == s[:-1]  # most signatures occur once: only the others are counted
+    twice = np.zeros(len(sig), bool)
+    twice[1:] = same
+    twice[:-1] |= same
+    order, s = order[twice], s[twice]
     cut = np.append(np.flatnonzero(np.diff(s, prepend=s[:1] - np.uint64(1))), len(s)) if len(s) else np.zeros(1, np.int64)
     n = np.diff(cut)
-    out = np.zeros(len(sig), bool)
+    out = np.full(len(sig), least <= 1)
     out[order] = np.repeat(n >= least, n)
     return out
 
@@ -570,8 +575,10 @@ def _match(scheme: Scheme):
                 yield pa.RecordBatch.from_pylist(passed, schema)
         if not keys:
             return
-        key, place = np.concatenate(keys), np.concatenate(places)
-        del keys, places
+        key = np.concatenate(keys)
+        del keys
+        place = np.concatenate(places)
+        del places
         use = _repeated(key, 2)
         key, place = key[use], place[use].astype(np.int64)
         node, size = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
