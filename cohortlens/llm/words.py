@@ -15,6 +15,8 @@ import pyarrow as pa
 WORD = r"[^\x20\x09-\x0D]+"
 #: texts of an Arrow batch are handled in chunks of about this many bytes (a longer text is a chunk of its own)
 CHUNK_BYTES = 2 << 20
+#: the tables of powers grow by this many entries (8 bytes each, two tables)
+POWERS_STEP = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -55,7 +57,7 @@ def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+        n = -(-n // POWERS_STEP) * POWERS_STEP  # no larger than the chunks in use
         up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INV, np.uint64)
         up[0] = down[0] = 1
         pair = (np.cumprod(up), np.cumprod(down))
