@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.shared import ship_package
+from cohortlens.llm.shared import give_back, ship_package
 from cohortlens.llm.words import Words, text_chunks
 
 #: (bytes below which the band holds, least ratio, greatest ratio); None: no limit
@@ -35,6 +35,8 @@ CHUNK_BYTES = 4096
 CHUNK_LIMITS = (1.25, 4.0)
 MAX_BAD_PERCENT = 30
 LEVEL = 3
+#: bytes of texts whose base counts are made at once
+TEXT_BYTES = 1 << 19
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 20, 30, 8
 
 FIELDS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -127,7 +129,7 @@ def compression_bands(text: Column, bands: Sequence = WHOLE_BANDS, chunk_bytes:
 
         compress = zstandard.ZstdCompressor(level=level).compress
         out: list[dict] = []
-        for _, texts in text_chunks(col):
+        for _, texts in text_chunks(col, TEXT_BYTES):
             counts = {k: v.tolist() for k, v in base_counts(texts).items()}
             for i, t in enumerate(texts):
                 row = {k: v[i] for k, v in counts.items()}
@@ -138,6 +140,7 @@ def compression_bands(text: Column, bands: Sequence = WHOLE_BANDS, chunk_bytes:
                         "whole_ratio": ratio, "bad_chunk_bytes": bad, "judged_chunk_bytes": judged,
                         "reason": "base" if failed else reason}
                 out.append(row)
+        give_back()
         return pa.array(out, _TYPE)
 
     return judge.asNondeterministic()(text)

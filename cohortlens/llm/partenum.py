@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.shared import settled, ship_package
+from cohortlens.llm.shared import give_back, settled, ship_package, small_batches
 from cohortlens.llm.words import Words, mix, text_chunks
 
 SHINGLE = 5
@@ -62,8 +62,12 @@ FLUSH = 1_000_000
 SAMPLE_SHINGLES, LEAST_FOUND, MOST_FREQUENT, FREQUENT_TABLE = 4_000_000, 3, 250_000, 1 << 23
 #: bytes of texts whose sets are made at once
 TEXT_BYTES = 1 << 19
+#: bytes of rows that a Python worker gets at once (a packed row alone can be some hundred KB)
+BATCH_BYTES = 4 << 20
 #: documents of a batch from which a signature they share is sent once
 LOCAL_GROUP = 64
+#: parts (a power of two, 256 at most) in which signatures are sorted to find the repeated ones
+SORT_PARTS = 16
 #: cells of the sketch of a small set, half a byte each
 CELLS = 128
 #: members of a group that is compared together with others, and pairs compared at once
@@ -410,17 +414,23 @@ def _runs(sig: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
     """Which entries have a signature that occurs at least ``least`` times."""
-    order = np.argsort(sig)
-    s = sig[order]
-    same = s[1:] == s[:-1]  # most signatures occur once: only the others are counted
-    twice = np.zeros(len(sig), bool)
-    twice[1:] = same
-    twice[:-1] |= same
-    order, s = order[twice], s[twice]
-    cut = np.append(np.flatnonzero(np.diff(s, prepend=s[:1] - np.uint64(1))), len(s)) if len(s) else np.zeros(1, np.int64)
-    n = np.diff(cut)
     out = np.full(len(sig), least <= 1)
-    out[order] = np.repeat(n >= least, n)
+    if least <= 1:
+        return out
+    part = sig.astype(np.uint8) & np.uint8(SORT_PARTS - 1)  # sorted a part at a time, to hold less
+    for p in range(SORT_PARTS):
+        at = np.flatnonzero(part == p)
+        s = sig[at]
+        order = np.argsort(s)
+        s = s[order]
+        same = s[1:] == s[:-1]  # most signatures occur once: only the others are counted
+        twice = np.zeros(len(s), bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        at, s = at[order[twice]], s[twice]
+        cut = np.append(np.flatnonzero(np.diff(s, prepend=s[:1] - np.uint64(1))), len(s)) if len(s) else np.zeros(1, np.int64)
+        n = np.diff(cut)
+        out[at] = np.repeat(n >= least, n)
     return out
 
 
@@ -501,6 +511,8 @@ def _send(scheme: Scheme, shingle: int, buckets: int, frequent: Frequent | None
                     seen.clear()
         if nodes:
             yield from flush(nodes, sizes, sketch, owner, sigs)
+        del nodes, sizes, sketch, owner, sigs, seen
+        give_back()
 
     return run
 
@@ -611,6 +623,8 @@ def _match(scheme: Scheme):
                 out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
+        del key, place, node, size, sets, s, cut, of_cold, out
+        give_back()
 
     return run
 
@@ -707,6 +721,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not read.
     """
     ship_package()
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _jaccard_join(docs, id_col, text_col, scheme, shingle, block)
+
+
+def _jaccard_join(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shingle: int, block: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = settled(rows.select("id", _set_rows(shingle)(F.col("text")).alias("s")).select("id", "s.*"), "sets")

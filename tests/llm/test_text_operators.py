@@ -332,6 +332,48 @@ def test_a_shared_passage_brings_few_documents_together():
     assert 0 < 10 * pairs[1] < pairs[0], pairs
 
 
+def test_repeated_signatures_are_found_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 63, 1_000_000, dtype=np.uint64)
+    sig[::3] = sig[rng.integers(0, 2_000, len(sig[::3]))]
+    _, same, n = np.unique(sig, return_inverse=True, return_counts=True)
+    for least in (1, 2, 64):
+        tracemalloc.start()
+        found = partenum._repeated(sig, least)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (found == (n[same] >= least)).all()
+        assert held < sig.nbytes, held
+    for few in (sig[:0], sig[:1], sig[[0, 0]]):
+        assert partenum._repeated(few, 2).tolist() == [len(few) == 2] * len(few)
+
+
+def test_the_bytes_that_a_worker_gets_at_once_are_bounded(spark, monkeypatch):
+    """Packed rows are large: a bucket's must not come as one batch."""
+    limit, before, plain = 3_000, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), partenum._match
+
+    def watched(scheme):
+        run = plain(scheme)
+
+        def small(batches):
+            for b in batches:
+                assert b.num_rows == 1 or b.nbytes <= 2 * limit, (b.num_rows, b.nbytes)
+                yield b
+
+        return lambda batches: run(small(batches))
+
+    monkeypatch.setattr(partenum, "_match", watched)
+    monkeypatch.setattr(partenum, "BATCH_BYTES", limit)
+    rows = variants(3, sizes=(90, 120), n=20)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(24)
+    members, _ = partenum.jaccard_join(df)
+    assert multiset((r["id"], r["n_shingles"], r["component_id"]) for r in members.collect()) == slow_components(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_cross_links_join_what_pairs_join():
     rows = variants(9, sizes=(40,), n=30)
     import numpy as np
