@@ -388,6 +388,7 @@ def _set_rows(shingle: int):
                 v = values[offsets[i]:offsets[i + 1]]
                 n.append(len(v))
                 node.append(_node(v) if len(v) else None)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["n_shingles", "node"])
 
     return sets.asNondeterministic()
@@ -647,6 +648,7 @@ def _verify(scheme: Scheme, shingle: int):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     out.append(bool(len(x) and len(y)) and scheme.similar(both, len(x), len(y)))
                     held = []
+        give_back()
         return pa.array(out, pa.bool_())
 
     return similar.asNondeterministic()
@@ -702,6 +704,8 @@ def _block_links(scheme: Scheme, shingle: int):
                 offsets, values = shingle_sets(texts, shingle)
                 sets += [values[offsets[i]:offsets[i + 1]] for i in range(len(texts))]
         found = cross_links(block.column("node").to_pylist(), block.column("label").to_pylist(), sets, scheme)
+        del sets
+        give_back()
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())},
                         schema=schema)
 

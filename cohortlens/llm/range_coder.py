@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.shared import WholeFile, new_folder, open_fs, ship_package
+from cohortlens.llm.shared import WholeFile, give_back, new_folder, open_fs, ship_package
 from cohortlens.llm.tokens import encoder
 from cohortlens.llm.words import text_chunks
 
@@ -211,6 +211,8 @@ def _tokenise(folder: str, definition, end_id: int):
                                               "symbol": pa.array(some, pa.int64()), "n": pa.array(count[some], pa.int64())})
         yield pa.RecordBatch.from_pydict({"part": pa.array([part, part], pa.int32()), "symbol": pa.array([-1, -2], pa.int64()),
                                           "n": pa.array([tokens, docs], pa.int64())})
+        del first, ids, n, full, is_end, seen, count, used
+        give_back()
 
     return run
 
