@@ -17,14 +17,17 @@ last in one order of all (prefix filtering on signatures).  Those found often in
 sample of the documents come last: a passage that many documents share, and no
 more, then brings few of them together.
 
-Signatures travel with a sketch of their set: counts of its elements in
-``CELLS`` cells or more, whose differences add up to at most the sets' difference.  Where
-a signature meets, sets that the sketches prove too different are told apart at
-once; so passages that many documents share do not pair them all.
-
-Signatures travel packed (five bytes each) to buckets of bounded size; what many
-documents of one batch share is sent once.  A bucket's groups give links from
-members to one of the group, verified on the texts.  Where that leaves a group
+Signatures travel packed (four bytes each, and five of the set's name where it
+changes) to buckets of bounded size; what many documents of one batch share is
+sent once.  More documents mean more buckets, and in the end each signature goes
+alone: so nothing larger travels with it.
+
+Only sets that met get a sketch: counts of its elements in ``CELLS`` cells or
+more, whose differences add up to at most the sets' difference.  Small groups with
+the same least member go to one place, which gets each sketch once.  Sets that the
+sketches prove too different are told apart there; so passages that many
+documents share do not pair them all.  The groups left give links from members to
+one of the group, verified on the texts.  Where that leaves a group
 in several components, these and all others that such groups connect are one
 family; its cross pairs are searched exactly by prefix filtering, in blocks.
 Equal sets are one node throughout.
@@ -42,12 +45,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.shared import give_back, settled, ship_package, small_batches
+from cohortlens.llm.shared import give_back, settled, settled_at, ship_package, small_batches
 from cohortlens.llm.words import Words, mix, text_chunks
+from cohortlens.session import discard
 
 SHINGLE = 5
 THRESHOLD = 75  # percent
@@ -73,6 +78,10 @@ CELLS = 128
 #: members of a group that is compared together with others, and pairs compared at once
 SMALL_GROUP = 1_000
 PAIRS_AT_ONCE = 250_000
+#: members from which a group goes to a place of its own
+SPREAD_GROUP = 64
+#: members of the groups that one task tells apart on average, and in one batch of rows
+APART_MEMBERS, MEMBERS_AT_ONCE = 1_000_000, 1 << 16
 #: sums of cells that are compared first
 COARSE = 32
 #: members of a block when a family is searched pair by pair
@@ -376,30 +385,49 @@ def clusters(sets: Sketched, place: np.ndarray, cut: np.ndarray, scheme: Scheme)
                 yield g, group
 
 
-def _set_rows(shingle: int):
-    """Texts -> (n_shingles, node) structs."""
+def _set_rows(shingle: int, sketched: bool = False):
+    """Texts -> (n_shingles, node) structs, or (n_shingles, node, sketch)."""
+    kind = pa.struct([("n_shingles", pa.int64()), ("node", pa.int64())] + ([("sketch", pa.binary())] if sketched else []))
 
-    @F.arrow_udf("n_shingles bigint, node bigint")
+    @F.arrow_udf("n_shingles bigint, node bigint" + (", sketch binary" if sketched else ""))
     def sets(col: pa.Array) -> pa.Array:
-        n, node = [], []
+        n, node, sketch = [], [], []
         for _, texts in text_chunks(col, TEXT_BYTES):
             offsets, values = shingle_sets(texts, shingle)
             for i in range(len(texts)):
                 v = values[offsets[i]:offsets[i + 1]]
                 n.append(len(v))
                 node.append(_node(v) if len(v) else None)
+            if sketched:
+                sketch += sketches(offsets, values)
         give_back()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["n_shingles", "node"])
+        columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64())] + ([pa.array(sketch, pa.binary())] if sketched else [])
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
 
     return sets.asNondeterministic()
 
 
-#: packed signatures of a bucket: ``hashes``, and for each of ``nodes`` how many of them, its size and sketch;
-#: or a group of a signature (``members``)
-PACKED = ("bucket int, is_local boolean, sig bigint, members array<bigint>, hashes binary, nodes binary, counts binary, "
-          "sizes binary, sketches binary")
+#: within a bucket this many bits of a signature tell it apart (a false meeting costs one check of the sketches)
+KEY_MASK = (1 << 32) - 1
+#: bits of a node that travel with its signatures (where two nodes share them, both are taken)
+REF_MASK = (1 << 40) - 1
+#: packed signatures of a bucket: ``hashes``, and for each of ``refs`` how many of them; or a group of a signature (``members``)
+PACKED = "bucket int, is_local boolean, sig bigint, members array<bigint>, hashes binary, refs binary, counts binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("is_local", pa.bool_()), ("sig", pa.int64()), ("members", pa.list_(pa.int64()))]
-                    + [(c, pa.binary()) for c in ("hashes", "nodes", "counts", "sizes", "sketches")])
+                    + [(c, pa.binary()) for c in ("hashes", "refs", "counts")])
+
+
+def _split(values: np.ndarray, low: str, high: str) -> bytes:
+    """Integers as all their low parts, then all their high parts."""
+    bits = 8 * np.dtype(low).itemsize
+    return (values & ((1 << bits) - 1)).astype(low).tobytes() + (values >> bits).astype(high).tobytes()
+
+
+def _joined(raw: bytes, low: str, high: str) -> np.ndarray:
+    """The integers of ``_split``."""
+    a, b = np.dtype(low).itemsize, np.dtype(high).itemsize
+    n = len(raw) // (a + b)
+    return np.frombuffer(raw, low, n).astype(np.int64) | np.frombuffer(raw, high, n, a * n).astype(np.int64) << (8 * a)
 
 
 def _runs(sig: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -438,22 +466,18 @@ def _repeated(sig: np.ndarray, least: int) -> np.ndarray:
 def _send(scheme: Scheme, shingle: int, buckets: int, frequent: Frequent | None = None):
     """Documents -> packed signatures by bucket, and the groups of signatures that many of a batch share."""
 
-    def pack(nodes: np.ndarray, sizes: np.ndarray, sketch: list[bytes], owner: np.ndarray, sig: np.ndarray,
-             local: bool) -> Iterator[dict]:
+    def pack(nodes: np.ndarray, owner: np.ndarray, sig: np.ndarray, local: bool) -> Iterator[dict]:
         bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((owner, bucket))
         cut = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
         for x in np.flatnonzero(np.diff(cut)).tolist():
             at = order[cut[x]:cut[x + 1]]
-            own = sig[at]
-            which, n = np.unique(owner[at], return_counts=True)
-            if local:  # with their whole name
-                keys = own.astype("<u8").tobytes()
-            else:
-                keys = own.astype("<u4").tobytes() + (own >> np.uint64(32)).astype(np.uint8).tobytes()
-            yield {"bucket": x, "is_local": local, "hashes": keys, "nodes": nodes[which].tobytes(),
-                   "counts": n.astype("<u4").tobytes(), "sizes": sizes[which].astype("<u4").tobytes(),
-                   "sketches": b"".join([sketch[i] for i in which.tolist()])}
+            own = owner[at]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            # local ones with their whole name
+            yield {"bucket": x, "is_local": local, "hashes": sig[at].astype("<u8" if local else "<u4").tobytes(),
+                   "refs": _split(nodes[own[first]] & REF_MASK, "<u4", "u1"),
+                   "counts": _split(np.diff(np.append(first, len(own))), "u1", "<u2")}
 
     def flush(nodes: list[int], sizes: list[np.ndarray], cells: list[bytes], owner: list[np.ndarray],
               sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +501,10 @@ def _send(scheme: Scheme, shingle: int, buckets: int, frequent: Frequent | None
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _PACKED)
         # a row holds all that goes to its bucket: one at a time
-        for row in pack(node, size, cells, own, sig, False):
+        for row in pack(node, own, sig, False):
             yield pa.RecordBatch.from_pylist([row], _PACKED)
         if len(place):
-            for row in pack(node, size, cells, place[sent], s[sent], True):
+            for row in pack(node, place[sent], s[sent], True):
                 yield pa.RecordBatch.from_pylist([row], _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,21 +569,28 @@ def frequent_signatures(rows: DataFrame, total: int, scheme: Scheme, shingle: in
     return Frequent(sig.view(np.uint64)[order], n[order])
 
 
-#: within a bucket this many bits of a signature tell it apart (a false meeting costs one check of the texts)
-KEY_MASK = (1 << 40) - 1
+#: groups of a bucket: ``members`` are refs, told apart at ``home``; or nodes, and the home is null
+MET = "sig bigint, home bigint, hot boolean, members array<bigint>"
+_MET = pa.schema([("sig", pa.int64()), ("home", pa.int64()), ("hot", pa.bool_()), ("members", pa.list_(pa.int64()))])
 GROUP = "sig bigint, members array<bigint>"
+_GROUP = pa.schema([("sig", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def _alike(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A name of the members ``values[cut[g]:cut[g + 1]]`` of each group, the same for the same members."""
+    total = np.append(np.uint64(0), np.cumsum(mix(values.view(np.uint64))))
+    return total[cut[1:]] - total[cut[:-1]]
 
 
-def _match(scheme: Scheme):
-    """One bucket: groups of nodes that share a signature and that their sketches do not tell apart.
+def _match():
+    """One bucket: groups of refs that share a signature.
 
     Groups with the same members are given once.  Signatures that many documents
     of a batch share keep one name, so all their groups can be put together.
     """
-    schema = pa.schema([("sig", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, nodes, sizes, cells = [], [], [], [], []
+        keys, places, refs = [], [], []
         heads: dict[int, set[int]] = {}
         bucket, held = 0, 0
         for batch in batches:
@@ -573,19 +604,14 @@ def _match(scheme: Scheme):
                     full = np.frombuffer(r["hashes"], "<u8")
                     for f in full.view(np.int64).tolist():
                         heads.setdefault(f & KEY_MASK, set()).add(f)
-                    key = full & np.uint64(KEY_MASK)
+                    keys.append((full & np.uint64(KEY_MASK)).astype(np.uint32))
                 else:
-                    n = len(r["hashes"]) // 5
-                    key = np.frombuffer(r["hashes"], "<u4", n).astype(np.uint64)
-                    key |= np.frombuffer(r["hashes"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
-                keys.append(key)
-                nodes.append(np.frombuffer(r["nodes"], np.int64))
-                sizes.append(np.frombuffer(r["sizes"], "<u4"))
-                cells.append(r["sketches"])
-                places.append(np.repeat(np.arange(held, held + len(nodes[-1]), dtype=np.uint32), np.frombuffer(r["counts"], "<u4")))
-                held += len(nodes[-1])
+                    keys.append(np.frombuffer(r["hashes"], "<u4"))
+                refs.append(_joined(r["refs"], "<u4", "u1"))
+                places.append(np.repeat(np.arange(held, held + len(refs[-1]), dtype=np.uint32), _joined(r["counts"], "u1", "<u2")))
+                held += len(refs[-1])
             if passed:
-                yield pa.RecordBatch.from_pylist(passed, schema)
+                yield pa.RecordBatch.from_pylist(passed, _MET)
         if not keys:
             return
         key = np.concatenate(keys)
@@ -593,43 +619,120 @@ def _match(scheme: Scheme):
         place = np.concatenate(places)
         del places
         use = _repeated(key, 2)
-        key, place = key[use], place[use].astype(np.int64)
-        node, size = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
-        sets = Sketched(size, np.frombuffer(b"".join(cells), np.uint8))
-        del cells
-        # a node of several batches is one
-        _, first, same = np.unique(node, return_index=True, return_inverse=True)
-        s, place, cut = _runs(key, first[same[place]])
+        key, place = key[use].astype(np.uint64), place[use].astype(np.int64)
+        # a set of several batches is one
+        ref, same = np.unique(np.concatenate(refs), return_inverse=True)
+        del refs, use
+        s, place, cut = _runs(key, same[place])
+        member = ref[place]
         # groups with the same members
-        total = np.append(0, np.cumsum(mix(node[place].view(np.uint64))))
-        alike = total[cut[1:]] - total[cut[:-1]]
+        alike = _alike(member, cut)
         many = np.flatnonzero(np.diff(cut) > 1)
         _, once = np.unique(alike[many], return_index=True)
         hot = np.array([x in heads for x in s[cut[:-1][many]].tolist()], bool) if heads else np.zeros(len(many), bool)
         keep = np.zeros(len(many), bool)
         keep[once] = True
-        out = []
         for g in many[hot].tolist():
-            out += [{"sig": name, "members": node[place[cut[g]:cut[g + 1]]].tolist()} for name in heads[int(s[cut[g]])]]
+            of_hot = member[cut[g]:cut[g + 1]].tolist()
+            yield pa.RecordBatch.from_pylist([{"sig": name, "home": name & (1 << 62) - 1, "hot": True, "members": of_hot}
+                                              for name in heads[int(s[cut[g]])]], _MET)
         cold = many[keep & ~hot]
-        sizes_of = np.diff(cut)[cold]
-        begin = np.cumsum(sizes_of) - sizes_of
-        of_cold = place[np.repeat(cut[:-1][cold] - begin, sizes_of) + np.arange(sizes_of.sum())]
-        for n, (g, group) in enumerate(clusters(sets, of_cold, np.append(begin, sizes_of.sum()), scheme)):
-            name = ((int(s[cut[cold[g]]]) + (bucket << 40)) * 1_000_003 + n) & 0xFFFFFFFFFFFFFFFF
+        n = np.diff(cut)[cold]
+        # members ascend; the few larger groups go anywhere: many that differ a little can have one least member
+        home = np.where(n > SPREAD_GROUP, alike[cold], mix(member[cut[:-1][cold]].view(np.uint64)))
+        name = mix(s[cut[:-1][cold]] + np.uint64(bucket << 32)).view(np.int64)
+        ends = np.cumsum(n)
+        for at in np.split(np.arange(len(cold)), np.searchsorted(ends, np.arange(MEMBERS_AT_ONCE, ends[-1] if len(ends) else 0, MEMBERS_AT_ONCE))):
+            if len(at):
+                begin = np.append(0, np.cumsum(n[at]))
+                of_cold = member[np.repeat(cut[:-1][cold[at]] - begin[:-1], n[at]) + np.arange(begin[-1])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(name[at]), pa.array((home[at] >> np.uint64(2)).astype(np.int64)), pa.array(np.zeros(len(at), bool)),
+                    pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(of_cold))], schema=_MET)
+        del key, place, ref, same, s, cut, member, alike
+        give_back()
+
+    return run
+
+
+def _told_apart(scheme: Scheme):
+    """Rows of one place, groups of refs and the nodes of these with their sketches -> groups of nodes that the sketches do not tell apart.
+
+    Groups with the same members are compared once; hot ones stay as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, hots, counts, members, refs, nodes, sizes, cells = [], [], [], [], [], [], [], []
+        for batch in batches:
+            is_group = pc.is_valid(batch.column("members"))
+            some, told = batch.filter(is_group), batch.filter(pc.invert(is_group))
+            if some.num_rows:
+                sigs.append(some.column("sig").to_numpy())
+                hots.append(some.column("hot").to_numpy(zero_copy_only=False))
+                counts.append(pc.list_value_length(some.column("members")).to_numpy().astype(np.int64))
+                members.append(some.column("members").flatten().to_numpy())
+            if told.num_rows:
+                for held, c in ((refs, "ref"), (nodes, "node"), (sizes, "size")):
+                    held.append(told.column(c).to_numpy())
+                cells.append(b"".join(told.column("sketch").to_pylist()))
+        if not sigs:
+            return
+        sig, hot, n, member = (np.concatenate(x) for x in (sigs, hots, counts, members))
+        ref, node, size = (np.concatenate(x) for x in (refs, nodes, sizes))
+        sets = Sketched(size.astype(np.int64), np.frombuffer(b"".join(cells), np.uint8))
+        del sigs, hots, counts, members, refs, nodes, sizes, cells
+        order = np.argsort(ref, kind="stable")
+        ref = ref[order]
+        # a ref is one node, or seldom several
+        low = np.searchsorted(ref, member)
+        found = np.searchsorted(ref, member, "right") - low
+        ends = np.cumsum(found)
+        place = order[np.repeat(low - (ends - found), found) + np.arange(ends[-1])]
+        cut = np.append(0, ends[np.cumsum(n) - 1])
+        for g in np.flatnonzero(hot).tolist():
+            yield pa.RecordBatch.from_pylist([{"sig": int(sig[g]), "members": node[place[cut[g]:cut[g + 1]]].tolist()}], _GROUP)
+        cold = np.flatnonzero(~hot)
+        _, once = np.unique(_alike(node[place], cut)[cold], return_index=True)
+        cold = cold[np.sort(once)]
+        n = np.diff(cut)[cold]
+        begin = np.append(0, np.cumsum(n))
+        of_cold = place[np.repeat(cut[:-1][cold] - begin[:-1], n) + np.arange(begin[-1])]
+        out = []
+        for i, (g, group) in enumerate(clusters(sets, of_cold, begin, scheme)):
+            name = (int(sig[cold[g]]) * 1_000_003 + i) & 0xFFFFFFFFFFFFFFFF
             name = int(mix(np.array([name], np.uint64)).view(np.int64)[0])
             out.append({"sig": name, "members": node[group].tolist()})
             if len(out) >= 4096:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield pa.RecordBatch.from_pylist(out, _GROUP)
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
-        del key, place, node, size, sets, s, cut, of_cold, out
+            yield pa.RecordBatch.from_pylist(out, _GROUP)
+        del sig, member, ref, node, size, sets, order, low, found, ends, place, of_cold, out
         give_back()
 
     return run
 
 
+def _groups(met: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(sig, members) of the groups of ``met`` (``MET``), told apart by the sketches of ``sets``."""
+    spark = met.sparkSession
+    asked = met.filter("home IS NOT NULL")
+    total = asked.agg(F.sum(F.size("members"))).first()[0] or 0
+    places = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / APART_MEMBERS))
+    asked = asked.withColumn("place", (F.col("home") % places).cast("int"))
+    known = sets.filter("node IS NOT NULL").select(F.col("node").bitwiseAND(F.lit(REF_MASK)).alias("ref"), "node",
+                                                   F.col("n_shingles").cast("int").alias("size"), "sketch")
+    known = known.repartition("ref").dropDuplicates(["ref", "node"])
+    told = asked.select("place", F.explode("members").alias("ref")).distinct().join(known, "ref")
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    meeting = asked.select("place", "sig", "hot", "members", none("ref", "bigint"), none("node", "bigint"), none("size", "int"),
+                           none("sketch", "binary")).unionByName(
+        told.select("place", none("sig", "bigint"), none("hot", "boolean"), none("members", "array<bigint>"),
+                    "ref", "node", "size", "sketch"))
+    apart = meeting.repartitionById(places, F.col("place")).mapInArrow(_told_apart(scheme), GROUP)
+    return met.filter("home IS NULL").select("sig", "members").unionByName(apart)
+
+
 def _verify(scheme: Scheme, shingle: int):
     """Whether the sets of two text columns are similar."""
 
@@ -732,13 +835,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _jaccard_join(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shingle: int, block: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = settled(rows.select("id", _set_rows(shingle)(F.col("text")).alias("s")).select("id", "s.*"), "sets")
+    sets = settled(rows.select("id", _set_rows(shingle, sketched=True)(F.col("text")).alias("s")).select("id", "s.*"), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(1.5 * total / BUCKET_SIGNATURES))
     frequent = frequent_signatures(rows, total, scheme, shingle)
     packed = rows.select("text").mapInArrow(_send(scheme, shingle, buckets, frequent), PACKED)
-    groups = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(scheme), GROUP)
-    member = settled(groups.select("sig", F.explode("members").alias("node")).distinct(), "groups")
+    met, folder = settled_at(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(), MET), "met")
+    member = settled(_groups(met, sets, scheme).select("sig", F.explode("members").alias("node")).distinct(), "groups")
+    discard(spark, folder)
+    sets = sets.drop("sketch")
     # one of each group, by one of four orders, is its centre
     centre = member.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.col("sig") % 4)).alias("centre"), F.count("*").alias("n")) \
         .filter("n > 1").select("sig", "centre")

@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import zstandard
 from helpers import docs, frame, multiset, nothing, rows, sentence, words  # noqa: F401
 from pyspark.sql import functions as F
@@ -297,6 +299,31 @@ def _frequent(sig, least):
     return partenum.Frequent(names[n >= least], n[n >= least])
 
 
+def test_what_travels_with_a_signature_does_not_grow_with_the_buckets():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) for _ in range(60)]
+    _, sig = partenum.signatures(*partenum.shingle_sets([t.encode() for t in texts]), partenum.Scheme())
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for buckets in (8, 5000):  # in the end each signature goes alone
+        rows = [r for b in partenum._send(partenum.Scheme(), partenum.SHINGLE, buckets)(iter([batch])) for r in b.to_pylist()]
+        assert sum(len(r["hashes"]) for r in rows) >= 4 * len(sig)
+        assert sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes)) <= 16 * len(sig)
+
+
+def test_nodes_that_share_the_bits_that_travel_are_all_told_apart():
+    rng = np.random.default_rng(6)
+    values = [np.sort(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(2)]
+    values.append(np.sort(np.append(values[0][:-2], rng.integers(0, 2**63, 2).astype(np.uint64))))
+    offsets = np.cumsum([0, *map(len, values)])
+    sketch = partenum.sketches(offsets, np.concatenate(values))
+    rows = [{"sig": 1, "hot": False, "members": [7, 9]}]
+    rows += [{"ref": r, "node": n, "size": 200, "sketch": s} for r, n, s in zip((7, 7, 9), (70, 71, 90), sketch, strict=True)]
+    kind = pa.schema([("sig", pa.int64()), ("hot", pa.bool_()), ("members", pa.list_(pa.int64())), ("ref", pa.int64()),
+                      ("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())])
+    got = list(partenum._told_apart(partenum.Scheme())(iter([pa.RecordBatch.from_pylist(rows, kind)])))
+    assert [sorted(r["members"]) for b in got for r in b.to_pylist()] == [[70, 90]]
+
+
 def test_similar_pairs_share_a_signature_that_neither_leaves_out():
     """Without Spark: whatever signatures are taken for frequent, all pairs at or above the threshold."""
     import numpy as np
