@@ -364,3 +364,42 @@ def test_svm_solver_has_no_more_tasks_than_its_rows_need(spark, monkeypatch):
     assert parts == [1, 3, 8]
     for other in found[1:]:
         assert all(other[i].toArray() == pytest.approx(p.toArray(), abs=1e-6) for i, p in found[0].items())
+
+
+def test_tree_grid_is_whole_and_its_scores_are_those_of_separate_fits(spark, data):
+    grid = ml.GRIDS["decision_tree"]
+    assert np.prod([len(v) for v in grid.values()]) == 160
+    small = {"maxDepth": [2, 30], "minSamplesSplit": [2, 120], "minInstancesPerNode": [5, 30], "impurity": ["entropy"]}
+    model, scores = ml.tune("decision_tree", data, grid=small)
+    assert len(scores) == 8 and len({s for _, s in scores}) > 2
+    train = data.df.filter("split = 'train'")
+    for p, score in scores[1::2]:
+        settings = {ml._SETTINGS[k]: v for k, v in p.items()}
+        parts = []
+        for fold in range(5):
+            one = ml.create_model("decision_tree", len(data.feature_names), **settings).fit(train.filter(F.col("fold") != fold))
+            got = one.transform(train.filter(F.col("fold") == fold))
+            parts.append(got.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+        assert abs(np.mean(parts) - score) < 1e-9
+    assert model.numNodes >= 1
+
+
+def test_nodes_of_too_few_rows_are_not_split(spark, data, tmp_path):
+    train = data.df.filter("split = 'train'")
+    sizes = {}
+    for least in (10, 100):
+        model = ml.create_model("decision_tree", len(data.feature_names), max_depth=30, min_samples_leaf=5, min_samples_split=least).fit(train)
+        model.write().save(f"{tmp_path}/{least}")
+        nodes = spark.read.parquet(f"{tmp_path}/{least}/data").toPandas().sort_values("id")
+        assert (nodes["rawCount"][nodes["leftChild"] >= 0] >= least).all()
+        sizes[least] = len(nodes)
+        assert len(nodes) == model.numNodes
+        assert ml.predictions(model, train).filter("y_pred IS NULL").count() == 0
+    assert sizes[100] < sizes[10]
+
+
+def test_grid_search_query_gives_every_point(spark):
+    from cohortlens.plans.catalog import QUERIES
+    got = QUERIES["m03_grid_search"](spark, SF_SMALL).collect()
+    assert len(got) == len({r["params"] for r in got}) == 160
+    assert all(0 < r["cv_accuracy"] < 1 for r in got)
