@@ -366,6 +366,26 @@ def test_svm_solver_has_no_more_tasks_than_its_rows_need(spark, monkeypatch):
         assert all(other[i].toArray() == pytest.approx(p.toArray(), abs=1e-6) for i, p in found[0].items())
 
 
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e12])
+def test_marked_screen_is_never_more_than_the_distance_and_leaves_few(scale, monkeypatch):
+    rng = np.random.default_rng(3)
+    q, tiles = rng.normal(0, scale, (300, 32)), rng.normal(0, scale, (12, 400, 32))
+    q[:3], tiles[5, :40], tiles[6, 7] = 0, tiles[4, 0], q[9]
+    tiles[8, 3] = q[5] + np.where(np.arange(32) == 2, 50 * scale, 0)
+    found, checked = knn._Nearest(np.arange(300), q, 4, "manhattan", 2.0, False), []
+    lengths = knn._lengths
+    monkeypatch.setattr(knn, "_lengths", lambda diff, *a: checked.append(diff.shape[0]) or lengths(diff, *a))
+    for t, c in enumerate(tiles):
+        found.meet(np.arange(300), np.arange(400 * t, 400 * t + 400), np.zeros(400), c)
+        screened = found._marked(c)[1](np.arange(300))
+        assert (screened <= knn._distances(q, c, "manhattan", 2.0) + 1e-4 * scale).all()
+    got = {(r.query_id, r.neighbor_id): r.distance for r in found.table().itertuples()}
+    every = lengths(q[:, None] - tiles.reshape(1, -1, 32), "manhattan", 2.0)
+    want = {(i, int(j)): every[i, j] for i in range(300) for j in np.lexsort((np.arange(4800), every[i]))[:4]}
+    assert got == want
+    assert sum(checked) < 0.05 * every.size
+
+
 def test_tree_grid_is_whole_and_its_scores_are_those_of_separate_fits(spark, data):
     grid = ml.GRIDS["decision_tree"]
     assert np.prod([len(v) for v in grid.values()]) == 160
