@@ -582,7 +582,7 @@ def _alike(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return total[cut[1:]] - total[cut[:-1]]
 
 
-def _match():
+def _match(scheme: Scheme):
     """One bucket: groups of refs that share a signature.
 
     Groups with the same members are given once.  Signatures that many documents
@@ -840,7 +840,7 @@ def _jaccard_join(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, s
     buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(1.5 * total / BUCKET_SIGNATURES))
     frequent = frequent_signatures(rows, total, scheme, shingle)
     packed = rows.select("text").mapInArrow(_send(scheme, shingle, buckets, frequent), PACKED)
-    met, folder = settled_at(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(), MET), "met")
+    met, folder = settled_at(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_match(scheme), MET), "met")
     member = settled(_groups(met, sets, scheme).select("sig", F.explode("members").alias("node")).distinct(), "groups")
     discard(spark, folder)
     sets = sets.drop("sketch")
